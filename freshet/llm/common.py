@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Compressed input bytes that one shard of documents should hold.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 3 << 19
 #: Fewest shards, so that small inputs still spread over a cluster.
 MIN_SHARDS = 64
 

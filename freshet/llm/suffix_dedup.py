@@ -6,8 +6,9 @@ of the ``GRAM``-byte strings inside a window: equal windows have equal digits, s
 routes them to one task, and consecutive windows mostly share it, so a whole run of windows
 travels as one context of bytes.
 
-1. Every shard of documents sends the distinct first digits of its windows; digits that
-   occur in one document only end there.
+1. Every shard of documents sends the distinct first digits of its windows, and the digests of
+   its texts; digits that occur in one document only end there, and a copy of a smaller
+   document's whole text is known to be removed.
 2. For the digits that are left, every shard sends the distinct contexts of its runs with the
    smallest document id that has each; further documents of the shard with the same context
    are settled on the spot.
@@ -32,15 +33,18 @@ from pyspark.sql import types as T
 
 from .common import pack, pass_through, shard_count, text_buffer, unpack, words_at
 
-GRAM = 24
+GRAM = 16
 #: Windows of one run that travel together at most.
 RUN_WINDOWS = 64
 #: Bytes that are hashed at a time.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 NO_ID = np.iinfo(np.int64).max
 
-_CONTEXTS = "bucket int, shard int, digits binary, ids binary, sizes binary, bytes binary, occ_context binary, occ_key binary, occ_start binary, done_key binary, done_start binary, done_end binary"
-_INTERVALS = "shard int, keys binary, starts binary, ends binary"
+_DIGITS = "bucket int, shard int, digits binary, texts binary, ids binary"
+_WANTED = "shard int, digits binary, copies binary"
+_CONTEXTS = "bucket int, shard int, ids binary, sizes binary, bytes binary, occ_context binary, occ_doc binary, occ_start binary, done_doc binary, done_start binary, done_end binary"
+_INTERVALS = "shard int, docs binary, starts binary, ends binary"
+TEXT = 16
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -128,58 +132,90 @@ def _by_bucket(digits: np.ndarray, buckets: int):
 
 
 def _ordered(table: pa.Table):
-    """The shard's documents by id: ids, keys, buffer, offsets and the rows' order."""
+    """The shard's documents by id, then by key: ids, rows' order and texts in that order.
+
+    A document's place in this order names it between the steps.
+    """
     ids = np.array([NO_ID if x is None else x for x in table.column("id").to_pylist()], np.int64)
-    order = np.argsort(ids, kind="stable")
-    keys = table.column("key").to_numpy()[order]
-    data, offsets = text_buffer(table.column("text").combine_chunks().take(pa.array(order)))
-    return ids[order], keys, data, offsets, order
+    order = np.lexsort((table.column("key").to_numpy(), ids))
+    return ids[order], order, table.column("text").combine_chunks().take(pa.array(order))
+
+
+def _text_digests(texts) -> list[bytes]:
+    data, offsets = text_buffer(texts)
+    raw = memoryview(data.tobytes())
+    return [hashlib.blake2b(raw[a:b], digest_size=TEXT).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+
+
+def _text_bucket(digest: bytes, buckets: int) -> int:
+    return int.from_bytes(digest[:4], "little") * buckets >> 32
 
 
 def _digits_of_shard(depth: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        ids, _, data, offsets, _ = _ordered(table)
+        ids, _, texts = _ordered(table)
+        data, offsets = text_buffer(texts)
         found = [(g, ids[d]) for d, _, _, g in runs_of(data, offsets, depth)]
-        rows = {"bucket": [], "shard": [], "digits": []}
+        rows = {"bucket": [], "digits": [], "texts": [], "ids": []}
+        add = lambda *x: [rows[k].append(v) for k, v in zip(rows, x)]
         if found:
             g, owner = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
-            order = np.argsort(g, kind="stable")  # documents came by id, so ids rise within a digit
+            order = np.argsort(g, kind="stable")
             g, owner = g[order], owner[order]
             first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-            last = np.append(first[1:], len(g)) - 1
-            many = (owner[first] != owner[last]).astype(np.uint64)
+            many = (np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)).astype(np.uint64)
             g = g[first]
             sent = (g & ~np.uint64(1)) | many
             for b, lo, hi in _by_bucket(g, buckets):
-                rows["bucket"].append(b), rows["shard"].append(shard), rows["digits"].append(pack(sent[lo:hi], np.uint64))
-        return pa.table({"bucket": pa.array(rows["bucket"], pa.int32()), "shard": pa.array(rows["shard"], pa.int32()), "digits": pa.array(rows["digits"], pa.binary())})
+                add(b, pack(sent[lo:hi], np.uint64), b"", b"")
+        least: dict[bytes, int] = {}
+        for i, x in zip(ids.tolist(), _text_digests(texts)):
+            least.setdefault(x, i)
+        by_bucket: dict[int, list[bytes]] = {}
+        for x in least:
+            by_bucket.setdefault(_text_bucket(x, buckets), []).append(x)
+        for b, own in by_bucket.items():
+            add(b, b"", b"".join(own), pack([least[x] for x in own], np.int64))
+        n = len(rows["bucket"])
+        return pa.table({"bucket": pa.array(rows["bucket"], pa.int32()), "shard": pa.array([shard] * n, pa.int32())} | {k: pa.array(rows[k], pa.binary()) for k in ("digits", "texts", "ids")})
 
     return run
 
 
 def _repeated_digits(table: pa.Table) -> pa.Table:
-    """Digits of two documents at least, for each shard that sent them.
+    """For each shard: its digits that two documents at least have, and its texts that a smaller id of another shard has.
 
     A document id lies in one shard only, so two shards are two documents.
     """
-    blobs = table.column("digits").to_pylist()
-    g = unpack(blobs, np.uint64)
-    shard = np.repeat(table.column("shard").to_numpy(), [len(x) // 8 for x in blobs])
+    r = table.to_pydict()
+    g = unpack(r["digits"], np.uint64)
+    shard = np.repeat(np.array(r["shard"]), [len(x) // 8 for x in r["digits"]])
     order = np.argsort(g, kind="stable")
     g, shard = g[order], shard[order]
     value = g >> np.uint64(1)
     first = np.append(True, value[1:] != value[:-1]) if len(value) else np.zeros(0, bool)
     group = np.cumsum(first) - 1
-    size = np.bincount(group)
     many = np.maximum.reduceat((g & np.uint64(1)).astype(np.int8), np.flatnonzero(first)) if len(g) else np.zeros(0, np.int8)
-    keep = ((size > 1) | (many > 0))[group]
+    keep = ((np.bincount(group) > 1) | (many > 0))[group]
     value, shard = value[keep], shard[keep]
     order = np.argsort(shard, kind="stable")
     value, shard = value[order], shard[order]
     cuts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else np.zeros(0, np.int64)
-    ends = np.append(cuts[1:], len(shard))
-    return pa.table({"shard": pa.array([int(shard[a]) for a in cuts], pa.int32()), "digits": pa.array([pack(value[a:b], np.uint64) for a, b in zip(cuts, ends)], pa.binary())})
+    rows = [(int(shard[a]), pack(value[a:b], np.uint64), b"") for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(shard)).tolist())]
+    least: dict[bytes, int] = {}
+    sent: list[tuple[int, bytes, int]] = []
+    for s, texts, ids in zip(r["shard"], r["texts"], r["ids"]):
+        for k, i in enumerate(np.frombuffer(ids, np.int64).tolist() if ids else ()):
+            x = texts[TEXT * k : TEXT * k + TEXT]
+            least[x] = min(least.get(x, NO_ID), i)
+            sent.append((s, x, i))
+    copies: dict[int, list[bytes]] = {}
+    for s, x, i in sent:
+        if least[x] < i:
+            copies.setdefault(s, []).append(x)
+    rows += [(s, b"", b"".join(x)) for s, x in copies.items()]
+    return pa.table({n: pa.array([x[k] for x in rows], pa.binary() if k else pa.int32()) for k, n in enumerate(("shard", "digits", "copies"))})
 
 
 def _merged(key, start, end):
@@ -198,45 +234,62 @@ def _merged(key, start, end):
 
 
 def _contexts_of_shard(depth: int, buckets: int):
-    names = _CONTEXTS.replace(" int", "").replace(" binary", "").split(", ")
+    names = [x.split()[0] for x in _CONTEXTS.split(", ")]
 
     def run(docs: pa.Table, wanted: pa.Table) -> pa.Table:
         rows = {n: [] for n in names}
         if docs.num_rows and wanted.num_rows:
             shard = docs.column("shard")[0].as_py()
-            ids, keys, data, offsets, _ = _ordered(docs)
+            ids, _, texts = _ordered(docs)
+            blob = b"".join(x for x in wanted.column("copies").to_pylist() if x)
+            elsewhere = {blob[i : i + TEXT] for i in range(0, len(blob), TEXT)}
+            least: dict[bytes, int] = {}
+            own, copies = [], []
+            sizes = np.diff(text_buffer(texts)[1])
+            for d, x in enumerate(_text_digests(texts)):
+                if x in elsewhere or least.setdefault(x, int(ids[d])) < ids[d]:
+                    if sizes[d] >= depth:
+                        copies.append((d, 0, int(sizes[d])))
+                else:
+                    own.append(d)
+            own = np.array(own, np.int64)
+            data, offsets = text_buffer(texts.take(pa.array(own)))
             want = np.sort(unpack(wanted.column("digits").to_pylist(), np.uint64))
             raw = data.tobytes()
             seen: dict[bytes, int] = {}
-            digit_of, id_of, size_of, occ, done = [], [], [], [], []
-            for doc, start, size, digit in runs_of(data, offsets, depth):
+            digit_of, id_of, occ, done = [], [], [], copies
+            for doc, start, size, digit in runs_of(data, offsets, depth) if len(want) else ():
                 at = np.minimum(np.searchsorted(want, digit >> np.uint64(1)), len(want) - 1)
                 hit = np.flatnonzero(want[at] == digit >> np.uint64(1))
-                for d, s, n, g in zip(doc[hit].tolist(), start[hit].tolist(), size[hit].tolist(), digit[hit].tolist()):
-                    context = raw[s : s + n + depth - 1]
+                for k, s, n, g in zip(doc[hit].tolist(), start[hit].tolist(), size[hit].tolist(), digit[hit].tolist()):
+                    context, d = raw[s : s + n + depth - 1], int(own[k])
                     c = seen.setdefault(context, len(digit_of))
                     if c == len(digit_of):
-                        digit_of.append(g), id_of.append(int(ids[d])), size_of.append(len(context))
+                        digit_of.append(g), id_of.append(int(ids[d]))
                     if id_of[c] == ids[d]:
-                        occ.append((c, d, s - int(offsets[d])))
+                        occ.append((c, d, s - int(offsets[k])))
                     else:
-                        done.append((d, s - int(offsets[d]), len(context)))
+                        done.append((d, s - int(offsets[k]), s - int(offsets[k]) + len(context)))
             digits, id_a = np.array(digit_of, np.uint64), np.array(id_of, np.int64)
-            sizes, bodies = np.array(size_of, np.int64), list(seen)
+            bodies = list(seen)
+            length = np.array([len(x) for x in bodies], np.int64)
             occ = np.array(occ, np.int64).reshape(-1, 3)
             done = np.array(done, np.int64).reshape(-1, 3)
-            dk, ds, de = _merged(done[:, 0], done[:, 1], done[:, 1] + done[:, 2])
+            dk, ds, de = _merged(done[:, 0], done[:, 1], done[:, 2])
             order = np.argsort(digits, kind="stable")
             occ = occ[np.argsort(occ[:, 0], kind="stable")]
             n_occ = np.bincount(occ[:, 0], minlength=len(digits))
             occ_at = np.cumsum(n_occ) - n_occ
-            for b, lo, hi in _by_bucket(digits[order], buckets):
-                own = order[lo:hi]
-                mine = np.concatenate([np.arange(occ_at[c], occ_at[c] + n_occ[c]) for c in own])
-                for name, value in (("bucket", b), ("shard", shard), ("digits", pack(digits[own], np.uint64)), ("ids", pack(id_a[own], np.int64)), ("sizes", pack(sizes[own], np.uint32)), ("bytes", b"".join([bodies[c] for c in own])), ("occ_context", pack(np.repeat(np.arange(hi - lo), n_occ[own]), np.uint32)), ("occ_key", pack(keys[occ[mine, 1]], np.int64)), ("occ_start", pack(occ[mine, 2], np.uint32)), ("done_key", b""), ("done_start", b""), ("done_end", b"")):
-                    rows[name].append(value)
-            if rows["bucket"] and len(dk):
-                rows["done_key"][0], rows["done_start"][0], rows["done_end"][0] = pack(keys[dk], np.int64), pack(ds, np.uint32), pack(de, np.uint32)
+            parts = list(_by_bucket(digits[order], buckets))
+            if len(dk) and not parts:
+                parts = [(shard % buckets, 0, 0)]
+            for b, lo, hi in parts:
+                mine = order[lo:hi]
+                at = np.concatenate([np.arange(occ_at[c], occ_at[c] + n_occ[c]) for c in mine]) if hi > lo else np.zeros(0, np.int64)
+                last = (pack(dk, np.uint32), pack(ds, np.uint32), pack(de, np.uint32)) if b == parts[0][0] else (b"", b"", b"")
+                row = (b, shard, pack(id_a[mine], np.int64), pack(length[mine], np.uint16), b"".join([bodies[c] for c in mine]), pack(np.repeat(np.arange(hi - lo), n_occ[mine]), np.uint32), pack(occ[at, 1], np.uint32), pack(occ[at, 2], np.uint32), *last)
+                for n, x in zip(names, row):
+                    rows[n].append(x)
         return pa.table({n: pa.array(rows[n], pa.int32() if n in ("bucket", "shard") else pa.binary()) for n in names})
 
     return run
@@ -266,12 +319,25 @@ def equal_windows(data: np.ndarray, pos: np.ndarray, group: np.ndarray, depth: i
     return active, label
 
 
+def _digits_at(body: bytes, at: np.ndarray, depth: int) -> np.ndarray:
+    """First digits of the windows at some places of a buffer."""
+    data, out = np.frombuffer(body, np.uint8), np.empty(len(at), np.uint64)
+    order = np.argsort(at, kind="stable")
+    i = 0
+    while i < len(at):
+        lo = int(at[order[i]])
+        j = int(np.searchsorted(at[order], lo + BLOCK, "left"))
+        out[order[i:j]] = first_digits(data[lo : int(at[order[j - 1]]) + depth], depth)[at[order[i:j]] - lo]
+        i = j
+    return out
+
+
 def _settle(depth: int):
     def run(table: pa.Table) -> pa.Table:
         r = table.to_pydict()
-        n_ctx = [len(x) // 4 for x in r["sizes"]]
+        n_ctx = [len(x) // 2 for x in r["sizes"]]
         shards = np.array(r["shard"])
-        ids, sizes, digits = unpack(r["ids"], np.int64), unpack(r["sizes"], np.uint32).astype(np.int64), unpack(r["digits"], np.uint64)
+        ids, sizes = unpack(r["ids"], np.int64), unpack(r["sizes"], np.uint16).astype(np.int64)
         body = b"".join(r["bytes"])
         ends = np.cumsum(sizes)
         number: dict[bytes, int] = {}
@@ -284,7 +350,7 @@ def _settle(depth: int):
         first = np.full(n, len(ids), np.int64)
         np.minimum.at(first, which, np.arange(len(ids)))
         # Contexts that share their first digit with another one are expanded into windows.
-        digit = digits[first] if n else np.zeros(0, np.uint64)
+        digit = _digits_at(body, (ends - sizes)[first], depth) if n else np.zeros(0, np.uint64)
         _, group, count = np.unique(digit, return_inverse=True, return_counts=True)
         several = np.flatnonzero(count[group] > 1) if n else np.zeros(0, np.int64)
         windows = sizes[first[several]] - depth + 1 if n else np.zeros(0, np.int64)
@@ -307,7 +373,7 @@ def _settle(depth: int):
         base = np.cumsum(n_ctx) - n_ctx
         n_occ = [len(x) // 4 for x in r["occ_context"]]
         ctx = unpack(r["occ_context"], np.uint32).astype(np.int64) + np.repeat(base, n_occ)
-        key, start = unpack(r["occ_key"], np.int64), unpack(r["occ_start"], np.uint32).astype(np.int64)
+        key, start = unpack(r["occ_doc"], np.uint32).astype(np.int64), unpack(r["occ_start"], np.uint32).astype(np.int64)
         shard = np.repeat(shards, n_occ)
         whole = ids[ctx] > least[which[ctx]] if len(ctx) else np.zeros(0, bool)
         out = [(shard[whole], key[whole], start[whole], start[whole] + sizes[ctx[whole]])]
@@ -316,16 +382,16 @@ def _settle(depth: int):
             rows = [(shard[i], key[i], start[i] + a, start[i] + b) for i in some.tolist() for a, b in part[int(which[ctx[i]])]]
             if rows:
                 out.append(tuple(np.array(x, np.int64) for x in zip(*rows)))
-        n_done = [len(x) // 8 for x in r["done_key"]]
-        out.append((np.repeat(shards, n_done), unpack(r["done_key"], np.int64), unpack(r["done_start"], np.uint32), unpack(r["done_end"], np.uint32)))
+        n_done = [len(x) // 4 for x in r["done_doc"]]
+        out.append((np.repeat(shards, n_done), unpack(r["done_doc"], np.uint32), unpack(r["done_start"], np.uint32), unpack(r["done_end"], np.uint32)))
         shard, key, start, end = (np.concatenate([np.asarray(x[i], np.int64) for x in out]) for i in range(4))
-        rows = {"shard": [], "keys": [], "starts": [], "ends": []}
+        rows = {"shard": [], "docs": [], "starts": [], "ends": []}
         order = np.argsort(shard, kind="stable")
         shard, key, start, end = shard[order], key[order], start[order], end[order]
         cuts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else np.zeros(0, np.int64)
         for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(shard)).tolist()):
             k, s, e = _merged(key[a:b], start[a:b], end[a:b])
-            rows["shard"].append(int(shard[a])), rows["keys"].append(pack(k, np.int64)), rows["starts"].append(pack(s, np.uint32)), rows["ends"].append(pack(e, np.uint32))
+            rows["shard"].append(int(shard[a])), rows["docs"].append(pack(k, np.uint32)), rows["starts"].append(pack(s, np.uint32)), rows["ends"].append(pack(e, np.uint32))
         return pa.table({n: pa.array(v, pa.int32() if n == "shard" else pa.binary()) for n, v in rows.items()})
 
     return run
@@ -343,7 +409,9 @@ def whole_characters(body: bytes, start: int, end: int) -> tuple[int, int]:
 def _results(with_text: bool, kept: list[str]):
     def run(docs: pa.Table, gone: pa.Table) -> pa.Table:
         docs = docs.combine_chunks()
-        key, start, end = _merged(unpack(gone.column("keys").to_pylist(), np.int64), unpack(gone.column("starts").to_pylist(), np.uint32).astype(np.int64), unpack(gone.column("ends").to_pylist(), np.uint32).astype(np.int64))
+        place = np.empty(docs.num_rows, np.int64)
+        place[_ordered(docs)[1]] = np.arange(docs.num_rows)
+        key, start, end = _merged(unpack(gone.column("docs").to_pylist(), np.uint32).astype(np.int64), unpack(gone.column("starts").to_pylist(), np.uint32).astype(np.int64), unpack(gone.column("ends").to_pylist(), np.uint32).astype(np.int64))
         first = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
         cuts = np.flatnonzero(first)
         of = {int(key[a]): (a, b) for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(key)).tolist())}
@@ -351,7 +419,7 @@ def _results(with_text: bool, kept: list[str]):
         raw = data.tobytes()
         out = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "spans": []}
         texts = []
-        for i, k in enumerate(docs.column("key").to_pylist()):
+        for i, k in enumerate(place.tolist()):
             body = raw[offsets[i] : offsets[i + 1]]
             spans = [] if k not in of else list(zip(start[slice(*of[k])].tolist(), end[slice(*of[k])].tolist()))
             at, parts = 0, []
@@ -394,8 +462,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         *carried,
     )
     by_shard = rows.groupBy("shard")
-    digits = by_shard.applyInArrow(_digits_of_shard(depth, shards), "bucket int, shard int, digits binary")
-    wanted = digits.groupBy("bucket").applyInArrow(_repeated_digits, "shard int, digits binary")
+    digits = by_shard.applyInArrow(_digits_of_shard(depth, shards), _DIGITS)
+    wanted = digits.groupBy("bucket").applyInArrow(_repeated_digits, _WANTED)
     contexts = by_shard.cogroup(wanted.groupBy("shard")).applyInArrow(_contexts_of_shard(depth, shards), _CONTEXTS)
     gone = contexts.groupBy("bucket").applyInArrow(_settle(depth), _INTERVALS)
     fields = [T.StructField(n, t) for n, t in (("id", T.LongType()), ("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha256", T.StringType()), ("spans", T.StringType()))]
