@@ -2,13 +2,33 @@
 
 from __future__ import annotations
 
+from .bpe import encode_digests
 from .common import read_table
+from .ngram_join import similar_groups
+from .secrets import find_secrets
 from .suffix_dedup import remove_repeats
+from .toxicity import toxic_scores
 
 
 def op1_suffix_dedup(spark, sf_dir):
     return remove_repeats(read_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup,)}
+def op4_secret_scans(spark, sf_dir):
+    return find_secrets(read_table(spark, sf_dir, "documents"))
+
+
+def op7_ngram_join(spark, sf_dir):
+    return similar_groups(read_table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark, sf_dir):
+    return toxic_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op9_bpe_transducer(spark, sf_dir):
+    return encode_digests(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op4_secret_scans, op7_ngram_join, op8_toxicity, op9_bpe_transducer)}
 ORACLES: dict[str, str] = {}
