@@ -2,22 +2,43 @@
 
 from __future__ import annotations
 
+from . import quality as _quality
 from .bpe import encode_digests
 from .common import read_table
+from .html_text import extract_pages
+from .media import media_features, to_media
 from .ngram_join import similar_groups
+from .packing import pack_documents
 from .secrets import find_secrets
 from .suffix_dedup import remove_repeats
 from .toxicity import toxic_scores
+from .warc import archive_pages
 
 
 def op1_suffix_dedup(spark, sf_dir):
     return remove_repeats(read_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op2_warc(spark, sf_dir):
+    return archive_pages(read_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture_time", "segment", "offset", "length", "range", "place")
+
+
+def op3_quality_rules(spark, sf_dir):
+    return _quality.quality(read_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op4_secret_scans(spark, sf_dir):
     return find_secrets(read_table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark, sf_dir):
+    return extract_pages(read_table(spark, sf_dir, "pages"))
+
+
+def op6_best_fit_packing(spark, sf_dir):
+    return pack_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_join(spark, sf_dir):
     return similar_groups(read_table(spark, sf_dir, "documents"))
 
@@ -30,5 +51,12 @@ def op9_bpe_transducer(spark, sf_dir):
     return encode_digests(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op4_secret_scans, op7_ngram_join, op8_toxicity, op9_bpe_transducer)}
-ORACLES: dict[str, str] = {}
+def op10_media_columns(spark, sf_dir):
+    return media_features(to_media(read_table(spark, sf_dir, "documents")))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_suffix_dedup, op2_warc, op3_quality_rules, op4_secret_scans, op5_html_extraction, op6_best_fit_packing, op7_ngram_join, op8_toxicity, op9_bpe_transducer, op10_media_columns)
+}
+ORACLES: dict[str, str] = {"op3_quality_rules": _quality.ORACLE}
