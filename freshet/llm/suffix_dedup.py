@@ -119,16 +119,20 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, depth: int):
 
 
 def _bucket(digits: np.ndarray, buckets: int) -> np.ndarray:
-    return ((digits >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    """Smallest hashes crowd near zero, so they are hashed once more."""
+    with np.errstate(over="ignore"):
+        h = (digits >> np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def _by_bucket(digits: np.ndarray, buckets: int):
-    """Slices of the sorted digits by bucket."""
-    b = _bucket(digits, buckets)
-    cuts = np.flatnonzero(np.diff(b)) + 1
-    for lo, hi in zip(np.append(0, cuts), np.append(cuts, len(b))):
-        if hi > lo:
-            yield int(b[lo]), int(lo), int(hi)
+    """(bucket, places of its digits in rising order) of each bucket in use."""
+    bucket = _bucket(digits, buckets)
+    order = np.lexsort((digits, bucket))
+    cuts = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)) if len(order) else np.zeros(0, np.int64)
+    for lo, hi in zip(cuts.tolist(), np.append(cuts[1:], len(order)).tolist()):
+        yield int(bucket[order[lo]]), order[lo:hi]
 
 
 def _ordered(table: pa.Table):
@@ -167,8 +171,8 @@ def _digits_of_shard(depth: int, buckets: int):
             many = (np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)).astype(np.uint64)
             g = g[first]
             sent = (g & ~np.uint64(1)) | many
-            for b, lo, hi in _by_bucket(g, buckets):
-                add(b, pack(sent[lo:hi], np.uint64), b"", b"")
+            for b, own in _by_bucket(g, buckets):
+                add(b, pack(sent[own], np.uint64), b"", b"")
         least: dict[bytes, int] = {}
         for i, x in zip(ids.tolist(), _text_digests(texts)):
             least.setdefault(x, i)
@@ -276,18 +280,16 @@ def _contexts_of_shard(depth: int, buckets: int):
             occ = np.array(occ, np.int64).reshape(-1, 3)
             done = np.array(done, np.int64).reshape(-1, 3)
             dk, ds, de = _merged(done[:, 0], done[:, 1], done[:, 2])
-            order = np.argsort(digits, kind="stable")
             occ = occ[np.argsort(occ[:, 0], kind="stable")]
             n_occ = np.bincount(occ[:, 0], minlength=len(digits))
             occ_at = np.cumsum(n_occ) - n_occ
-            parts = list(_by_bucket(digits[order], buckets))
+            parts = list(_by_bucket(digits, buckets))
             if len(dk) and not parts:
-                parts = [(shard % buckets, 0, 0)]
-            for b, lo, hi in parts:
-                mine = order[lo:hi]
-                at = np.concatenate([np.arange(occ_at[c], occ_at[c] + n_occ[c]) for c in mine]) if hi > lo else np.zeros(0, np.int64)
+                parts = [(shard % buckets, np.zeros(0, np.int64))]
+            for b, mine in parts:
+                at = np.concatenate([np.arange(occ_at[c], occ_at[c] + n_occ[c]) for c in mine]) if len(mine) else np.zeros(0, np.int64)
                 last = (pack(dk, np.uint32), pack(ds, np.uint32), pack(de, np.uint32)) if b == parts[0][0] else (b"", b"", b"")
-                row = (b, shard, pack(id_a[mine], np.int64), pack(length[mine], np.uint16), b"".join([bodies[c] for c in mine]), pack(np.repeat(np.arange(hi - lo), n_occ[mine]), np.uint32), pack(occ[at, 1], np.uint32), pack(occ[at, 2], np.uint32), *last)
+                row = (b, shard, pack(id_a[mine], np.int64), pack(length[mine], np.uint16), b"".join([bodies[c] for c in mine]), pack(np.repeat(np.arange(len(mine)), n_occ[mine]), np.uint32), pack(occ[at, 1], np.uint32), pack(occ[at, 2], np.uint32), *last)
                 for n, x in zip(names, row):
                     rows[n].append(x)
         return pa.table({n: pa.array(rows[n], pa.int32() if n in ("bucket", "shard") else pa.binary()) for n in names})
