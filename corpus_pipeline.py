@@ -1,8 +1,67 @@
-"""The corpus pipeline: documents pass through STAGES in order."""
+"""The corpus pipeline: documents pass through STAGES in order.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and
+read again as the next one's documents.  All but the last return the columns of ``documents``;
+stages that change a text keep ``n_chars`` its number of code points.
+
+1. toxicity: documents that the classifier rejects go.
+2. ngram_join: of each group of near duplicates the document with the smallest id stays.
+3. suffix_dedup: byte strings of DEPTH bytes that a smaller document has are cut out.
+4. secret_scans: found secrets are masked.
+5. packing: what is left is packed into sequences; one row per piece.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from freshet.llm.common import materialise, read_table
+from freshet.llm.ngram_join import similar_groups
+from freshet.llm.packing import pack_documents
+from freshet.llm.secrets import mask_secrets
+from freshet.llm.suffix_dedup import remove_repeats
+from freshet.llm.toxicity import without_toxic
 
-STAGES: list = []
 ORACLE_SQL = None
 
 
+def _with_text(docs, text):
+    """The columns of docs with another text and its length."""
+    new = {"text": text, "n_chars": F.char_length(F.coalesce(text, F.lit(""))).cast("long")}
+    return docs.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+
+
+def toxicity(spark, docs, sf_dir):
+    return without_toxic(docs, read_table(spark, sf_dir, "labels"))
+
+
+def ngram_join(spark, docs, sf_dir):
+    """Equal rows are one document; rows without an id have no smaller one and stay unless a group's other member has one."""
+    groups = similar_groups(docs).filter("component_id <> doc_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(groups, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def suffix_dedup(spark, docs, sf_dir):
+    keep = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    cut = remove_repeats(docs, with_text=True, keep=keep).withColumnRenamed("kept_text", "text")
+    return _with_text(cut.select(*[F.col(f"`{c}`") for c in docs.columns]), F.col("text"))
+
+
+def secret_scans(spark, docs, sf_dir):
+    masked = mask_secrets(docs)
+    return _with_text(masked, F.col("text"))
+
+
+def packing(spark, docs, sf_dir):
+    return pack_documents(docs)
+
+
+STAGES = [("toxicity", toxicity), ("ngram_join", ngram_join), ("suffix_dedup", suffix_dedup), ("secret_scans", secret_scans), ("packing", packing)]
+
+
 def run(spark, sf_dir):
-    raise NotImplementedError
+    docs = read_table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return docs
