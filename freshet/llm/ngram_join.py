@@ -12,8 +12,10 @@ Tokens are the five-word shingles of a text.  All texts are covered:
    text is indexed both ways.
 3. Texts with equal sets are one node.  Within an index entry every node is first verified
    against the node whose tokens are the most frequent, then representatives of the parts that
-   are left against each other, and last every pair of nodes of different parts.  Pairs that are
-   already known to be connected need no comparison, as only components are asked for.
+   are left against each other.  What is still apart is seen from that central node: two nodes
+   share at most what both share with it, and what both have outside it.  So a pair is verified
+   only if it has a token outside in common, or if what it shares inside could do by number.
+   Pairs that are known to be connected need no comparison, as only components are asked for.
 4. Verified links are joined into components by label propagation with pointer jumping.
 
 Shingles are 64-bit hashes, sets are known by 128 bits of a digest.
@@ -40,7 +42,7 @@ RARE_TEXTS = 15
 #: From this set size on, frequent tokens are indexed in pairs.
 PAIRS_FROM = 16
 #: Rounds in which representatives of parts are verified before all remaining pairs are.
-PART_ROUNDS = 2
+PART_ROUNDS = 1
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -211,6 +213,40 @@ def _near_size(percent: int):
     return 100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")
 
 
+def _seen_from(batches):
+    """How many tokens a node shares with another one, and which of its tokens that one lacks."""
+    for batch in batches:
+        inside, outside = [], []
+        for x, p in zip(batch.column("tokens_a").to_pylist(), batch.column("tokens_b").to_pylist()):
+            x, p = np.frombuffer(x, np.uint64), np.frombuffer(p, np.uint64)
+            hit = p[np.minimum(np.searchsorted(p, x), len(p) - 1)] == x
+            inside.append(int(hit.sum()))
+            outside.append(x[~hit].view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b", "n_a", "label")] + [pa.array(inside, pa.int64()), pa.array(outside, pa.list_(pa.int64()))], ["node", "pivot", "n", "label", "inside", "outside"])
+
+
+def _apart(parts: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v, n_x, n_y) of nodes of different parts that an index entry has in common and that may be similar."""
+    seen = parts.select(F.col("node").alias("a"), F.col("top.node").alias("b"), "label").distinct()
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"tokens_{x}"))
+    both = seen.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "label", "tokens_a", "tokens_b")
+    rel = materialise(both.mapInArrow(_seen_from, "node string, pivot string, n long, label string, inside long, outside array<long>"), "seen")
+    rel = rel.withColumn("size", F.size("outside").cast("long"))
+
+    def named(x: str) -> list:
+        return [F.col("node").alias({"x": "u", "y": "v"}[x]), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "label", "inside", "size")]]
+
+    enough = lambda shared: (F.col("label_x") < F.col("label_y")) & ((100 + percent) * shared >= percent * (F.col("n_x") + F.col("n_y")))
+    inside, outside = F.least("inside_x", "inside_y"), F.least("size_x", "size_y")
+    token = rel.select("pivot", F.explode("outside").alias("token"), "node", "n", "label", "inside", "size")
+    one = token.select("pivot", "token", *named("x")).join(token.select("pivot", "token", *named("y")), ["pivot", "token"]).filter(enough(inside + outside))
+    # Without a token outside in common a partner has room * n tokens at most; smaller ones must exist.
+    least = rel.groupBy("pivot").agg(F.min("n").alias("least"))
+    able = rel.join(least, "pivot").filter((100 + percent) * F.col("inside") >= percent * (F.col("n") + F.col("least")))
+    two = able.select("pivot", *named("x")).join(able.select("pivot", *named("y")), "pivot").filter(enough(inside))
+    return one.select("u", "v", "n_x", "n_y").unionByName(two.select("u", "v", "n_x", "n_y"))
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of the edges (a, b); label: the least node reachable."""
     both = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -255,7 +291,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     labels, step = connected(known.filter("linked")), 0
     while step <= PART_ROUNDS:
-        parts = entries.drop("top").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        parts = entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         open_signs = parts.groupBy("sign").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("sign")
         parts = parts.join(open_signs, "sign")
         if step < PART_ROUNDS:
@@ -263,9 +299,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             top = part.groupBy("sign").agg(F.max("x").alias("y"))
             pairs = part.join(top, "sign").filter("x.node != y.node").select(F.col("x.node").alias("u"), F.col("y.node").alias("v"), F.col("x.n").alias("n_x"), F.col("y.n").alias("n_y"))
         else:
-            x = parts.select("sign", F.col("label").alias("label_x"), F.col("node").alias("u"), F.col("n").alias("n_x"))
-            y = parts.select("sign", F.col("label").alias("label_y"), F.col("node").alias("v"), F.col("n").alias("n_y"))
-            pairs = x.join(y, "sign").filter("label_x < label_y")
+            pairs = _apart(parts, nodes, percent)
         pairs = pairs.filter(_near_size(percent)).select(*_ordered_pair("u", "v")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
         more = materialise(verified(pairs, nodes, percent), "pairs")
         step = PART_ROUNDS if step < PART_ROUNDS and more.isEmpty() else step + 1
