@@ -1,8 +1,8 @@
 """Operator 9: BPE encoding and decoding over a minimal acyclic transducer of frequent words.
 
-Text is cut at white space; nothing that the vocabulary's rules do reaches across it, so every
-piece ("word") can be encoded alone.  Words are counted over all texts; the LEXICON_WORDS most
-frequent ones are encoded once and compiled into an acyclic automaton whose equal suffixes are
+Text is cut at white space; nothing that the vocabulary's rules do reaches across it, so what
+lies between can be encoded alone, and so can the words into which the rules cut that.  Words are
+counted over all texts; the LEXICON_WORDS most frequent ones are encoded once and compiled into an acyclic automaton whose equal suffixes are
 shared (incremental construction from sorted words).  Each edge carries the number of words that
 are passed over, so a path adds up to the word's number, which points at its ids.  Workers map
 the automaton's file into memory; words that it lacks are merged exactly by rank.
@@ -15,6 +15,7 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import mmap
 import os
@@ -33,9 +34,11 @@ from .common import tokenizer_path
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words that the automaton holds at most, and their longest form in bytes.
-LEXICON_WORDS, LEXICON_BYTES = 32_768, 64
-#: Words that a worker remembers or counts before it starts anew.
-MEMORY_WORDS = 200_000
+LEXICON_WORDS, LEXICON_BYTES = 65_536, 64
+#: Strings that a worker remembers as young ones, and counts before it passes them on.
+MEMORY_WORDS, COUNT_WORDS = 120_000, 200_000
+#: Symbols of a word from which on merges are found by a heap.
+LONG_WORD = 256
 END = "</w>"
 
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -151,43 +154,105 @@ class Lexicon:
         return self.outputs[self.offsets[number] : self.offsets[number + 1]].tolist()
 
 
+class Memory(dict):
+    """Remembers what ``make`` gives for a string.
+
+    When there are MEMORY_WORDS young entries they become old ones and replace those before, so
+    what is in use stays.
+    """
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, text):
+        value = self.old.get(text)
+        if value is None:
+            value = self.make(text)
+        if len(self) >= MEMORY_WORDS:
+            self.old = dict(self)
+            self.clear()
+        self[text] = value
+        return value
+
+
 class Codec:
     """Encoding and decoding of words by a vocabulary file."""
 
+    NONE = 1 << 62
+
     def __init__(self, path: str | None = None, lexicon: bytes | None = None):
         with open(path or tokenizer_path(VOCABULARY), encoding="utf-8") as f:
             spec = json.load(f)
         self.id_of = spec["model"]["vocab"]
-        self.rank = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): i for i, m in enumerate(spec["model"]["merges"])}
+        merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+        # Two ids in one number to the merge's rank and id in another.
+        self.pair = {self.id_of[a] << 20 | self.id_of[b]: rank << 20 | self.id_of[a + b] for rank, (a, b) in reversed(list(enumerate(merges)))}
         self.token_of = {i: t for t, i in self.id_of.items()}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.token_of |= {i: t for t, i in self.special.items()}
-        self.symbol = _byte_symbols()
+        symbols = _byte_symbols()
+        self.first, self.last = [self.id_of[x] for x in symbols], [self.id_of[x + END] for x in symbols]
+        self.known = Memory(self.word_ids)
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.lexicon = Lexicon(lexicon) if lexicon else None
 
-    def merged(self, piece: str) -> list[int]:
-        """Ids of one piece by rank of merges, lowest and leftmost first."""
-        parts = [self.symbol[b] for b in piece.encode("utf-8", "replace")]
-        parts[-1] += END
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.rank.get((parts[i], parts[i + 1]), 1 << 60))
-            if (parts[best], parts[best + 1]) not in self.rank:
+    def merged(self, word: str) -> list[int]:
+        """Ids of one word by rank of merges, lowest and leftmost first."""
+        body = word.encode("utf-8", "replace")
+        ids = [self.first[b] for b in body]
+        ids[-1] = self.last[body[-1]]
+        if len(ids) > LONG_WORD:
+            return self._merged_long(ids)
+        pair, none = self.pair.get, self.NONE
+        found = [pair(a << 20 | b, none) for a, b in zip(ids, ids[1:])]
+        while found:
+            low = min(found)
+            if low == none:
                 break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
-        return [self.id_of[p] for p in parts]
-
-    def merge_word(self, word: str) -> list[int]:
-        """Ids of a word without the automaton."""
-        plain = "".join(c.lower() for c in unicodedata.normalize("NFC", word))
-        return [i for piece in _PIECES.findall(plain) for i in self.merged(piece)]
+            i, new = found.index(low), low & 0xFFFFF
+            ids[i : i + 2] = [new]
+            del found[i]
+            if i:
+                found[i - 1] = pair(ids[i - 1] << 20 | new, none)
+            if i < len(found):
+                found[i] = pair(new << 20 | ids[i + 1], none)
+        return ids
+
+    def _merged_long(self, ids: list[int]) -> list[int]:
+        """The same by a heap over linked symbols, for words of any length."""
+        n = len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := self.pair.get(ids[i] << 20 | ids[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i, a, b = heapq.heappop(heap)
+            j = after[i] if ids[i] == a else n
+            if j >= n or ids[j] != b:
+                continue  # one of the two is gone
+            ids[i], ids[j] = r & 0xFFFFF, -1
+            after[i] = after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            for k in (before[i], i):
+                if k >= 0 and after[k] < n and (r := self.pair.get(ids[k] << 20 | ids[after[k]])) is not None:
+                    heapq.heappush(heap, (r, k, ids[k], ids[after[k]]))
+        return [x for x in ids if x >= 0]
+
+    def pieces(self, text: str) -> list[str]:
+        """The words of a text without white space."""
+        return _PIECES.findall("".join(map(str.lower, text)) if text.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", text)))
 
     def word_ids(self, word: str) -> list[int]:
         if self.lexicon is not None:
             ids = self.lexicon.lookup(word.encode("utf-8", "surrogatepass"))
             if ids is not None:
                 return ids
-        return self.merge_word(word)
+        return self.merged(word)
+
+    def text_ids(self, text: str) -> list[int]:
+        """Ids of a text without white space."""
+        return [i for word in self.pieces(text) for i in self.known[word]]
 
     def parts(self, text: str) -> list[tuple[list[str], int | None]]:
         """Runs of words, each followed by a special token's id or by none."""
@@ -201,67 +266,74 @@ class Codec:
         return " ".join(self.token_of[i] for i in ids)
 
 
-class Memory(dict):
-    """Remembers what ``make`` gives for a word; starts anew at MEMORY_WORDS."""
+_codecs: dict = {}
 
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
 
-    def __missing__(self, word):
-        if len(self) >= MEMORY_WORDS:
-            self.clear()
-        self[word] = value = self.make(word)
-        return value
+def codec_of(path: str | None, lexicon: bytes | None) -> Codec:
+    """A worker's codec, kept from task to task with what it remembers."""
+    key = path, hashlib.sha256(lexicon or b"").digest()
+    if key not in _codecs:
+        _codecs.clear()
+        _codecs[key] = Codec(path, lexicon)
+    return _codecs[key]
 
 
-def _word_counts(batches):
-    count: Counter = Counter()
-    names = ["word", "n"]
+def _word_counts(path):
+    def run(batches):
+        codec, count = codec_of(path, None), Counter()
 
-    def flush():
-        rows = [(w, n) for w, n in count.items() if len(w) <= LEXICON_BYTES]
-        count.clear()
-        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], names)
+        def flush():
+            words: Counter = Counter()
+            for text, n in count.items():
+                for w in codec.pieces(text):
+                    words[w] += n
+            count.clear()
+            rows = [(w, n) for w, n in words.items() if len(w) <= LEXICON_BYTES]
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["word", "n"])
 
-    for batch in batches:
-        for text in batch.column("text").to_pylist():
-            if text:
-                count.update(words_of(text))
-                if len(count) >= MEMORY_WORDS:
-                    yield flush()
-    yield flush()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                if text:
+                    count.update(words_of(text))
+                    if len(count) >= COUNT_WORDS:
+                        yield flush()
+        yield flush()
+
+    return run
 
 
 def build_lexicon(docs: DataFrame, text_col: str = "text", path: str | None = None, size: int = LEXICON_WORDS) -> bytes:
     """Count the words of all texts and compile the ``size`` most frequent ones (ties by the word)."""
-    counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_word_counts, "word string, n long")
+    counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_word_counts(path), "word string, n long")
     top = counts.groupBy("word").agg(F.sum("n").alias("n")).filter(F.octet_length("word") <= LEXICON_BYTES).orderBy(F.desc("n"), "word").limit(size).toPandas()
     codec = Codec(path)
-    return Lexicon.compile({w: codec.merge_word(w) for w in top["word"]})
+    return Lexicon.compile({w: codec.merged(w) for w in top["word"]})
 
 
 def _digests(lexicon, path):
     def run(batches):
-        codec = Codec(path, lexicon.value)
-        ids_of = Memory(lambda w: " ".join(map(str, codec.word_ids(w))))
-        tokens_of = Memory(lambda w: codec.decode(map(int, ids_of[w].split())))
+        codec = codec_of(path, lexicon.value)
+
+        def both(text):
+            ids = codec.text_ids(text)
+            return " ".join(map(str, ids)), codec.decode(ids)
+
+        if not hasattr(codec, "texts"):
+            codec.texts = Memory(both)
+        known = codec.texts.__getitem__
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
             n, a, b = [], [], []
             for text in batch.column("text").to_pylist():
-                ids, tokens = [], []
+                found = []
                 for words, special in codec.parts(text or ""):
-                    if words:
-                        ids.append(" ".join(map(ids_of.__getitem__, words)))
-                        tokens.append(" ".join(map(tokens_of.__getitem__, words)))
+                    found.extend(map(known, words))
                     if special is not None:
-                        ids.append(str(special))
-                        tokens.append(codec.token_of[special])
-                joined = " ".join(ids)
-                n.append(joined.count(" ") + 1 if joined else 0)
-                a.append(sha(joined))
-                b.append(sha(" ".join(tokens)))
+                        found.append((str(special), codec.token_of[special]))
+                ids = " ".join([x for x, _ in found])
+                n.append(ids.count(" ") + 1 if ids else 0)
+                a.append(sha(ids))
+                b.append(sha(" ".join([y for _, y in found])))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
@@ -276,14 +348,14 @@ def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def _ids(lexicon, path):
     def run(batches):
-        codec = Codec(path, lexicon.value)
+        codec = codec_of(path, lexicon.value)
         for batch in batches:
             out = []
             for text in batch.column("text").to_pylist():
                 ids = []
                 for words, special in codec.parts(text or ""):
                     for w in words:
-                        ids += codec.word_ids(w)
+                        ids += codec.text_ids(w)
                     ids += [] if special is None else [special]
                 out.append(ids)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.list_(pa.int32())), pa.array([codec.decode(x) for x in out], pa.string())], ["id", "ids", "decoded"])

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import Codec, Memory, build_lexicon
+from .bpe import Memory, build_lexicon, codec_of
 from .common import materialise, shard_count
 
 CAPACITY = 2048
@@ -195,8 +195,10 @@ def _pieces(lexicon, path, capacity: int):
     names = ["id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches):
-        codec = Codec(path, lexicon.value)
-        ids_of = Memory(lambda w: np.array(codec.word_ids(w), "<u4").tobytes())
+        codec = codec_of(path, lexicon.value)
+        if not hasattr(codec, "packed"):
+            codec.packed = Memory(lambda text: np.array(codec.text_ids(text), "<u4").tobytes())
+        ids_of = codec.packed
         end = np.array([SEPARATOR], "<u4").tobytes()
         for batch in batches:
             out = {n: [] for n in names}
