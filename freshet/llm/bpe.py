@@ -25,6 +25,7 @@ import tempfile
 import unicodedata
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -41,7 +42,8 @@ MEMORY_WORDS, COUNT_WORDS = 120_000, 200_000
 LONG_WORD = 256
 END = "</w>"
 
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: A space ends a text, the rest are its words.
+_PIECES = regex.compile(r"\x20|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: What the vocabulary's rules take for white space; str.split() also takes U+001C to U+001F.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _CONTROL = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -132,6 +134,37 @@ class Lexicon:
             at += 4 * n
         self.first, self.byte, self.target, self.skip, self.final, self.offsets, self.outputs = parts
         self.root = counts[0] - 2
+        # Edges by state and byte, in rising order as they lie in the file.
+        first = np.frombuffer(self.first, "<u4").astype(np.int64)
+        self.edges = np.repeat(np.arange(len(first) - 1), np.diff(first)) << 8 | np.frombuffer(self.byte, "<u4")
+
+    def lookup_many(self, words: list[bytes]) -> list[list[int] | None]:
+        """lookup() of many words, all of them one byte at a time."""
+        size = np.array([len(w) for w in words], np.int64)
+        flat = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        start = np.cumsum(size) - size
+        state, number = np.full(len(words), self.root, np.int64), np.zeros(len(words), np.int64)
+        skip, target = np.frombuffer(self.skip, "<u4"), np.frombuffer(self.target, "<u4")
+        live = np.flatnonzero((size > 0) & (size <= LEXICON_BYTES)) if len(self.edges) else np.zeros(0, np.int64)
+        done, at = [], 0
+        while len(live):
+            key = state[live] << 8 | flat[start[live] + at]
+            e = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
+            ok = self.edges[e] == key
+            live, e = live[ok], e[ok]
+            number[live] += skip[e]
+            state[live] = target[e]
+            at += 1
+            ends = size[live] == at
+            done.append(live[ends])
+            live = live[~ends]
+        out: list[list[int] | None] = [None] * len(words)
+        final = np.frombuffer(self.final, "<u4")
+        for i in np.concatenate(done).tolist() if done else ():
+            if final[state[i]]:
+                n = int(number[i])
+                out[i] = self.outputs[self.offsets[n] : self.offsets[n + 1]].tolist()
+        return out
 
     def lookup(self, word: bytes) -> list[int] | None:
         """The ids of a word, or None."""
@@ -154,26 +187,36 @@ class Lexicon:
         return self.outputs[self.offsets[number] : self.offsets[number + 1]].tolist()
 
 
-class Memory(dict):
-    """Remembers what ``make`` gives for a string.
+class Memory:
+    """What is known of strings, in two generations.
 
-    When there are MEMORY_WORDS young entries they become old ones and replace those before, so
-    what is in use stays.
+    When there are MEMORY_WORDS young entries they become the old ones and replace those before,
+    so what is in use stays and the size is bounded.
     """
 
-    def __init__(self, make):
-        super().__init__()
-        self.make, self.old = make, {}
-
-    def __missing__(self, text):
-        value = self.old.get(text)
-        if value is None:
-            value = self.make(text)
-        if len(self) >= MEMORY_WORDS:
-            self.old = dict(self)
-            self.clear()
-        self[text] = value
-        return value
+    def __init__(self):
+        self.young, self.old = {}, {}
+
+    def of(self, texts, make) -> dict:
+        """The entries of distinct texts; ``make`` gives the missing ones, all at once."""
+        out, missing = {}, []
+        young, old = self.young, self.old
+        for t in texts:
+            v = young.get(t)
+            if v is None:
+                v = old.get(t)
+                if v is None:
+                    missing.append(t)
+                    continue
+                young[t] = v
+            out[t] = v
+        if missing:
+            made = dict(zip(missing, make(missing)))
+            out |= made
+            young |= made
+        if len(young) >= MEMORY_WORDS:
+            self.old, self.young = young, {}
+        return out
 
 
 class Codec:
@@ -193,7 +236,10 @@ class Codec:
         self.token_of |= {i: t for t, i in self.special.items()}
         symbols = _byte_symbols()
         self.first, self.last = [self.id_of[x] for x in symbols], [self.id_of[x + END] for x in symbols]
-        self.known = Memory(self.word_ids)
+        self.first_ids, self.last_ids = np.array(self.first, np.int64), np.array(self.last, np.int64)
+        self.pair_keys = np.array(sorted(self.pair), np.int64)
+        self.pair_values = np.array([self.pair[k] for k in self.pair_keys.tolist()], np.int64)
+        self.words, self.texts = Memory(), Memory()
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.lexicon = Lexicon(lexicon) if lexicon else None
 
@@ -239,20 +285,89 @@ class Codec:
                     heapq.heappush(heap, (r, k, ids[k], ids[after[k]]))
         return [x for x in ids if x >= 0]
 
-    def pieces(self, text: str) -> list[str]:
-        """The words of a text without white space."""
-        return _PIECES.findall("".join(map(str.lower, text)) if text.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", text)))
-
-    def word_ids(self, word: str) -> list[int]:
-        if self.lexicon is not None:
-            ids = self.lexicon.lookup(word.encode("utf-8", "surrogatepass"))
-            if ids is not None:
-                return ids
-        return self.merged(word)
-
-    def text_ids(self, text: str) -> list[int]:
-        """Ids of a text without white space."""
-        return [i for word in self.pieces(text) for i in self.known[word]]
+    def merge_many(self, words: list[bytes]) -> list[list[int]]:
+        """merged() of many words: in each round every word makes its next merge."""
+        size = np.array([len(w) for w in words], np.int64)
+        out: list[list[int]] = [[]] * len(words)
+        flat = np.frombuffer(b"".join(words), np.uint8)
+        ids = self.first_ids[flat]
+        end = np.cumsum(size)
+        ids[end - 1] = self.last_ids[flat[end - 1]]
+        word = np.repeat(np.arange(len(words)), size)
+
+        def values(at):
+            key = ids[at] << 20 | ids[at + 1]
+            k = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+            return np.where(self.pair_keys[k] == key, self.pair_values[k], self.NONE)
+
+        value = np.full(len(ids), self.NONE, np.int64)
+        inner = np.flatnonzero(word[1:] == word[:-1])
+        value[inner] = values(inner)
+        while len(ids):
+            starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            count = np.diff(np.append(starts, len(word)))
+            low = np.minimum.reduceat(value, starts)
+            over = low == self.NONE
+            if over.any():
+                for a, n in zip(starts[over].tolist(), count[over].tolist()):
+                    out[word[a]] = ids[a : a + n].tolist()
+                stay = np.repeat(~over, count)
+                ids, word, value = ids[stay], word[stay], value[stay]
+                low, count = low[~over], count[~over]
+                if not len(ids):
+                    break
+            hit = np.flatnonzero(value == np.repeat(low, count))
+            at = hit[np.append(True, word[hit[1:]] != word[hit[:-1]])]  # the leftmost of each word
+            ids[at] = value[at] & 0xFFFFF
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids, word = ids[keep], word[keep]
+            value = value[keep]
+            at -= np.arange(len(at))  # one symbol went before each later place
+            ends = np.append(word[1:] != word[:-1], True)
+            value[at] = self.NONE
+            right = at[~ends[at]]
+            value[right] = values(right)
+            left = at[at > 0] - 1
+            left = left[~ends[left]]
+            value[left] = values(left)
+        return out
+
+    def pieces(self, texts) -> list[str]:
+        """The words of texts without white space, with a space after each text's."""
+        joined = " ".join([*texts, ""])
+        if not joined.isascii():
+            # Lower case goes by character, so a final sigma is like any other.
+            joined = unicodedata.normalize("NFC", joined).replace("\u03a3", "\u03c3")
+        return _PIECES.findall(joined.lower())
+
+    def new_words(self, words: list[str]) -> list[list[int]]:
+        """Ids of words: from the automaton, else merged."""
+        bodies = [w.encode("utf-8", "replace") for w in words]
+        out = self.lexicon.lookup_many(bodies) if self.lexicon is not None else [None] * len(words)
+        rest = [i for i, x in enumerate(out) if x is None]
+        short = [i for i in rest if len(bodies[i]) <= LONG_WORD]
+        for i, ids in zip(short, self.merge_many([bodies[i] for i in short]) if short else ()):
+            out[i] = ids
+        for i in rest:
+            if out[i] is None:
+                out[i] = self.merged(words[i])
+        return out
+
+    def text_ids(self, texts: list[str]) -> list[list[int]]:
+        """Ids of texts without white space."""
+        pieces = self.pieces(texts)
+        distinct = set(pieces)
+        distinct.discard(" ")
+        known = self.words.of(distinct, self.new_words)
+        out, now = [], []
+        for p in pieces:
+            if p == " ":
+                out.append(now)
+                now = []
+            else:
+                now += known[p]
+        return out
 
     def parts(self, text: str) -> list[tuple[list[str], int | None]]:
         """Runs of words, each followed by a special token's id or by none."""
@@ -269,9 +384,9 @@ class Codec:
 _codecs: dict = {}
 
 
-def codec_of(path: str | None, lexicon: bytes | None) -> Codec:
-    """A worker's codec, kept from task to task with what it remembers."""
-    key = path, hashlib.sha256(lexicon or b"").digest()
+def codec_of(path: str | None, lexicon: bytes | None, use: str = "") -> Codec:
+    """A worker's codec, kept from task to task with what it remembers for one use."""
+    key = path, hashlib.sha256(lexicon or b"").digest(), use
     if key not in _codecs:
         _codecs.clear()
         _codecs[key] = Codec(path, lexicon)
@@ -284,8 +399,12 @@ def _word_counts(path):
 
         def flush():
             words: Counter = Counter()
-            for text, n in count.items():
-                for w in codec.pieces(text):
+            numbers = iter(count.values())
+            n = next(numbers, 0)
+            for w in codec.pieces(count):
+                if w == " ":
+                    n = next(numbers, 0)
+                else:
                     words[w] += n
             count.clear()
             rows = [(w, n) for w, n in words.items() if len(w) <= LEXICON_BYTES]
@@ -310,26 +429,40 @@ def build_lexicon(docs: DataFrame, text_col: str = "text", path: str | None = No
     return Lexicon.compile({w: codec.merged(w) for w in top["word"]})
 
 
+#: Rows that are encoded together, so that their new words are found together.
+TOGETHER = 1000
+
+
+def encoded(codec: Codec, column, make):
+    """For each row of a column of texts, what ``make`` gives for the ids of its words; special tokens come as ids of their own."""
+    for i in range(0, len(column), TOGETHER):
+        rows = [codec.parts(t or "") for t in column.slice(i, TOGETHER).to_pylist()]
+        distinct = set()
+        for parts in rows:
+            for words, _ in parts:
+                distinct.update(words)
+        known = codec.texts.of(distinct, lambda texts: [make(x) for x in codec.text_ids(texts)]).__getitem__
+        for parts in rows:
+            found = []
+            for words, special in parts:
+                found += map(known, words)
+                if special is not None:
+                    found.append(make([special]))
+            yield found
+
+
 def _digests(lexicon, path):
     def run(batches):
-        codec = codec_of(path, lexicon.value)
+        codec = codec_of(path, lexicon.value, "digests")
+        numbers = list(map(str, range(max(codec.token_of) + 1)))
 
-        def both(text):
-            ids = codec.text_ids(text)
-            return " ".join(map(str, ids)), codec.decode(ids)
+        def both(ids):
+            return " ".join([numbers[i] for i in ids]), codec.decode(ids)
 
-        if not hasattr(codec, "texts"):
-            codec.texts = Memory(both)
-        known = codec.texts.__getitem__
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
             n, a, b = [], [], []
-            for text in batch.column("text").to_pylist():
-                found = []
-                for words, special in codec.parts(text or ""):
-                    found.extend(map(known, words))
-                    if special is not None:
-                        found.append((str(special), codec.token_of[special]))
+            for found in encoded(codec, batch.column("text"), both):
                 ids = " ".join([x for x, _ in found])
                 n.append(ids.count(" ") + 1 if ids else 0)
                 a.append(sha(ids))
@@ -348,16 +481,9 @@ def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def _ids(lexicon, path):
     def run(batches):
-        codec = codec_of(path, lexicon.value)
+        codec = codec_of(path, lexicon.value, "ids")
         for batch in batches:
-            out = []
-            for text in batch.column("text").to_pylist():
-                ids = []
-                for words, special in codec.parts(text or ""):
-                    for w in words:
-                        ids += codec.text_ids(w)
-                    ids += [] if special is None else [special]
-                out.append(ids)
+            out = [[i for x in found for i in x] for found in encoded(codec, batch.column("text"), list)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.list_(pa.int32())), pa.array([codec.decode(x) for x in out], pa.string())], ["id", "ids", "decoded"])
 
     return run
