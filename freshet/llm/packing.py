@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import Memory, build_lexicon, codec_of
+from .bpe import codec_of, encoded
 from .common import materialise, shard_count
 
 CAPACITY = 2048
@@ -195,19 +195,12 @@ def _pieces(lexicon, path, capacity: int):
     names = ["id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches):
-        codec = codec_of(path, lexicon.value)
-        if not hasattr(codec, "packed"):
-            codec.packed = Memory(lambda text: np.array(codec.text_ids(text), "<u4").tobytes())
-        ids_of = codec.packed
+        codec = codec_of(path, lexicon, "pieces")
         end = np.array([SEPARATOR], "<u4").tobytes()
         for batch in batches:
             out = {n: [] for n in names}
-            for i, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
-                parts = []
-                for words, special in codec.parts(text or ""):
-                    parts.extend(map(ids_of.__getitem__, words))
-                    if special is not None:
-                        parts.append(np.array([special], "<u4").tobytes())
+            texts = encoded(codec, batch.column("text"), lambda ids: np.array(ids, "<u4").tobytes())
+            for i, parts in zip(batch.column("id").to_pylist(), texts):
                 parts.append(end)
                 body = b"".join(parts)
                 for k, at in enumerate(range(0, len(body), 4 * capacity)):
@@ -236,11 +229,13 @@ def _placed(plan):
     return run
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
-    """One row per piece: the id, piece, start, length, ids_crc32, sequence_id and offset."""
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None, lexicon: bytes | None = None) -> DataFrame:
+    """One row per piece: the id, piece, start, length, ids_crc32, sequence_id and offset.
+
+    ``lexicon``: an automaton of ``bpe.build_lexicon``; without one all words are merged exactly.
+    """
     spark = docs.sparkSession
     parts = shard_count(docs)
-    lexicon = spark.sparkContext.broadcast(build_lexicon(docs, text_col, path))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     cut = rows.mapInArrow(_pieces(lexicon, path, capacity), "id long, piece int, start long, length long, ids_crc32 long")
     pieces = materialise(cut.withColumn("part", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(parts)).cast("int")), "pieces")
