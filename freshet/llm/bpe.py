@@ -31,13 +31,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tokenizer_path
+from .common import materialise, tokenizer_path
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words that the automaton holds at most, and their longest form in bytes.
 LEXICON_WORDS, LEXICON_BYTES = 65_536, 64
-#: Strings that a worker remembers as young ones, and counts before it passes them on.
-MEMORY_WORDS, COUNT_WORDS = 120_000, 200_000
+#: Texts without white space and words that a worker remembers as young ones, and texts that it counts before it passes them on.
+MEMORY_TEXTS, MEMORY_WORDS, COUNT_WORDS = 250_000, 120_000, 200_000
 #: Symbols of a word from which on merges are found by a heap.
 LONG_WORD = 256
 END = "</w>"
@@ -190,12 +190,12 @@ class Lexicon:
 class Memory:
     """What is known of strings, in two generations.
 
-    When there are MEMORY_WORDS young entries they become the old ones and replace those before,
-    so what is in use stays and the size is bounded.
+    When there are ``size`` young entries they become the old ones and replace those before, so
+    what is in use stays and what is held is bounded.
     """
 
-    def __init__(self):
-        self.young, self.old = {}, {}
+    def __init__(self, size: int):
+        self.young, self.old, self.size = {}, {}, size
 
     def of(self, texts, make) -> dict:
         """The entries of distinct texts; ``make`` gives the missing ones, all at once."""
@@ -214,7 +214,7 @@ class Memory:
             made = dict(zip(missing, make(missing)))
             out |= made
             young |= made
-        if len(young) >= MEMORY_WORDS:
+        if len(young) >= self.size:
             self.old, self.young = young, {}
         return out
 
@@ -239,7 +239,7 @@ class Codec:
         self.first_ids, self.last_ids = np.array(self.first, np.int64), np.array(self.last, np.int64)
         self.pair_keys = np.array(sorted(self.pair), np.int64)
         self.pair_values = np.array([self.pair[k] for k in self.pair_keys.tolist()], np.int64)
-        self.words, self.texts = Memory(), Memory()
+        self.words, self.texts = Memory(MEMORY_WORDS), Memory(MEMORY_TEXTS)
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.lexicon = Lexicon(lexicon) if lexicon else None
 
@@ -422,9 +422,21 @@ def _word_counts(path):
 
 
 def build_lexicon(docs: DataFrame, text_col: str = "text", path: str | None = None, size: int = LEXICON_WORDS) -> bytes:
-    """Count the words of all texts and compile the ``size`` most frequent ones (ties by the word)."""
-    counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_word_counts(path), "word string, n long")
-    top = counts.groupBy("word").agg(F.sum("n").alias("n")).filter(F.octet_length("word") <= LEXICON_BYTES).orderBy(F.desc("n"), "word").limit(size).toPandas()
+    """Count the words of all texts and compile the most frequent ones, ``size`` at most.
+
+    Classes of about equal numbers are taken whole, so the driver gets those words and no others.
+    """
+    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_word_counts(path), "word string, n long")
+    counts = materialise(rows.groupBy("word").agg(F.sum("n").alias("n")).filter(F.octet_length("word") <= LEXICON_BYTES), "words")
+    # Words by classes of their number: a few hundred rows, from which the least number follows.
+    classes = counts.groupBy(F.floor(F.log2("n") * 8).alias("c")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).orderBy(F.desc("c")).collect()
+    least, held = None, 0
+    for r in classes:
+        held += r["words"]
+        if held > size:
+            break
+        least = r["least"]
+    top = counts.filter(F.col("n") >= F.lit(least)).select("word").toPandas()
     codec = Codec(path)
     return Lexicon.compile({w: codec.merged(w) for w in top["word"]})
 
