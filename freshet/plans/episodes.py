@@ -155,9 +155,11 @@ def episodes(anchors: DataFrame, series: DataFrame, params: DataFrame, *, lags:
     ``params`` has one row per catchment: guid, cap, area_km2, HI, MRT, meandailyT.
     """
     lags = tuple(sorted(set(lags)))
-    at = anchors.select("guid", "t0").distinct()
-    rate_rows = rates(series.filter(F.col("var") != "tmp"), lags, tolerance_s)
-    sum_rows = sums(series, lags, tolerance_s)
+    at = anchors.select("guid", "t0").distinct().persist()
+    # Used by many features each; kept in memory or on disk, and made again if an executor is lost.
+    series = series.persist()
+    rate_rows = rates(series.filter(F.col("var") != "tmp"), lags, tolerance_s).persist()
+    sum_rows = sums(series, lags, tolerance_s).persist()
     v, h = F.col("var"), F.col("H").cast("string")
 
     a = anchor_features(at, series, tolerance_s)

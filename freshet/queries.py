@@ -480,15 +480,11 @@ def _episode_inputs(spark, sf_dir):
     return dt.probes(h).withColumn("y", F.lit(1)), series.long_series(wide, ep.VARIABLES), area
 
 
-def _episodes(spark, sf_dir, lags=ep.LAGS):
-    a, s, p = _episode_inputs(spark, sf_dir)
-    return ep.episodes(a, s, p, lags=lags)
-
-
 @query()
 def episodes_wide(spark, sf_dir):
     """All 627 columns."""
-    return _episodes(spark, sf_dir)
+    a, s, p = _episode_inputs(spark, sf_dir)
+    return ep.episodes(a, s, p)
 
 
 _AT = ("at_", f"SELECT p.guid, p.t0, h.gw, h.pr, h.q, h.sm, round(h.gw / h.mx * 100, 6) AS gwpmx, h.rk, h.cap FROM probes p JOIN (SELECT *, max(gw) {G} AS mx, cume_dist() OVER (PARTITION BY guid ORDER BY gw) AS rk, first_value(def) {W}) AS cap FROM hourly) h ON h.guid = p.guid AND h.ts = p.t0")
@@ -496,20 +492,26 @@ _AT = ("at_", f"SELECT p.guid, p.t0, h.gw, h.pr, h.q, h.sm, round(h.gw / h.mx *
 
 @query(dt.sql("SELECT guid, t0, round(gw, 6) AS gw0, round(rk, 6) AS gwq, gwpmx, round(gw / cap * 100, 6) AS gwp, round(pr, 6) AS pr0, round(gw + sm, 6) AS total_storage FROM at_", _AT))
 def episode_anchor(spark, sf_dir):
-    e = _episodes(spark, sf_dir, (6, 24))
-    return e.select(F.col("GUID").alias("guid"), "t0", *[_r(F.col(n), n) for n in ("gw0", "gwq", "gwpmx", "gwp", "pr0", "total_storage")])
+    at, s, p = _episode_inputs(spark, sf_dir)
+    a = ep.anchor_features(at.select("guid", "t0"), s, 1800)
+    x = lambda v, c: F.max(F.when(F.col("var") == v, F.col(c)))
+    rows = a.groupBy("guid", "t0").agg(x("gw", "x0").alias("gw0"), x("gw", "rank").alias("gwq"), x("gw", "top").alias("top"), x("pr", "x0").alias("pr0"), x("sm", "x0").alias("sm0")).join(p.select("guid", "cap"), "guid")
+    return rows.select("guid", "t0", _r(F.col("gw0"), "gw0"), _r(F.col("gwq"), "gwq"), _r(F.col("gw0") / F.col("top") * 100, "gwpmx"), _r(F.col("gw0") / F.col("cap") * 100, "gwp"), _r(F.col("pr0"), "pr0"), _r(F.col("gw0") + F.col("sm0"), "total_storage"))
 
 
 @query(dt.sql("SELECT guid, t0, round(r, 6) AS gwr6b, round(r / a * 100, 6) AS gwrpmx6b, round(rk, 6) AS gwrq6b FROM (SELECT p.guid, p.t0, x.r, x.a, x.rk FROM probes p LEFT JOIN (SELECT guid, ts, r, max(abs(r)) OVER (PARTITION BY guid) AS a, cume_dist() OVER (PARTITION BY guid ORDER BY r) AS rk FROM rat WHERE r IS NOT NULL) x ON x.guid = p.guid AND x.ts = p.t0)", _GW, ("pr_", "SELECT guid, ts AS t_at, x AS x0, ts - INTERVAL 6 HOUR AS t FROM ser"), *_near_sql("pr_", "ser", "t", 1800), ("rat", "SELECT guid, t_at AS ts, (x0 - near) / 6 AS r FROM near_")))
 def episode_rates(spark, sf_dir):
-    e = _episodes(spark, sf_dir, (6, 24))
-    return e.select(F.col("GUID").alias("guid"), "t0", *[_r(F.col(n), n) for n in ("gwr6b", "gwrpmx6b", "gwrq6b")])
+    at, s, _ = _episode_inputs(spark, sf_dir)
+    s = s.filter("var = 'gw'")
+    r = ep.rate_features(at.select("guid", "t0"), s, ep.rates(s, (6,), 1800), (6,), 1800).filter("var = 'gw'")
+    return r.select("guid", "t0", _r(F.col("r"), "gwr6b"), _r(F.col("r") / F.col("abs_top") * 100, "gwrpmx6b"), _r(F.col("rank_all"), "gwrq6b"))
 
 
 @query(dt.sql("SELECT p.guid, p.t0, round(x.s, 6) AS \"prS6b\", round(x.s / x.mx * 100, 6) AS \"prSpmx6b\", round(x.rk, 6) AS \"prSq6b\" FROM probes p LEFT JOIN (SELECT guid, ts, s, max(s) OVER (PARTITION BY guid) AS mx, cume_dist() OVER (PARTITION BY guid ORDER BY s) AS rk FROM sm6 WHERE s IS NOT NULL) x ON x.guid = p.guid AND x.ts = p.t0", *_SUMS))
 def episode_sums(spark, sf_dir):
-    e = _episodes(spark, sf_dir, (6, 24))
-    return e.select(F.col("GUID").alias("guid"), "t0", *[_r(F.col(n), n) for n in ("prS6b", "prSpmx6b", "prSq6b")])
+    at, s, _ = _episode_inputs(spark, sf_dir)
+    x = ep.sum_features(at.select("guid", "t0"), ep.sums(s, (6,), 1800), (6,), 72, 1800).filter("var = 'pr'")
+    return x.select("guid", "t0", _r(F.col("S"), "prS6b"), _r(F.col("S") / F.col("top") * 100, "prSpmx6b"), _r(F.col("rank"), "prSq6b"))
 
 
 @query()
