@@ -191,13 +191,13 @@ def weights(cfg: StressConfig) -> dict[str, float]:
 
 def with_total(df: DataFrame, cfg: StressConfig, key: str = "guid") -> DataFrame:
     """Component stresses, their weighted sum and the total."""
+    if cfg.final_combine_mode not in ("weighted_mean", "weighted_sum_norm", "weighted_sum_power_norm"):
+        raise ValueError(f"unknown final combination {cfg.final_combine_mode!r}")
     w = weights(cfg)
     on = {"base": cfg.include_gw_base or cfg.include_sm_base, "grad": cfg.include_pos_grad or cfg.include_neg_grad, "prec": cfg.include_prec, "swe": cfg.include_swe, "of": cfg.include_of_base}
     out = df.withColumns({f"stress_{c}": F.coalesce(robust_minmax(f"{c}_mem", cfg.norm_q_low, cfg.norm_q_high, key), F.lit(0.0)) if on[c] else F.lit(0.0) for c in COMPONENTS})
     mode, raw = cfg.final_combine_mode, F.lit(0.0)
     power = cfg.final_combine_power if cfg.final_combine_power and cfg.final_combine_power > 0 else 2.0
-    if mode not in ("weighted_mean", "weighted_sum_norm", "weighted_sum_power_norm"):
-        raise ValueError(f"unknown final combination {mode!r}")
     for c in COMPONENTS:
         s = F.col(f"stress_{c}")
         raw = raw + F.lit(w[c]) * (F.pow(s, F.lit(float(power))) if mode == "weighted_sum_power_norm" else s)
