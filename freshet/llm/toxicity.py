@@ -24,15 +24,17 @@ from pyspark.sql import functions as F
 from .common import text_buffer, words_at
 
 #: Lengths of the n-grams, and the hash space of each.
-LENGTHS = (4, 5)
-SPACE_BITS = 18
+LENGTHS = (5, 8)
+SPACE_BITS = 20
 #: Bound of the training sample.
-TRAIN_ROWS = 12_000
-#: n-grams in fewer training texts are left out, as are those with a smaller log-count ratio.
+TRAIN_ROWS = 8_000
+#: n-grams in fewer training texts are left out, as are those with a smaller log-count ratio, or whose
+#: ratio times the root of the number of texts is small: of those, too many are there by chance.
 LEAST_TEXTS = 4
-LEAST_RATIO = 1.5
+LEAST_RATIO = 1.0
+LEAST_WEIGHT = 9.0
 SMOOTH = 0.5
-PENALTY = 1.0
+PENALTY = 3.0
 BLOCK = 1 << 20
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -98,26 +100,48 @@ class Model:
 
 
 def fit(texts, labels) -> Model:
-    """Log-count ratios, selection and logistic regression (full-batch Newton by conjugate gradients)."""
+    """A model of four fifths of the texts, calibrated by a logistic scaling on the others."""
     y = np.asarray(labels, float)
+    held = np.arange(len(y)) % 5 == 4
+    if not 0 < y[held].sum() < held.sum() or not 0 < y[~held].sum() < (~held).sum():
+        return _fit(texts, y)
+    model = _fit([t for t, h in zip(texts, held) if not h], y[~held])
+    p = model.score(pa.array([t for t, h in zip(texts, held) if h], pa.string()))
+    z, target = np.log(p / (1 - p)).clip(-30, 30), y[held]
+    scale, shift = 1.0, 0.0
+    for _ in range(300):  # damped Newton steps; a small penalty keeps the scaling finite
+        p = 1 / (1 + np.exp(-np.clip(scale * z + shift, -40, 40)))
+        s, d = np.maximum(p * (1 - p), 1e-6), p - target
+        h = np.array([[(s * z * z).sum() + 0.5, (s * z).sum()], [(s * z).sum(), s.sum() + 0.1]])
+        move = np.linalg.solve(h, np.array([(d * z).sum() + 0.5 * (scale - 1), d.sum() + 0.1 * shift]))
+        scale, shift = max(0.05, scale - 0.3 * move[0]), shift - 0.3 * move[1]
+        if np.abs(move).max() < 1e-7:
+            break
+    return Model(model.feature, model.weight * scale, model.bias * scale + shift)
+
+
+def _fit(texts, y: np.ndarray) -> Model:
+    """Log-count ratios, selection and logistic regression (full-batch Newton by conjugate gradients)."""
     feature = np.full(len(LENGTHS) << SPACE_BITS, -1, np.int32)
     if not len(y) or y.min() == y.max():
         return Model(feature, np.zeros(1), -1e-6 if not len(y) else (6.0 if y.min() else -6.0))
-    hits = [present(pa.array(texts[i : i + 500], pa.string())) for i in range(0, len(y), 500)]
-    row = np.concatenate([r + 500 * i for i, (r, _, _) in enumerate(hits)])
-    code = np.concatenate([c for _, c, _ in hits])
     size = len(feature)
-    ones = np.bincount(code[y[row] == 1], minlength=size) + 0.0
-    all_ = np.bincount(code, minlength=size) + 0.0
+    parts = [(i, pa.array(texts[i : i + 500], pa.string())) for i in range(0, len(y), 500)]
+    ones, all_ = np.zeros(size), np.zeros(size)
+    for i, part in parts:  # counted piece by piece: all pairs at once would be large
+        r, c, _ = present(part)
+        all_ += np.bincount(c, minlength=size)
+        ones += np.bincount(c[y[r + i] == 1], minlength=size)
     zeros = all_ - ones
     ratio = np.log((ones + SMOOTH) / (ones.sum() + SMOOTH * size)) - np.log((zeros + SMOOTH) / (zeros.sum() + SMOOTH * size))
-    chosen = np.flatnonzero((all_ >= LEAST_TEXTS) & (np.abs(ratio) >= LEAST_RATIO))
+    chosen = np.flatnonzero((all_ >= LEAST_TEXTS) & (np.abs(ratio) >= LEAST_RATIO) & (np.abs(ratio) * np.sqrt(all_) >= LEAST_WEIGHT))
     if not len(chosen):
         return Model(feature, np.zeros(1), float(np.log(y.mean() / (1 - y.mean()))))
     feature[chosen] = np.arange(len(chosen))
     r = ratio[chosen]
-    keep = feature[code] >= 0
-    row, number = row[keep], feature[code[keep]]
+    hits = [(i, *present(part, feature)[:2]) for i, part in parts]
+    row = np.concatenate([x + i for i, x, _ in hits])
+    number = np.concatenate([x for _, _, x in hits])
     value = r[number]
     n, k = len(y), len(chosen)
     w, bias = np.zeros(k), float(np.log(y.mean() / (1 - y.mean())))
