@@ -14,6 +14,7 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -442,25 +443,29 @@ def build_lexicon(docs: DataFrame, text_col: str = "text", path: str | None = No
 
 
 #: Rows that are encoded together, so that their new words are found together.
-TOGETHER = 1000
+TOGETHER = 2500
 
 
 def encoded(codec: Codec, column, make):
     """For each row of a column of texts, what ``make`` gives for the ids of its words; special tokens come as ids of their own."""
-    for i in range(0, len(column), TOGETHER):
-        rows = [codec.parts(t or "") for t in column.slice(i, TOGETHER).to_pylist()]
-        distinct = set()
-        for parts in rows:
-            for words, _ in parts:
-                distinct.update(words)
-        known = codec.texts.of(distinct, lambda texts: [make(x) for x in codec.text_ids(texts)]).__getitem__
-        for parts in rows:
-            found = []
-            for words, special in parts:
-                found += map(known, words)
-                if special is not None:
-                    found.append(make([special]))
-            yield found
+    gc.disable()  # nothing here makes cycles, and looking for them in what is remembered takes long
+    try:
+        for i in range(0, len(column), TOGETHER):
+            rows = [codec.parts(t or "") for t in column.slice(i, TOGETHER).to_pylist()]
+            distinct = set()
+            for parts in rows:
+                for words, _ in parts:
+                    distinct.update(words)
+            known = codec.texts.of(distinct, lambda texts: [make(x) for x in codec.text_ids(texts)]).__getitem__
+            for parts in rows:
+                found = []
+                for words, special in parts:
+                    found += map(known, words)
+                    if special is not None:
+                        found.append(make([special]))
+                yield found
+    finally:
+        gc.enable()
 
 
 def _digests(lexicon, path):

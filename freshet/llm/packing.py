@@ -18,6 +18,7 @@ packed separately; a null id packs like any other; an empty table gives an empty
 from __future__ import annotations
 
 import bisect
+import struct
 import sys
 import zlib
 from collections import defaultdict
@@ -191,6 +192,11 @@ class Plan:
         return row[:, 1] + local // row[:, 2], row[:, 3] + local % row[:, 2] * length
 
 
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def _pieces(lexicon, path, capacity: int):
     names = ["id", "piece", "start", "length", "ids_crc32"]
 
@@ -199,7 +205,7 @@ def _pieces(lexicon, path, capacity: int):
         end = np.array([SEPARATOR], "<u4").tobytes()
         for batch in batches:
             out = {n: [] for n in names}
-            texts = encoded(codec, batch.column("text"), lambda ids: np.array(ids, "<u4").tobytes())
+            texts = encoded(codec, batch.column("text"), packed)
             for i, parts in zip(batch.column("id").to_pylist(), texts):
                 parts.append(end)
                 body = b"".join(parts)
