@@ -2,8 +2,10 @@
 
 Each page's containers are scored by the text of their paragraphs, less that of links and of
 boilerplate.  Pages vote for the generalised tag-class path of their best container; votes are
-added up per host in Spark.  Pages are then extracted again at their host's winning path, or at
-their own best container where the path is missing or holds less than half as much text.
+added up per host in Spark.  Pages are then extracted again at their host's winning path.  A
+page's own best container stays beside it where it encloses what the path finds, or where it is an
+article or main element that the path misses; it is taken instead where the path is missing, or
+finds other elements with less than half as much text.
 
 Text of boilerplate is left out by tag, role, visibility and by class or id; character references
 are decoded; white space inside a block becomes one space; blocks are joined by an empty line.
@@ -44,7 +46,7 @@ _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 _SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 _CONTAINERS = frozenset("article main div section td body blockquote center".split())
 _BONUS = {"article": 1.5, "main": 1.3, "body": 0.6}
-#: Share of the own best container's text that the host's path must hold.
+#: Share of the own best container's text that the host's path must hold where the two have nothing in common.
 SHARE = 0.5
 
 
@@ -139,6 +141,11 @@ class Page:
             yield self.tag[number]
             number = self.parent[number]
 
+    def upwards(self, number: int):
+        while number > 0:
+            yield number
+            number = self.parent[number]
+
     def path(self, number: int) -> str:
         parts = []
         while number > 0:
@@ -192,11 +199,15 @@ def main_text(source: str | None, path: str | None = None) -> str:
     if not source:
         return ""
     page = Page(source)
-    own = page.extract({page.best()[0]})
+    best = page.best()[0]
     roots = page.at(path) if path else set()
     if not roots:
-        return own
-    shared = page.extract(roots)
+        return page.extract({best})
+    if not roots.isdisjoint(page.upwards(best)):
+        return page.extract(roots)
+    if page.tag[best] in ("article", "main") or any(best in page.upwards(k) for k in roots):
+        return page.extract(roots | {best})
+    own, shared = page.extract({best}), page.extract(roots)
     return shared if len(shared) >= SHARE * len(own) else own
 
 

@@ -256,6 +256,17 @@ def test_html_votes_per_host(spark):
     assert html_text.extract_pages(pages.limit(0)).count() == 0
 
 
+def test_html_path_of_the_host_loses_no_own_article():
+    path = "body/article/div.content"
+    lead, body = prose(40), prose(60)
+    # Paragraphs directly in the article, outside the host's container.
+    assert html_text.main_text(f'<body><article><p>{lead}</p><div class="content"><p>{body}</p></div></article></body>', path) == f"{lead}\n\n{body}"
+    # An article of the page's own beside one that the path finds.
+    assert html_text.main_text(f'<body><article><div class="content"><p>{body}</p></div></article><article class="x"><p>{body} {lead}</p></article></body>', path) == f"{body}\n\n{body} {lead}"
+    # Elsewhere the host decides.
+    assert html_text.main_text(f'<body><div class="a"><p>{body}</p></div><div class="b"><p>{lead}</p></div></body>', "body/div.b") == lead
+
+
 def test_quality(docs, empty):
     got = {r["doc_id"]: r for r in quality.quality(docs).collect()}
     assert (got[1]["n_words"], got[1]["base_failed"], got[1]["kept"]) == (0, True, False)
