@@ -1,7 +1,8 @@
 """Operator 5: main text of HTML pages by consensus paths of hosts.
 
 Each page's containers are scored by the text of their paragraphs, less that of links and of
-boilerplate.  Pages vote for the generalised tag-class path of their best container; votes are
+boilerplate.  The best one is widened to the article or main element around it, or else to the
+containers around it that add more text than links.  Pages vote for the generalised tag-class path of their best container; votes are
 added up per host in Spark.  Pages are then extracted again at their host's winning path.  A
 page's own best container stays beside it where it encloses what the path finds, or where it is an
 article or main element that the path misses; it is taken instead where the path is missing, or
@@ -154,12 +155,18 @@ class Page:
         return "/".join(reversed(parts))
 
     def best(self) -> tuple[int, float]:
-        """The best container and its score."""
+        """The best container, widened, and its score before that."""
         score: dict[int, float] = {}
+        linked: list[tuple[int, int]] = []
+        plain: list[tuple[int, int]] = []
         for number, text in self.text:
             size = len(text.strip()) if text and not self.dropped[number] else 0
-            if not size or "a" in self._above(number):
+            if not size:
                 continue
+            if "a" in self._above(number):
+                linked.append((number, size))
+                continue
+            plain.append((number, size))
             # The paragraph's container gets all of it, the next ones less and less.
             weight, k = 1.0, number
             while k > 0 and weight > 0.05:
@@ -170,7 +177,34 @@ class Page:
         if not score:
             return 0, 0.0
         number = max(score, key=lambda k: (score[k], -k))
-        return number, score[number]
+        return self._widened(number, plain, linked), score[number]
+
+    def _widened(self, number: int, plain: list[tuple[int, int]], linked: list[tuple[int, int]]) -> int:
+        """The outermost article around a container, or else main; or else what adds more text than links, below body."""
+        around = list(self.upwards(number))
+        for tag in ("article", "main"):
+            found = [k for k in around if self.tag[k] == tag]
+            if found:
+                return found[-1]
+        if self.tag[number] == "body":
+            return number
+        # Text less links that each container around adds to the one before it.
+        level = {k: i for i, k in enumerate(around)}
+        more = [0] * len(around)
+        for sign, texts in ((1, plain), (-1, linked)):
+            for k, size in texts:
+                while k > 0 and k not in level:
+                    k = self.parent[k]
+                if k > 0:
+                    more[level[k]] += sign * size
+        added = 0
+        for i, k in enumerate(around[1:], 1):
+            added += more[i]
+            if self.tag[k] == "body" or added < 0:
+                break
+            if added > 0 and self.tag[k] in _CONTAINERS:
+                number, added = k, 0
+        return number
 
     def extract(self, roots: set[int]) -> str:
         """The blocks of text inside some elements."""

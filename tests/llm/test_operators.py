@@ -267,6 +267,19 @@ def test_html_path_of_the_host_loses_no_own_article():
     assert html_text.main_text(f'<body><div class="a"><p>{body}</p></div><div class="b"><p>{lead}</p></div></body>', "body/div.b") == lead
 
 
+def test_html_containers_are_widened(spark):
+    lead, body, links = prose(8), prose(300), " ".join(f'<a href="/{i}">{prose(4)}</a>' for i in range(9))
+    wrapped = f'<body><nav>Menu</nav><article><h1>Head</h1><p>{lead}</p><div class="body"><p>{body}</p></div></article></body>'
+    assert html_text.main_text(wrapped) == f"Head\n\n{lead}\n\n{body}"
+    assert html_text.main_text(wrapped.replace("article", "main")) == f"Head\n\n{lead}\n\n{body}"
+    # Unequal parts below a plain container; a neighbour made of links stays out.
+    parts = f'<div class="x"><div class="one"><p>{lead}</p></div><div class="two"><p>{body}</p></div></div>'
+    assert html_text.main_text(f"<body>{parts}</body>") == f"{lead}\n\n{body}"
+    assert html_text.main_text(f'<body><div class="all"><div class="list">{links}</div>{parts}</div></body>') == f"{lead}\n\n{body}"
+    pages = spark.createDataFrame([(i, f"http://h.example/{i}", wrapped) for i in range(3)], "page_id long, url string, html string")
+    assert {r["text"] for r in html_text.extract_pages(pages).collect()} == {f"Head\n\n{lead}\n\n{body}"}
+
+
 def test_quality(docs, empty):
     got = {r["doc_id"]: r for r in quality.quality(docs).collect()}
     assert (got[1]["n_words"], got[1]["base_failed"], got[1]["kept"]) == (0, True, False)
