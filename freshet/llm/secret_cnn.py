@@ -1,7 +1,10 @@
 """A small character convolutional network in numpy, and the labelled findings that it learns from.
 
 Findings are written by rules from a seeded generator: a candidate string inside a context, with
-the label that the rule gives it (a credential, or something that merely looks like one).
+the label that the rule gives it (a credential, or something that merely looks like one).  A
+candidate may be a chain, such as a URL's path, with or without a credential as one of its parts.
+Candidates are seen through windows; of each finding one is learnt from, which holds HELD
+characters of its credential at least if it has one.
 """
 
 from __future__ import annotations
@@ -10,8 +13,10 @@ import string
 
 import numpy as np
 
-#: Characters of context before a candidate, and of the candidate and what follows it.
+#: Characters of a window before its place in a candidate, and from there on.
 BEFORE, AFTER = 24, 48
+#: Distance of a candidate's windows, characters of context that the last one has after it, and of a credential that a window must hold.
+STRIDE, TAIL, HELD = 24, 16, 16
 WIDTH, EMBED, FILTERS = 5, 12, 32
 FINDINGS, EPOCHS, BATCH, RATE, SEED = 6000, 6, 128, 4e-3, 7
 #: Recall that the threshold must keep on held-out findings.
@@ -22,8 +27,17 @@ _CODE[32:127] = np.arange(95)
 CODES = 97  # printable ASCII, others, outside the text
 
 
+def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the candidate and place in it of every window: together they show whole candidates and TAIL characters more."""
+    last = np.maximum(lengths - (AFTER - TAIL), 0)
+    count = 1 - (-last // STRIDE)
+    owner = np.repeat(np.arange(len(lengths)), count)
+    step = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    return owner, np.minimum(step * STRIDE, last[owner])
+
+
 def encode(before: bytes, rest: bytes) -> np.ndarray:
-    """Symbol numbers of a candidate's surroundings; the candidate starts at BEFORE."""
+    """Symbol numbers of a window; its place in the candidate is at BEFORE."""
     out = np.full(BEFORE + AFTER, 96, np.int64)
     b, r = np.frombuffer(before[-BEFORE:], np.uint8), np.frombuffer(rest[:AFTER], np.uint8)
     out[BEFORE - len(b) : BEFORE] = _CODE[b]
@@ -73,7 +87,20 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> tuple[np.ndarray,
     for _ in range(n):
         label = int(rng.random() < 0.45)
         text = pick(secrets if label else harmless)()
-        x.append(encode(pick(lead)().encode(), (text + pick(['" ', " ", "\n", ", "]) + prose()).encode()))
+        a, b = 0, len(text)
+        if rng.random() < 0.4:  # a chain
+            sign = pick("/./=-_")
+            first, rest = (sign.join(pick(harmless)() for _ in range(size(0, 4))) for _ in "ab")
+            a = len(first) + 1 if first else 0
+            b += a
+            text = sign.join(t for t in (first, text, rest) if t)
+        before, after = pick(lead)(), pick(['" ', " ", "\n", ", "]) + prose()
+        _, places = windows(np.array([len(text)]))
+        if label:
+            places = places[np.minimum(places + AFTER, b) - np.maximum(places - BEFORE, a) >= HELD]
+        at = len(before) + pick(places)
+        whole = (before + text + after).encode()
+        x.append(encode(whole[max(0, at - BEFORE) : at], whole[at : at + AFTER]))
         y.append(label)
     return np.array(x), np.array(y)
 

@@ -2,8 +2,9 @@
 
 Base patterns (leftmost, not overlapping, per kind): ``assign``, ``access`` and ``hex``.  Every
 other run of at least CANDIDATE token characters with a letter and a digit is a candidate; the
-network of ``secret_cnn`` judges it with its surrounding context, and those over its calibrated,
-recall-constrained threshold become spans of kind ``cnn`` unless they overlap a base span.
+network of ``secret_cnn`` judges it with its surrounding context, in overlapping windows along the
+whole run, and those whose highest window is over its calibrated, recall-constrained threshold
+become spans of kind ``cnn`` unless they overlap a base span.
 
 Bytes of a whole batch are searched at once for what any finding needs (a run of token
 characters, a run of hexadecimal digits, ``AKIA``, a colon or equals sign and a keyword); only
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_buffer
-from .secret_cnn import AFTER, BEFORE, Network, encode, trained
+from .secret_cnn import AFTER, BEFORE, Network, encode, trained, windows
 
 KINDS = ("assign", "access", "hex", "cnn")
 #: Shortest value of an assignment, access key, hexadecimal string and candidate.
@@ -96,14 +97,18 @@ def scan(column, net: Network) -> list[list[tuple[int, int, int]]]:
         ok = (digits[ends] > digits[starts]) & (letters[ends] > letters[starts])
         starts, ends = starts[ok], ends[ok]
         owners = row_of(starts)
-        for i in range(0, len(starts), 2048):
-            part = list(zip(owners[i : i + 2048].tolist(), starts[i : i + 2048].tolist(), ends[i : i + 2048].tolist()))
-            x = np.array([encode(raw[max(int(offsets[r]), a - BEFORE) : a], raw[a : min(int(offsets[r + 1]), a + AFTER)]) for r, a, _ in part])
-            for (r, a, b), p in zip(part, net.probability(x)):
-                if p >= net.threshold:
-                    s, e = chars(r, a - int(offsets[r])), chars(r, b - int(offsets[r]))
-                    if not any(s < y and x_ < e for x_, y, k in found.get(r, ()) if k < 3):
-                        found.setdefault(r, []).append((s, e, 3))
+        owner, places = windows(ends - starts)
+        places += starts[owner]
+        highest = np.zeros(len(starts))
+        for i in range(0, len(owner), 2048):
+            part = list(zip(owners[owner[i : i + 2048]].tolist(), places[i : i + 2048].tolist()))
+            x = np.array([encode(raw[max(int(offsets[r]), a - BEFORE) : a], raw[a : min(int(offsets[r + 1]), a + AFTER)]) for r, a in part])
+            np.maximum.at(highest, owner[i : i + 2048], net.probability(x))
+        over = np.flatnonzero(highest >= net.threshold)
+        for r, a, b in zip(owners[over].tolist(), starts[over].tolist(), ends[over].tolist()):
+            s, e = chars(r, a - int(offsets[r])), chars(r, b - int(offsets[r]))
+            if not any(s < y and x_ < e for x_, y, k in found.get(r, ()) if k < 3):
+                found.setdefault(r, []).append((s, e, 3))
     return [sorted(found[r], key=lambda x: (x[0], x[2])) if r in found else [] for r in range(n)]
 
 

@@ -119,6 +119,36 @@ def test_network_learns_its_findings():
     assert (p == (y == 1)).mean() > 0.93 and p[y == 1].mean() > 0.9
 
 
+class _Looks:
+    """In place of a network: finds a character."""
+
+    threshold = 0.5
+
+    def __init__(self, char):
+        self.code = secret_cnn._CODE[ord(char)]
+
+    def probability(self, x):
+        return (x == self.code).any(1).astype(float)
+
+
+@pytest.mark.parametrize("size", [16, 33, 47, 48, 49, 72, 120, 5000])
+def test_windows_show_whole_candidates_and_what_follows(size):
+    run = "a1" + "k" * (size - 2)
+    for at in (*range(2, size, 7), size - 1):
+        assert secrets.scan(pa.array([f"é {run[:at]}Z{run[at + 1 :]} end"]), _Looks("Z")) == [[(2, 2 + size, 3)]]
+    assert secrets.scan(pa.array([f"{run} to the Zend", "x"]), _Looks("Z")) == [[(0, size, 3)], []]
+    assert secrets.scan(pa.array([run, "Z"]), _Looks("Z")) == [[], []]
+
+
+def test_secrets_at_the_end_of_a_chain():
+    rng, net = random.Random(4), secret_cnn.trained()
+    token = lambda k: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(k))
+    texts = [f"post to https://hooks.slack.com/services/T0{token(7).upper()}/B0{token(7).upper()}/{token(24)} now" for _ in range(100)]
+    plain = [f"see https://www.example.com/news/{rng.randrange(2000, 2030)}/the-station-of-the-{rng.choice(WORDS)}/and-more-about-the-city/index{i}.html now" for i in range(100)]
+    assert sum(map(bool, secrets.scan(pa.array(texts), net))) >= 95
+    assert sum(map(bool, secrets.scan(pa.array(plain), net))) <= 10
+
+
 def test_toxicity_learns_and_scores_empty_texts(spark):
     random.seed(1)
     texts = [prose(60) for _ in range(400)]
