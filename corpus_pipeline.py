@@ -5,7 +5,7 @@ read again as the next one's documents.  All but the last return the columns of
 stages that change a text keep ``n_chars`` its number of code points.
 
 1. toxicity: documents that the classifier rejects go.
-2. ngram_join: of each group of near duplicates the document with the smallest id stays.
+2. ngram_join: of each group of near duplicates the row with the smallest id stays.
 3. suffix_dedup: byte strings of DEPTH bytes that a smaller document has are cut out.
 4. secret_scans: found secrets are masked.
 5. packing: what is left is packed into sequences; one row per piece.
@@ -36,9 +36,15 @@ def toxicity(spark, docs, sf_dir):
 
 
 def ngram_join(spark, docs, sf_dir):
-    """Equal rows are one document; rows without an id have no smaller one and stay unless a group's other member has one."""
-    groups = similar_groups(docs).filter("component_id <> doc_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(groups, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """One row of each group of near duplicates stays: that with the smallest id, rows without one last; of equal ids any one.
+
+    Rows have keys of their own here, so that ids may be null or repeated.  Texts without words
+    are in no group and stay.
+    """
+    keyed = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    groups = similar_groups(keyed, "_row").select("_row", "component_id").join(keyed.select("_row", "doc_id"), "_row")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_first"))
+    left = keyed.join(first.select(F.col("_first._row").alias("_row")), "_row", "left_semi")
     return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -346,3 +346,18 @@ def test_pipeline_on_a_small_corpus(spark, tmp_path):
     assert seen["secret_scans"] == seen["ngram_join"] == seen["packing"]
     text = spark.read.parquet(str(tmp_path / "secret_scans")).filter("doc_id = 122").first()
     assert "[SECRET]" in text["text"] and text["n_chars"] == len(text["text"])
+
+
+def test_ngram_stage_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline as cp
+
+    random.seed(3)
+    a, b, c, d, e, f = (prose(60) for _ in range(6))
+    data = [(1, a), (None, a + " x"), (None, b), (2, a + " y"), (2, c), (3, d), (3, d), (None, e), (None, e + " z"), (None, e), (4, None), (None, ""), (5, f)]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in data], "doc_id long, text string, source string")
+    out = cp.ngram_join(spark, docs, "")
+    assert out.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert len(got) == 8
+    assert {x for x in got if (x[1] or "")[: len(e)] != e} == {(1, a), (None, b), (2, c), (3, d), (4, None), (None, ""), (5, f)}
+    assert cp.ngram_join(spark, docs.limit(0), "").count() == 0
