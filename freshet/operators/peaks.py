@@ -65,17 +65,19 @@ def max_before(anchors: DataFrame, sums: DataFrame, before_h: int, lag_h: int, k
 def steepest(anchors: DataFrame, series: DataFrame, before_h: int, after_h: int, span_h: int, key: list[str], fall: bool = False, at: str = "t0", ts: str = "ts", value: str = "x") -> DataFrame:
     """Anchors with the steepest rise (or fall) per hour between two rows of the window at most ``span_h`` apart.
 
-    Returns slope, its end in hours from t0 and the end's value; of equal slopes that with the
-    first start, then the first end.  The pairs of a window are bounded by the span.
+    Returns slope, its end in hours from t0, the end's value and its rank among the window's
+    values; of equal slopes that with the first start, then the first end.  The pairs of a window
+    are bounded by the span.
     """
     side = "before" if after_h == 0 else "after"
     rows = around(anchors, series.filter(F.col(value).isNotNull()).select(*key, F.col(ts).alias("_ts"), F.col(value).alias("_x")), before_h * 3600, after_h * 3600, key, at, "_ts", open_start=side == "before", open_end=side == "after")
-    point = F.struct(F.unix_micros("_ts").alias("t"), F.col("_x").alias("v"))
+    rows = rows.withColumn("_q", F.cume_dist().over(Window.partitionBy(*[F.col(f"`{c}`") for c in anchors.columns]).orderBy("_x")))
+    point = F.struct(F.unix_micros("_ts").alias("t"), F.col("_x").alias("v"), F.col("_q").alias("q"))
     w = Window.partitionBy(*[F.col(f"`{c}`") for c in anchors.columns]).orderBy(F.unix_micros("_ts"))
     later = F.collect_list(point).over(w.rangeBetween(1, span_h * 3_600_000_000))
     pairs = rows.withColumns({"_a": point, "_l": later}).select(*anchors.columns, "_a", F.explode("_l").alias("_b"))
     slope = (F.col("_b.v") - F.col("_a.v")) / ((F.col("_b.t") - F.col("_a.t")) / F.lit(3_600_000_000.0))
     order = F.struct(slope if fall else -slope, F.col("_a.t"), F.col("_b.t"))
-    best = pairs.groupBy(*anchors.columns).agg(F.min_by(F.struct(slope.alias("s"), F.col("_b.t").alias("t"), F.col("_b.v").alias("v")), order).alias("_m"))
-    found = best.select(*anchors.columns, F.col("_m.s").alias("slope"), ((F.col("_m.t") - F.unix_micros(at)) / F.lit(3_600_000_000.0)).alias("end_h"), F.col("_m.v").alias("end_value"))
+    best = pairs.groupBy(*anchors.columns).agg(F.min_by(F.struct(slope.alias("s"), F.col("_b.t").alias("t"), F.col("_b.v").alias("v"), F.col("_b.q").alias("q")), order).alias("_m"))
+    found = best.select(*anchors.columns, F.col("_m.s").alias("slope"), ((F.col("_m.t") - F.unix_micros(at)) / F.lit(3_600_000_000.0)).alias("end_h"), F.col("_m.v").alias("end_value"), F.col("_m.q").alias("end_rank"))
     return _kept(anchors, found)

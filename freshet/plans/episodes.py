@@ -220,7 +220,7 @@ def legacy_features(anchors: DataFrame, series: DataFrame, *, lags: tuple[int, .
             for letter, fall in (("m", False), ("n", True)):
                 s = steepest(probes, series, b, a, lag, VAR, fall)
                 name = lambda suffix: _name(v, f"{letter}{lag}{side}{suffix}")  # noqa: B023, E731
-                parts.append(_long(s, a=(name(""), F.col("slope")), t=(name("_t"), F.col("end_h")), x=(name("_0"), F.col("end_value"))))
+                parts.append(_long(s, a=(name(""), F.col("slope")), t=(name("_t"), F.col("end_h")), x=(name("_0"), F.col("end_value")), q=(name("_q"), F.col("end_rank"))))
     return reduce(DataFrame.unionByName, parts)
 
 

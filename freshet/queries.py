@@ -517,7 +517,7 @@ def episode_sums(spark, sf_dir):
 @query()
 def episode_legacy(spark, sf_dir):
     a, s, _ = _episode_inputs(spark, sf_dir)
-    return ep.legacy_features(a, s, lags=(6, 24)).select("guid", "t0", "name", _r(F.col("value"), "value"))
+    return ep.legacy_features(a, s).select("guid", "t0", "name", _r(F.col("value"), "value"))
 
 
 @query()

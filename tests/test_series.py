@@ -144,3 +144,26 @@ def test_simulation_files(spark, tmp_path):
     assert [(r["guid"], r["pr"], r["tmp"], r["gw"]) for r in sims] == [("A", 1.5, None, None), ("B", None, 2.0, 7.5)]
     p = simulation.wide_parameters(simulation.read_parameters(spark, simulation.discover(spark, str(tmp_path), "param"))).first()
     assert p["area_km2"] == 3.57 and abs(p["HI"] - 0.139463) < 1e-6
+
+
+def test_steepest_ranks_its_end_in_the_window(spark):
+    from freshet.operators import peaks
+
+    x = [5.0, 1.0, 4.0, 4.0, 2.0, None, 9.0, 3.0]
+    s = spark.createDataFrame([("a", T0 + timedelta(hours=i), v) for i, v in enumerate(x)], "guid string, ts timestamp, x double")
+    at = spark.createDataFrame([("a", T0 + timedelta(hours=4))], "guid string, t0 timestamp")
+    up, down = (peaks.steepest(at, s, 72, 0, 2, ["guid"], fall).first() for fall in (False, True))
+    assert (up["end_value"], up["end_rank"], down["end_value"], down["end_rank"]) == (4.0, 0.8, 1.0, 0.2)
+
+
+def test_legacy_rows_have_ranks_for_all_lags(spark):
+    import inspect
+
+    from freshet import queries
+    from freshet.plans import episodes as ep
+
+    assert "lags=" not in inspect.getsource(queries.QUERIES["episode_legacy"])
+    s = spark.createDataFrame([("a", "gw", T0 + timedelta(hours=i), float(i % 5)) for i in range(12)], "guid string, var string, ts timestamp, x double")
+    at = spark.createDataFrame([("a", T0 + timedelta(hours=6))], "guid string, t0 timestamp")
+    names = {r["name"] for r in ep.legacy_features(at, s, lags=(3,)).select("name").distinct().collect()}
+    assert {f"gw{k}3{side}{x}" for k in "mn" for side in "ab" for x in ("", "_t", "_0", "_q")} <= names
