@@ -2,14 +2,21 @@
 
 Text is cut at white space; nothing that the vocabulary's rules do reaches across it, so what
 lies between can be encoded alone, and so can the words into which the rules cut that.  Words are
-counted over all texts; the LEXICON_WORDS most frequent ones are encoded once and compiled into an acyclic automaton whose equal suffixes are
-shared (incremental construction from sorted words).  Each edge carries the number of words that
-are passed over, so a path adds up to the word's number, which points at its ids.  Workers map
-the automaton's file into memory; words that it lacks are merged exactly by rank.
+counted over all texts; the LEXICON_WORDS most frequent ones are encoded once and compiled into an
+acyclic automaton whose equal suffixes are shared (incremental construction from sorted words).
+Each edge carries the number of words that are passed over, so a path adds up to the word's
+number, which points at its ids.  The automaton is a file in the shared folder that Spark hands to
+each executor once; its workers map that one copy into memory.  Words that it lacks are merged
+exactly by rank.
+
+What a worker holds is bounded: texts come in slices of SLICE_BYTES, and of strings met before the
+last ones are remembered, if they are short.
 
 Defined cases: a null text is the empty text, which has no ids and decodes to ""; strings of
-special tokens in a text become their ids, as the library does; repeated rows get equal results;
-an empty table gives an empty result.
+special tokens in a text become their ids, as the library does; a text longer than a slice is a
+slice of its own; repeated rows, and rows with equal or null ids, get equal results for equal
+texts; columns besides the id and the text are left out, whatever they are called; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,23 +29,28 @@ import mmap
 import os
 import re
 import struct
-import tempfile
 import unicodedata
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, tokenizer_path
+from .common import materialise, shared_dir, tokenizer_path
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words that the automaton holds at most, and their longest form in bytes.
 LEXICON_WORDS, LEXICON_BYTES = 65_536, 64
-#: Texts without white space and words that a worker remembers as young ones, and texts that it counts before it passes them on.
-MEMORY_TEXTS, MEMORY_WORDS, COUNT_WORDS = 250_000, 120_000, 200_000
+#: Texts without white space, and merged words, that a worker remembers as young ones; about 400 bytes each.
+MEMORY_TEXTS, MEMORY_WORDS = 120_000, 70_000
+#: Bytes and rows of texts that are encoded together, so that their new words are found together.
+SLICE_BYTES, SLICE_ROWS = 3 << 20, 2500
+#: Distinct texts without white space that are counted before they are passed on.
+COUNT_WORDS = 100_000
 #: Symbols of a word from which on merges are found by a heap.
 LONG_WORD = 256
 END = "</w>"
@@ -120,12 +132,13 @@ class Lexicon:
         arrays = (first, byte, target, skip, finals, offsets, outputs)
         return cls.MAGIC + struct.pack("<7I", *map(len, arrays)) + b"".join(struct.pack(f"<{len(a)}I", *a) for a in arrays)
 
-    def __init__(self, image: bytes):
-        # An unlinked temporary file: the mapping outlives it, and nothing is left behind.
-        with tempfile.TemporaryFile() as f:
-            f.write(image)
-            f.flush()
-            self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+    @classmethod
+    def mapped(cls, path: str) -> Lexicon:
+        with open(path, "rb") as f:
+            return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+
+    def __init__(self, image: bytes | mmap.mmap):
+        self.map = image
         if self.map[:8] != self.MAGIC:
             raise ValueError("not a lexicon")
         counts, at, view = struct.unpack("<7I", self.map[8:36]), 36, memoryview(self.map)
@@ -189,19 +202,21 @@ class Lexicon:
 
 
 class Memory:
-    """What is known of strings, in two generations.
+    """What is known of short strings, in two generations of ``size`` entries at most.
 
-    When there are ``size`` young entries they become the old ones and replace those before, so
-    what is in use stays and what is held is bounded.
+    A full young generation becomes the old one and replaces that before, so what is in use stays
+    and what is held is bounded: strings of more than SHORT characters aren't remembered.
     """
 
+    SHORT = 48
+
     def __init__(self, size: int):
         self.young, self.old, self.size = {}, {}, size
 
     def of(self, texts, make) -> dict:
         """The entries of distinct texts; ``make`` gives the missing ones, all at once."""
         out, missing = {}, []
-        young, old = self.young, self.old
+        young, old, short = self.young, self.old, self.SHORT
         for t in texts:
             v = young.get(t)
             if v is None:
@@ -211,12 +226,13 @@ class Memory:
                     continue
                 young[t] = v
             out[t] = v
-        if missing:
-            made = dict(zip(missing, make(missing)))
-            out |= made
-            young |= made
-        if len(young) >= self.size:
-            self.old, self.young = young, {}
+        for t, v in zip(missing, make(missing)) if missing else ():
+            out[t] = v
+            if len(t) <= short:
+                young[t] = v
+                if len(young) >= self.size:
+                    self.old, self.young = young, {}
+                    young = self.young
         return out
 
 
@@ -225,7 +241,7 @@ class Codec:
 
     NONE = 1 << 62
 
-    def __init__(self, path: str | None = None, lexicon: bytes | None = None):
+    def __init__(self, path: str | None = None, lexicon: Lexicon | None = None):
         with open(path or tokenizer_path(VOCABULARY), encoding="utf-8") as f:
             spec = json.load(f)
         self.id_of = spec["model"]["vocab"]
@@ -242,7 +258,7 @@ class Codec:
         self.pair_values = np.array([self.pair[k] for k in self.pair_keys.tolist()], np.int64)
         self.words, self.texts = Memory(MEMORY_WORDS), Memory(MEMORY_TEXTS)
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.lexicon = Lexicon(lexicon) if lexicon else None
+        self.lexicon = lexicon
 
     def merged(self, word: str) -> list[int]:
         """Ids of one word by rank of merges, lowest and leftmost first."""
@@ -343,24 +359,27 @@ class Codec:
         return _PIECES.findall(joined.lower())
 
     def new_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of words: from the automaton, else merged."""
+        """Ids of words by merging."""
         bodies = [w.encode("utf-8", "replace") for w in words]
-        out = self.lexicon.lookup_many(bodies) if self.lexicon is not None else [None] * len(words)
-        rest = [i for i, x in enumerate(out) if x is None]
-        short = [i for i in rest if len(bodies[i]) <= LONG_WORD]
+        short = [i for i, x in enumerate(bodies) if len(x) <= LONG_WORD]
+        out: list = [None] * len(words)
         for i, ids in zip(short, self.merge_many([bodies[i] for i in short]) if short else ()):
             out[i] = ids
-        for i in rest:
-            if out[i] is None:
-                out[i] = self.merged(words[i])
-        return out
+        return [self.merged(w) if x is None else x for w, x in zip(words, out)]
+
+    def word_ids(self, words: list[str]) -> dict[str, list[int]]:
+        """Ids of distinct words: from the automaton, else merged."""
+        if self.lexicon is None:
+            return self.words.of(words, self.new_words)
+        known = dict(zip(words, self.lexicon.lookup_many([w.encode("utf-8", "replace") for w in words])))
+        return known | self.words.of([w for w, ids in known.items() if ids is None], self.new_words)
 
     def text_ids(self, texts: list[str]) -> list[list[int]]:
         """Ids of texts without white space."""
         pieces = self.pieces(texts)
         distinct = set(pieces)
         distinct.discard(" ")
-        known = self.words.of(distinct, self.new_words)
+        known = self.word_ids(list(distinct))
         out, now = [], []
         for p in pieces:
             if p == " ":
@@ -385,18 +404,22 @@ class Codec:
 _codecs: dict = {}
 
 
-def codec_of(path: str | None, lexicon: bytes | None, use: str = "") -> Codec:
-    """A worker's codec, kept from task to task with what it remembers for one use."""
-    key = path, hashlib.sha256(lexicon or b"").digest(), use
-    if key not in _codecs:
+def codec_of(path: str | None, lexicon: str | None = None) -> Codec:
+    """A worker's codec; its tables are kept from task to task, what it remembers of texts is not.
+
+    ``lexicon``: name of a file that ``shared_lexicon`` added to the job.
+    """
+    if (path, lexicon) not in _codecs:
         _codecs.clear()
-        _codecs[key] = Codec(path, lexicon)
-    return _codecs[key]
+        _codecs[path, lexicon] = Codec(path, Lexicon.mapped(SparkFiles.get(lexicon)) if lexicon else None)
+    codec = _codecs[path, lexicon]
+    codec.texts = Memory(MEMORY_TEXTS)
+    return codec
 
 
 def _word_counts(path):
     def run(batches):
-        codec, count = codec_of(path, None), Counter()
+        codec, count = codec_of(path), Counter()
 
         def flush():
             words: Counter = Counter()
@@ -442,16 +465,36 @@ def build_lexicon(docs: DataFrame, text_col: str = "text", path: str | None = No
     return Lexicon.compile({w: codec.merged(w) for w in top["word"]})
 
 
-#: Rows that are encoded together, so that their new words are found together.
-TOGETHER = 2500
+def shared_lexicon(spark: SparkSession, image: bytes) -> str:
+    """Write an automaton to the shared folder and have Spark hand it to the executors; its file's name."""
+    name = f"lexicon-{hashlib.sha256(image).hexdigest()[:24]}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark, "lexicon") + "/" + name)
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place)
+    try:
+        out.write(image)
+    finally:
+        out.close()
+    spark.sparkContext.addFile(place.toString())
+    return name
+
+
+def slices(column):
+    """A column in slices of SLICE_ROWS rows and SLICE_BYTES bytes at most; a longer text is one of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(column):
+        held = int(ends[a - 1]) if a else 0
+        b = max(a + 1, min(a + SLICE_ROWS, int(np.searchsorted(ends, held + SLICE_BYTES, "right"))))
+        yield column.slice(a, b - a)
+        a = b
 
 
 def encoded(codec: Codec, column, make):
     """For each row of a column of texts, what ``make`` gives for the ids of its words; special tokens come as ids of their own."""
     gc.disable()  # nothing here makes cycles, and looking for them in what is remembered takes long
     try:
-        for i in range(0, len(column), TOGETHER):
-            rows = [codec.parts(t or "") for t in column.slice(i, TOGETHER).to_pylist()]
+        for part in slices(column):
+            rows = [codec.parts(t or "") for t in part.to_pylist()]
             distinct = set()
             for parts in rows:
                 for words, _ in parts:
@@ -470,7 +513,7 @@ def encoded(codec: Codec, column, make):
 
 def _digests(lexicon, path):
     def run(batches):
-        codec = codec_of(path, lexicon.value, "digests")
+        codec = codec_of(path, lexicon)
         numbers = list(map(str, range(max(codec.token_of) + 1)))
 
         def both(ids):
@@ -491,14 +534,14 @@ def _digests(lexicon, path):
 
 def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """One row per input row: the id, n_tokens, ids_sha256 and decoded_sha256."""
-    lexicon = docs.sparkSession.sparkContext.broadcast(build_lexicon(docs, text_col, path))
+    lexicon = shared_lexicon(docs.sparkSession, build_lexicon(docs, text_col, path))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_digests(lexicon, path), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 
 def _ids(lexicon, path):
     def run(batches):
-        codec = codec_of(path, lexicon.value, "ids")
+        codec = codec_of(path, lexicon)
         for batch in batches:
             out = [[i for x in found for i in x] for found in encoded(codec, batch.column("text"), list)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.list_(pa.int32())), pa.array([codec.decode(x) for x in out], pa.string())], ["id", "ids", "decoded"])
@@ -508,6 +551,6 @@ def _ids(lexicon, path):
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """One row per input row: the id, its token ids and what they decode to."""
-    lexicon = docs.sparkSession.sparkContext.broadcast(build_lexicon(docs, text_col, path))
+    lexicon = shared_lexicon(docs.sparkSession, build_lexicon(docs, text_col, path))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_ids(lexicon, path), "id long, ids array<int>, decoded string").withColumnRenamed("id", id_col)

@@ -18,9 +18,9 @@ packed separately; a null id packs like any other; an empty table gives an empty
 from __future__ import annotations
 
 import bisect
-import struct
 import sys
 import zlib
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -194,14 +194,17 @@ class Plan:
 
 def packed(ids: list[int]) -> bytes:
     """Ids as little-endian unsigned 32-bit numbers."""
-    return struct.pack(f"<{len(ids)}I", *ids)
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 def _pieces(lexicon, path, capacity: int):
     names = ["id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches):
-        codec = codec_of(path, lexicon, "pieces")
+        codec = codec_of(path, lexicon)
         end = np.array([SEPARATOR], "<u4").tobytes()
         for batch in batches:
             out = {n: [] for n in names}
@@ -235,10 +238,10 @@ def _placed(plan):
     return run
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None, lexicon: bytes | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None, lexicon: str | None = None) -> DataFrame:
     """One row per piece: the id, piece, start, length, ids_crc32, sequence_id and offset.
 
-    ``lexicon``: an automaton of ``bpe.build_lexicon``; without one all words are merged exactly.
+    ``lexicon``: an automaton of ``bpe.shared_lexicon``; without one all words are merged exactly.
     """
     spark = docs.sparkSession
     parts = shard_count(docs)

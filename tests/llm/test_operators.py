@@ -173,7 +173,7 @@ def test_bpe_is_the_library(spark):
     texts = [x or "" for x in TEXTS] + ["It's <|endoftext|>ok<|startoftext|>", "ΣΑΣ İI ß ﬁ ①½ é 한국어", "a\x1cb \x1d c", "z" * 700, "a b　d", "\U0001f600 ok…—"]
     base = bpe.Codec()
     lexicon = bpe.Lexicon.compile({w: base.merged(w) for w in {w for x in texts for w in base.pieces(bpe.words_of(x))} - {" "} if len(w) % 2})
-    for codec in (bpe.Codec(None, lexicon), base):
+    for codec in (bpe.Codec(None, bpe.Lexicon(lexicon)), base):
         for x, found in zip(texts, bpe.encoded(codec, pa.array(texts), list)):
             ids = [i for f in found for i in f]
             assert ids == t.encode(x, add_special_tokens=False).ids
