@@ -5,14 +5,16 @@ tokens.  Only the number of pieces of each length matters to the packing, and th
 ``capacity`` lengths, so the whole corpus is packed from that histogram: the plan is a list of
 patterns (how often which length) with their multiplicities, bounded whatever the input.
 
-The plan comes from a branch-and-bound over bins: around the largest length that is left, the
-undominated fillings of the rest are enumerated; a branch is cut when its waste exceeds what the
-incumbent allows.  The first incumbent is best-fit decreasing.  Pieces then look up their place
+The plan comes from a branch-and-bound over bins: around the largest length that is left, all
+undominated fillings of the rest are enumerated, tightest first; a branch is cut when its waste
+exceeds what the incumbent allows.  The first incumbent is best-fit decreasing.  Pieces then look up their place
 from their rank within their length; ranks are counted per shard and added up, so a length that
 a third of all pieces have is spread like any other.
 
-Defined cases: a null text is the empty text, one piece of the separator alone; equal rows are
-packed separately; a null id packs like any other; an empty table gives an empty result.
+Defined cases: a null text is the empty text, one piece of the separator alone; a very long text
+is as many pieces as it needs; equal rows, and rows with equal ids, are packed separately (of
+equal pieces any may have either place); a null id packs like any other; columns besides the id
+and the text are left out, whatever they are called; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ import sys
 import zlib
 from array import array
 from collections import defaultdict
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +36,8 @@ from .common import materialise, shard_count
 
 CAPACITY = 2048
 SEPARATOR = 0
-#: Nodes that the search may visit, and fillings that it tries at each.
-NODES, FILLINGS = 4000, 6
+#: Fillings that the search may look at in all, and nodes on its way that keep theirs open.
+NODES, OPEN = 50_000, 64
 
 Pattern = tuple[tuple[int, int], ...]
 
@@ -74,97 +77,152 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]
     return [(p, b) for groups in open_.values() for p, b in groups]
 
 
-def fillings(room: int, counts: dict[int, int], lengths: list[int]) -> list[Pattern]:
-    """Undominated fillings of a room, tightest first.
-
-    One filling dominates another if the other's pieces fit into its pieces' places; so a pair
-    counts only if no single piece is as long, and a longer filling only if no pair is.
-    """
-    fit = lengths[: bisect.bisect_right(lengths, room)]
-    if not fit:
-        return [()]
-    found: dict[Pattern, int] = {((fit[-1], 1),): fit[-1]}
-    single = fit[-1]
-    if single < room:
-        a = np.array(fit)
-        at = np.searchsorted(a, room - a, "right") - 1
-        total = np.where(at >= 0, a + a[at], 0)
-        best = single
-        for i in np.argsort(-total, kind="stable")[: 4 * FILLINGS].tolist():
-            x, y = int(a[i]), int(a[at[i]])
-            if at[i] < 0 or y > x or total[i] <= single:
-                continue
-            if x == y and counts[x] < 2:
-                continue
-            found[((x, 1), (y, 1)) if x != y else ((x, 2),)] = x + y
-            best = max(best, x + y)
-        if best < room:
-            for x in fit[::-1][: 8 * FILLINGS]:
-                parts, rest, left = {x: 1}, room - x, dict(counts)
-                left[x] -= 1
-                while rest:
-                    at = bisect.bisect_right(fit, rest) - 1
-                    while at >= 0 and left[fit[at]] < 1:
-                        at -= 1
-                    if at < 0:
-                        break
-                    y = fit[at]
-                    k = min(rest // y, left[y])
-                    parts[y] = parts.get(y, 0) + k
-                    left[y] -= k
-                    rest -= k * y
-                if room - rest > best:
-                    found[tuple(sorted(parts.items(), reverse=True))] = room - rest
-    return sorted(found, key=lambda p: (-found[p], len(p), p))[:FILLINGS]
+def _reach(lengths: list[int], counts: dict[int, int], room: int) -> list[int]:
+    """For each number of the first lengths the sums that their pieces can have, as bits."""
+    found, mask = [1], (1 << room + 1) - 1
+    for x in lengths:
+        sums, n, step = found[-1], min(counts[x], room // x), 1
+        while n > 0:
+            sums |= sums << min(step, n) * x & mask
+            n, step = n - step, 2 * step
+        found.append(sums)
+    return found
+
+
+def _exact(lengths: list[int], counts: dict[int, int], reach: list[int], top: int, target: int):
+    """Fillings of exactly ``target`` by the first ``top`` lengths, large pieces first."""
+    if target == 0:
+        yield ()
+        return
+    for i in range(bisect.bisect_right(lengths, target, 0, top), 0, -1):
+        if not reach[i] >> target & 1:
+            return
+        x = lengths[i - 1]
+        for k in range(min(counts[x], target // x), 0, -1):
+            if reach[i - 1] >> target - k * x & 1:
+                for rest in _exact(lengths, counts, reach, i - 1, target - k * x):
+                    yield ((x, k), *rest)
+
+
+def _smeared(bits: int, width: int) -> int:
+    """Every bit also at the ``width`` places above it."""
+    span = 1
+    while span <= width:
+        bits |= bits << min(span, width + 1 - span)
+        span *= 2
+    return bits
+
+
+def dominated(filling: Pattern, others: int, waste: int) -> bool:
+    """Whether a piece left out (a bit of ``others``) could take the place of some of the filling's, or of the waste."""
+    one = two = 0  # sums of single pieces, and of two at least
+    for x, k in filling:
+        for _ in range(k):
+            two |= (one | two) << x
+            one |= 1 << x
+    longer = _smeared(one << 1, waste - 1) | _smeared(2, waste - 1) if waste else 0
+    return bool((longer | _smeared(two, waste)) & others)
+
+
+def fillings(room: int, counts: dict[int, int], most: int):
+    """All undominated fillings of a room that waste ``most`` at most, tightest first, one at a time."""
+    lengths = [x for x in sorted(counts) if 0 < x <= room and counts[x] > 0]
+    reach = _reach(lengths, counts, room)
+    all_ = sum(1 << x for x in lengths)
+    for waste in range(min(most, room) + 1):
+        if reach[-1] >> room - waste & 1:
+            for filling in _exact(lengths, counts, reach, len(lengths), room - waste):
+                others = all_ & ~sum(1 << x for x, k in filling if counts[x] == k)
+                yield None if dominated(filling, others, waste) else (filling, waste)
+
+
+def least_bins(counts: dict[int, int], capacity: int) -> int:
+    """A lower bound: for each threshold, pieces over half a bin need bins of their own, and what lies between must fit beside them."""
+    n, total = np.zeros(capacity + 1, np.int64), np.zeros(capacity + 1, np.int64)
+    for x, k in counts.items():
+        n[x], total[x] = k, x * k
+    n, total, half = np.cumsum(n), np.cumsum(total), capacity // 2
+    best = 0
+    for a in range(half + 1):
+        large, middle = int(n[capacity] - n[capacity - a]), int(n[capacity - a] - n[half])
+        small = int(total[half] - (total[a - 1] if a else 0)) - (middle * capacity - int(total[capacity - a] - total[half]))
+        best = max(best, large + middle + max(0, -(-small // capacity)))
+    return best
 
 
 def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[tuple[Pattern, int]]:
-    """Patterns with the numbers of their bins, as few bins as the search finds."""
-    counts = {x: n for x, n in counts.items() if n > 0}
-    total = sum(x * n for x, n in counts.items())
-    bound = -(-total // capacity)
-    # Pieces over half of the capacity can't share a bin.
-    bound = max(bound, sum(n for x, n in counts.items() if 2 * x > capacity))
-    best = best_fit(counts, capacity)
-    best_bins = sum(b for _, b in best)
-    visited = 0
-
-    def search(left: dict[int, int], lengths: list[int], chosen: list, bins: int, waste: int) -> None:
-        nonlocal best, best_bins, visited
-        visited += 1
-        if not lengths:
-            if bins < best_bins:
-                best, best_bins = list(chosen), bins
-            return
-        top = lengths[-1]
-        left[top] -= 1
-        options = fillings(capacity - top, left, [x for x in lengths if left[x] > 0])
-        left[top] += 1
-        for filling in options:
-            if best_bins <= bound or visited > nodes:
-                return
-            parts = defaultdict(int)
-            parts[top] = 1
-            for x, k in filling:
-                parts[x] += k
-            times = min(left[x] // k for x, k in parts.items())
-            lost = waste + times * (capacity - sum(x * k for x, k in parts.items()))
-            if lost > (best_bins - 1) * capacity - total:
+    """Patterns with the numbers of their bins, as few bins as the search finds.
+
+    At each node the largest piece left opens a bin, which each undominated filling completes in
+    turn, used as often as there are pieces for it or else once.  A branch ends when its waste
+    shows that it needs more bins than the incumbent, which is the best-fit solution at first; a
+    solution of the search's own replaces that from an equal number of bins on.  ``nodes`` bounds
+    the fillings that are looked at, not the pieces: the incumbent packs all of them.
+    """
+    left = {x: n for x, n in counts.items() if n > 0}
+    if not left:
+        return []
+    total, bound = sum(x * n for x, n in left.items()), least_bins(left, capacity)
+    best = best_fit(left, capacity)
+    best_bins, own = sum(b for _, b in best), False
+    chosen: list[tuple[Pattern, int]] = []
+    bins = lost = looked = 0
+    spare = lambda: (best_bins - own) * capacity - total
+
+    def options(most: int):
+        top = max(left)
+        rest = left | {top: left[top] - 1}
+        for found in fillings(capacity - top, rest, most):
+            if found is None:
+                yield None
                 continue
-            for x, k in parts.items():
-                left[x] -= k * times
-            chosen.append((tuple(sorted(parts.items(), reverse=True)), times))
-            search(left, [x for x in lengths if left[x] > 0], chosen, bins + times, lost)
+            parts = defaultdict(int, {top: 1})
+            for x, k in found[0]:
+                parts[x] += k
+            pattern = tuple(sorted(parts.items(), reverse=True))
+            for times in sorted({min((rest[x] + (x == top)) // k for x, k in parts.items()), 1}, reverse=True):
+                yield pattern, times, found[1]
+
+    # Frames: the options of a node, how many were taken, and what waste was allowed.  Only the last
+    # ones keep their options open; those before are made again when the search comes back.
+    frames = [[options(spare()), 0, spare()]]
+    applied: list[tuple[Pattern, int, int]] = []
+    while frames and looked <= nodes and not (own and best_bins <= bound):
+        if len(applied) == len(frames):  # back from below
+            pattern, times, waste = applied.pop()
             chosen.pop()
-            for x, k in parts.items():
-                left[x] += k * times
-
-    limit = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(limit, 4 * capacity + 1000))
-    try:
-        search(dict(counts), sorted(counts), [], 0, 0)
-    finally:
-        sys.setrecursionlimit(limit)
+            for x, k in pattern:
+                left[x] = left.get(x, 0) + k * times
+            bins, lost = bins - times, lost - times * waste
+        frame = frames[-1]
+        if frame[0] is None:
+            frame[0] = islice(options(frame[2]), frame[1], None)
+        frame[1] += 1
+        looked += 1
+        try:
+            option = next(frame[0])
+        except StopIteration:
+            frames.pop()
+            continue
+        if option is None:
+            continue
+        pattern, times, waste = option
+        if lost + times * waste > spare():
+            continue
+        for x, k in pattern:
+            left[x] -= k * times
+            if not left[x]:
+                del left[x]
+        chosen.append((pattern, times))
+        applied.append(option)
+        bins, lost = bins + times, lost + times * waste
+        if left:
+            frames.append([options(spare() - lost), 0, spare() - lost])
+            if len(frames) > OPEN:
+                frames[-OPEN - 1][0] = None
+        else:
+            best, best_bins, own = list(chosen), bins, True
+            frames.append([iter(()), 0, 0])
     return best
 
 
