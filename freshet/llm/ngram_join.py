@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, pack, shard_count, unpack
+from .common import distinct, materialise, pack, shard_count, unpack
 from .shingles import mix, shingle_sets
 
 #: Tokens in so many texts at most are indexed singly.
@@ -141,7 +141,7 @@ def signatures(tokens: np.ndarray, level: np.ndarray, n: int, percent: int) -> n
                         break
                     low, high = np.minimum(t[same], t[same + gap]), np.maximum(t[same], t[same + gap])
                     found.append(mix(mix(low) * np.uint64(3) + high + np.uint64(m)))
-    return np.unique(np.concatenate(found))
+    return distinct(np.concatenate(found))
 
 
 def _nodes_of_shard(buckets: int, percent: int):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .common import text_buffer
+from .common import distinct, text_buffer
 
 WORDS = 5
 #: Bytes whose words are hashed at a time.
@@ -94,7 +94,7 @@ def shingle_sets(column) -> list[np.ndarray]:
         out = []
         for f, c in zip(first.tolist(), count.tolist()):
             if c >= WORDS:
-                out.append(np.unique(h[f : f + c - WORDS + 1]))
+                out.append(distinct(h[f : f + c - WORDS + 1]))
             elif c:
                 out.append(mix(np.array([c + int((words[f : f + c] * _PLACE[:c]).sum(dtype=np.uint64)) & 0xFFFFFFFFFFFFFFFF], np.uint64)))
             else:

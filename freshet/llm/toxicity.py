@@ -1,90 +1,93 @@
 """Operator 8: toxicity by a linear classifier of character n-grams.
 
-Features are the presence of hashed n-grams of characters (UTF-8 bytes, ASCII letters in lower
-case) in the whole text, scaled by their naive Bayes log-count ratios; a logistic regression
-with an L2 penalty is fitted on top.  n-grams whose ratio is near zero are left out, so scoring
-looks up every n-gram of a text but keeps few of them.
+Features are the presence of hashed n-grams of characters (code points of the text in lower case)
+in the whole text, scaled by their naive Bayes log-count ratios; a logistic regression with an L2
+penalty is fitted on top.  n-grams are selected by the likelihood ratio statistic of their presence
+against the label, so the selection asks for the same evidence at every number of rows.
 
-Training takes labelled rows of a bounded sample (``train_rows``, by a hash of the id) whose
-crc32 of the id isn't 0 modulo 5; the rest is held out.  Labels, language, source and id are
-never features.
+Training takes labelled rows of a bounded sample (TRAIN_ROWS rows and TRAIN_BYTES bytes of whole
+texts, by a hash of the id) whose crc32 of the id isn't 0 modulo 5; the rest is held out.  Scores
+of each fold by a model of the other folds calibrate the scale and the point of decision.  Labels,
+language, source and id are never features.
 
 Defined cases: a null text is the empty text, scored by the intercept alone; repeated rows get
-equal scores; a null id is held out by no rule (its crc32 is null, so it is false) and never
-trained on; without labelled rows every score is the prior 0.5 less a hair (predicted 0).
+equal scores; texts of any length are read whole, block by block; a null id is held out by no rule
+(its crc32 is null, so it is false) and never trained on; an id labelled twice has its higher
+label; without labelled rows every score is a hair under 0.5 (predicted 0), with one class only
+every score is near that class; columns besides the id and the text are left out by
+``toxic_scores`` and kept by ``without_toxic``, whatever they are called; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_buffer, words_at
+from .common import distinct
 
-#: Lengths of the n-grams, and the hash space of each.
-LENGTHS = (5, 8)
+#: Lengths of the n-grams in rising order, and the hash space of each.
+LENGTHS = (4, 6, 8)
 SPACE_BITS = 20
-#: Bound of the training sample.
-TRAIN_ROWS = 8_000
-#: n-grams in fewer training texts are left out, as are those with a smaller log-count ratio, or whose
-#: ratio times the root of the number of texts is small: of those, too many are there by chance.
-LEAST_TEXTS = 4
-LEAST_RATIO = 1.0
-LEAST_WEIGHT = 9.0
-SMOOTH = 0.5
-PENALTY = 3.0
-BLOCK = 1 << 20
-
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[0x41:0x5B] += 32
-
-
-def gram_codes(data: np.ndarray, length: int) -> np.ndarray:
-    """Hash codes of the n-grams that start at each byte; the codes of each length have their own range."""
-    w = words_at(data)[: max(0, len(data) - length + 1)] & np.uint64((1 << 8 * length) - 1)
-    with np.errstate(over="ignore"):
-        w = w * np.uint64(0x9E3779B97F4A7C15)
-        w = (w ^ (w >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-    return (w >> np.uint64(64 - SPACE_BITS)).astype(np.int32) + (LENGTHS.index(length) << SPACE_BITS)
-
-
-def _pieces(offsets: np.ndarray):
-    """Row ranges of about BLOCK bytes, and ranges of bytes within long rows."""
-    d, n = 0, len(offsets) - 1
-    while d < n:
-        e = min(n, max(d + 1, int(np.searchsorted(offsets, offsets[d] + BLOCK, "right")) - 1))
-        lo, hi = int(offsets[d]), int(offsets[e])
-        for a in range(lo, max(hi, lo + 1), BLOCK) if e == d + 1 else (lo,):
-            yield d, e, a, min(hi, a + BLOCK + max(LENGTHS) - 1) if e == d + 1 else hi
-        d = e
-
-
-def present(column, feature: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
-    """Distinct (row, code) pairs of a column of texts, sorted.
+#: Bounds of the training sample.
+TRAIN_ROWS, TRAIN_BYTES = 8_000, 24 << 20
+#: n-grams in fewer training texts are left out, as are those with a smaller statistic; of the rest the strongest are taken.
+LEAST_TEXTS, LEAST_STATISTIC, FEATURES = 3, 8.0, 12_000
+SMOOTH, PENALTY = 0.5, 1.0
+#: Folds of the calibration, and the share of false alarms up to which the point of decision is lowered.
+FOLDS, FALSE_ALARMS = 3, 0.003
+#: Characters that are hashed at a time.
+BLOCK = 1 << 18
+
+
+def _blocks(texts):
+    """Characters of about BLOCK at a time with the rows and ends of the pieces that they are from."""
+    rows, parts, size = [], [], 0
+    for i, text in enumerate(texts):
+        text = (text or "").lower()
+        for a in range(0, len(text), BLOCK):
+            part = text[a : a + BLOCK + LENGTHS[-1] - 1]
+            rows.append(i), parts.append(part)
+            size += len(part)
+            if size >= BLOCK:
+                yield rows, parts
+                rows, parts, size = [], [], 0
+    if parts:
+        yield rows, parts
+
+
+def present(texts, feature: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, code) pairs of texts, sorted; the codes of each length have their own range.
 
     With ``feature`` codes are replaced by its numbers, and those with -1 left out at once.
     """
-    data, offsets = text_buffer(column)
-    n = len(offsets) - 1
     found = []
-    for d, e, a, b in _pieces(offsets):
-        part = _FOLD[data[a:b]]
-        for length in LENGTHS:
-            codes = gram_codes(part, length)
-            at = None
-            if feature is not None:
-                codes = feature[codes]
-                at = np.flatnonzero(codes >= 0)
-                codes = codes[at]
-            else:
-                at = np.arange(len(codes))
-            row = np.searchsorted(offsets[d : e + 1], at + a, "right") - 1 + d
-            inside = at + a + length <= offsets[row + 1]
-            found.append(np.unique(row[inside].astype(np.int64) << 32 | codes[inside]))
-    code = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    return code >> 32, (code & 0xFFFFFFFF).astype(np.int64), n
+    for rows, parts in _blocks(texts):
+        flat = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        sizes = np.array([len(x) for x in parts])
+        row, end = np.repeat(np.array(rows), sizes), np.repeat(np.cumsum(sizes), sizes)
+        h = np.zeros(len(flat), np.uint64)
+        done = 0
+        with np.errstate(over="ignore"):
+            for j, length in enumerate(LENGTHS):
+                if len(flat) < length:
+                    break
+                for at in range(done, length):
+                    h = (h[: len(flat) - at] ^ flat[at:]) * np.uint64(0x9E3779B97F4A7C15)
+                    h ^= h >> np.uint64(29)
+                done = length
+                code = (h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - SPACE_BITS)).astype(np.int64) + (j << SPACE_BITS)
+                at = np.arange(len(code))
+                if feature is not None:
+                    code = feature[code].astype(np.int64)
+                    at = np.flatnonzero(code >= 0)
+                    code = code[at]
+                inside = at + length <= end[at]
+                found.append(distinct(row[at[inside]] << 32 | code[inside]))
+    code = distinct(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    return code >> 32, code & 0xFFFFFFFF
 
 
 class Model:
@@ -93,23 +96,45 @@ class Model:
     def __init__(self, feature: np.ndarray, weight: np.ndarray, bias: float):
         self.feature, self.weight, self.bias = feature, weight, bias
 
-    def score(self, column) -> np.ndarray:
-        row, number, n = present(column, self.feature)
-        z = self.bias + np.bincount(row, self.weight[number], minlength=n)
-        return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+    def logits(self, texts) -> np.ndarray:
+        row, number = present(texts, self.feature)
+        return self.bias + np.bincount(row, self.weight[number], minlength=len(texts))
+
+    def score(self, texts) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.logits(texts), -60, 60)))
+
+
+def _no_features() -> np.ndarray:
+    return np.full(len(LENGTHS) << SPACE_BITS, -1, np.int32)
 
 
 def fit(texts, labels) -> Model:
-    """A model of four fifths of the texts, calibrated by a logistic scaling on the others."""
+    """A model of all texts, with the scale and the point of decision that models of the folds' complements show."""
     y = np.asarray(labels, float)
-    held = np.arange(len(y)) % 5 == 4
-    if not 0 < y[held].sum() < held.sum() or not 0 < y[~held].sum() < (~held).sum():
-        return _fit(texts, y)
-    model = _fit([t for t, h in zip(texts, held) if not h], y[~held])
-    p = model.score(pa.array([t for t, h in zip(texts, held) if h], pa.string()))
-    z, target = np.log(p / (1 - p)).clip(-30, 30), y[held]
+    if not len(y) or y.min() == y.max():
+        return Model(_no_features(), np.zeros(1), -1e-6 if not len(y) else (6.0 if y.min() else -6.0))
+    fold = np.empty(len(y), np.int64)
+    for label in (0, 1):  # both classes are dealt out evenly
+        own = np.flatnonzero(y == label)
+        fold[own] = np.arange(len(own)) % FOLDS
+    model = _fit(texts, y)
+    if min((y == 0).sum(), (y == 1).sum()) < 2 * FOLDS:
+        return model
+    z = np.empty(len(y))
+    for k in range(FOLDS):
+        part = _fit([t for t, f in zip(texts, fold) if f != k], y[fold != k])
+        for i in np.array_split(np.flatnonzero(fold == k), max(1, len(y) // 1000)):
+            z[i] = part.logits([texts[j] for j in i])
+    scale, shift = _calibrated(z.clip(-30, 30), y)
+    high = np.sort(z[y == 0])[::-1][int(FALSE_ALARMS * (y == 0).sum())]
+    point = max(min(-shift / scale, float(high) + 1e-6), -15.0)
+    return Model(model.feature, model.weight * scale, (model.bias - point) * scale)
+
+
+def _calibrated(z: np.ndarray, target: np.ndarray) -> tuple[float, float]:
+    """Scale and shift of a logistic scaling, by damped Newton steps; a small penalty keeps it finite."""
     scale, shift = 1.0, 0.0
-    for _ in range(300):  # damped Newton steps; a small penalty keeps the scaling finite
+    for _ in range(300):
         p = 1 / (1 + np.exp(-np.clip(scale * z + shift, -40, 40)))
         s, d = np.maximum(p * (1 - p), 1e-6), p - target
         h = np.array([[(s * z * z).sum() + 0.5, (s * z).sum()], [(s * z).sum(), s.sum() + 0.1]])
@@ -117,34 +142,43 @@ def fit(texts, labels) -> Model:
         scale, shift = max(0.05, scale - 0.3 * move[0]), shift - 0.3 * move[1]
         if np.abs(move).max() < 1e-7:
             break
-    return Model(model.feature, model.weight * scale, model.bias * scale + shift)
+    return scale, shift
+
+
+def _statistic(ones: np.ndarray, both: np.ndarray, positive: int, rows: int) -> np.ndarray:
+    """Likelihood ratio statistic of each n-gram's presence against the label."""
+    out = np.zeros(len(ones))
+    for seen, n in ((ones, positive), (both - ones, rows - positive)):
+        expected = both * (n / rows)
+        at = np.flatnonzero(seen > 0)
+        out[at] += 2 * seen[at] * np.log(seen[at] / expected[at])
+    return out
 
 
 def _fit(texts, y: np.ndarray) -> Model:
-    """Log-count ratios, selection and logistic regression (full-batch Newton by conjugate gradients)."""
-    feature = np.full(len(LENGTHS) << SPACE_BITS, -1, np.int32)
-    if not len(y) or y.min() == y.max():
-        return Model(feature, np.zeros(1), -1e-6 if not len(y) else (6.0 if y.min() else -6.0))
-    size = len(feature)
-    parts = [(i, pa.array(texts[i : i + 500], pa.string())) for i in range(0, len(y), 500)]
-    ones, all_ = np.zeros(size), np.zeros(size)
+    """Selection, log-count ratios and logistic regression (full-batch Newton by conjugate gradients)."""
+    feature = _no_features()
+    size, n, positive = len(feature), len(y), int(y.sum())
+    parts = [(i, texts[i : i + 200]) for i in range(0, n, 200)]
+    ones, both = np.zeros(size, np.int32), np.zeros(size, np.int32)
     for i, part in parts:  # counted piece by piece: all pairs at once would be large
-        r, c, _ = present(part)
-        all_ += np.bincount(c, minlength=size)
-        ones += np.bincount(c[y[r + i] == 1], minlength=size)
-    zeros = all_ - ones
-    ratio = np.log((ones + SMOOTH) / (ones.sum() + SMOOTH * size)) - np.log((zeros + SMOOTH) / (zeros.sum() + SMOOTH * size))
-    chosen = np.flatnonzero((all_ >= LEAST_TEXTS) & (np.abs(ratio) >= LEAST_RATIO) & (np.abs(ratio) * np.sqrt(all_) >= LEAST_WEIGHT))
+        row, code = present(part)
+        both += np.bincount(code, minlength=size).astype(np.int32)
+        ones += np.bincount(code[y[row + i] == 1], minlength=size).astype(np.int32)
+    chosen = np.flatnonzero(both >= LEAST_TEXTS)
+    statistic = _statistic(ones[chosen], both[chosen], positive, n)
+    chosen, statistic = chosen[statistic >= LEAST_STATISTIC], statistic[statistic >= LEAST_STATISTIC]
+    chosen = np.sort(chosen[np.argsort(-statistic, kind="stable")[:FEATURES]])
+    prior = float(np.log(positive / (n - positive)))
     if not len(chosen):
-        return Model(feature, np.zeros(1), float(np.log(y.mean() / (1 - y.mean()))))
+        return Model(feature, np.zeros(1), prior)
     feature[chosen] = np.arange(len(chosen))
-    r = ratio[chosen]
-    hits = [(i, *present(part, feature)[:2]) for i, part in parts]
-    row = np.concatenate([x + i for i, x, _ in hits])
-    number = np.concatenate([x for _, _, x in hits])
-    value = r[number]
-    n, k = len(y), len(chosen)
-    w, bias = np.zeros(k), float(np.log(y.mean() / (1 - y.mean())))
+    r = np.log((ones[chosen] + SMOOTH) / (positive + 2 * SMOOTH)) - np.log((both[chosen] - ones[chosen] + SMOOTH) / (n - positive + 2 * SMOOTH))
+    hits = [(i, *present(part, feature)) for i, part in parts]
+    row = np.concatenate([(x + i).astype(np.int32) for i, x, _ in hits])
+    number = np.concatenate([x.astype(np.int32) for _, _, x in hits])
+    value, k = r[number], len(chosen)
+    w, bias = np.zeros(k), prior
     dot = lambda v: np.bincount(row, value * v[number], minlength=n)
     back = lambda v: np.bincount(number, value * v[row], minlength=k)
     for _ in range(25):
@@ -176,21 +210,25 @@ def _held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("long").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS) -> Model:
-    """Fit on at most ``train_rows`` labelled rows that aren't held out, chosen by a hash of the id."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> Model:
+    """Fit on at most ``train_rows`` labelled rows and ``train_bytes`` bytes of texts that aren't held out, in the order of a hash of the id."""
     pick = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).filter(F.col("id").isNotNull() & F.col("y").isNotNull() & ~_held_out("id"))
     pick = pick.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(train_rows)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # The picked rows are bounded by train_rows, which is what makes broadcasting them safe.
-    rows = texts.join(F.broadcast(pick), "id").select("id", "text", "y").toPandas().sort_values(["id", "text"], na_position="first")
-    return fit([t or "" for t in rows["text"]], rows["y"].to_numpy())
+    rows = texts.join(F.broadcast(pick), "id").select("id", F.xxhash64("id").alias("place"), "text", "y", F.octet_length("text").cast("long").alias("size"))
+    # Ids may be repeated, so rows and bytes are bounded once more.
+    first = rows.orderBy("place", "id", F.xxhash64("text"), "size").limit(train_rows)
+    held = F.sum("size").over(Window.orderBy("place", "id", F.xxhash64("text"), "size").rowsBetween(Window.unboundedPreceding, 0))
+    got = first.withColumn("held", held).filter(F.col("held") <= train_bytes).select("text", "y").toArrow()
+    return fit(got.column("text").to_pylist(), got.column("y").to_numpy())
 
 
 def _score(model, wide: bool):
     def run(batches):
         for batch in batches:
             n = batch.num_rows
-            score = np.concatenate([model.value.score(batch.column("text").slice(i, 500)) for i in range(0, n, 500)]) if n else np.zeros(0)
+            score = np.concatenate([model.value.score(batch.column("text").slice(i, 200).to_pylist()) for i in range(0, n, 200)]) if n else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(batch.num_columns) if wide or batch.schema.names[i] != "text"], pa.array(score, pa.float64())], [*[x for x in batch.schema.names if wide or x != "text"], "score"])
 
     return run
