@@ -34,13 +34,12 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir, tokenizer_path
+from .common import materialise, shared_dir, slices, tokenizer_path
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words that the automaton holds at most, and their longest form in bytes.
@@ -478,22 +477,11 @@ def shared_lexicon(spark: SparkSession, image: bytes) -> str:
     return name
 
 
-def slices(column):
-    """A column in slices of SLICE_ROWS rows and SLICE_BYTES bytes at most; a longer text is one of its own."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    a = 0
-    while a < len(column):
-        held = int(ends[a - 1]) if a else 0
-        b = max(a + 1, min(a + SLICE_ROWS, int(np.searchsorted(ends, held + SLICE_BYTES, "right"))))
-        yield column.slice(a, b - a)
-        a = b
-
-
 def encoded(codec: Codec, column, make):
     """For each row of a column of texts, what ``make`` gives for the ids of its words; special tokens come as ids of their own."""
     gc.disable()  # nothing here makes cycles, and looking for them in what is remembered takes long
     try:
-        for part in slices(column):
+        for part in slices(column, SLICE_ROWS, SLICE_BYTES):
             rows = [codec.parts(t or "") for t in part.to_pylist()]
             distinct = set()
             for parts in rows:

@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +79,17 @@ def words_at(data: np.ndarray) -> np.ndarray:
     return np.ndarray((len(data),), "<u8", padded, strides=(1,))
 
 
+def slices(column, rows: int, size: int):
+    """A column of strings in slices of some rows and bytes at most; a longer string is a slice of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(column):
+        held = int(ends[a - 1]) if a else 0
+        b = max(a + 1, min(a + rows, int(np.searchsorted(ends, held + size, "right"))))
+        yield column.slice(a, b - a)
+        a = b
+
+
 def distinct(values: np.ndarray) -> np.ndarray:
     """Sorted distinct values; numpy's own unique hashes integers, which takes several times as long."""
     values = np.sort(values)

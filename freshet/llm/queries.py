@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from . import quality as _quality
 from .bpe import encode_digests
-from .common import read_table
+from .common import materialise, read_table
 from .html_text import extract_pages
 from .media import media_features, to_media
 from .ngram_join import similar_groups
@@ -52,7 +52,7 @@ def op9_bpe_transducer(spark, sf_dir):
 
 
 def op10_media_columns(spark, sf_dir):
-    return media_features(to_media(read_table(spark, sf_dir, "documents")))
+    return media_features(materialise(to_media(read_table(spark, sf_dir, "documents")), "media"))
 
 
 QUERIES = {

@@ -1,13 +1,10 @@
-"""Lossless WebP (VP8L) images as bit streams: a decoder, and encoders that make what it reads.
+"""Lossless WebP (VP8L) images as bit streams: a decoder of single images, and an encoder of all that it reads.
 
 The decoder reads prefix codes (simple and by code lengths, with repeats), groups of them chosen
 by an entropy image, back-references with the plane distance codes, the colour cache, and undoes
 the predictor, cross-colour, subtract-green and palette transforms, all as the public format
-specification has them.  Where an image has one group whose codes all have equal lengths and
-holds literals only, its bits form a matrix, which numpy decodes at once.
-
-``encode_samples`` writes 8-bit samples as such images.  ``encode_pixels`` writes any of the
-format's features, for small images.
+specification has them.  ``encode_pixels`` writes any of the format's features, for small images.
+``webp_batch`` does the same for many images at a time.
 """
 
 from __future__ import annotations
@@ -35,7 +32,6 @@ PLANE = (
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 CACHE_HASH = 0x1E35A7BD
 LITERALS, LENGTHS, DISTANCES = 256, 24, 40
-SIDE = 16384
 
 
 class Broken(ValueError):
@@ -63,7 +59,6 @@ class Code:
         self.lengths = lengths
         counts = Counter(lengths)
         del counts[0]
-        self.sizes = sorted(counts)
         used = sum(counts.values())
         self.only = next((s for s, x in enumerate(lengths) if x), 0) if used < 2 else None
         if used > 1 and sum(n << 15 - x for x, n in counts.items()) != 1 << 15:
@@ -82,13 +77,6 @@ class Code:
                 code += 1
         return self._table
 
-    @property
-    def flat(self) -> int | None:
-        """The common length of all codes, 0 for a single symbol, None if they differ."""
-        if self.only is not None:
-            return 0
-        return self.sizes[0] if len(self.sizes) == 1 else None
-
     def read(self, r: Reader) -> int:
         if self.only is not None:
             return self.only
@@ -114,10 +102,6 @@ def _read_code(r: Reader, size: int) -> Code:
         own[k] = r.bits(3)
     code = Code(own)
     most = 2 + r.bits(2 + 2 * r.bits(3)) if r.bits(1) else size
-    if code.flat == 1 and max(two := [k for k, x in enumerate(own) if x]) < 16 and most >= size:
-        # Two lengths of one bit each: all of them at once.
-        bits = np.unpackbits(np.frombuffer(r.bits(size).to_bytes(size // 8 + 1, "little"), np.uint8), bitorder="little")[:size]
-        return Code(np.where(bits, two[1], two[0]).tolist())
     s, last = 0, 8
     while s < size and most:
         most -= 1
@@ -142,34 +126,6 @@ def _value(r: Reader, prefix: int) -> int:
     return ((2 + (prefix & 1)) << extra) + r.bits(extra) + 1
 
 
-def _matrix(r: Reader, codes: list[Code], n: int) -> np.ndarray | None:
-    """All pixels at once, where every code is flat and no length or cache symbol is in use."""
-    sizes = [c.flat for c in codes[:4]]
-    if None in sizes or codes[0].only is not None and codes[0].only >= LITERALS or any(codes[0].lengths[LITERALS:]):
-        return None
-    each = sum(sizes)
-    if r.at + each * n > r.end:
-        raise Broken("the stream ends early")
-    out = np.empty((n, 4), np.uint8)
-    step = max(1, (1 << 20) // max(each, 1))
-    for lo in range(0, n, step):
-        hi = min(n, lo + step)
-        a, b = r.at + each * lo, r.at + each * hi
-        bits = np.unpackbits(np.frombuffer(r.data, np.uint8)[a >> 3 : (b + 7) >> 3], bitorder="little")[a & 7 : (a & 7) + b - a].reshape(hi - lo, each)
-        at = 0
-        for c, code, size in zip((1, 0, 2, 3), codes, sizes):  # green, red, blue, alpha
-            if size:
-                symbols = np.flatnonzero(code.lengths[:LITERALS]).astype(np.uint8)
-                part = np.zeros((hi - lo, 8), np.uint8)
-                part[:, 8 - size :] = bits[:, at : at + size]
-                out[lo:hi, c] = symbols[np.packbits(part, axis=1)[:, 0]]
-            else:
-                out[lo:hi, c] = code.only
-            at += size
-    r.at += each * n
-    return out
-
-
 def _pixels(r: Reader, width: int, height: int, top: bool) -> np.ndarray:
     """An entropy-coded image as rows of (red, green, blue, alpha)."""
     cache_bits = r.bits(4) if r.bits(1) else 0
@@ -185,10 +141,6 @@ def _pixels(r: Reader, width: int, height: int, top: bool) -> np.ndarray:
     sizes = (LITERALS + LENGTHS + cache_size, LITERALS, LITERALS, LITERALS, DISTANCES)
     codes = [[_read_code(r, s) for s in sizes] for _ in range(groups)]
     n = width * height
-    if groups == 1:
-        out = _matrix(r, codes[0], n)
-        if out is not None:
-            return out.reshape(height, width, 4)
     argb: list[int] = []
     cache = [0] * cache_size
 
@@ -389,67 +341,6 @@ def _header(w: Writer, width: int, height: int) -> None:
         w.bits(value, n)
 
 
-def _write_flat(w: Writer, symbols: list[int], size: int, alphabet: int) -> None:
-    """A code in which 2**size symbols have equal lengths; 0: one symbol."""
-    if size == 0:
-        w.bits(1, 1), w.bits(0, 1), w.bits(1, 1), w.bits(symbols[0], 8)
-        return
-    w.bits(0, 1)
-    n = max(LENGTH_ORDER.index(0), LENGTH_ORDER.index(size)) + 1
-    w.bits(max(n, 4) - 4, 4)
-    for k in LENGTH_ORDER[: max(n, 4)]:
-        w.bits(1 if k in (0, size) else 0, 3)
-    w.bits(0, 1)
-    for s in symbols:
-        w.value |= 1 << w.n + s
-    w.n += alphabet
-
-
-#: Bytes of samples in one image; longer payloads take several.
-IMAGE_BYTES = 64 * SIDE
-
-
-def encode_samples(payload: bytes) -> bytes:
-    """8-bit samples (a multiple of 64) as images 16 pixels wide, four samples to a pixel.
-
-    All samples of an image share one code: the used values, filled up to a power of two.
-    """
-    out = []
-    for at in range(0, len(payload), IMAGE_BYTES):
-        samples = np.frombuffer(payload, np.uint8)[at : at + IMAGE_BYTES]
-        used = np.bincount(samples, minlength=256) > 0
-        size = max(0, int(used.sum()) - 1).bit_length()
-        rest = np.flatnonzero(~used)[: (1 << size) - int(used.sum())]
-        used[rest] = True
-        symbols = np.flatnonzero(used).tolist()
-        w = Writer()
-        _header(w, 16, len(samples) // 64)
-        w.bits(0, 1)  # no transform
-        w.bits(0, 1)  # no colour cache
-        w.bits(0, 1)  # one group of codes
-        for alphabet in (LITERALS + LENGTHS, LITERALS, LITERALS, LITERALS):
-            _write_flat(w, symbols, size, alphabet)
-        _write_flat(w, [0], 0, DISTANCES)
-        if size:
-            code = np.zeros(256, np.uint8)
-            code[symbols] = np.arange(len(symbols))
-            order = samples.reshape(-1, 4)[:, [1, 0, 2, 3]].ravel()
-            head = np.frombuffer(w.bytes(), np.uint8)
-            lead = np.unpackbits(head, bitorder="little")[: w.n]
-            parts, carry = [], lead
-            for lo in range(0, len(order), 1 << 17):
-                bits = np.unpackbits(code[order[lo : lo + (1 << 17)]][:, None], axis=1)[:, 8 - size :].ravel()
-                bits = np.concatenate([carry, bits])
-                whole = len(bits) & ~7
-                parts.append(np.packbits(bits[:whole], bitorder="little").tobytes())
-                carry = bits[whole:]
-            parts.append(np.packbits(carry, bitorder="little").tobytes())
-            out.append(_file(b"".join(parts)))
-        else:
-            out.append(_file(w.bytes()))
-    return b"".join(out)
-
-
 def _huffman(counts: Counter, alphabet: int, most: int = 15) -> list[int]:
     """Code lengths of at most ``most``; counts are flattened until they fit."""
     lengths = [0] * alphabet
