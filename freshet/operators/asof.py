@@ -8,21 +8,35 @@ from pyspark.sql import functions as F
 from ..functions.exprs import epoch
 
 
+#: Least width in seconds of the time cells in which probes meet values, and its share of the tolerance.
+CELL_S, CELL_TOLERANCES = 86_400, 20
+
+
+def _neighbours(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Rows (key, _t, _p or null) with the last ``_p`` up to their time and the first one from it on.
+
+    Both are running values, one for each direction of time, so the work is linear in the rows.
+    """
+    upwards, downwards = Window.partitionBy(*key).orderBy("_t"), Window.partitionBy(*key).orderBy(F.desc("_t"))
+    so_far = lambda w: F.last("_p", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("_before", so_far(upwards)).withColumn("_after", so_far(downwards))
+
+
 def nearest(probes: DataFrame, series: DataFrame, tolerance_s: float, key: list[str], at: str = "t", ts: str = "ts", value: str = "x", name: str = "near") -> DataFrame:
     """Probes with the value nearest in time within the tolerance; of two equally near the later.
 
-    Probes and series are merged per key and scanned once in each direction; no pairs are made.
+    Probes meet values per key and cell of time, in which both are scanned once in each direction.
+    Values go to all cells from which they are within the tolerance, so cells need nothing of each
+    other and a long series is many tasks.
     """
     names = probes.columns
     kind = probes.select(F.struct(*names)).schema[0].dataType
+    width = max(CELL_S, CELL_TOLERANCES * float(tolerance_s))
+    cell = lambda t, shift=0.0: F.floor((epoch(t) + shift) / width)
     point = F.struct(F.col(ts).alias("t"), F.col(value).alias("v"))
-    a = series.filter(F.col(ts).isNotNull() & F.col(value).isNotNull()).select(*key, F.col(ts).alias("_t"), point.alias("_p"), F.lit(None).cast(kind).alias("_row"))
-    b = probes.select(*key, F.col(at).alias("_t"), F.lit(None).cast(a.schema["_p"].dataType).alias("_p"), F.struct(*names).alias("_row"))
-    order = Window.partitionBy(*key).orderBy("_t")
-    both = a.unionByName(b).withColumns({
-        "_before": F.last("_p", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)),
-        "_after": F.first("_p", ignorenulls=True).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing)),
-    })
+    a = series.filter(F.col(ts).isNotNull() & F.col(value).isNotNull()).select(*key, F.explode(F.sequence(cell(ts, -tolerance_s), cell(ts, tolerance_s))).alias("_cell"), F.col(ts).alias("_t"), point.alias("_p"), F.lit(None).cast(kind).alias("_row"))
+    b = probes.select(*key, cell(at).alias("_cell"), F.col(at).alias("_t"), F.lit(None).cast(a.schema["_p"].dataType).alias("_p"), F.struct(*names).alias("_row"))
+    both = _neighbours(a.unionByName(b), [*key, "_cell"])
     t = epoch("_t")
     before, after = t - epoch("_before.t"), epoch("_after.t") - t
     later = before.isNull() | (after <= before)
@@ -62,11 +76,7 @@ def snapped(anchors: DataFrame, series: DataFrame, key: list[str], at: str = "t"
     kind = anchors.select(F.struct(*names)).schema[0].dataType
     a = series.filter(F.col(ts).isNotNull()).select(*key, F.col(ts).alias("_t"), F.col(ts).alias("_p"), F.lit(None).cast(kind).alias("_row"))
     b = anchors.select(*key, F.date_trunc("HOUR", at).alias("_t"), F.lit(None).cast(a.schema["_p"].dataType).alias("_p"), F.struct(*names).alias("_row"))
-    order = Window.partitionBy(*key).orderBy("_t")
-    both = a.unionByName(b).withColumns({
-        "_before": F.last("_p", ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)),
-        "_after": F.first("_p", ignorenulls=True).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing)),
-    })
+    both = _neighbours(a.unionByName(b), key)
     earlier = F.col("_after").isNull() | (epoch("_t") - epoch("_before") <= epoch("_after") - epoch("_t"))
     return both.filter("_row is not null").select("_row.*", F.date_trunc("HOUR", F.when(F.col("_before").isNotNull() & earlier, F.col("_before")).otherwise(F.col("_after"))).alias("t0"))
 

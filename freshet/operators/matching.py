@@ -15,7 +15,7 @@ from .stats import capacity, quantile
 from .windows import is_peak_over
 
 #: Tolerances from strict to loose, by mode, of the published runs.
-TOLERANCES = {"value_pct": (0.01, 0.02, 0.05, 0.10, 0.15, 0.20, 0.30), "quantile": (0.01, 0.02, 0.05, 0.10, 0.15)}
+TOLERANCES = {"value_pct": (0.01, 0.02, 0.05, 0.10, 0.15, 0.20, 0.30), "quantile": (0.005, 0.01, 0.02, 0.05, 0.10)}
 TARGETS = ("gw", "q", "prsum", "both", "both_qweighted", "all3")
 DAY = 86_400
 
@@ -49,21 +49,29 @@ def distances(candidates: DataFrame, events: DataFrame, mode: str, key: str = "g
     Minima are taken per measure, so the parts of a combined distance may belong to different
     events; the matched event is that of gw except for q and prsum.
     """
-    e = events.select(F.col(key).alias("_k"), "event_ord", "gw_event", "q_event", "prsum_event")
-    pairs = candidates.join(e, F.col(key) == F.col("_k"))
-    parts = {v: distance(F.col(v), F.col(f"{v}_event"), mode) for v in ("gw", "q", "prsum")}
-    d = pairs.select(*[F.col(c) for c in candidates.columns], "event_ord", *[x.alias(f"_{v}") for v, x in parts.items()])
-    out = d.groupBy(*candidates.columns).agg(
-        *[F.min(f"_{v}").alias(f"{v}_dist") for v in parts],
-        *[F.min_by("event_ord", F.struct(F.coalesce(f"_{v}", F.lit(float("inf"))), "event_ord")).alias(f"{v}_event_ord") for v in parts],
-    )
+    if q_weight < 0:
+        raise ValueError("q_weight must not be negative")
+    measures = ("gw", "q", "prsum")
+    # The catalogue's events of a key travel as one array, so candidates aren't multiplied.
+    e = events.groupBy(F.col(key).alias("_k")).agg(F.collect_list(F.struct("event_ord", *[F.col(f"{v}_event").cast("double").alias(v) for v in measures])).alias("_e"))
+    out = candidates.join(e, F.col(key) == F.col("_k"))
+
+    def least(v: str) -> Column:
+        far = F.lit(float("inf"))
+        return F.array_min(F.transform("_e", lambda x: F.struct(F.coalesce(distance(F.col(v), x[v], mode), far).alias("d"), x["event_ord"].alias("o"))))
+
+    out = out.withColumns({f"_{v}": least(v) for v in measures})
+    there = lambda v: F.when(F.col(f"_{v}.d") < float("inf"), F.col(f"_{v}.d"))
+    out = out.select(*[F.col(c) for c in candidates.columns], *[there(v).alias(f"{v}_dist") for v in measures], *[F.col(f"_{v}.o").alias(f"{v}_event_ord") for v in measures])
     gw, q, pr = F.col("gw_dist"), F.col("q_dist"), F.col("prsum_dist")
     return out.withColumns({"both_dist": all_greatest(gw, pr), "all3_dist": all_greatest(gw, pr, q)}).withColumn("both_qweighted_dist", F.col("both_dist") + F.lit(float(q_weight)) * q)
 
 
-def greedy(ranked: DataFrame, n_controls: int, min_per_year: int, separation_days: float, tolerances: tuple[float, ...], key: str = "guid", ts: str = "t_anchor", dist: str = "dist") -> DataFrame:
+def greedy(ranked: DataFrame, n_controls: int, min_per_year: int, separation_days: float, tolerances: tuple[float, ...], key: str = "guid", ts: str = "t_anchor", dist: str = "dist", seed: int | None = None) -> DataFrame:
     """(key, t_anchor, dist, year, tier, tolerance, rank): chosen controls per key.
 
+    Equal distances are taken by time, or with ``seed`` in the order of a hash of the time.
+
     Phase 1 goes through tiers and years and takes up to ``min_per_year`` per tier and year while
     the key lacks controls at the start of the year; phase 2 fills up by tier; rows beyond the
     loosest tolerance come last, as tier n + 1 without a tolerance.  Chosen times lie at least
@@ -72,9 +80,9 @@ def greedy(ranked: DataFrame, n_controls: int, min_per_year: int, separation_day
     tier = F.lit(len(tolerances) + 1)
     for i, t in reversed(list(enumerate(tolerances, 1))):
         tier = F.when(F.col(dist) <= t, F.lit(i)).otherwise(tier)
-    rows = ranked.filter(F.col(dist).isNotNull()).select(key, F.unix_micros(F.date_trunc("HOUR", ts)).alias("h"), F.unix_micros(ts).alias("t"), F.col(dist).alias("d"), F.year(ts).alias("y"), tier.alias("tier"))
-    first = rows.filter(F.col("tier") <= len(tolerances)).select(key, F.struct(F.lit(1).alias("phase"), F.col("tier"), F.col("y").alias("g"), "d", "t", "h", "y").alias("r"))
-    second = rows.select(key, F.struct(F.lit(2).alias("phase"), F.col("tier"), F.lit(0).alias("g"), "d", "t", "h", "y").alias("r"))
+    rows = ranked.filter(F.col(dist).isNotNull()).select(key, F.unix_micros(F.date_trunc("HOUR", ts)).alias("h"), F.unix_micros(ts).alias("t"), F.col(dist).alias("d"), F.year(ts).alias("y"), tier.alias("tier"), (F.lit(0).cast("long") if seed is None else F.xxhash64(F.lit(seed), F.unix_micros(ts))).alias("o"))
+    first = rows.filter(F.col("tier") <= len(tolerances)).select(key, F.struct(F.lit(1).alias("phase"), F.col("tier"), F.col("y").alias("g"), "d", "o", "t", "h", "y").alias("r"))
+    second = rows.select(key, F.struct(F.lit(2).alias("phase"), F.col("tier"), F.lit(0).alias("g"), "d", "o", "t", "h", "y").alias("r"))
     listed = first.unionByName(second).groupBy(key).agg(F.sort_array(F.collect_list("r")).alias("rows"))
     apart = int(separation_days * DAY * 1_000_000)
     zero = F.expr("named_struct('picks', cast(array() as array<struct<tier:int,d:double,t:bigint,h:bigint,y:int>>), 'tier', 0, 'g', 0, 'phase', 0, 'before', 0, 'taken', 0)")
@@ -99,29 +107,32 @@ def greedy(ranked: DataFrame, n_controls: int, min_per_year: int, separation_day
     return out.withColumn("tolerance", limit).withColumn("rank", rank).filter(F.col("rank") <= n_controls)
 
 
-def controls(matched: DataFrame, target: str, mode: str = "value_pct", n_controls: int = 25, min_per_year: int = 2, separation_days: float = 7, tolerances: tuple[float, ...] | None = None, key: str = "guid") -> DataFrame:
+def controls(matched: DataFrame, target: str, mode: str = "value_pct", n_controls: int = 25, min_per_year: int = 2, separation_days: float = 7, tolerances: tuple[float, ...] | None = None, key: str = "guid", seed: int | None = None) -> DataFrame:
     """Controls from ``distances`` for one target, with the matched event."""
     if target not in TARGETS:
         raise ValueError(f"unknown match target {target!r}")
     if mode not in TOLERANCES:
         raise ValueError(f"unknown match mode {mode!r}")
     event = f"{target}_event_ord" if target in ("gw", "q", "prsum") else "gw_event_ord"
-    picked = greedy(matched.select(key, "t_anchor", F.col(f"{target}_dist").alias("dist")), n_controls, min_per_year, separation_days, tolerances or TOLERANCES[mode], key)
+    picked = greedy(matched.select(key, "t_anchor", F.col(f"{target}_dist").alias("dist")), n_controls, min_per_year, separation_days, tolerances or TOLERANCES[mode], key, seed=seed)
     more = matched.select(key, "t_anchor", F.col(event).alias("event_ord"), *[c for c in matched.columns if c.endswith("_dist")])
     source = F.when(F.col("tolerance").isNull(), F.lit(f"{target}_best_extra")).otherwise(F.lit(target))
     return picked.join(more, [key, "t_anchor"]).withColumns({"match_target": F.lit(target), "match_mode": F.lit(mode), "match_source": source})
 
 
-def pot_peaks(series: DataFrame, events: DataFrame, *, q: float = 0.9, cap: str | None = None, cap_fraction: float | None = None, buffer_days: int = 14, separation_days: float = 7, per_year: int = 3, key: str = "guid", ts: str = "ts", value: str = "x") -> DataFrame:
-    """Peaks over a threshold outside event buffers, declustered per year from the highest down."""
+def pot_peaks(series: DataFrame, events: DataFrame, *, q: float = 0.95, cap: str | None = None, cap_fraction: float | None = None, buffer_days: int = 3, separation_days: float = 7, per_year: int = 2, key: str = "guid", ts: str = "ts", value: str = "x") -> DataFrame:
+    """Peaks over a threshold outside event buffers, declustered per year from the highest down.
+
+    Peaks are found on the rows as they are; their times and those of events then count by the hour.
+    """
     thr = quantile(value, q, key)
     if cap is not None and cap_fraction is not None:
         c = capacity(cap, ts, key)
         thr = F.when(c > 0, F.lit(float(cap_fraction)) * c).otherwise(thr)
-    peaks = series.withColumn("_thr", thr).withColumn("_peak", is_peak_over(value, F.col("_thr"), key, ts)).filter("_peak")
+    peaks = series.withColumn("_thr", thr).withColumn("_peak", is_peak_over(value, F.col("_thr"), key, ts)).filter("_peak").withColumn(ts, F.date_trunc("HOUR", ts))
     width = max(1, buffer_days) * DAY
-    cell = F.floor(epoch("event_time") / width)
-    near = events.select(F.col(key).alias("_k"), F.col("event_time").alias("_e"), F.explode(F.sequence(cell - 1, cell + 1)).alias("_cell"))
+    cell = F.floor(epoch(F.date_trunc("HOUR", "event_time")) / width)
+    near = events.select(F.col(key).alias("_k"), F.date_trunc("HOUR", "event_time").alias("_e"), F.explode(F.sequence(cell - 1, cell + 1)).alias("_cell"))
     close = (F.col(key) == F.col("_k")) & (F.floor(epoch(ts) / width) == F.col("_cell")) & (F.abs(epoch(ts) - epoch("_e")) <= buffer_days * DAY)
     left = peaks.join(near, close, "left_anti").select(key, F.year(ts).alias("year"), F.struct((-F.col(value)).alias("d"), F.unix_micros(ts).alias("t")).alias("r"))
     listed = left.groupBy(key, "year").agg(F.sort_array(F.collect_list("r")).alias("rows"))

@@ -58,12 +58,12 @@ YEARLY_EVENTS = """SELECT guid, ts AS event_time, CAST(row_number() OVER (PARTIT
 
 
 def probes(hours: DataFrame) -> DataFrame:
-    """Anchors: every catchment's five wettest hours, ties by time."""
-    r = F.row_number().over(Window.partitionBy("guid").orderBy(F.desc("pr"), "ts"))
-    return hours.withColumn("_r", r).filter("_r <= 5").select("guid", F.col("ts").alias("t0"))
+    """Anchors: all hours with more rain than nine tenths of the catchment's hours."""
+    heavy = F.percentile("pr", F.lit(0.9)).over(Window.partitionBy("guid"))
+    return hours.withColumn("_q", heavy).filter("pr > _q").select("guid", F.col("ts").alias("t0"))
 
 
-PROBES = "SELECT guid, ts AS t0 FROM (SELECT *, row_number() OVER (PARTITION BY guid ORDER BY pr DESC, ts) AS r FROM hourly) WHERE r <= 5"
+PROBES = "SELECT guid, ts AS t0 FROM (SELECT guid, ts, pr, quantile_cont(pr, 0.9) OVER (PARTITION BY guid) AS heavy FROM hourly) WHERE pr > heavy"
 
 
 def sql(body: str, *ctes: tuple[str, str], recursive: bool = False) -> str:

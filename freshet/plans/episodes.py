@@ -16,6 +16,7 @@ from ..functions.exprs import epoch, ratio
 from ..operators.asof import nearest, regular_sum
 from ..operators.peaks import first_crossing, hours_over, max_before, nearest_peak, steepest
 from ..operators.stats import rank_in
+from ..sources.sinks import settled
 
 LAGS = (3, 6, 12, 24, 48, 72)
 VARIABLES = ("gw", "q", "qmm", "sm", "of", "pr", "tmp", "swe")
@@ -149,17 +150,23 @@ def derived(lags: tuple[int, ...], before_h: int, c=F.col) -> dict[str, Column]:
     return out
 
 
-def episodes(anchors: DataFrame, series: DataFrame, params: DataFrame, *, lags: tuple[int, ...] = LAGS, before_h: int = 72, after_h: int = 72, tolerance_s: float = 1800, gw_act_q: float = 0.99, q_act_q: float = 0.99, gw_def: str = "gw") -> DataFrame:
+def episodes(anchors: DataFrame, series: DataFrame, params: DataFrame, *, lags: tuple[int, ...] = LAGS, before_h: int = 72, after_h: int = 72, tolerance_s: float = 1800, gw_act_q: float = 0.99, q_act_q: float = 0.99, gw_def: str = "gw", gw_sm_weight: float = 1.0) -> DataFrame:
     """Wide rows for anchors (guid, t0, y) from the long series of VARIABLES.
 
-    ``params`` has one row per catchment: guid, cap, area_km2, HI, MRT, meandailyT.
+    ``params`` has one row per catchment: guid, cap, area_km2, HI, MRT, meandailyT.  With ``gw_def``
+    "gw_plus_sm" the groundwater signal is gw plus weighted sm, where both are there.
     """
+    if gw_def not in ("gw", "gw_plus_sm"):
+        raise ValueError(f"unknown groundwater signal {gw_def!r}")
+    if gw_def == "gw_plus_sm":
+        own = lambda v: series.filter(F.col("var") == v).select("guid", "ts", F.col("x").alias(f"_{v}"))
+        both = own("gw").join(own("sm"), ["guid", "ts"]).select("guid", F.lit("gw").alias("var"), "ts", (F.col("_gw") + F.lit(float(gw_sm_weight)) * F.col("_sm")).alias("x"))
+        series = series.filter("var != 'gw'").select("guid", "var", "ts", "x").unionByName(both)
     lags = tuple(sorted(set(lags)))
-    at = anchors.select("guid", "t0").distinct().persist()
-    # Used by many features each; kept in memory or on disk, and made again if an executor is lost.
-    series = series.persist()
-    rate_rows = rates(series.filter(F.col("var") != "tmp"), lags, tolerance_s).persist()
-    sum_rows = sums(series, lags, tolerance_s).persist()
+    # Used by many features each: written once, so that the plans of the features stay small.
+    at, series = settled(anchors.select("guid", "t0").distinct(), "anchors"), settled(series, "series")
+    rate_rows = settled(rates(series.filter(F.col("var") != "tmp"), lags, tolerance_s), "rates")
+    sum_rows = settled(sums(series, lags, tolerance_s), "sums")
     v, h = F.col("var"), F.col("H").cast("string")
 
     a = anchor_features(at, series, tolerance_s)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions.exprs import at_least, epoch, excess
 from .operators import asof, matching, peaks, series, stats, windows
 from .plans import driver_tables as dt
 from .plans import episodes as ep
+from .plans import matching as plan
 from .plans import panels, stress
 from .sources import catalogue, simulation
 
@@ -402,18 +404,47 @@ def event_buffer_anti(spark, sf_dir):
 _DIST = {"value_pct": "CASE WHEN abs(e.{0}) > 0 THEN abs(c.{0} - e.{0}) / abs(e.{0}) END", "quantile": "abs(c.{0} - e.{0})"}
 
 
-def _match_sql(mode: str) -> str:
+def _match_sql(mode: str, body: str | None = None, *more: tuple[str, str]) -> str:
     cols = "gw, q, pr" if mode == "value_pct" else "cume_dist() OVER (PARTITION BY guid ORDER BY gw) AS gw, cume_dist() OVER (PARTITION BY guid ORDER BY q) AS q, cume_dist() OVER (PARTITION BY guid ORDER BY pr) AS pr"
     d = ", ".join(f"{_DIST[mode].format(v)} AS d{v}" for v in ("gw", "q", "pr"))
     agg = ", ".join(f"min(d{v}) AS d{v}, CAST(arg_min(event_ord, {{'d': coalesce(d{v}, 'inf'::DOUBLE), 'o': event_ord}}) AS INT) AS o{v}" for v in ("gw", "q", "pr"))
     both = "CASE WHEN dgw IS NOT NULL AND dpr IS NOT NULL THEN greatest(dgw, dpr) END"
     all3 = "CASE WHEN dgw IS NOT NULL AND dpr IS NOT NULL AND dq IS NOT NULL THEN greatest(dgw, dpr, dq) END"
     out = f"round(dgw, 6) AS gw_dist, round(dq, 6) AS q_dist, round(dpr, 6) AS prsum_dist, ogw AS gw_event_ord, oq AS q_event_ord, opr AS prsum_event_ord, round({both}, 6) AS both_dist, round({all3}, 6) AS all3_dist, round({both} + 0.2 * dq, 6) AS both_qweighted_dist"
-    return dt.sql(
-        f"SELECT guid, t_anchor, {out} FROM (SELECT guid, t_anchor, {agg} FROM (SELECT c.guid, c.t_anchor, e.event_ord, {d} FROM cand c JOIN ev e ON c.guid = e.guid) GROUP BY 1, 2)",
+    ctes = (
         ("pool_", _POOL_SQL), ("vals", f"SELECT guid, ts, {cols} FROM daily"), ("cand", "SELECT p.guid, p.t_anchor, v.gw, v.q, v.pr FROM pool_ p JOIN vals v ON v.guid = p.guid AND v.ts = p.t_anchor"),
         ("ev", "SELECT y.guid, y.event_ord, v.gw, v.q, v.pr FROM yearly y JOIN vals v ON v.guid = y.guid AND v.ts = y.event_time"),
+        ("best", f"SELECT guid, t_anchor, {agg} FROM (SELECT c.guid, c.t_anchor, e.event_ord, {d} FROM cand c JOIN ev e ON c.guid = e.guid) GROUP BY 1, 2"),
     )
+    if body is None:
+        return dt.sql(f"SELECT guid, t_anchor, {out} FROM best", *ctes)
+    return dt.sql(body, *ctes, ("matched", f"SELECT *, dgw AS d_gw, {all3} AS d_all3 FROM best"), *more, recursive=True)
+
+
+def _greedy_sql(ranked: str, ladder: tuple[float, ...], n: int = 25, per_year: int = 2, apart: int = 7 * 86_400) -> tuple[tuple[str, str], ...]:
+    """Views up to ``chosen`` (guid, t_anchor, dist, year, tier, tolerance, rank): greedy selection row by row from (guid, t_anchor, dist)."""
+    tier = "CASE " + " ".join(f"WHEN dist <= {t} THEN {i}" for i, t in enumerate(ladder, 1)) + f" ELSE {len(ladder) + 1} END"
+    limit = "CASE tier " + " ".join(f"WHEN {i} THEN {t}::DOUBLE" for i, t in enumerate(ladder, 1)) + " END"
+    new = "(w.phase <> r.phase OR w.tier <> r.tier OR w.g <> r.g)"
+    return (
+        ("ranked", f"SELECT guid, t_anchor, dist, CAST(epoch(t_anchor) AS BIGINT) AS t, CAST(epoch(date_trunc('hour', t_anchor)) AS BIGINT) AS h, CAST(year(t_anchor) AS INT) AS y, {tier} AS tier FROM ({ranked}) WHERE dist IS NOT NULL"),
+        ("both_", f"SELECT *, 1 AS phase, y AS g FROM ranked WHERE tier <= {len(ladder)} UNION ALL SELECT *, 2, 0 FROM ranked"),
+        ("queue", "SELECT *, row_number() OVER (PARTITION BY guid ORDER BY phase, tier, g, dist, t) AS n FROM both_"),
+        ("walk", f"""SELECT DISTINCT guid, 0::BIGINT AS n, CAST([] AS STRUCT(t BIGINT, h BIGINT, d DOUBLE, y INT, tier INT)[]) AS picks, 0 AS phase, 0 AS tier, 0 AS g, 0::BIGINT AS before_, 0 AS taken FROM queue
+ UNION ALL SELECT guid, n, CASE WHEN ok THEN list_append(picks, {{'t': t, 'h': h, 'd': dist, 'y': y, 'tier': tier}}) ELSE picks END, phase, tier, g, before_, taken + CASE WHEN ok THEN 1 ELSE 0 END FROM (
+ SELECT *, (CASE WHEN phase = 1 THEN before_ < {n} AND taken < {per_year} ELSE len(picks) < {n} END) AND free AS ok FROM (
+ SELECT r.guid, r.n, w.picks, r.phase, r.tier, r.g, r.t, r.h, r.dist, r.y, CASE WHEN {new} THEN len(w.picks) ELSE w.before_ END AS before_, CASE WHEN {new} THEN 0 ELSE w.taken END AS taken,
+ len(list_filter(w.picks, lambda p: abs(p.h - r.h) < {apart} OR p.t = r.t)) = 0 AS free FROM walk w JOIN queue r ON r.guid = w.guid AND r.n = w.n + 1))"""),
+        ("last_", "SELECT guid, unnest(arg_max(picks, n)) AS p FROM walk GROUP BY guid"),
+        ("chosen", f"SELECT guid, make_timestamp(p.t * 1000000) AS t_anchor, p.d AS dist, p.y AS year, p.tier AS tier, {limit.replace('tier', 'p.tier')} AS tolerance, row_number() OVER (PARTITION BY guid ORDER BY p.tier, p.d, p.t) AS rank FROM last_"),
+    )
+
+
+def _controls_sql(body: str, target: str = "gw", mode: str = "value_pct") -> str:
+    return _match_sql(mode, body, *_greedy_sql(f"SELECT guid, t_anchor, d_{target} AS dist FROM matched", matching.TOLERANCES[mode]))
+
+
+_CONTROLS = "SELECT c.guid, c.t_anchor, CAST(c.rank AS INT) AS rank, c.tier, c.tolerance, round(c.dist, 6) AS dist, m.ogw AS event_ord, CASE WHEN c.tolerance IS NULL THEN '{0}_best_extra' ELSE '{0}' END AS match_source FROM chosen c JOIN matched m ON m.guid = c.guid AND m.t_anchor = c.t_anchor WHERE c.rank <= 25"
 
 
 def _matched(spark, sf_dir, mode):
@@ -443,31 +474,84 @@ def _controls(spark, sf_dir, target="gw", mode="value_pct"):
     return matching.controls(_matched(spark, sf_dir, mode), target, mode)
 
 
-@query()
+@query(_controls_sql(_CONTROLS.format("gw")))
 def controls_greedy(spark, sf_dir):
     return _controls(spark, sf_dir).select("guid", "t_anchor", "rank", "tier", "tolerance", _r(F.col("dist"), "dist"), "event_ord", "match_source")
 
 
-@query()
+@query(_controls_sql(_CONTROLS.format("all3"), "all3", "quantile"))
 def controls_all3_quantile(spark, sf_dir):
     return _controls(spark, sf_dir, "all3", "quantile").select("guid", "t_anchor", "rank", "tier", "tolerance", _r(F.col("dist"), "dist"), "event_ord", "match_source")
 
 
-@query()
+@query(_controls_sql("SELECT guid, tier, tolerance, count(*) AS n FROM chosen WHERE rank <= 25 GROUP BY 1, 2, 3"))
 def tier_histogram(spark, sf_dir):
     return stats.histogram(_controls(spark, sf_dir), ["guid", "tier", "tolerance"])
 
 
-@query()
+@query(_controls_sql("SELECT guid, t_anchor, tier, round(dist, 6) AS dist FROM (SELECT * FROM chosen WHERE rank <= 25 ORDER BY dist DESC, guid, t_anchor LIMIT 10)"))
 def worst_matches(spark, sf_dir):
     """The report of the ten worst matches."""
     return _controls(spark, sf_dir).orderBy(F.desc("dist"), "guid", "t_anchor").limit(10).select("guid", "t_anchor", "tier", _r(F.col("dist"), "dist"))
 
 
-@query()
+_POT = (
+    ("thr", "SELECT guid, ts, gw AS x, quantile_cont(gw, 0.95) OVER (PARTITION BY guid) AS thr, lag(gw) OVER (PARTITION BY guid ORDER BY ts) AS b, lead(gw) OVER (PARTITION BY guid ORDER BY ts) AS a FROM daily"),
+    ("peak", "SELECT guid, ts, x, year(ts) AS y FROM thr t WHERE x > b AND x >= a AND x > thr AND NOT EXISTS (SELECT 1 FROM yearly e WHERE e.guid = t.guid AND abs(epoch(t.ts) - epoch(e.event_time)) <= 3 * 86400)"),
+    ("one", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY guid, y ORDER BY x DESC, ts) AS r FROM peak) WHERE r = 1"),
+    ("two", "SELECT * FROM (SELECT p.*, row_number() OVER (PARTITION BY p.guid, p.y ORDER BY p.x DESC, p.ts) AS r FROM peak p JOIN one o ON o.guid = p.guid AND o.y = p.y WHERE abs(epoch(p.ts) - epoch(o.ts)) >= 7 * 86400) WHERE r = 1"),
+)
+
+
+@query(dt.sql("SELECT guid, ts AS t_anchor, x AS peak_value, CAST(y AS INT) AS year, 1 AS rank_in_year FROM one UNION ALL SELECT guid, ts, x, CAST(y AS INT), 2 FROM two", *_POT))
 def pot_peaks(spark, sf_dir):
+    """Two peaks a year at most, away from the yearly events."""
     d = dt.daily(spark, sf_dir)
-    return matching.pot_peaks(d.select("guid", "ts", F.col("gw").alias("x")), dt.yearly_events(d), q=0.7)
+    return matching.pot_peaks(d.select("guid", "ts", F.col("gw").alias("x")), dt.yearly_events(d))
+
+
+def weekly_events(hours):
+    """The hour with the highest gw per catchment and week."""
+    w = F.row_number().over(Window.partitionBy("guid", F.date_trunc("WEEK", "ts")).orderBy(F.desc("gw"), "ts"))
+    return hours.withColumn("_r", w).filter("_r = 1").select("guid", F.col("ts").alias("event_time"), F.date_format("ts", "yyyyMMddHH").alias("SkredID"), F.lit(None).cast("string").alias("No"))
+
+
+_ANCHORS = dict(season_days=5, buffer_days=2, separation_days=1, prsum_lag_h=6, min_per_year=2)
+_RANKS = ", ".join(f"CASE WHEN {v} IS NOT NULL THEN cume_dist() OVER (PARTITION BY guid, {v} IS NOT NULL ORDER BY {v}) END AS {r}" for v, r in (("gw", "gwq"), ("q", "qq"), ("s", "sq")))
+_ANCHOR_VIEWS = (
+    *_SUMS,
+    ("vals", f"SELECT guid, ts, gw, q, s, {_RANKS} FROM (SELECT guid, ts, h.gw, h.q, m.s FROM sm6 m LEFT JOIN hourly h USING (guid, ts))"),
+    ("ev", "SELECT *, row_number() OVER (PARTITION BY guid ORDER BY ts) - 1 AS o FROM (SELECT *, row_number() OVER (PARTITION BY guid, date_trunc('week', ts) ORDER BY gw DESC, ts) AS r FROM vals WHERE gw IS NOT NULL) WHERE r = 1"),
+    ("cand", "SELECT * FROM vals c WHERE gw IS NOT NULL AND EXISTS (SELECT 1 FROM ev e WHERE e.guid = c.guid AND least(abs(dayofyear(c.ts) - dayofyear(e.ts)), 366 - abs(dayofyear(c.ts) - dayofyear(e.ts))) <= 5) AND NOT EXISTS (SELECT 1 FROM ev e WHERE e.guid = c.guid AND abs(epoch(c.ts) - epoch(e.ts)) <= 2 * 86400)"),
+    ("best", "SELECT guid, ts AS t_anchor, min(d) AS d, arg_min(o, {'d': d, 'o': o}) AS o FROM (SELECT c.guid, c.ts, e.o, abs(c.gw - e.gw) / abs(e.gw) AS d FROM cand c JOIN ev e ON e.guid = c.guid) GROUP BY 1, 2"),
+)
+_LADDER = ",".join(map(str, matching.TOLERANCES["value_pct"]))
+
+
+def _anchors_sql(body: str) -> str:
+    return dt.sql(body, *_ANCHOR_VIEWS, *_greedy_sql("SELECT guid, t_anchor, d AS dist FROM best", matching.TOLERANCES["value_pct"], apart=86_400), recursive=True)
+
+
+@query(_anchors_sql(f"""SELECT c.guid AS "GUID", c.t_anchor, CAST(c.rank AS INT) AS rank, 'matched' AS "group", CASE WHEN c.tolerance IS NULL THEN 'gw_best_extra' ELSE 'gw' END AS match_source, c.tolerance AS match_tolerance_used, c.tier AS match_tier, round(c.dist, 6) AS match_distance, c.year, CAST(dayofyear(c.t_anchor) AS INT) AS doy,
+ round(a.gw, 6) AS gw0_anchor, round(a.gwq, 6) AS gwq_anchor, round(a.s, 6) AS prsum_anchor, round(a.sq, 6) AS prsum_q_anchor, round(a.q, 6) AS q0_anchor, round(a.qq, 6) AS qq_anchor, e.ts AS matched_event_time,
+ round(e.gw, 6) AS gw0_event, round(e.gwq, 6) AS gwq_event, round(e.s, 6) AS prsum_event, round(e.sq, 6) AS prsum_q_event, round(e.q, 6) AS q0_event, round(e.qq, 6) AS qq_event, 5 AS season_days, 2 AS exclude_event_buffer_days, 25 AS n_controls, 'gw' AS match_target, 'value_pct' AS match_mode,
+ '{_LADDER}' AS value_tolerance_levels, '' AS quantile_tolerance_levels, 6 AS prsum_lag_h, 0.1::DOUBLE AS q_weight, 1 AS decluster_days
+ FROM chosen c JOIN vals a ON a.guid = c.guid AND a.ts = c.t_anchor JOIN best b ON b.guid = c.guid AND b.t_anchor = c.t_anchor JOIN ev e ON e.guid = c.guid AND e.o = b.o WHERE c.rank <= 25"""))
+def matched_anchors(spark, sf_dir):
+    """The 33 columns of the controls of weekly events."""
+    h = dt.hourly(spark, sf_dir)
+    out = plan.matched_anchors(weekly_events(h), h, **_ANCHORS)
+    return out.select(*[_r(F.col(c), c) if c == "match_distance" or c.endswith(("_anchor", "_event")) and c != "t_anchor" else F.col(c) for c in out.columns])
+
+
+@query(_anchors_sql("""SELECT guid AS "GUID", ts AS t0, 1 AS y, strftime(ts, '%Y%m%d%H') AS "SkredID", CAST(NULL AS DOUBLE) AS ne_rank, CAST(NULL AS DOUBLE) AS ne_match_distance, round(gw, 6) AS gw0, round(gwq, 6) AS gwq, round(s, 6) AS "prS6b" FROM ev
+ UNION ALL SELECT c.guid, c.t_anchor, 0, NULL, CAST(c.rank AS DOUBLE), round(c.dist, 6), round(v.gw, 6), round(v.gwq, 6), round(v.s, 6) FROM chosen c JOIN vals v ON v.guid = c.guid AND v.ts = c.t_anchor WHERE c.rank <= 25"""))
+def episodes_matched(spark, sf_dir):
+    """Events and their controls in one table, all of them; a few of its columns, as the SQL has those."""
+    _, s, p = _episode_inputs(spark, sf_dir)
+    h = dt.hourly(spark, sf_dir)
+    rows, _ = plan.build_episodes(weekly_events(h), h, s, p, lags=(6,), **_ANCHORS)
+    return rows.select("GUID", "t0", "y", "SkredID", F.col("ne_rank").cast("double").alias("ne_rank"), _r(F.col("ne_match_distance"), "ne_match_distance"), _r(F.col("gw0"), "gw0"), _r(F.col("gwq"), "gwq"), _r(F.col("prS6b"), "prS6b"))
 
 
 # --- episodes ---------------------------------------------------------------------------------

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from dataclasses import asdict, is_dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,3 +33,22 @@ def run_settings(spark: SparkSession, cfg) -> DataFrame:
 def result_folders(input_dir: str) -> dict[str, str]:
     base = input_dir.rstrip("/") + "_results"
     return {"results": base, "plots": base + "/plots"}
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """Write to the folder that spark.checkpoint.dir names and read back: plans and lineage end there.
+
+    Lost executors take nothing with them, and nothing is held in memory.  Where the setting is
+    absent and Spark runs on one machine it is set to a temporary folder; on a cluster it is
+    asked for, as no folder of one machine would do.
+    """
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="freshet-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

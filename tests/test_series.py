@@ -167,3 +167,31 @@ def test_legacy_rows_have_ranks_for_all_lags(spark):
     at = spark.createDataFrame([("a", T0 + timedelta(hours=6))], "guid string, t0 timestamp")
     names = {r["name"] for r in ep.legacy_features(at, s, lags=(3,)).select("name").distinct().collect()}
     assert {f"gw{k}3{side}{x}" for k in "mn" for side in "ab" for x in ("", "_t", "_0", "_q")} <= names
+
+
+def test_negative_weight_is_refused(spark):
+    c = spark.createDataFrame([], "guid string, t_anchor timestamp, gw double, q double, prsum double")
+    e = spark.createDataFrame([], "guid string, event_ord int, gw_event double, q_event double, prsum_event double")
+    with pytest.raises(ValueError):
+        matching.distances(c, e, "value_pct", q_weight=-0.1)
+
+
+def test_nearest_is_brute_force_across_cells(spark):
+    rng = random.Random(3)
+    points = {rng.randrange(0, 400_000): float(i) for i in range(120)}
+    probes = [rng.randrange(-90_000, 500_000) for _ in range(150)]
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    series = spark.createDataFrame([("a", at(s), x) for s, x in points.items()] + [("b", at(0), 1.0)], "k string, ts timestamp, x double")
+    got = asof.nearest(spark.createDataFrame([("a", i, at(s)) for i, s in enumerate(probes)], "k string, i int, t timestamp"), series, 1800, ["k"]).collect()
+    assert len(got) == len(probes)
+    for r in got:
+        s = probes[r["i"]]
+        best = min(points, key=lambda p: (abs(p - s), -p))
+        assert r["near"] == (points[best] if abs(best - s) <= 1800 else None)
+
+
+def test_equal_distances_by_seed(spark):
+    rows = spark.createDataFrame([("a", datetime(2020, 1, 1) + timedelta(days=10 * i), 0.0) for i in range(20)], "guid string, t_anchor timestamp, dist double")
+    pick = lambda seed: [r["t_anchor"] for r in matching.greedy(rows, 5, 5, 1, (0.1,), seed=seed).orderBy("t_anchor").collect()]
+    assert pick(None) == [datetime(2020, 1, 1) + timedelta(days=10 * i) for i in range(5)]
+    assert pick(1) == pick(1) and len({tuple(pick(s)) for s in (None, 1, 2)}) == 3
