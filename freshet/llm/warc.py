@@ -10,8 +10,11 @@ key, time and id.  Runs are cut at common splitters and each range merges its pa
 by a loser tree, so ranges one after the other are the globally ordered capture histories.
 
 Defined cases: a null payload is empty; a null URL has an empty key and no target header; equal
-rows are all responses (or all revisits of a smaller id); a null id is archived under no number
-and is a response; an empty table gives an empty result.
+rows, and rows with one id and payload, are all responses (or all revisits of a smaller id); a
+null id is archived under no number and counts as larger than all others, so it revisits a page
+with an id and is a response if there is none; payloads of any length are one record; columns
+besides the id, URL and html are left out, whatever they are called; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ from pyspark.sql import functions as F
 from .common import materialise, shard_count
 
 LEVEL = 4
+#: Bytes of an archive that are decompressed at a time, and of the compressed input that one archive should hold.
+SLICE, SHARD_BYTES = 1 << 14, 1 << 18
 #: Record ids are this prefix and the page's number.
 RECORDS = 0x5F0E5EED00004000 << 64
 EPOCH = 1_704_067_200
@@ -94,9 +99,14 @@ def read_records(archive: bytes):
     """(offset, length, headers, HTTP headers, payload) of each record of an archive."""
     at = 0
     while at < len(archive):
-        z = zlib.decompressobj(31)
-        body = z.decompress(memoryview(archive)[at:]) + z.flush()
-        size = len(archive) - at - len(z.unused_data)
+        z, end, parts = zlib.decompressobj(31), at, []
+        while not z.eof:  # by slices, as what follows the record is copied each time
+            part = archive[end : end + SLICE]
+            if not part:
+                raise ValueError(f"the record at byte {at} ends early")
+            parts.append(z.decompress(part))
+            end += len(part)
+        body, size = b"".join(parts), end - at - len(z.unused_data)
         head, _, rest = body.partition(b"\r\n\r\n")
         if not head.startswith(b"WARC/1."):
             raise ValueError(f"no WARC record at byte {at}")
@@ -162,7 +172,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
     ``seconds``: capture time of a row as Unix seconds; by default the epoch plus the id.
     """
-    shards = shard_count(pages, least=16)
+    shards = shard_count(pages, SHARD_BYTES, least=16)
     html = F.coalesce(F.col(html_col).cast("string").cast("binary"), F.lit(b""))
     rows = pages.select(
         F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.col(url_col)), F.lit(shards)).cast("int").alias("shard"),
@@ -173,7 +183,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
         F.sha1(html).alias("digest"),
     )
     firsts = rows.filter(F.octet_length("html") >= least_payload).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
-    revisits = rows.filter(F.octet_length("html") >= least_payload).select("shard", "id", "digest").join(firsts, "digest").filter("id != first").groupBy(F.col("shard").alias("to"), F.col("id").alias("number"), F.col("digest").alias("payload")).agg(F.min("first").alias("first"))
+    revisits = rows.filter(F.octet_length("html") >= least_payload).select("shard", "id", "digest").join(firsts, "digest").filter("first is not null and not (id <=> first)").groupBy(F.col("shard").alias("to"), F.col("id").alias("number"), F.col("digest").alias("payload")).agg(F.min("first").alias("first"))
     return materialise(rows.groupBy("shard").cogroup(revisits.groupBy("to")).applyInArrow(_write, "segment int, archive binary"), "warc")
 
 
