@@ -12,7 +12,9 @@ Text of boilerplate is left out by tag, role, visibility and by class or id; cha
 are decoded; white space inside a block becomes one space; blocks are joined by an empty line.
 
 Defined cases: a null or empty page has an empty text; a null URL votes for the empty host; equal
-rows give equal results; malformed markup is read as far as it goes (unclosed elements end with
+rows, and rows with equal or null ids, give equal results for equal pages; very long and deeply
+nested pages are read whole, in time linear in their length; columns besides the id, URL and html
+are left out, whatever they are called; malformed markup is read as far as it goes (unclosed elements end with
 their parents); an empty table gives an empty result.
 """
 
@@ -38,6 +40,9 @@ _DROP_WORDS = frozenset(
     "subscription share sharing social related recommended recommendations sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer header masthead toolbar pagination pager comment comments "
     "reply replies respond discussion disqus widget signup login search skip taboola outbrain".split()
 )
+#: Inside an article headings have headers, and alerts, notices, replies, discussions and searches may be its subject.
+_DROP_INSIDE = _DROP_WORDS - set("header masthead".split())
+_PARTS = frozenset("area bar block blocks box container group inline inner item items js links list module outer panel post posts section slot stories story top bottom unit widget widgets wrap wrapper".split())
 _DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
@@ -47,8 +52,18 @@ _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 _SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 _CONTAINERS = frozenset("article main div section td body blockquote center".split())
 _BONUS = {"article": 1.5, "main": 1.3, "body": 0.6}
+#: Between the labels of a path: no class or tag has white space.
+SEPARATOR = " "
 #: Share of the own best container's text that the host's path must hold where the two have nothing in common.
 SHARE = 0.5
+#: Bytes of the compressed input in a shard; html is several times as long.
+SHARD_BYTES = 1 << 18
+
+
+def _is_aside(name: str) -> bool:
+    """Whether a class or id inside an article names nothing but an aside: words of boilerplate, with words for parts of a page at most."""
+    words = [x.lower() for x in _WORDS.findall(name) if not x.isdigit()]
+    return any(x in _DROP_INSIDE for x in words) and all(x in _DROP_INSIDE or x in _PARTS for x in words)
 
 
 class Page:
@@ -56,6 +71,9 @@ class Page:
 
     def __init__(self, source: str):
         self.parent, self.tag, self.label, self.dropped = [-1], ["#root"], [""], [False]
+        # Of each element: whether it is in an article or main element, or in a link; the next container; a hash of its path.
+        self.in_article, self.in_link, self.container, self.hash = [False], [False], [0], [0]
+        open_: dict[str, int] = {}
         self.text: list[tuple[int, str]] = []  # an empty text marks a block's edge
         stack = [0]
         at, n = 0, len(source)
@@ -74,9 +92,9 @@ class Page:
             at = m.end()
             if m[1]:
                 tag = m[1].lower()
-                for k in range(len(stack) - 1, 0, -1):
+                for k in () if not open_.get(tag) else range(len(stack) - 1, 0, -1):
                     if self.tag[stack[k]] == tag:
-                        del stack[k:]
+                        self._close(stack, k, open_)
                         edge(tag)
                         break
                     if tag in _INLINE and self.tag[stack[k]] not in _INLINE:
@@ -91,9 +109,9 @@ class Page:
                     self.text.append((stack[-1], " "))
                 continue
             if tag in _BLOCKS_END_P:
-                self._end(stack, {"p"}, {"body", "div", "article", "section", "td", "th", "table", "button"})
+                self._end(stack, open_, {"p"}, {"body", "div", "article", "section", "td", "th", "table", "button"})
             if tag in _SIBLINGS:
-                self._end(stack, _SIBLINGS[tag], _SCOPES[tag])
+                self._end(stack, open_, _SIBLINGS[tag], _SCOPES[tag])
             edge(tag)
             number = self._add(stack[-1], tag, attributes)
             if tag in _RAW:
@@ -101,13 +119,21 @@ class Page:
                 at = close.end() if close else n
             elif tag not in _VOID and not attributes.endswith("/"):
                 stack.append(number)
+                open_[tag] = open_.get(tag, 0) + 1
 
-    def _end(self, stack: list[int], tags: set[str], scope: set[str]) -> None:
+    def _close(self, stack: list[int], k: int, open_: dict[str, int]) -> None:
+        for number in stack[k:]:
+            open_[self.tag[number]] -= 1
+        del stack[k:]
+
+    def _end(self, stack: list[int], open_: dict[str, int], tags: set[str], scope: set[str]) -> None:
+        if not any(open_.get(t) for t in tags):
+            return
         for k in range(len(stack) - 1, 0, -1):
             t = self.tag[stack[k]]
             if t in tags:
                 self.text.append((stack[-1], ""))
-                del stack[k:]
+                self._close(stack, k, open_)
                 return
             if t in scope:
                 return
@@ -130,17 +156,19 @@ class Page:
                     drop |= value.lower() == "true"
                 else:
                     drop |= bool(_HIDDEN.search(value))
+        inside = self.in_article[parent]
         if names and tag not in ("html", "body", "article", "main"):
-            drop |= not _DROP_WORDS.isdisjoint(x.lower() for x in _WORDS.findall(names))
+            if not inside:
+                drop |= not _DROP_WORDS.isdisjoint(x.lower() for x in _WORDS.findall(names))
+            else:
+                drop |= any(_is_aside(x) for x in names.split())
         if tag == "header":
-            drop |= not any(t in ("article", "main") for t in self._above(parent))
+            drop |= not inside
+        number = len(self.tag)
         self.parent.append(parent), self.tag.append(tag), self.label.append(label), self.dropped.append(drop or self.dropped[parent])
-        return len(self.tag) - 1
-
-    def _above(self, number: int):
-        while number > 0:
-            yield self.tag[number]
-            number = self.parent[number]
+        self.in_article.append(inside or tag in ("article", "main")), self.in_link.append(tag == "a" or self.in_link[parent])
+        self.container.append(number if tag in _CONTAINERS else self.container[parent]), self.hash.append(hash((self.hash[parent], label)))
+        return number
 
     def upwards(self, number: int):
         while number > 0:
@@ -152,7 +180,7 @@ class Page:
         while number > 0:
             parts.append(self.label[number])
             number = self.parent[number]
-        return "/".join(reversed(parts))
+        return SEPARATOR.join(reversed(parts))
 
     def best(self) -> tuple[int, float]:
         """The best container, widened, and its score before that."""
@@ -163,17 +191,16 @@ class Page:
             size = len(text.strip()) if text and not self.dropped[number] else 0
             if not size:
                 continue
-            if "a" in self._above(number):
+            if self.in_link[number]:
                 linked.append((number, size))
                 continue
             plain.append((number, size))
             # The paragraph's container gets all of it, the next ones less and less.
-            weight, k = 1.0, number
+            weight, k = 1.0, self.container[number]
             while k > 0 and weight > 0.05:
-                if self.tag[k] in _CONTAINERS:
-                    score[k] = score.get(k, 0.0) + weight * size * _BONUS.get(self.tag[k], 1.0)
-                    weight *= 0.5
-                k = self.parent[k]
+                score[k] = score.get(k, 0.0) + weight * size * _BONUS.get(self.tag[k], 1.0)
+                weight *= 0.5
+                k = self.container[self.parent[k]]
         if not score:
             return 0, 0.0
         number = max(score, key=lambda k: (score[k], -k))
@@ -189,13 +216,16 @@ class Page:
         if self.tag[number] == "body":
             return number
         # Text less links that each container around adds to the one before it.
-        level = {k: i for i, k in enumerate(around)}
+        level = [-1] * len(self.tag)
+        for i, k in enumerate(around):
+            level[k] = i
+        for k in range(1, len(level)):
+            if level[k] < 0:
+                level[k] = level[self.parent[k]]
         more = [0] * len(around)
         for sign, texts in ((1, plain), (-1, linked)):
             for k, size in texts:
-                while k > 0 and k not in level:
-                    k = self.parent[k]
-                if k > 0:
+                if level[k] >= 0:
                     more[level[k]] += sign * size
         added = 0
         for i, k in enumerate(around[1:], 1):
@@ -224,8 +254,10 @@ class Page:
         return "\n\n".join(b for b in clean if b)
 
     def at(self, path: str) -> set[int]:
-        last = path.rsplit("/", 1)[-1]
-        return {k for k in range(1, len(self.tag)) if self.label[k] == last and not self.dropped[k] and self.path(k) == path}
+        wanted = 0
+        for label in path.split(SEPARATOR):
+            wanted = hash((wanted, label))
+        return {k for k in range(1, len(self.tag)) if self.hash[k] == wanted and not self.dropped[k]}
 
 
 def main_text(source: str | None, path: str | None = None) -> str:
@@ -271,7 +303,7 @@ def host_of(url) -> F.Column:
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per input row: the id, url, text and n_chars."""
-    shards = shard_count(pages)
+    shards = shard_count(pages, SHARD_BYTES)
     rows = pages.select(
         F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.col(url_col)), F.lit(shards)).cast("int").alias("shard"),
         F.col(id_col).cast("long").alias("id"),
