@@ -1,18 +1,20 @@
 """Operator 4: secret scans of whole texts, by patterns and a character network.
 
-Base patterns (leftmost, not overlapping, per kind): ``assign``, ``access`` and ``hex``.  Every
-other run of at least CANDIDATE token characters with a letter and a digit is a candidate; the
-network of ``secret_cnn`` judges it with its surrounding context, in overlapping windows along the
-whole run, and those whose highest window is over its calibrated, recall-constrained threshold
-become spans of kind ``cnn`` unless they overlap a base span.
+Base patterns (leftmost, not overlapping, per kind): ``assign``, ``access`` and ``hex``.  Every run
+of at least CANDIDATE token characters with a letter and a digit is a candidate, base findings
+among them; the network of ``secret_cnn`` judges each with its surrounding context, in overlapping
+windows along the whole run.  Those whose highest window is over its calibrated, recall-constrained
+threshold become spans of kind ``cnn``, or confirm the base spans that they overlap.
 
 Bytes of a whole batch are searched at once for what any finding needs (a run of token
 characters, a run of hexadecimal digits, ``AKIA``, a colon or equals sign and a keyword); only
 texts that have it are looked at one by one.
 
 Defined cases: a null text is the empty text; texts without findings have zero counts, an empty
-list of spans and the digest of the empty string; positions are code points; repeated rows get
-equal results; an empty table gives an empty result.
+list of spans and the digest of the empty string; positions are code points; texts and candidates
+of any length are read whole; repeated rows, and rows with equal or null ids, get equal results
+for equal texts; columns besides the id and the text are left out by ``find_secrets`` and kept by
+``mask_secrets``, whatever they are called; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_buffer
-from .secret_cnn import AFTER, BEFORE, Network, encode, trained, windows
+from .secret_cnn import AFTER, BEFORE, TAIL, Network, encode, trained, windows
 
 KINDS = ("assign", "access", "hex", "cnn")
 #: Shortest value of an assignment, access key, hexadecimal string and candidate.
@@ -58,8 +60,12 @@ def _runs(flags: np.ndarray, breaks: np.ndarray, least: int) -> tuple[np.ndarray
     return a[ok], b[ok]
 
 
-def scan(column, net: Network) -> list[list[tuple[int, int, int]]]:
-    """Spans (start, end, kind's number) of each row of a column of texts, sorted."""
+def scan(column, net: Network, judged: dict[int, list[int]] | None = None) -> list[list[tuple[int, int, int]]]:
+    """Spans (start, end, kind's number) of each row of a column of texts, sorted.
+
+    ``judged`` gets for rows with candidates how many the network saw, and how many base spans
+    overlap a candidate over its threshold.
+    """
     data, offsets = text_buffer(column)
     raw = data.tobytes()
     n = len(offsets) - 1
@@ -101,14 +107,21 @@ def scan(column, net: Network) -> list[list[tuple[int, int, int]]]:
         places += starts[owner]
         highest = np.zeros(len(starts))
         for i in range(0, len(owner), 2048):
-            part = list(zip(owners[owner[i : i + 2048]].tolist(), places[i : i + 2048].tolist()))
-            x = np.array([encode(raw[max(int(offsets[r]), a - BEFORE) : a], raw[a : min(int(offsets[r + 1]), a + AFTER)]) for r, a in part])
+            part = zip(owners[owner[i : i + 2048]].tolist(), places[i : i + 2048].tolist(), ends[owner[i : i + 2048]].tolist())
+            x = np.array([encode(raw[max(int(offsets[r]), a - BEFORE) : a], raw[a : min(int(offsets[r + 1]), a + AFTER, b + TAIL)]) for r, a, b in part])
             np.maximum.at(highest, owner[i : i + 2048], net.probability(x))
         over = np.flatnonzero(highest >= net.threshold)
+        confirmed: dict[int, set] = {}
         for r, a, b in zip(owners[over].tolist(), starts[over].tolist(), ends[over].tolist()):
             s, e = chars(r, a - int(offsets[r])), chars(r, b - int(offsets[r]))
-            if not any(s < y and x_ < e for x_, y, k in found.get(r, ()) if k < 3):
+            base = {x for x in found.get(r, ()) if x[2] < 3 and s < x[1] and x[0] < e}
+            if base:
+                confirmed.setdefault(r, set()).update(base)
+            else:
                 found.setdefault(r, []).append((s, e, 3))
+        if judged is not None:
+            for r, k in zip(*np.unique(owners, return_counts=True)):
+                judged[int(r)] = [int(k), len(confirmed.get(int(r), ()))]
     return [sorted(found[r], key=lambda x: (x[0], x[2])) if r in found else [] for r in range(n)]
 
 
@@ -124,19 +137,21 @@ def _report(net):
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 part = batch.slice(i, 1000)
-                spans = scan(part.column("text"), net.value)
+                judged: dict[int, list[int]] = {}
+                spans = scan(part.column("text"), net.value, judged)
+                seen = lambda k: pa.array([judged[r][k] if r in judged else 0 for r in range(len(spans))], pa.int64())  # noqa: B023, E731
                 count = lambda kind: pa.array([sum(k == kind for _, _, k in x) for x in spans], pa.int64())  # noqa: B023, E731
                 base = [hashlib.sha256(_listed([y for y in x if y[2] < 3]).encode()).hexdigest() if x else _NONE for x in spans]
-                yield pa.RecordBatch.from_arrays([part.column("id"), count(0), count(1), count(2), pa.array(base, pa.string()), pa.array([_listed(x) for x in spans], pa.string())], ["id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), count(0), count(1), count(2), pa.array(base, pa.string()), pa.array([_listed(x) for x in spans], pa.string()), seen(0), seen(1)], ["id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_judged", "n_confirmed"])
 
     return run
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", net: Network | None = None) -> DataFrame:
-    """One row per input row: the id, n_assign, n_access, n_hex, base_sha256 and spans."""
+    """One row per input row: the id, n_assign, n_access, n_hex, base_sha256, spans, and the numbers of candidates judged and of base spans that the network confirms."""
     net = docs.sparkSession.sparkContext.broadcast(net or trained())
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_report(net), "id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(_report(net), "id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_judged long, n_confirmed long").withColumnRenamed("id", id_col)
 
 
 def masked(text: str, spans) -> str:
