@@ -25,13 +25,23 @@ from freshet.llm.toxicity import without_toxic
 ORACLE_SQL = None
 
 
-def _with_text(docs, text):
-    """The columns of docs with another text and its length."""
-    new = {"text": text, "n_chars": F.char_length(F.coalesce(text, F.lit(""))).cast("long")}
-    return docs.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+def _named(docs):
+    """The rows with columns _keep0, _keep1 and so on beside doc_id and text, so that no name clashes; and what gives the names back."""
+    inner = {c: c if c in ("doc_id", "text") else f"_keep{i}" for i, c in enumerate(docs.columns)}
+    plain = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in inner.items()])
+
+    def restored(df, changed: bool):
+        n_chars = F.char_length(F.coalesce(F.col("text"), F.lit(""))).cast("long")
+        return df.select(*[(n_chars if changed and c == "n_chars" else F.col(a)).alias(c) for c, a in inner.items()])
+
+    return plain, [a for a in inner.values() if a.startswith("_keep")], restored
 
 
 def toxicity(spark, docs, sf_dir):
+    """Documents that the classifier of the labelled rows rejects go; null and empty texts have the score of the intercept.
+
+    Rows with equal or null ids are judged one by one; without labels all stay.
+    """
     return without_toxic(docs, read_table(spark, sf_dir, "labels"))
 
 
@@ -41,25 +51,31 @@ def ngram_join(spark, docs, sf_dir):
     Rows have keys of their own here, so that ids may be null or repeated.  Texts without words
     are in no group and stay.
     """
-    keyed = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    plain, _, restored = _named(docs)
+    keyed = materialise(plain.withColumn("_row", F.monotonically_increasing_id()), "rows")
     groups = similar_groups(keyed, "_row").select("_row", "component_id").join(keyed.select("_row", "doc_id"), "_row")
     first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_first"))
-    left = keyed.join(first.select(F.col("_first._row").alias("_row")), "_row", "left_semi")
-    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return restored(keyed.join(first.select(F.col("_first._row").alias("_row")), "_row", "left_semi"), False)
 
 
 def suffix_dedup(spark, docs, sf_dir):
-    keep = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    cut = remove_repeats(docs, with_text=True, keep=keep).withColumnRenamed("kept_text", "text")
-    return _with_text(cut.select(*[F.col(f"`{c}`") for c in docs.columns]), F.col("text"))
+    """Bytes that a smaller id has too are cut out, at whole characters; all rows stay, null texts as empty ones.
+
+    Rows with equal ids cut nothing of each other, those without an id come last.
+    """
+    plain, keep, restored = _named(docs)
+    cut = remove_repeats(plain, with_text=True, keep=tuple(keep))
+    return restored(cut.select("doc_id", F.col("kept_text").alias("text"), *keep), True)
 
 
 def secret_scans(spark, docs, sf_dir):
-    masked = mask_secrets(docs)
-    return _with_text(masked, F.col("text"))
+    """Found secrets are masked; all rows stay, null texts as they are."""
+    plain, _, restored = _named(docs)
+    return restored(mask_secrets(plain), True)
 
 
 def packing(spark, docs, sf_dir):
+    """One row per piece of every row's text; null and empty texts are a separator alone."""
     return pack_documents(docs)
 
 
