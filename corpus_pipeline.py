@@ -13,6 +13,7 @@ stages that change a text keep ``n_chars`` its number of code points.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from freshet.llm.common import materialise, read_table
@@ -48,14 +49,18 @@ def toxicity(spark, docs, sf_dir):
 def ngram_join(spark, docs, sf_dir):
     """One row of each group of near duplicates stays: that with the smallest id, rows without one last; of equal ids any one.
 
-    Rows have keys of their own here, so that ids may be null or repeated.  Texts without words
-    are in no group and stay.
+    Ids may be null or repeated: rows go by a key of id and text.  Texts without words are in no
+    group and stay, all rows of them.
     """
     plain, _, restored = _named(docs)
-    keyed = materialise(plain.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    groups = similar_groups(keyed, "_row").select("_row", "component_id").join(keyed.select("_row", "doc_id"), "_row")
-    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_first"))
-    return restored(keyed.join(first.select(F.col("_first._row").alias("_row")), "_row", "left_semi"), False)
+    # A key of the row's id and text: equal rows share it, and should two others, both stay.
+    keyed = plain.withColumn("_row", F.xxhash64("doc_id", "text"))
+    groups = similar_groups(keyed, "_row").groupBy("_row").agg(F.min("component_id").alias("component_id"), F.max("n_shingles").alias("_n"))
+    named = groups.join(keyed.groupBy("_row").agg(F.min("doc_id").alias("_id")), "_row")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row", "_n")).alias("_first")).select("_first._row", "_first._n").distinct()
+    equal = Window.partitionBy("_row", "doc_id", F.xxhash64(F.lit(1), F.col("text"))).orderBy("_row")
+    left = keyed.join(first, "_row").withColumn("_copy", F.row_number().over(equal))
+    return restored(left.filter("_copy = 1 or _n = 0"), False)
 
 
 def suffix_dedup(spark, docs, sf_dir):
