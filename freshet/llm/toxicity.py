@@ -32,14 +32,14 @@ from .common import distinct
 LENGTHS = (4, 6, 8)
 SPACE_BITS = 20
 #: Bounds of the training sample.
-TRAIN_ROWS, TRAIN_BYTES = 8_000, 24 << 20
+TRAIN_ROWS, TRAIN_BYTES = 6_000, 16 << 20
 #: n-grams in fewer training texts are left out, as are those with a smaller statistic; of the rest the strongest are taken.
-LEAST_TEXTS, LEAST_STATISTIC, FEATURES = 3, 8.0, 12_000
+LEAST_TEXTS, LEAST_STATISTIC, FEATURES = 3, 8.0, 8_000
 SMOOTH, PENALTY = 0.5, 1.0
 #: Folds of the calibration, and the share of false alarms up to which the point of decision is lowered.
 FOLDS, FALSE_ALARMS = 3, 0.003
 #: Characters that are hashed at a time.
-BLOCK = 1 << 18
+BLOCK = 1 << 17
 
 
 def _blocks(texts):
@@ -155,16 +155,23 @@ def _statistic(ones: np.ndarray, both: np.ndarray, positive: int, rows: int) ->
     return out
 
 
+def _counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    codes = np.sort(codes)
+    first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, np.int64)
+    return codes[first], np.diff(np.append(first, len(codes))).astype(np.int32)
+
+
 def _fit(texts, y: np.ndarray) -> Model:
     """Selection, log-count ratios and logistic regression (full-batch Newton by conjugate gradients)."""
     feature = _no_features()
     size, n, positive = len(feature), len(y), int(y.sum())
-    parts = [(i, texts[i : i + 200]) for i in range(0, n, 200)]
+    parts = [(i, texts[i : i + 50]) for i in range(0, n, 50)]
     ones, both = np.zeros(size, np.int32), np.zeros(size, np.int32)
     for i, part in parts:  # counted piece by piece: all pairs at once would be large
         row, code = present(part)
-        both += np.bincount(code, minlength=size).astype(np.int32)
-        ones += np.bincount(code[y[row + i] == 1], minlength=size).astype(np.int32)
+        for table, own in ((both, code), (ones, code[y[row + i] == 1])):
+            own, times = _counted(own)
+            table[own] += times
     chosen = np.flatnonzero(both >= LEAST_TEXTS)
     statistic = _statistic(ones[chosen], both[chosen], positive, n)
     chosen, statistic = chosen[statistic >= LEAST_STATISTIC], statistic[statistic >= LEAST_STATISTIC]
@@ -177,7 +184,8 @@ def _fit(texts, y: np.ndarray) -> Model:
     hits = [(i, *present(part, feature)) for i, part in parts]
     row = np.concatenate([(x + i).astype(np.int32) for i, x, _ in hits])
     number = np.concatenate([x.astype(np.int32) for _, _, x in hits])
-    value, k = r[number], len(chosen)
+    value, k = r[number].astype(np.float32), len(chosen)
+    del hits, ones, both
     w, bias = np.zeros(k), prior
     dot = lambda v: np.bincount(row, value * v[number], minlength=n)
     back = lambda v: np.bincount(number, value * v[row], minlength=k)
