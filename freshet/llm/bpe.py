@@ -466,8 +466,9 @@ def build_lexicon(docs: DataFrame, text_col: str = "text", path: str | None = No
 
 def shared_lexicon(spark: SparkSession, image: bytes) -> str:
     """Write an automaton to the shared folder and have Spark hand it to the executors; its file's name."""
-    name = f"lexicon-{hashlib.sha256(image).hexdigest()[:24]}"
-    place = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark, "lexicon") + "/" + name)
+    folder = shared_dir(spark, "lexicon")
+    name = folder.rsplit("/", 1)[-1] + ".bin"  # of its own, as a job takes a name once only
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
     out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place)
     try:
         out.write(image)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -40,10 +41,13 @@ def shard_count(df: DataFrame, bytes_each: int = SHARD_BYTES, least: int = MIN_S
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is absent (local tests) it is set to a temporary folder.
+    Where the setting is absent it is set to a temporary folder if Spark runs on one machine (tests),
+    and asked for on a cluster.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="freshet-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
