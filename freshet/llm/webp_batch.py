@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import struct
 from collections import Counter
-from functools import lru_cache
 
 import numpy as np
 
@@ -26,11 +25,11 @@ WIDTH = 16
 #: Samples of one image at most: more images in step with each other, and prefix codes of less than 15 bits.
 BLOCK = 4096
 #: Tiles of the transforms are 2**TILE pixels wide and high; predictor modes and cross-colour factors (of green) that are tried.
-TILE, MODES, FACTORS = 4, (0, 1, 2, 11, 12), (0, 16, 32)
+TILE, MODES, FACTORS = 4, (0, 1, 2, 11), (0, 32)
 #: The colour cache holds 2**CACHE colours; shortest back-reference, in pixels.
 CACHE, SHORTEST = 6, 3
 
-_REVERSED = np.array([int(f"{i:015b}"[::-1], 2) for i in range(1 << 15)], np.int32)
+_REVERSED = np.array([int(f"{i:015b}"[::-1], 2) for i in range(1 << 15)], np.uint16)
 _NEAR: dict[int, np.ndarray] = {}
 
 
@@ -156,36 +155,6 @@ def _text(value: int, n: int) -> str:
     return f"{value:0{n}b}"[::-1] if n else ""
 
 
-_GAPS = {3: [_text(k, 3) for k in range(8)], 7: [_text(k, 7) for k in range(128)]}
-
-
-def _code_text(lengths: list[int], own_of) -> str:
-    """A prefix code's description; ``own_of`` gives the code of code lengths for their counts."""
-    used = [s for s, x in enumerate(lengths) if x]
-    if len(used) <= 2 and used[-1] < 256:
-        return "1" + _text(len(used) - 1, 1) + "1" + "".join(_text(s, 8) for s in used)
-    runs, last, counts = [], -1, [0] * 19
-    for s in (*used, len(lengths)):
-        gap = s - last - 1
-        while gap >= 3:
-            k = min(gap, 138)
-            runs.append((18, _GAPS[7][k - 11]) if k >= 11 else (17, _GAPS[3][k - 3]))
-            gap -= k
-        runs += [(0, "")] * gap
-        if s < len(lengths):
-            runs.append((lengths[s], ""))
-        last = s
-    for x, _ in runs:
-        counts[x] += 1
-    own, codes = own_of(tuple(counts))
-    return "01111" + "".join([_GAPS[3][own[k]] for k in LENGTH_ORDER]) + "0" + "".join([codes[x] + extra for x, extra in runs])
-
-
-def _length_codes(counts: tuple[int, ...]) -> tuple[list[int], list[str]]:
-    own = _huffman(Counter(dict(enumerate(counts))), 19, 7)
-    return own, _texts(own)
-
-
 def _texts(lengths: list[int]) -> list[str]:
     """The codes of some lengths; of a single symbol none."""
     texts, code, last = [""] * len(lengths), 0, 0
@@ -197,6 +166,33 @@ def _texts(lengths: list[int]) -> list[str]:
     return texts
 
 
+#: Code lengths' own code, the same in all images: what texts have most is short.
+_OWN = [4, 6, 5, 5, 4, 4, 3, 3, 3, 4, 5, 5, 6, 7, 7, 7, 7, 4, 3]
+_LENGTH = _texts(_OWN)
+_START = "01111" + "".join(_text(_OWN[k], 3) for k in LENGTH_ORDER) + "0"
+
+
+def _gap(n: int) -> str:
+    """Bits of n symbols without a code."""
+    text = ""
+    while n >= 3:
+        k = min(n, 138)
+        text += _LENGTH[18] + _text(k - 11, 7) if k >= 11 else _LENGTH[17] + _text(k - 3, 3)
+        n -= k
+    return text + n * _LENGTH[0]
+
+
+_GAP = [_gap(n) for n in range(LITERALS + LENGTHS + (1 << CACHE) + 1)]
+
+
+def _code_text(lengths: list[int]) -> str:
+    """A prefix code's description."""
+    used = [s for s, x in enumerate(lengths) if x]
+    if len(used) <= 2 and used[-1] < 256:
+        return "1" + _text(len(used) - 1, 1) + "1" + "".join(_text(s, 8) for s in used)
+    return _START + "".join([_GAP[s - last - 1] + _LENGTH[lengths[s]] for last, s in zip([-1, *used], used)]) + _GAP[len(lengths) - used[-1] - 1]
+
+
 _X_LOG_X = np.append(0, np.arange(1, BLOCK + 1) * np.log2(np.arange(1, BLOCK + 1)))
 
 
@@ -260,14 +256,14 @@ def _sub_image(kind: int, value: int, tiles: int) -> str:
     return _sub_images[kind, value, tiles]
 
 
-def _literals(pixels: np.ndarray, own_of) -> str:
+def _literals(pixels: np.ndarray) -> str:
     """An entropy-coded image of literals only."""
     text, codes = ["0"], []  # no cache
     for c, size in ((1, LITERALS + LENGTHS), (0, LITERALS), (2, LITERALS), (3, LITERALS)):
         lengths = _huffman(Counter(pixels[:, c].tolist()), size)
-        text.append(_code_text(lengths, own_of))
+        text.append(_code_text(lengths))
         codes.append(_texts(lengths))
-    text.append(_code_text([1] + [0] * (DISTANCES - 1), own_of))
+    text.append(_code_text([1] + [0] * (DISTANCES - 1)))
     green, red, blue, alpha = codes
     for r, g, b, a in pixels.tolist():
         text += (green[g], red[r], blue[b], alpha[a])
@@ -391,7 +387,6 @@ def encode_many(blocks: list[bytes]) -> list[bytes]:
     counts = [np.bincount(of[u] * a + s[u], minlength=n_images * a).reshape(n_images, a) for a, s, u in zip(alphabets, symbols, used)]
     bits_of = [_code_lengths(c) for c in counts]
     code = [_canonical(x) for x in bits_of]
-    known = lru_cache(1 << 14)(_length_codes)
     described = [x.tolist() for x in bits_of]
     heads = []
     for i in range(n_images):
@@ -400,14 +395,14 @@ def encode_many(blocks: list[bytes]) -> list[bytes]:
         text = [_text(w.value, w.n)]
         if palette[i]:
             table = pixels[colour[first_colour[i] : first_colour[i] + colours[i]]]
-            text += ["1", _text(PALETTE, 2), _text(len(table) - 1, 8), _literals(np.diff(table, axis=0, prepend=np.zeros((1, 4), np.uint8)).astype(np.uint8), known)]
+            text += ["1", _text(PALETTE, 2), _text(len(table) - 1, 8), _literals(np.diff(table, axis=0, prepend=np.zeros((1, 4), np.uint8)).astype(np.uint8))]
         else:
             tiles = -(-len(blocks[i]) // (4 * WIDTH) >> TILE)
             text += [_sub_image(PREDICTOR, int(modes[i]), tiles), _sub_image(CROSS_COLOUR, int(factors[i]), tiles)]
         # No more transforms; the cache; one group of codes.
         text += ["0", "1" + _text(CACHE, 4) if caches[i] else "0", "0"]
         for k in range(len(alphabets)):
-            text.append(_code_text(described[k][i] if k or caches[i] else described[k][i][: LITERALS + LENGTHS], known))
+            text.append(_code_text(described[k][i] if k or caches[i] else described[k][i][: LITERALS + LENGTHS]))
         heads.append("".join(text))
     for x in bits_of:  # a single symbol has no bits
         x[(x > 0).sum(1) < 2] = 0
@@ -485,17 +480,17 @@ class _Codes:
         for x in range(1, 16):
             last = (last + count[:, x - 1]) << 1
             first[:, x] = last
-        self.limit = (first + count) << 15 - np.arange(16)
-        self.limit[:, 0] = 0
+        longest = int(np.flatnonzero(count.sum(0)).max(initial=1))
+        self.limit = ((first + count) << 15 - np.arange(16))[:, 1 : longest + 1].astype(np.uint16)
         self.shift = np.cumsum(count, 1) - count - first  # from a code to its symbol's place
         self.limit[self.only] = 0
 
     def read(self, bits: _Bits, stream: np.ndarray, code: np.ndarray) -> np.ndarray:
         v = _REVERSED[(bits.peek(stream) & np.uint64(0x7FFF)).astype(np.int32)]
-        size = (v[:, None] >= self.limit[code, 1:]).sum(1) + 1
+        size = (v[:, None] >= self.limit[code]).sum(1, dtype=np.int8).astype(np.int64) + 1
         only = self.only[code]
         size[only] = 0
-        at = np.where(only, 0, self.shift[code, np.minimum(size, 15)] + (v >> np.maximum(15 - size, 0)))
+        at = np.where(only, 0, self.shift[code, np.minimum(size, 15)] + (v.astype(np.int64) >> np.maximum(15 - size, 0)))
         bits.at[stream] += size
         return self.symbols[code, at].astype(np.int64)
 
