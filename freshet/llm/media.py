@@ -27,7 +27,7 @@ from .webp_batch import BLOCK, decode_many, encode_many, split_files
 
 UNIT = 64
 #: Rows and bytes whose images are coded together.
-SLICE_ROWS, SLICE_BYTES = 2000, 4 << 20
+SLICE_ROWS, SLICE_BYTES = 3000, 6 << 20
 
 
 def padded(body: bytes) -> bytes:
