@@ -101,3 +101,11 @@ def info_score(df: DataFrame, columns: list[str]) -> Column:
 def histogram(df: DataFrame, keys: list[str], name: str = "n") -> DataFrame:
     """Rows per combination of keys; missing keys are combinations too."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+
+
+def run_summary(df: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
+    """Rows, and distinct present values of each column as ``n_<column>``, of the whole table or per combination of keys.
+
+    Distinct values are counted exactly; without keys an empty table gives one row of zeros.
+    """
+    return df.groupBy(*(keys or [])).agg(F.count(F.lit(1)).alias("n_rows"), *[F.count_distinct(F.col(c)).alias(f"n_{c}") for c in columns])

@@ -631,6 +631,12 @@ def dup_report(spark, sf_dir):
     return catalogue.duplicates(_catalogue(spark, sf_dir)).select("guid", "skred_id", "o_orderkey", "n_in_group")
 
 
+@query(dt.sql("SELECT guid, count(*) AS n_rows, count(DISTINCT skred_id) AS n_skred_id, count(DISTINCT no) AS n_no FROM cat GROUP BY guid", ("cat", _CAT)))
+def run_summary(spark, sf_dir):
+    """What a run reports of the catalogue: its rows and distinct events per catchment."""
+    return stats.run_summary(_catalogue(spark, sf_dir), ["skred_id", "no"], ["guid"])
+
+
 @query(dt.sql(f"SELECT o_orderkey, {_SCORE} AS info FROM cat", ("cat", _CAT)))
 def completeness_score(spark, sf_dir):
     c = _catalogue(spark, sf_dir)

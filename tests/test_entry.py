@@ -6,7 +6,7 @@ import pytest
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-SAMPLE = ["prec_stress", "robust_minmax", "nearest_at", "regular_sum", "nearest_peak", "match_distances", "controls_greedy", "controls_all3_quantile", "worst_matches", "pot_peaks", "matched_anchors", "catalogue_dedupe", "param_derived", "hysteresis_panel"]
+SAMPLE = ["prec_stress", "robust_minmax", "nearest_at", "regular_sum", "nearest_peak", "match_distances", "controls_greedy", "controls_all3_quantile", "worst_matches", "pot_peaks", "matched_anchors", "catalogue_dedupe", "run_summary", "param_derived", "hysteresis_panel"]
 
 
 def test_names_agree():
