@@ -10,7 +10,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Compressed input bytes that one shard of documents should hold.
@@ -60,6 +60,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str, column: str) -> DataFrame:
+    """The rows, written to the shared folder, with their number from 0 on in the order of partitions and rows.
+
+    What the numbering needs besides is one row per partition.
+    """
+    part = F.shiftright("_id", 33)
+    held = materialise(df.withColumn("_id", F.monotonically_increasing_id()), name)
+    sizes = held.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    starts = sizes.select("_part", before.alias("_start"))
+    return held.withColumn("_part", part).join(starts, "_part").withColumn(column, F.col("_start") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_part", "_start", "_n", "_id")
+
+
 def text_buffer(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column end to end, and the offsets of its rows (null: empty)."""
     arr = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

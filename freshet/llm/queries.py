@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from . import quality as _quality
 from .bpe import encode_digests
+from .collocations import ORACLE as _COLLOCATIONS
+from .collocations import collocations
 from .common import materialise, read_table
+from .conversations import repair_conversations
 from .html_text import extract_pages
 from .media import media_features, to_media
+from .neighbours import ORACLE as _NEIGHBOURS
+from .neighbours import nearest_neighbours
 from .ngram_join import similar_groups
 from .packing import pack_documents
 from .secrets import find_secrets
@@ -55,8 +60,20 @@ def op10_media_columns(spark, sf_dir):
     return media_features(materialise(to_media(read_table(spark, sf_dir, "documents")), "media"))
 
 
+def op11_curve_neighbours(spark, sf_dir):
+    return nearest_neighbours(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_phrase_collocations(spark, sf_dir):
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark, sf_dir):
+    return repair_conversations(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_suffix_dedup, op2_warc, op3_quality_rules, op4_secret_scans, op5_html_extraction, op6_best_fit_packing, op7_ngram_join, op8_toxicity, op9_bpe_transducer, op10_media_columns)
+    for f in (op1_suffix_dedup, op2_warc, op3_quality_rules, op4_secret_scans, op5_html_extraction, op6_best_fit_packing, op7_ngram_join, op8_toxicity, op9_bpe_transducer, op10_media_columns, op11_curve_neighbours, op12_phrase_collocations, op13_conversation_repair)
 }
-ORACLES: dict[str, str] = {"op3_quality_rules": _quality.ORACLE}
+ORACLES: dict[str, str] = {"op3_quality_rules": _quality.ORACLE, "op11_curve_neighbours": _NEIGHBOURS, "op12_phrase_collocations": _COLLOCATIONS}
