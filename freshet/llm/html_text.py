@@ -4,12 +4,15 @@ Each page's containers are scored by the text of their paragraphs, less that of
 boilerplate.  The best one is widened to the article or main element around it, or else to the
 containers around it that add more text than links.  Pages vote for the generalised tag-class path of their best container; votes are
 added up per host in Spark.  Pages are then extracted again at their host's winning path.  A
-page's own best container stays beside it where it encloses what the path finds, or where it is an
-article or main element that the path misses; it is taken instead where the path is missing, or
-finds other elements with less than half as much text.
+page's own best container stays beside what the path finds, in page order, unless it lies inside
+it.  It is left out only if it is mostly links, or if the host knows its path for side matter:
+more pages have text there without it being their best than have their best there.
 
-Text of boilerplate is left out by tag, role, visibility and by class or id; character references
-are decoded; white space inside a block becomes one space; blocks are joined by an empty line.
+Text of boilerplate is left out by tag, role and visibility, and by class or id: always where a
+name says nothing but boilerplate (``side-menu``, ``user-comments``), where it says more
+(``news-alert``) only outside articles and if the element is short or mostly links.  A form goes
+unless it wraps an article or paragraphs, its controls always.  Character references are decoded;
+white space inside a block becomes one space; blocks are joined by an empty line.
 
 Defined cases: a null or empty page has an empty text; a null URL votes for the empty host; equal
 rows, and rows with equal or null ids, give equal results for equal pages; very long and deeply
@@ -29,21 +32,32 @@ from pyspark.sql import functions as F
 
 from .common import shard_count
 
-_MARK = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<([a-zA-Z][^\s/>]*)([^>]*)>""", re.DOTALL)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"""[>"']""")
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/>]|$)""", re.IGNORECASE)
 _RAW = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-_DROP_TAGS = frozenset("nav footer aside form script style noscript iframe template textarea button select option input svg math canvas object embed dialog menu head title xmp fieldset datalist audio video map".split())
+_DROP_TAGS = frozenset("nav footer aside script style noscript iframe template textarea button select option input svg math canvas object embed dialog menu head title xmp datalist audio video map".split())
 _DROP_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion promoted banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe "
     "subscription share sharing social related recommended recommendations sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer header masthead toolbar pagination pager comment comments "
     "reply replies respond discussion disqus widget signup login search skip taboola outbrain".split()
 )
-#: Inside an article headings have headers, and alerts, notices, replies, discussions and searches may be its subject.
-_DROP_INSIDE = _DROP_WORDS - set("header masthead".split())
-_PARTS = frozenset("area bar block blocks box container group inline inner item items js links list module outer panel post posts section slot stories story top bottom unit widget widgets wrap wrapper".split())
-_DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
+#: Words that name comments, in whatever company of _PARTS and _PEOPLE, and those that say so of no element.
+_COMMENT_WORDS = frozenset("comment comments commenter reply replies respond disqus".split())
+_PEOPLE = frozenset("reader readers user users author body form thread text content meta main page data entry count add all new leave latest recent odd even depth".split())
+#: Inside an article headings have headers.
+_INSIDE_ONLY = frozenset("header masthead".split())
+_PARTS = frozenset(
+    "area bar block blocks box container group inline inner item items js links list module outer panel post posts section slot stories story top bottom unit widget widgets wrap wrapper "
+    "article articles results result more left right main sticky fixed primary secondary site page global".split()
+)
+#: An element whose name says more than boilerplate stays with so many characters of text that isn't linked, if no more are linked.
+OWN_TEXT = 140
+#: Characters that make a paragraph of a form's own text, and how many such paragraphs make the form a wrapper.
+FORM_PARAGRAPH, FORM_PARAGRAPHS = 80, 2
+_DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 #: An element of the first kind is ended by an opening tag of the second.
@@ -54,16 +68,49 @@ _CONTAINERS = frozenset("article main div section td body blockquote center".spl
 _BONUS = {"article": 1.5, "main": 1.3, "body": 0.6}
 #: Between the labels of a path: no class or tag has white space.
 SEPARATOR = " "
-#: Share of the own best container's text that the host's path must hold where the two have nothing in common.
-SHARE = 0.5
 #: Bytes of the compressed input in a shard; html is several times as long.
 SHARD_BYTES = 1 << 18
 
 
-def _is_aside(name: str) -> bool:
-    """Whether a class or id inside an article names nothing but an aside: words of boilerplate, with words for parts of a page at most."""
+def _named(name: str, inside: bool) -> int:
+    """What a class or id says of its element: 2 nothing but boilerplate, 1 boilerplate among other things, 0 neither."""
     words = [x.lower() for x in _WORDS.findall(name) if not x.isdigit()]
-    return any(x in _DROP_INSIDE for x in words) and all(x in _DROP_INSIDE or x in _PARTS for x in words)
+    if any(x in _COMMENT_WORDS for x in words):
+        return 2 if all(x in _COMMENT_WORDS or x in _DROP_WORDS or x in _PARTS or x in _PEOPLE for x in words) else 1
+    if inside:
+        words = [x for x in words if x not in _INSIDE_ONLY]
+    if not any(x in _DROP_WORDS for x in words):
+        return 0
+    return 2 if all(x in _DROP_WORDS or x in _PARTS for x in words) else 1
+
+
+class _Tags:
+    """Ends of tags in a source, each byte being looked at a bounded number of times."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.last = {c: source.rfind(c) for c in "\"'>"}
+        # Places outside quotes from which no end of a tag is reached.
+        self.dead: set[int] = set()
+
+    def end(self, at: int) -> int:
+        """Place of the > that ends a tag whose attributes begin here, not one in quotes if there is another; -1: none."""
+        if at > self.last[">"]:
+            return -1
+        place, seen = at, []
+        while place not in self.dead:
+            m = _STOP.search(self.source, place)
+            if m is None:
+                break
+            c, k = m[0], m.start()
+            if c == ">":
+                return k
+            seen.append(place)
+            if k >= self.last[c]:
+                break
+            place = self.source.index(c, k + 1) + 1
+        self.dead.update(seen)
+        return self.source.find(">", at)
 
 
 class Page:
@@ -73,73 +120,97 @@ class Page:
         self.parent, self.tag, self.label, self.dropped = [-1], ["#root"], [""], [False]
         # Of each element: whether it is in an article or main element, or in a link; the next container; a hash of its path.
         self.in_article, self.in_link, self.container, self.hash = [False], [False], [0], [0]
-        open_: dict[str, int] = {}
         self.text: list[tuple[int, str]] = []  # an empty text marks a block's edge
-        stack = [0]
-        at, n = 0, len(source)
-
-        def edge(tag: str) -> None:
-            if tag not in _INLINE:
-                self.text.append((stack[-1], ""))
-
+        # Elements that what they hold decides about: forms, and those with a name of which boilerplate is a part.
+        self.forms: list[int] = []
+        self.doubtful: list[int] = []
+        # Open elements, and of them the places of each tag and of those that aren't inline.
+        self.stack, self.open, self.blocks = [0], {}, [0]
+        self._read(source)
+        self._settle()
+
+    def _edge(self, tag: str) -> None:
+        if tag not in _INLINE:
+            self.text.append((self.stack[-1], ""))
+
+    def _read(self, source: str) -> None:
+        tags, at, plain, n = _Tags(source), 0, 0, len(source)
         while at < n:
-            m = _MARK.search(source, at)
-            if m is None:
-                self.text.append((stack[-1], source[at:]))
+            start = source.find("<", at)
+            if start < 0:
                 break
-            if m.start() > at:
-                self.text.append((stack[-1], source[at : m.start()]))
-            at = m.end()
-            if m[1]:
-                tag = m[1].lower()
-                for k in () if not open_.get(tag) else range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] == tag:
-                        self._close(stack, k, open_)
-                        edge(tag)
-                        break
-                    if tag in _INLINE and self.tag[stack[k]] not in _INLINE:
-                        break
+            after = source[start + 1 : start + 4]
+            if after == "!--":
+                close = source.find("-->", start + 4)
+                end = n if close < 0 else close + 3
+            elif after[:1] in ("!", "?"):
+                close = source.find(">", start) if start < tags.last[">"] else -1
+                end = close + 1
+            else:
+                closing = after[:1] == "/"
+                name = _NAME.match(source, start + 1 + closing)
+                close = -1 if name is None else source.find(">", name.end()) if closing and start < tags.last[">"] else -1 if closing else tags.end(name.end())
+                end = close + 1
+            if not end:  # no tag
+                at = start + 1
                 continue
-            name = m[2] or m[4]
-            if not name:
+            if start > plain:
+                self.text.append((self.stack[-1], source[plain:start]))
+            at = plain = end
+            if after[:1] in ("!", "?"):
                 continue
-            tag, attributes = name.lower(), (m[3] if m[2] else m[5]) or ""
+            tag = name[0].lower()
+            if closing:
+                self._ended(tag)
+                continue
+            attributes = source[name.end() : close]
             if tag == "br" or tag == "wbr":
                 if tag == "br":
-                    self.text.append((stack[-1], " "))
+                    self.text.append((self.stack[-1], " "))
                 continue
             if tag in _BLOCKS_END_P:
-                self._end(stack, open_, {"p"}, {"body", "div", "article", "section", "td", "th", "table", "button"})
+                self._end({"p"}, {"body", "div", "article", "section", "td", "th", "table", "button"})
             if tag in _SIBLINGS:
-                self._end(stack, open_, _SIBLINGS[tag], _SCOPES[tag])
-            edge(tag)
-            number = self._add(stack[-1], tag, attributes)
+                self._end(_SIBLINGS[tag], _SCOPES[tag])
+            self._edge(tag)
+            number = self._add(self.stack[-1], tag, attributes)
             if tag in _RAW:
                 close = _RAW[tag].search(source, at)
-                at = close.end() if close else n
+                at = plain = close.end() if close else n
             elif tag not in _VOID and not attributes.endswith("/"):
-                stack.append(number)
-                open_[tag] = open_.get(tag, 0) + 1
-
-    def _close(self, stack: list[int], k: int, open_: dict[str, int]) -> None:
-        for number in stack[k:]:
-            open_[self.tag[number]] -= 1
-        del stack[k:]
-
-    def _end(self, stack: list[int], open_: dict[str, int], tags: set[str], scope: set[str]) -> None:
-        if not any(open_.get(t) for t in tags):
-            return
-        for k in range(len(stack) - 1, 0, -1):
-            t = self.tag[stack[k]]
-            if t in tags:
-                self.text.append((stack[-1], ""))
-                self._close(stack, k, open_)
-                return
-            if t in scope:
-                return
+                self.open.setdefault(tag, []).append(len(self.stack))
+                if tag not in _INLINE:
+                    self.blocks.append(len(self.stack))
+                self.stack.append(number)
+        if plain < n:
+            self.text.append((self.stack[-1], source[plain:]))
+
+    def _ended(self, tag: str) -> None:
+        """An end tag; that of an inline element reaches no further than the block it is in."""
+        k = self._place(tag)
+        if k and (tag not in _INLINE or k > self.blocks[-1]):
+            self._close(k)
+            self._edge(tag)
+
+    def _place(self, tag: str) -> int:
+        places = self.open.get(tag)
+        return places[-1] if places else 0
+
+    def _close(self, k: int) -> None:
+        for number in self.stack[k:]:
+            self.open[self.tag[number]].pop()
+            if self.tag[number] not in _INLINE:
+                self.blocks.pop()
+        del self.stack[k:]
+
+    def _end(self, tags: set[str], scope: set[str]) -> None:
+        k = max(map(self._place, tags))
+        if k and k > max(map(self._place, scope)):
+            self.text.append((self.stack[-1], ""))
+            self._close(k)
 
     def _add(self, parent: int, tag: str, attributes: str) -> int:
-        names, drop = "", tag in _DROP_TAGS
+        names, drop, doubt = "", tag in _DROP_TAGS, False
         label = tag
         if attributes:
             for m in _ATTRIBUTE.finditer(attributes):
@@ -157,19 +228,59 @@ class Page:
                 else:
                     drop |= bool(_HIDDEN.search(value))
         inside = self.in_article[parent]
-        if names and tag not in ("html", "body", "article", "main"):
-            if not inside:
-                drop |= not _DROP_WORDS.isdisjoint(x.lower() for x in _WORDS.findall(names))
+        number = len(self.tag)
+        if names and tag not in ("html", "body"):
+            said = max(_named(x, inside) for x in names.split()) if names.split() else 0
+            if tag in ("article", "main"):
+                # Only comments are articles of their own.
+                drop |= said == 2 and any(x.lower() in _COMMENT_WORDS for x in _WORDS.findall(names))
             else:
-                drop |= any(_is_aside(x) for x in names.split())
+                drop |= said == 2
+                doubt = said == 1 and not inside
         if tag == "header":
             drop |= not inside
-        number = len(self.tag)
+        if tag == "form":
+            self.forms.append(number)
+        elif doubt and not drop:
+            self.doubtful.append(number)
         self.parent.append(parent), self.tag.append(tag), self.label.append(label), self.dropped.append(drop or self.dropped[parent])
         self.in_article.append(inside or tag in ("article", "main")), self.in_link.append(tag == "a" or self.in_link[parent])
         self.container.append(number if tag in _CONTAINERS else self.container[parent]), self.hash.append(hash((self.hash[parent], label)))
         return number
 
+    def _settle(self) -> None:
+        """Decides about forms and doubtful elements by what they hold, from the inside out."""
+        if not self.forms and not self.doubtful:
+            return
+        n = len(self.tag)
+        plain, linked, paragraphs, articles = [0] * n, [0] * n, [0] * n, [0] * n
+        of_paragraph = [0] * n
+        for k in range(1, n):
+            of_paragraph[k] = k if self.tag[k] == "p" else of_paragraph[self.parent[k]]
+        own: dict[int, int] = {}
+        for number, text in self.text:
+            size = 0 if self.dropped[number] else len(text.strip())
+            if size:
+                (linked if self.in_link[number] else plain)[number] += size
+                if of_paragraph[number] and not self.in_link[number]:
+                    own[of_paragraph[number]] = own.get(of_paragraph[number], 0) + size
+        for k, size in own.items():
+            paragraphs[k] += size >= FORM_PARAGRAPH
+        drop, doubtful = set(), set(self.doubtful)
+        for k in range(n - 1, 0, -1):
+            articles[k] += self.tag[k] in ("article", "main") and not self.dropped[k]
+            if self.tag[k] == "form":
+                gone = not articles[k] and paragraphs[k] < FORM_PARAGRAPHS
+            else:
+                gone = k in doubtful and not articles[k] and (plain[k] < OWN_TEXT or linked[k] > plain[k])
+            if gone:
+                drop.add(k)
+            else:
+                for count in (plain, linked, paragraphs, articles):
+                    count[self.parent[k]] += count[k]
+        for k in range(1, n):
+            self.dropped[k] = self.dropped[k] or k in drop or self.dropped[self.parent[k]]
+
     def upwards(self, number: int):
         while number > 0:
             yield number
@@ -182,8 +293,8 @@ class Page:
             number = self.parent[number]
         return SEPARATOR.join(reversed(parts))
 
-    def best(self) -> tuple[int, float]:
-        """The best container, widened, and its score before that."""
+    def best(self) -> tuple[int, float, set[int]]:
+        """The best container, widened, its score before that, and the containers of plain text outside it."""
         score: dict[int, float] = {}
         linked: list[tuple[int, int]] = []
         plain: list[tuple[int, int]] = []
@@ -202,9 +313,11 @@ class Page:
                 weight *= 0.5
                 k = self.container[self.parent[k]]
         if not score:
-            return 0, 0.0
+            return 0, 0.0, set()
         number = max(score, key=lambda k: (score[k], -k))
-        return self._widened(number, plain, linked), score[number]
+        root = self._widened(number, plain, linked)
+        inside = self.within({root})
+        return root, score[number], {self.container[k] for k, _ in plain if not inside[k]} - {0, *self.upwards(root)}
 
     def _widened(self, number: int, plain: list[tuple[int, int]], linked: list[tuple[int, int]]) -> int:
         """The outermost article around a container, or else main; or else what adds more text than links, below body."""
@@ -236,11 +349,16 @@ class Page:
                 number, added = k, 0
         return number
 
-    def extract(self, roots: set[int]) -> str:
-        """The blocks of text inside some elements."""
+    def within(self, roots: set[int]) -> list[bool]:
+        """Whether each element is one of these or inside one."""
         inside = [False] * len(self.tag)
         for k in range(len(self.tag)):
             inside[k] = k in roots or (k > 0 and inside[self.parent[k]])
+        return inside
+
+    def extract(self, roots: set[int]) -> str:
+        """The blocks of text inside some elements."""
+        inside = self.within(roots)
         blocks, now = [], []
         for number, text in self.text:
             if text == "":
@@ -259,9 +377,16 @@ class Page:
             wanted = hash((wanted, label))
         return {k for k in range(1, len(self.tag)) if self.hash[k] == wanted and not self.dropped[k]}
 
+    def mostly_links(self, roots: set[int]) -> bool:
+        inside, plain = self.within(roots), 0
+        for number, text in self.text:
+            if inside[number] and not self.dropped[number]:
+                plain += -len(text.strip()) if self.in_link[number] else len(text.strip())
+        return plain < 0
+
 
-def main_text(source: str | None, path: str | None = None) -> str:
-    """A page's main text, at the host's path if the page has it."""
+def main_text(source: str | None, path: str | None = None, sides=()) -> str:
+    """A page's main text: at the host's path if the page has it, and in the page's own best container unless its path is one of ``sides``."""
     if not source:
         return ""
     page = Page(source)
@@ -271,10 +396,13 @@ def main_text(source: str | None, path: str | None = None) -> str:
         return page.extract({best})
     if not roots.isdisjoint(page.upwards(best)):
         return page.extract(roots)
-    if page.tag[best] in ("article", "main") or any(best in page.upwards(k) for k in roots):
-        return page.extract(roots | {best})
-    own, shared = page.extract({best}), page.extract(roots)
-    return shared if len(shared) >= SHARE * len(own) else own
+    inside = page.within({best})
+    if page.tag[best] not in ("article", "main") and not any(inside[k] for k in roots):
+        if page.mostly_links(roots):
+            return page.extract({best})
+        if page.mostly_links({best}) or (sides and page.path(best) in sides):
+            return page.extract(roots)
+    return page.extract(roots | {best})
 
 
 def _votes(batches):
@@ -283,17 +411,20 @@ def _votes(batches):
         for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
             if source:
                 page = Page(source)
-                number, score = page.best()
+                number, score, others = page.best()
                 if number:
-                    v = count.setdefault((host, page.path(number)), [0, 0.0])
+                    v = count.setdefault((host, page.path(number)), [0, 0, 0.0])
                     v[0] += 1
-                    v[1] += score
-        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in count], pa.string()), pa.array([p for _, p in count], pa.string()), pa.array([int(v[0]) for v in count.values()], pa.int64()), pa.array([int(v[1]) for v in count.values()], pa.int64())], ["host", "path", "votes", "score"])
+                    v[2] += score
+                for path in {page.path(k) for k in others}:
+                    count.setdefault((host, path), [0, 0, 0.0])[1] += 1
+        columns = [pa.array([int(v[k]) for v in count.values()], pa.int64()) for k in range(3)]
+        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in count], pa.string()), pa.array([p for _, p in count], pa.string()), *columns], ["host", "path", "votes", "passed", "score"])
 
 
 def _texts(pages: pa.Table, winners: pa.Table) -> pa.Table:
-    path_of = dict(zip(winners.column("of").to_pylist(), winners.column("path").to_pylist()))
-    texts = [main_text(s, path_of.get(h)) for h, s in zip(pages.column("host").to_pylist(), pages.column("html").to_pylist())]
+    known = {h: (p, frozenset(s)) for h, p, s in zip(*[winners.column(c).to_pylist() for c in ("of", "path", "sides")])}
+    texts = [main_text(s, *known.get(h, ())) for h, s in zip(pages.column("host").to_pylist(), pages.column("html").to_pylist())]
     return pa.table({"id": pages.column("id"), "url": pages.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
 
@@ -311,9 +442,11 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         host_of(F.col(url_col).cast("string")).alias("host"),
         F.col(html_col).cast("string").alias("html"),
     )
-    votes = rows.select("host", "html").mapInArrow(_votes, "host string, path string, votes long, score long").groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("score").alias("score"))
-    winners = votes.groupBy("host").agg(F.max(F.struct("votes", "score", "path")).alias("x")).select("host", F.col("x.path").alias("path"))
+    votes = rows.select("host", "html").mapInArrow(_votes, "host string, path string, votes long, passed long, score long").groupBy("host", "path").agg(*[F.sum(x).alias(x) for x in ("votes", "passed", "score")])
+    # Of the paths that were some page's best, those passed over by more pages; there are as many as best paths at most.
+    side = F.when(F.col("passed") > F.col("votes"), F.col("path"))
+    winners = votes.filter("votes > 0").groupBy("host").agg(F.max(F.struct("votes", "score", "path")).alias("x"), F.collect_list(side).alias("sides")).select("host", F.col("x.path").alias("path"), "sides")
     # A host's path goes to the shards that hold pages of it, so no shard gets a large host whole.
-    wanted = rows.select(F.col("shard").alias("to"), "host").distinct().join(winners, "host").select("to", F.col("host").alias("of"), "path")
+    wanted = rows.select(F.col("shard").alias("to"), "host").distinct().join(winners, "host").select("to", F.col("host").alias("of"), "path", "sides")
     out = rows.groupBy("shard").cogroup(wanted.groupBy("to")).applyInArrow(_texts, "id long, url string, text string, n_chars long")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")

@@ -280,8 +280,8 @@ def test_html_path_of_the_host_loses_no_own_article():
     assert html_text.main_text(f'<body><article><p>{lead}</p><div class="content"><p>{body}</p></div></article></body>', path) == f"{lead}\n\n{body}"
     # An article of the page's own beside one that the path finds.
     assert html_text.main_text(f'<body><article><div class="content"><p>{body}</p></div></article><article class="x"><p>{body} {lead}</p></article></body>', path) == f"{body}\n\n{body} {lead}"
-    # Elsewhere the host decides.
-    assert html_text.main_text(f'<body><div class="a"><p>{body}</p></div><div class="b"><p>{lead}</p></div></body>', "body div.b") == lead
+    # Elsewhere both stay, in page order.
+    assert html_text.main_text(f'<body><div class="a"><p>{body}</p></div><div class="b"><p>{lead}</p></div></body>', "body div.b") == f"{body}\n\n{lead}"
 
 
 def test_html_containers_are_widened(spark):
