@@ -1,10 +1,11 @@
 """Operator 4: secret scans of whole texts, by patterns and a character network.
 
 Base patterns (leftmost, not overlapping, per kind): ``assign``, ``access`` and ``hex``.  Every run
-of at least CANDIDATE token characters with a letter and a digit is a candidate, base findings
-among them; the network of ``secret_cnn`` judges each with its surrounding context, in overlapping
-windows along the whole run.  Those whose highest window is over its calibrated, recall-constrained
-threshold become spans of kind ``cnn``, or confirm the base spans that they overlap.
+of at least CANDIDATE token characters with a letter and a digit is a candidate, and so is every
+base finding's value outside these, however short; the network of ``secret_cnn`` judges each with
+its surrounding context, in overlapping windows along the whole of it.  Where the highest window is
+over its calibrated, recall-constrained threshold, base spans that overlap it are confirmed, and
+what no base span covers becomes spans of kind ``cnn``.
 
 Bytes of a whole batch are searched at once for what any finding needs (a run of token
 characters, a run of hexadecimal digits, ``AKIA``, a colon or equals sign and a keyword); only
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,7 @@ MASK = "[SECRET]"
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _KEYWORD = re.compile(rb"password|passwd|secret|token|api_?key", re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
+_CORE = re.compile(rb"[A-Za-z0-9](?:.*[A-Za-z0-9])?", re.DOTALL)
 
 
 def _table(chars: str) -> np.ndarray:
@@ -60,6 +63,16 @@ def _runs(flags: np.ndarray, breaks: np.ndarray, least: int) -> tuple[np.ndarray
     return a[ok], b[ok]
 
 
+def _uncovered(start: int, end: int, spans) -> list[tuple[int, int]]:
+    """Parts of a range that no span covers."""
+    out = []
+    for a, b, _ in sorted(spans):
+        if a > start:
+            out.append((start, a))
+        start = max(start, b)
+    return [*out, (start, end)] if start < end else out
+
+
 def scan(column, net: Network, judged: dict[int, list[int]] | None = None) -> list[list[tuple[int, int, int]]]:
     """Spans (start, end, kind's number) of each row of a column of texts, sorted.
 
@@ -73,6 +86,7 @@ def scan(column, net: Network, judged: dict[int, list[int]] | None = None) -> li
     found: dict[int, list[tuple[int, int, int]]] = {}
     breaks = offsets[(offsets > 0) & (offsets < len(data))]
     points: dict[int, np.ndarray] = {}
+    values: list[tuple[int, int]] = []  # bytes of the base findings' values
 
     def chars(row: int, at: int) -> int:
         """Code points of the row before a byte position of it."""
@@ -81,27 +95,45 @@ def scan(column, net: Network, judged: dict[int, list[int]] | None = None) -> li
             points[row] = np.append(0, np.cumsum((body & 0xC0) != 0x80))
         return int(points[row][at])
 
+    def add(row: int, kind: int, span: tuple[int, int], value: tuple[int, int]) -> None:
+        """A base finding, in code points."""
+        found.setdefault(row, []).append((*span, kind))
+        chars(row, 0)
+        values.append(tuple(int(offsets[row] + np.searchsorted(points[row], k, "left")) for k in value))
+
     signs = set(np.unique(row_of(np.flatnonzero(_SIGN[data]))).tolist())
     words = set()
     for m in _KEYWORD.finditer(raw) if signs else ():
         words.add(int(row_of(m.start())))
     for r in signs & words:
         text = raw[offsets[r] : offsets[r + 1]].decode("utf-8", "replace")
-        found.setdefault(r, []).extend((m.start(), m.end(), 0) for m in _ASSIGN.finditer(text) if len(m[2]) >= VALUE)
+        for m in _ASSIGN.finditer(text):
+            if len(m[2]) >= VALUE:
+                add(r, 0, m.span(), m.span(2))
     at = raw.find(b"AKIA")
     while at >= 0:
         r = int(row_of(at))
         text = raw[offsets[r] : offsets[r + 1]].decode("utf-8", "replace")
-        found.setdefault(r, []).extend((m.start(), m.end(), 1) for m in _ACCESS.finditer(text) if m.end() - m.start() >= ACCESS)
+        for m in _ACCESS.finditer(text):
+            if m.end() - m.start() >= ACCESS:
+                add(r, 1, m.span(), m.span())
         at = raw.find(b"AKIA", int(offsets[r + 1]))
     for a, b in zip(*_runs(_HEXA[data], breaks, HEX)):
         r = int(row_of(a))
-        found.setdefault(r, []).append((chars(r, a - offsets[r]), chars(r, b - offsets[r]), 2))
+        span = chars(r, a - offsets[r]), chars(r, b - offsets[r])
+        add(r, 2, span, span)
     starts, ends = _runs(_TOKEN[data], breaks, CANDIDATE)
     if len(starts):
         digits, letters = np.append(0, np.cumsum(_IS_DIGIT[data])), np.append(0, np.cumsum(_IS_LETTER[data]))
         ok = (digits[ends] > digits[starts]) & (letters[ends] > letters[starts])
         starts, ends = starts[ok], ends[ok]
+    if values:  # those that lie in no run
+        a, b = np.array(sorted(set(values)), np.int64).T
+        inside = np.searchsorted(starts, a, "right") - 1
+        apart = (inside < 0) | (ends[inside] < b) if len(starts) else np.ones(len(a), bool)
+        order = np.argsort(np.concatenate([starts, a[apart]]), kind="stable")
+        starts, ends = np.concatenate([starts, a[apart]])[order], np.concatenate([ends, b[apart]])[order]
+    if len(starts):
         owners = row_of(starts)
         owner, places = windows(ends - starts)
         places += starts[owner]
@@ -117,8 +149,14 @@ def scan(column, net: Network, judged: dict[int, list[int]] | None = None) -> li
             base = {x for x in found.get(r, ()) if x[2] < 3 and s < x[1] and x[0] < e}
             if base:
                 confirmed.setdefault(r, set()).update(base)
-            else:
-                found.setdefault(r, []).append((s, e, 3))
+            text = raw[a:b]
+            for x, y in _uncovered(s, e, base):
+                # A candidate is ASCII, so its code points are its bytes.  Punctuation around base spans is no finding.
+                part = text[x - s : y - s]
+                if not base:
+                    found.setdefault(r, []).append((x, y, 3))
+                elif core := _CORE.search(part):
+                    found.setdefault(r, []).append((x + core.start(), x + core.end(), 3))
         if judged is not None:
             for r, k in zip(*np.unique(owners, return_counts=True)):
                 judged[int(r)] = [int(k), len(confirmed.get(int(r), ()))]
@@ -147,9 +185,15 @@ def _report(net):
     return run
 
 
+@cache
+def _network() -> Network:
+    """Trained once a process."""
+    return trained()
+
+
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", net: Network | None = None) -> DataFrame:
     """One row per input row: the id, n_assign, n_access, n_hex, base_sha256, spans, and the numbers of candidates judged and of base spans that the network confirms."""
-    net = docs.sparkSession.sparkContext.broadcast(net or trained())
+    net = docs.sparkSession.sparkContext.broadcast(net or _network())
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_report(net), "id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_judged long, n_confirmed long").withColumnRenamed("id", id_col)
 
@@ -178,7 +222,7 @@ def _mask(net):
 
 def mask_secrets(docs: DataFrame, text_col: str = "text", net: Network | None = None) -> DataFrame:
     """The rows of ``docs`` with all found secrets masked in the text column; other columns as they are."""
-    net = docs.sparkSession.sparkContext.broadcast(net or trained())
+    net = docs.sparkSession.sparkContext.broadcast(net or _network())
     others = [c for c in docs.columns if c != text_col]
     inner = [f"_keep{i}" for i in range(len(others))]
     rows = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in zip(others, inner)], F.col(f"`{text_col}`").cast("string").alias("text"))
