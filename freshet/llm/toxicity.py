@@ -34,7 +34,7 @@ SPACE_BITS = 20
 #: Bounds of the training sample.
 TRAIN_ROWS, TRAIN_BYTES = 6_000, 16 << 20
 #: n-grams in fewer training texts are left out, as are those with a smaller statistic; of the rest the strongest are taken.
-LEAST_TEXTS, LEAST_STATISTIC, FEATURES = 3, 8.0, 8_000
+LEAST_TEXTS, LEAST_STATISTIC, FEATURES = 3, 8.0, 12_000
 SMOOTH, PENALTY = 0.5, 1.0
 #: Folds of the calibration, and the share of false alarms up to which the point of decision is lowered.
 FOLDS, FALSE_ALARMS = 3, 0.003
@@ -224,11 +224,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     pick = pick.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(train_rows)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # The picked rows are bounded by train_rows, which is what makes broadcasting them safe.
-    rows = texts.join(F.broadcast(pick), "id").select("id", F.xxhash64("id").alias("place"), "text", "y", F.octet_length("text").cast("long").alias("size"))
-    # Ids may be repeated, so rows and bytes are bounded once more.
-    first = rows.orderBy("place", "id", F.xxhash64("text"), "size").limit(train_rows)
-    held = F.sum("size").over(Window.orderBy("place", "id", F.xxhash64("text"), "size").rowsBetween(Window.unboundedPreceding, 0))
-    got = first.withColumn("held", held).filter(F.col("held") <= train_bytes).select("text", "y").toArrow()
+    rows = texts.join(F.broadcast(pick), "id").select("id", F.xxhash64("id").alias("place"), F.xxhash64("text").alias("said"), "text", "y")
+    # Ids may be repeated, so rows and bytes are bounded once more: by sizes alone, then the texts within the bounds are fetched.
+    order = ["place", "id", "said", "size"]
+    first = rows.select("id", "place", "said", F.octet_length("text").cast("long").alias("size")).orderBy(*order).limit(train_rows)
+    held = F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    within = first.withColumn("held", held).filter(F.col("held") <= train_bytes).groupBy("id", "said").agg(F.count(F.lit(1)).alias("times"))
+    # Equal rows stand for each other: as many are learnt from as lay within the bounds.
+    got = rows.join(F.broadcast(within), ["id", "said"]).groupBy("place", "id", "said", "text", "y").agg(F.first("times").alias("times")).select(F.explode(F.array_repeat(F.struct("text", "y"), F.col("times").cast("int"))).alias("r")).select("r.text", "r.y").toArrow()
     return fit(got.column("text").to_pylist(), got.column("y").to_numpy())
 
 
