@@ -2,8 +2,9 @@
 
 ``encode_many`` writes blocks of 8-bit samples, four to a pixel, as images WIDTH pixels wide.  Each
 image has a palette, if it is estimated to be shorter with it, or else a predictor transform and a
-cross-colour transform, whose mode and factor are chosen by the entropy of what they leave.  Pixels are then written by prefix codes, with back-references and, where it is hit, a
-colour cache.
+cross-colour transform, whose mode and factor are chosen by the entropy of what they leave of the
+pixels of some rows.  Pixels are then written by prefix codes, with back-references and, where it
+is hit, a colour cache; the codes' lengths have codes of their own.
 
 ``decode_many`` reads any lossless image.  In each step every image that isn't done reads its next
 literal, back-reference or cached colour; predictors are undone pixel by pixel in the same way.
@@ -25,7 +26,9 @@ WIDTH = 16
 #: Samples of one image at most: more images in step with each other, and prefix codes of less than 15 bits.
 BLOCK = 4096
 #: Tiles of the transforms are 2**TILE pixels wide and high; predictor modes and cross-colour factors (of green) that are tried.
-TILE, MODES, FACTORS = 4, (0, 1, 2, 11), (0, 32)
+TILE, MODES, FACTORS = 4, (0, 1, 2, 11, 12), (0, 16, 32)
+#: Of images with more rows than this, one row in so many is looked at to choose the mode and the factor.
+ALL_ROWS, EVERY = 15, 4
 #: The colour cache holds 2**CACHE colours; shortest back-reference, in pixels.
 CACHE, SHORTEST = 6, 3
 
@@ -167,31 +170,61 @@ def _texts(lengths: list[int]) -> list[str]:
     return texts
 
 
-#: Code lengths' own code, the same in all images: what texts have most is short.
-_OWN = [4, 6, 5, 5, 4, 4, 3, 3, 3, 4, 5, 5, 6, 7, 7, 7, 7, 4, 3]
-_LENGTH = _texts(_OWN)
-_START = "01111" + "".join(_text(_OWN[k], 3) for k in LENGTH_ORDER) + "0"
-
-
-def _gap(n: int) -> str:
-    """Bits of n symbols without a code."""
-    text = ""
-    while n >= 3:
-        k = min(n, 138)
-        text += _LENGTH[18] + _text(k - 11, 7) if k >= 11 else _LENGTH[17] + _text(k - 3, 3)
-        n -= k
-    return text + n * _LENGTH[0]
-
-
-_GAP = [_gap(n) for n in range(LITERALS + LENGTHS + (1 << CACHE) + 1)]
-
-
-def _code_text(lengths: list[int]) -> str:
-    """A prefix code's description."""
-    used = [s for s, x in enumerate(lengths) if x]
-    if len(used) <= 2 and used[-1] < 256:
-        return "1" + _text(len(used) - 1, 1) + "1" + "".join(_text(s, 8) for s in used)
-    return _START + "".join([_GAP[s - last - 1] + _LENGTH[lengths[s]] for last, s in zip([-1, *used], used)]) + _GAP[len(lengths) - used[-1] - 1]
+#: Symbols of the code for code lengths: a gap of zeros of each size as (zeros one by one, times 17, times 18), and extra bits.
+_ZEROS = LITERALS + LENGTHS + (1 << CACHE) + 1
+_GAPS = np.array([(r if r < 3 else 0, 3 <= r <= 10, g // 138 + (r > 10)) for g in range(_ZEROS) for r in [g % 138]], np.int64)
+_FULL, _THREE = _text(138 - 11, 7), [_text(k, 3) for k in range(8)]
+#: For each size what follows the full repeats: its symbol and extra bits, or how many zeros.
+_REST = [(0, r) if r < 3 else (17, _text(r - 3, 3)) if r <= 10 else (18, _text(r - 11, 7)) for r in range(138)]
+
+
+def _gap(g: int, own: list[str]) -> str:
+    """Bits of a gap of zeros, where ``own`` has the codes of the symbols of code lengths."""
+    symbol, rest = _REST[g % 138]
+    text = own[symbol] + rest if symbol else rest * own[0]
+    return (own[18] + _FULL) * (g // 138) + text if g >= 138 else text
+
+
+def _bounded_lengths(counts: np.ndarray, most: int) -> np.ndarray:
+    """Code lengths of at most ``most`` bits: where they would be longer, rare symbols count for more."""
+    lengths, floor = _code_lengths(counts), np.ones(len(counts), np.int64)
+    while len(late := np.flatnonzero(lengths.max(1) > most)):
+        floor[late] *= 2
+        lengths[late] = _code_lengths(np.where(counts[late] > 0, np.maximum(counts[late], floor[late, None]), 0))
+    return lengths
+
+
+def _descriptions(lengths: np.ndarray, sizes: np.ndarray) -> list[str]:
+    """Descriptions of the prefix codes whose lengths are the rows; those end at ``sizes``."""
+    n = len(lengths)
+    row, symbol = np.nonzero(lengths)
+    used = np.bincount(row, minlength=n)
+    ends = np.cumsum(used)
+    before = np.append(-1, symbol[:-1])
+    before[(ends - used)[used > 0]] = -1
+    gap, last = symbol - before - 1, sizes - symbol[ends - 1] - 1
+    counts = np.zeros((n, 19), np.int64)
+    np.add.at(counts, (row, lengths[row, symbol]), 1)
+    for k, s in enumerate((0, 17, 18)):
+        counts[:, s] += np.bincount(row, _GAPS[gap, k], minlength=n).astype(np.int64) + _GAPS[last, k]
+    own = _bounded_lengths(counts, 7)
+    out, at = [], 0
+    for k, (end, size, l) in enumerate(zip(ends.tolist(), own.tolist(), last.tolist())):
+        syms = symbol[at:end].tolist()
+        if len(syms) <= 2 and syms[-1] < 256:
+            out.append("1" + _text(len(syms) - 1, 1) + "1" + "".join(_text(s, 8) for s in syms))
+            at = end
+            continue
+        order = [size[x] for x in LENGTH_ORDER]
+        while len(order) > 4 and not order[-1]:
+            order.pop()
+        codes = _texts(size)
+        gaps = gap[at:end].tolist()
+        known = {g: _gap(g, codes) for g in {*gaps, l}}
+        body = "".join([known[g] + codes[x] for g, x in zip(gaps, lengths[k, syms].tolist())])
+        out.append("0" + _text(len(order) - 4, 4) + "".join([_THREE[x] for x in order]) + "0" + body + known[l])
+        at = end
+    return out
 
 
 _X_LOG_X = np.append(0, np.arange(1, BLOCK + 1) * np.log2(np.arange(1, BLOCK + 1)))
@@ -206,38 +239,41 @@ def _entropy(image: np.ndarray, symbol: np.ndarray, size: np.ndarray) -> np.ndar
 def _transformed(pixels: np.ndarray, image: np.ndarray, row: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """What predictors and cross-colour leave of the pixels, and the mode and the factor of each image."""
     at, p = np.arange(len(pixels)), pixels.astype(np.int16)
-    near = [p[np.maximum(at - d, 0)] for d in (1, WIDTH, WIDTH + 1, WIDTH - 1)]
-    column = at % WIDTH
-    edge = np.flatnonzero((row == 0) | (column == 0))
-    rest_edge = p[edge] - np.where((row[edge] > 0)[:, None], near[1][edge], np.where((column[edge] > 0)[:, None], near[0][edge], np.array([0, 0, 0, 255], np.int16)))
-    left, best, mode = None, None, np.zeros(len(size), np.int64)
+    # The first row and column are predicted in one way whatever the mode is.
+    edge = (row == 0) | (at % WIDTH == 0)
+    inner = np.flatnonzero(~edge)
+    left = np.empty_like(pixels)
+    e = np.flatnonzero(edge)
+    up, beside = row[e] > 0, at[e] % WIDTH > 0
+    guess = np.where(up[:, None], p[np.maximum(e - WIDTH, 0)], np.where(beside[:, None], p[np.maximum(e - 1, 0)], np.array([0, 0, 0, 255], np.int16)))
+    left[e] = (p[e] - guess).astype(np.uint8)
+    near = lambda k: [p[k - d] for d in (1, WIDTH, WIDTH + 1, WIDTH - 1)]
+    seen = inner[(row[inner] % EVERY == 1) | (size[image[inner]] <= ALL_ROWS * WIDTH)]
+    own, around = image[seen], near(seen)
+    many = np.bincount(own, minlength=len(size))
+    best, mode = None, np.zeros(len(size), np.int64)
     for m in MODES:
-        rest = p - predictions(m, *near)
-        rest[edge] = rest_edge
-        rest = rest.astype(np.uint8)
-        cost = sum(_entropy(image, rest[:, c], size) for c in range(4))
-        if best is None:
-            left, best = rest, cost
-            continue
-        better = cost < best
-        mode[better], best = m, np.minimum(cost, best)
-        some = better[image]
-        left[some] = rest[some]
-    factor, best, out = np.zeros(len(size), np.int64), None, left
+        rest = (p[seen] - predictions(m, *around)).astype(np.uint8)
+        cost = sum(_entropy(own, rest[:, c], many) for c in range(4))
+        if best is not None:
+            mode[cost < best] = m
+        best = cost if best is None else np.minimum(cost, best)
+    mode_of = mode[image[inner]]
+    for m in np.unique(mode).tolist():
+        k = inner[mode_of == m]
+        left[k] = (p[k] - predictions(m, *near(k))).astype(np.uint8)
+    factor, best = np.zeros(len(size), np.int64), None
     green = (left[:, 1].astype(np.int16) ^ 128) - 128
     for f in FACTORS:
-        rest = left.copy()
-        rest[:, 0] -= (f * green >> 5).astype(np.uint8)
-        rest[:, 2] -= (f * green >> 5).astype(np.uint8)
-        cost = sum(_entropy(image, rest[:, c], size) for c in (0, 2))
-        if best is None:
-            out, best = rest, cost
-            continue
-        better = cost < best
-        factor[better], best = f, np.minimum(cost, best)
-        some = better[image]
-        out[some] = rest[some]
-    return out, mode, factor
+        part = (f * green[seen] >> 5).astype(np.uint8)
+        cost = sum(_entropy(own, left[seen, c] - part, many) for c in (0, 2))
+        if best is not None:
+            factor[cost < best] = f
+        best = cost if best is None else np.minimum(cost, best)
+    part = (factor[image].astype(np.int16) * green >> 5).astype(np.uint8)
+    left[:, 0] -= part
+    left[:, 2] -= part
+    return left, mode, factor
 
 
 _sub_images: dict = {}
@@ -260,11 +296,14 @@ def _sub_image(kind: int, value: int, tiles: int) -> str:
 def _literals(pixels: np.ndarray) -> str:
     """An entropy-coded image of literals only."""
     text, codes = ["0"], []  # no cache
-    for c, size in ((1, LITERALS + LENGTHS), (0, LITERALS), (2, LITERALS), (3, LITERALS)):
-        lengths = _huffman(Counter(pixels[:, c].tolist()), size)
-        text.append(_code_text(lengths))
-        codes.append(_texts(lengths))
-    text.append(_code_text([1] + [0] * (DISTANCES - 1)))
+    sizes = np.array([LITERALS + LENGTHS, LITERALS, LITERALS, LITERALS, DISTANCES])
+    lengths = np.zeros((5, int(sizes.max())), np.int64)
+    for k, c in enumerate((1, 0, 2, 3)):
+        own = _huffman(Counter(pixels[:, c].tolist()), LITERALS)
+        lengths[k, :LITERALS] = own
+        codes.append(_texts(own))
+    lengths[4, 0] = 1
+    text += _descriptions(lengths, sizes)
     green, red, blue, alpha = codes
     for r, g, b, a in pixels.tolist():
         text += (green[g], red[r], blue[b], alpha[a])
@@ -399,7 +438,8 @@ def encode_many(blocks: list[bytes]) -> list[bytes]:
     counts = [np.bincount(of[u] * a + s[u], minlength=n_images * a).reshape(n_images, a) for a, s, u in zip(alphabets, symbols, used)]
     bits_of = [_code_lengths(c) for c in counts]
     code = [_canonical(x) for x in bits_of]
-    described = [x.tolist() for x in bits_of]
+    ends_at = [np.where(caches, alphabets[0], LITERALS + LENGTHS), *[np.full(n_images, a) for a in alphabets[1:]]]
+    described = [_descriptions(x, e) for x, e in zip(bits_of, ends_at)]
     heads = []
     for i in range(n_images):
         w = Writer()
@@ -413,8 +453,7 @@ def encode_many(blocks: list[bytes]) -> list[bytes]:
             text += [_sub_image(PREDICTOR, int(modes[i]), tiles), _sub_image(CROSS_COLOUR, int(factors[i]), tiles)]
         # No more transforms; the cache; one group of codes.
         text += ["0", "1" + _text(CACHE, 4) if caches[i] else "0", "0"]
-        for k in range(len(alphabets)):
-            text.append(_code_text(described[k][i] if k or caches[i] else described[k][i][: LITERALS + LENGTHS]))
+        text += [x[i] for x in described]
         heads.append("".join(text))
     for x in bits_of:  # a single symbol has no bits
         x[(x > 0).sum(1) < 2] = 0
