@@ -54,11 +54,6 @@ def over(x: Column | str, threshold: Column | str) -> Column:
     return at_least(as_col(x) - as_col(threshold), 0.0)
 
 
-def both(a: Column, b: Column, value: Column) -> Column:
-    """value where a and b are there."""
-    return F.when(a.isNotNull() & b.isNotNull(), value)
-
-
 def all_greatest(*cols: Column) -> Column:
     """The greatest value, null if any is missing."""
     there = cols[0].isNotNull()
@@ -72,8 +67,10 @@ def epoch(c: Column | str) -> Column:
     return F.unix_micros(as_col(c).cast("timestamp")) / F.lit(1_000_000)
 
 
-def step_count(hours: float, dt_hours: float) -> int:
-    """Rows that a span of hours covers: rounded half to even, one at least."""
+def step_count(hours: float, dt_hours: float | Column) -> int | Column:
+    """Rows that a span of hours covers: rounded half to even, one at least; of a column of intervals a column."""
+    if isinstance(dt_hours, Column):
+        return F.greatest(F.bround(F.lit(float(hours)) / dt_hours), F.lit(1.0)) if hours and hours > 0 else F.lit(1.0)
     hours = hours if hours and hours > 0 else dt_hours
     return max(int(round(hours / dt_hours)), 1)
 

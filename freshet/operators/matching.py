@@ -2,7 +2,7 @@
 
 ``greedy`` follows an observation about the tolerance ladder: a pick's tier is always the
 tightest tolerance that covers its distance, so all rows can be ranked once and chosen in one
-ordered pass per key.
+ordered pass per key, of which ``folds`` holds no more than the picks.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import all_greatest, doy_distance, epoch, ratio
+from .folds import picked
 from .stats import capacity, quantile
 from .windows import is_peak_over
 
@@ -81,28 +82,13 @@ def greedy(ranked: DataFrame, n_controls: int, min_per_year: int, separation_day
     for i, t in reversed(list(enumerate(tolerances, 1))):
         tier = F.when(F.col(dist) <= t, F.lit(i)).otherwise(tier)
     rows = ranked.filter(F.col(dist).isNotNull()).select(key, F.unix_micros(F.date_trunc("HOUR", ts)).alias("h"), F.unix_micros(ts).alias("t"), F.col(dist).alias("d"), F.year(ts).alias("y"), tier.alias("tier"), (F.lit(0).cast("long") if seed is None else F.xxhash64(F.lit(seed), F.unix_micros(ts))).alias("o"))
-    first = rows.filter(F.col("tier") <= len(tolerances)).select(key, F.struct(F.lit(1).alias("phase"), F.col("tier"), F.col("y").alias("g"), "d", "o", "t", "h", "y").alias("r"))
-    second = rows.select(key, F.struct(F.lit(2).alias("phase"), F.col("tier"), F.lit(0).alias("g"), "d", "o", "t", "h", "y").alias("r"))
-    listed = first.unionByName(second).groupBy(key).agg(F.sort_array(F.collect_list("r")).alias("rows"))
-    apart = int(separation_days * DAY * 1_000_000)
-    zero = F.expr("named_struct('picks', cast(array() as array<struct<tier:int,d:double,t:bigint,h:bigint,y:int>>), 'tier', 0, 'g', 0, 'phase', 0, 'before', 0, 'taken', 0)")
-
-    def step(s, r):
-        new = (s["phase"] != r["phase"]) | (s["tier"] != r["tier"]) | (s["g"] != r["g"])
-        before = F.when(new, F.size(s["picks"])).otherwise(s["before"])
-        taken = F.when(new, F.lit(0)).otherwise(s["taken"])
-        room = F.when(r["phase"] == 1, (before < n_controls) & (taken < min_per_year)).otherwise(F.size(s["picks"]) < n_controls)
-        free = ~F.exists(s["picks"], lambda p: (F.abs(p["h"] - r["h"]) < apart) | (p["t"] == r["t"]))
-        ok = room & free
-        pick = F.struct(r["tier"].alias("tier"), r["d"].alias("d"), r["t"].alias("t"), r["h"].alias("h"), r["y"].alias("y"))
-        picks = F.when(ok, F.concat(s["picks"], F.array(pick))).otherwise(s["picks"])
-        return F.struct(picks.alias("picks"), r["tier"].alias("tier"), r["g"].alias("g"), r["phase"].alias("phase"), before.alias("before"), F.when(ok, taken + 1).otherwise(taken).alias("taken"))
-
-    chosen = listed.select(key, F.explode(F.aggregate("rows", zero, step, lambda s: s["picks"])).alias("p"))
+    first = rows.filter(F.col("tier") <= len(tolerances)).withColumns({"phase": F.lit(1), "g": F.col("y")})
+    second = rows.withColumns({"phase": F.lit(2), "g": F.lit(0)})
+    chosen = picked(first.unionByName(second), [key], n_controls, min_per_year, int(separation_days * DAY * 1_000_000))
     limit = F.lit(None).cast("double")
     for i, t in enumerate(tolerances, 1):
         limit = F.when(F.col("tier") == i, F.lit(float(t))).otherwise(limit)
-    out = chosen.select(key, F.timestamp_micros("p.t").alias("t_anchor"), F.col("p.d").alias("dist"), F.col("p.y").alias("year"), F.col("p.tier").alias("tier"))
+    out = chosen.select(key, F.timestamp_micros("t").alias("t_anchor"), F.col("d").alias("dist"), F.col("y").alias("year"), "tier")
     rank = F.row_number().over(Window.partitionBy(key).orderBy("tier", "dist", "t_anchor"))
     return out.withColumn("tolerance", limit).withColumn("rank", rank).filter(F.col("rank") <= n_controls)
 
@@ -134,9 +120,7 @@ def pot_peaks(series: DataFrame, events: DataFrame, *, q: float = 0.95, cap: str
     cell = F.floor(epoch(F.date_trunc("HOUR", "event_time")) / width)
     near = events.select(F.col(key).alias("_k"), F.date_trunc("HOUR", "event_time").alias("_e"), F.explode(F.sequence(cell - 1, cell + 1)).alias("_cell"))
     close = (F.col(key) == F.col("_k")) & (F.floor(epoch(ts) / width) == F.col("_cell")) & (F.abs(epoch(ts) - epoch("_e")) <= buffer_days * DAY)
-    left = peaks.join(near, close, "left_anti").select(key, F.year(ts).alias("year"), F.struct((-F.col(value)).alias("d"), F.unix_micros(ts).alias("t")).alias("r"))
-    listed = left.groupBy(key, "year").agg(F.sort_array(F.collect_list("r")).alias("rows"))
-    apart = int(separation_days * DAY * 1_000_000)
-    step = lambda s, r: F.when((F.size(s) < per_year) & ~F.exists(s, lambda p: F.abs(p["t"] - r["t"]) < apart), F.concat(s, F.array(r))).otherwise(s)
-    chosen = listed.select(key, "year", F.posexplode(F.aggregate("rows", F.expr("cast(array() as array<struct<d:double,t:bigint>>)"), step)).alias("i", "p"))
-    return chosen.select(key, F.timestamp_micros("p.t").alias("t_anchor"), (-F.col("p.d")).alias("peak_value"), "year", (F.col("i") + 1).alias("rank_in_year"))
+    micros = F.unix_micros(ts)
+    left = peaks.join(near, close, "left_anti").select(key, F.year(ts).alias("y"), F.year(ts).alias("_year"), (-F.col(value)).alias("d"), micros.alias("t"), micros.alias("h"), F.lit(0).cast("long").alias("o"), F.lit(2).alias("phase"), F.lit(0).alias("tier"), F.lit(0).alias("g"))
+    chosen = picked(left, [key, "_year"], per_year, per_year, int(separation_days * DAY * 1_000_000))
+    return chosen.select(key, F.timestamp_micros("t").alias("t_anchor"), (-F.col("d")).alias("peak_value"), F.col("y").alias("year"), F.col("n").alias("rank_in_year"))

@@ -3,6 +3,10 @@
 Features are made in long form, (guid, t0, name, value), for all catchments, variables and lags
 at once, and pivoted at the end with an explicit list of names; derived ratios follow from the
 wide row.  The registry of names is also the feature dictionary.
+
+Which families of features a variable has is a setting (``var_features``).  Each family names what
+it is made of (INPUTS), and a plan has only the inputs that some family of some variable, or a
+feature that is always there, asks for, and these for no other variables.
 """
 
 from __future__ import annotations
@@ -13,8 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import epoch, ratio
-from ..operators.asof import nearest, regular_sum
-from ..operators.peaks import first_crossing, hours_over, max_before, nearest_peak, steepest
+from ..operators.asof import lag_rates, nearest, regular_sum
+from ..operators.peaks import first_crossing, hours_over, max_before, nearest_peak, steepest_by_span
 from ..operators.stats import rank_in
 from ..sources.sinks import settled
 
@@ -24,6 +28,28 @@ VARIABLES = ("gw", "q", "qmm", "sm", "of", "pr", "tmp", "swe")
 ACTIVE = tuple(v for v in VARIABLES if v != "tmp")
 RATIO_PAIRS = ((3, 24), (6, 24), (12, 24), (24, 72))
 KEY, VAR = ["guid"], ["guid", "var"]
+#: Names of the families of features of a variable, and the families of the published runs.
+FAMILIES = ("anchor", "quantile", "pctcap", "pctmax", "rates_before", "peak_pre")
+VAR_FEATURES = {v: {f: (f != "pctcap" or v == "gw") and (f not in ("rates_before", "peak_pre") or v != "tmp") for f in FAMILIES} for v in VARIABLES}
+LEGACY_FAMILIES = ("anchor", "quantile", "pctcap", "rates", "max")
+LEGACY_VARIABLES = tuple(v for v in VARIABLES if v != "qmm")
+LEGACY_FEATURES = {v: {f: (f != "pctcap" or v == "gw") and (f not in ("rates", "max") or v != "tmp") for f in LEGACY_FAMILIES} for v in LEGACY_VARIABLES}
+#: What each family is made of.
+INPUTS = {"anchor": ("value",), "quantile": ("value", "rank"), "pctcap": ("value", "top"), "pctmax": ("value", "top"), "rates_before": ("value", "rates"), "peak_pre": ("peak",), "rates": ("value", "both_rates"), "max": ("slopes",)}
+
+
+def inputs_of(features: dict[str, dict[str, bool]], always: dict[str, tuple[str, ...]] | None = None) -> dict[str, list[str]]:
+    """Variables that need each input, for the families that are on; ``always`` has those of features that no setting switches."""
+    need: dict[str, set[str]] = {}
+    for v, families in features.items():
+        for f, on in families.items():
+            if f not in INPUTS:
+                raise ValueError(f"unknown feature family {f!r}")
+            for i in INPUTS[f] if on else ():
+                need.setdefault(i, set()).add(v)
+    for i, variables in (always or {}).items():
+        need.setdefault(i, set()).update(variables)
+    return {i: [v for v in VARIABLES if v in variables] for i, variables in need.items()}
 
 
 def _long(df: DataFrame, **values) -> DataFrame:
@@ -38,8 +64,9 @@ def _name(*parts) -> Column:
 
 def rates(series: DataFrame, lags: tuple[int, ...], tolerance_s: float) -> DataFrame:
     """(guid, var, H, ts, r): change per hour against the value nearest to H hours before, for every row."""
-    spread = series.select("guid", "var", "ts", F.col("x").alias("_x"), F.explode(F.array(*map(F.lit, lags))).alias("H")).withColumn("_at", F.timestamp_micros(F.unix_micros("ts") - F.col("H").cast("long") * 3_600_000_000))
-    return nearest(spread, series, tolerance_s, VAR, "_at", "ts", "x", "_was").select("guid", "var", "H", "ts", ((F.col("_x") - F.col("_was")) / F.col("H")).alias("r")).filter("r is not null")
+    wide = lag_rates(series, lags, tolerance_s, VAR)
+    each = F.explode(F.array(*[F.struct(F.lit(h).alias("H"), F.col(f"r{h}").alias("r")) for h in lags]))
+    return wide.select("guid", "var", "ts", each.alias("_e")).select("guid", "var", F.col("_e.H").alias("H"), "ts", F.col("_e.r").alias("r")).filter("r is not null")
 
 
 def sums(series: DataFrame, lags: tuple[int, ...], tolerance_s: float) -> DataFrame:
@@ -50,50 +77,69 @@ def sums(series: DataFrame, lags: tuple[int, ...], tolerance_s: float) -> DataFr
     return wide.select("guid", "var", "ts", F.explode("_a").alias("_e")).select("guid", "var", F.col("_e.H").alias("H"), "ts", F.col("_e.s").alias("s")).filter("s is not null")
 
 
-def anchor_features(anchors: DataFrame, series: DataFrame, tolerance_s: float) -> DataFrame:
-    """Values at the anchor, their ranks and their share of the maximum."""
-    at = anchors.select("guid", "t0", F.explode(F.array(*map(F.lit, VARIABLES))).alias("var"))
-    x0 = nearest(at, series, tolerance_s, VAR, "t0", "ts", "x", "x0")
-    ranked = rank_in(series, x0, VAR, "x", "x0")
-    top = series.groupBy(*VAR).agg(F.max("x").alias("top"))
-    return ranked.join(top, VAR, "left")
+def _each(anchors: DataFrame, variables) -> DataFrame:
+    return anchors.select("guid", "t0", F.explode(F.array(*map(F.lit, variables))).alias("var"))
+
 
+def anchor_features(anchors: DataFrame, series: DataFrame, tolerance_s: float, variables=VARIABLES, ranked=VARIABLES, topped=VARIABLES) -> DataFrame:
+    """Values at the anchor, and for the variables that ask for them their ranks and the greatest values."""
+    out = nearest(_each(anchors, variables), series, tolerance_s, VAR, "t0", "ts", "x", "x0")
+    if ranked:
+        some = F.col("var").isin(*ranked)
+        out = rank_in(series.filter(some), out.withColumn("_x", F.when(some, F.col("x0"))), VAR, "x", "_x").drop("_x")
+    if topped:
+        out = out.join(series.filter(F.col("var").isin(*topped)).groupBy(*VAR).agg(F.max("x").alias("top")), VAR, "left")
+    return out
 
-def peak_features(anchors: DataFrame, series: DataFrame, before_h: int, after_h: int) -> DataFrame:
-    at = anchors.select("guid", "t0", F.explode(F.array(*map(F.lit, ACTIVE))).alias("var"))
-    return rank_in(series, nearest_peak(at, series, before_h, after_h, VAR), VAR, "x", "pk_0")
 
+def peak_features(anchors: DataFrame, series: DataFrame, before_h: int, after_h: int, variables=ACTIVE) -> DataFrame:
+    return rank_in(series, nearest_peak(_each(anchors, variables), series, before_h, after_h, VAR), VAR, "x", "pk_0")
 
-def rate_features(anchors: DataFrame, series: DataFrame, rate_rows: DataFrame, lags: tuple[int, ...], tolerance_s: float) -> DataFrame:
-    """(guid, t0, var, H, x0, xb, r, rank, rank_pos, rank_neg, abs_top)."""
-    at = anchors.select("guid", "t0", F.explode(F.array(*map(F.lit, ACTIVE))).alias("var"))
-    x0 = nearest(at, series, tolerance_s, VAR, "t0", "ts", "x", "x0")
-    spread = x0.withColumn("H", F.explode(F.array(*map(F.lit, lags)))).withColumn("_at", F.timestamp_micros(F.unix_micros("t0") - F.col("H").cast("long") * 3_600_000_000))
-    out = nearest(spread, series, tolerance_s, VAR, "_at", "ts", "x", "xb").drop("_at").withColumn("r", (F.col("x0") - F.col("xb")) / F.col("H"))
+
+def rate_features(anchors: DataFrame, series: DataFrame, rate_rows: DataFrame, lags: tuple[int, ...], tolerance_s: float, variables=ACTIVE) -> DataFrame:
+    """(guid, t0, var, H, x0, xb, r, rank_all, rank_pos, rank_neg, abs_top)."""
+    out = _shifted_values(anchors, series, tuple(-h for h in lags), tolerance_s, variables).withColumn("H", -F.col("shift"))
+    out = out.select("guid", "t0", "var", "H", "x0", F.col("xs").alias("xb")).withColumn("r", (F.col("x0") - F.col("xb")) / F.col("H"))
     key = [*VAR, "H"]
     for name, sign in (("rank_all", 0), ("rank_pos", 1), ("rank_neg", -1)):
         out = rank_in(rate_rows, out, key, "r", "r", sign).withColumnRenamed("rank", name)
     return out.join(rate_rows.groupBy(*key).agg(F.max(F.abs("r")).alias("abs_top")), key, "left")
 
 
+def _shifted_values(anchors: DataFrame, series: DataFrame, shifts: tuple[int, ...], tolerance_s: float, variables) -> DataFrame:
+    """(guid, t0, var, shift, x0, xs): values at the anchor and some hours from it, of one pass over the series."""
+    spread = _each(anchors, variables).withColumn("shift", F.explode(F.array(*map(F.lit, (0, *shifts))))).withColumn("_at", F.timestamp_micros(F.unix_micros("t0") + F.col("shift").cast("long") * 3_600_000_000))
+    found = nearest(spread, series, tolerance_s, VAR, "_at", "ts", "x", "xs").drop("_at")
+    x0 = F.max(F.when(F.col("shift") == 0, F.col("xs"))).over(Window.partitionBy("guid", "var", "t0"))
+    return found.withColumn("x0", x0).filter("shift != 0").select("guid", "t0", "var", "shift", "x0", "xs")
+
+
 def sum_features(anchors: DataFrame, sum_rows: DataFrame, lags: tuple[int, ...], before_h: int, tolerance_s: float) -> DataFrame:
-    at = anchors.select("guid", "t0", F.explode(F.array(F.lit("pr"), F.lit("qmm"))).alias("var")).withColumn("H", F.explode(F.array(*map(F.lit, lags))))
     key = [*VAR, "H"]
+    at = _each(anchors, ("pr", "qmm")).withColumn("H", F.explode(F.array(*map(F.lit, lags))))
     out = rank_in(sum_rows, nearest(at, sum_rows, tolerance_s, key, "t0", "ts", "s", "S"), key, "s", "S")
     top = sum_rows.groupBy(*key).agg(F.max("s").alias("top"))
-    most = [max_before(anchors.select("guid", "t0"), sum_rows.filter((F.col("var") == "pr") & (F.col("H") == h)), before_h, h, KEY).select("guid", "t0", F.lit("pr").alias("var"), F.lit(h).alias("H"), "max_sum") for h in lags]
-    return out.join(top, key, "left").join(reduce(DataFrame.unionByName, most), ["guid", "t0", "var", "H"], "left")
+    rain = F.col("var") == "pr"
+    most = max_before(at.filter(rain), sum_rows.filter(rain), before_h, F.col("H"), key).select("guid", "t0", "var", "H", "max_sum")
+    return out.join(top, key, "left").join(most, ["guid", "t0", "var", "H"], "left")
 
 
-def feature_names(lags: tuple[int, ...] = LAGS) -> list[tuple[str, str]]:
+def feature_names(lags: tuple[int, ...] = LAGS, features: dict[str, dict[str, bool]] | None = None) -> list[tuple[str, str]]:
     """Names and descriptions of the long features, in the order of the wide row."""
     rows = []
     for v in VARIABLES:
-        rows += [(f"{v}0", f"{v} at the anchor"), (f"{v}q", f"rank of {v}0 in its series"), (f"{v}pmx", f"{v}0 in percent of its maximum")]
-        if v == "gw":
-            rows += [("gwp", "gw0 in percent of the capacity"), ("gwmxcap", "greatest gw in percent of the capacity")]
-        if v in ACTIVE:
+        on = (features or VAR_FEATURES).get(v, {})
+        if on.get("anchor"):
+            rows.append((f"{v}0", f"{v} at the anchor"))
+        if on.get("quantile"):
+            rows.append((f"{v}q", f"rank of {v}0 in its series"))
+        if on.get("pctmax"):
+            rows.append((f"{v}pmx", f"{v}0 in percent of its maximum"))
+        if on.get("pctcap"):
+            rows += [(f"{v}p", f"{v}0 in percent of the capacity"), (f"{v}mxcap", f"greatest {v} in percent of the capacity")]
+        if on.get("peak_pre"):
             rows += [(f"{v}pk_t", f"hours from the nearest peak of {v} to the anchor"), (f"{v}pk_0", f"value of that peak of {v}"), (f"{v}pk_q", f"rank of that peak of {v}")]
+        if on.get("rates_before"):
             for h in lags:
                 rows += [(f"{v}r{h}b", f"change of {v} per hour over {h} hours before"), (f"{v}rq{h}b", f"rank of {v}r{h}b"), (f"{v}rqp{h}b", f"rank of {v}r{h}b among rises"), (f"{v}rqn{h}b", f"rank of {v}r{h}b among falls"), (f"{v}rpmx{h}b", f"{v}r{h}b in percent of the greatest change")]
     for h in lags:
@@ -108,12 +154,12 @@ def feature_names(lags: tuple[int, ...] = LAGS) -> list[tuple[str, str]]:
     return rows
 
 
-def derived(lags: tuple[int, ...], before_h: int, c=F.col) -> dict[str, Column]:
-    """Derived features from the wide row, in an order in which each may use those before it."""
+def derived(lags: tuple[int, ...], before_h: int, c=F.col, rated=ACTIVE) -> dict[str, Column]:
+    """Derived features from the wide row; ``c`` gives a column of it, or a missing value for one that it lacks."""
     out: dict[str, Column] = {}
     top_lag = max([h for h in lags if h <= before_h], default=None)
     if top_lag is not None:
-        for v in ACTIVE:
+        for v in rated:
             out |= {f"{v}x{h}": c(f"{v}r{h}b") - c(f"{v}r{top_lag}b") for h in lags}
     for h in lags:
         out[f"netS{h}b"] = c(f"prS{h}b") - c(f"qmmS{h}b")
@@ -150,36 +196,82 @@ def derived(lags: tuple[int, ...], before_h: int, c=F.col) -> dict[str, Column]:
     return out
 
 
-def episodes(anchors: DataFrame, series: DataFrame, params: DataFrame, *, lags: tuple[int, ...] = LAGS, before_h: int = 72, after_h: int = 72, tolerance_s: float = 1800, gw_act_q: float = 0.99, q_act_q: float = 0.99, gw_def: str = "gw", gw_sm_weight: float = 1.0) -> DataFrame:
+def _with_signal(series: DataFrame, gw_def: str, gw_sm_weight: float) -> DataFrame:
+    """The long series with the groundwater signal in place of gw."""
+    if gw_def not in ("gw", "gw_plus_sm"):
+        raise ValueError(f"unknown groundwater signal {gw_def!r}")
+    if gw_def == "gw":
+        return series
+    own = lambda v: series.filter(F.col("var") == v).select("guid", "ts", F.col("x").alias(f"_{v}"))
+    both = own("gw").join(own("sm"), ["guid", "ts"]).select("guid", F.lit("gw").alias("var"), "ts", (F.col("_gw") + F.lit(float(gw_sm_weight)) * F.col("_sm")).alias("x"))
+    return series.filter("var != 'gw'").select("guid", "var", "ts", "x").unionByName(both)
+
+
+def _crossings(at: DataFrame, series: DataFrame, before_h: int, gw_act_q: float, q_act_q: float) -> DataFrame:
+    """Long features of the first crossings of gw and q."""
+    v = F.col("var")
+    limits = series.filter(v.isin("gw", "q")).groupBy("guid").agg(F.percentile(F.when(v == "gw", F.col("x")), F.lit(gw_act_q)).alias("_gwthr"), F.percentile(F.when(v == "q", F.col("x")), F.lit(q_act_q)).alias("_qthr")).filter("_gwthr is not null and _qthr is not null")
+    c = at.join(limits, "guid")
+    probes = c.select("guid", "t0", F.explode(F.array(*[F.struct(F.lit(x).alias("var"), F.col(f"_{x}thr").alias("thr")) for x in ("gw", "q")])).alias("_p")).select("guid", "t0", "_p.*")
+    hits = first_crossing(probes, series.filter(v.isin("gw", "q")), before_h, VAR).groupBy("guid", "t0").agg(*[F.max(F.when(v == x, F.col("cross"))).alias(f"_{x}t") for x in ("gw", "q")])
+    c = c.join(hits, ["guid", "t0"], "left")
+    gap = lambda x, y: (epoch(x) - epoch(y)) / 3600
+    return _long(c, a=(F.lit("hxl_pre"), gap("_gwt", "_qt")), b=(F.lit("hxl_pre_gwt"), gap("t0", "_gwt")), c=(F.lit("hxl_pre_qt"), gap("t0", "_qt")), d=(F.lit("hxl_pre_gwthr"), F.col("_gwthr")), e=(F.lit("hxl_pre_qthr"), F.col("_qthr")))
+
+
+def _of_cap(x: str) -> Column:
+    return F.when(F.col("cap") > 0, ratio(x, "cap") * 100)
+
+
+def _meta(anchors: DataFrame, params: DataFrame) -> DataFrame:
+    return anchors.select("guid", "t0", "y").join(params.select("guid", "cap", F.col("area_km2").alias("A_km2"), "HI", "MRT", "meandailyT"), "guid", "left")
+
+
+def _labels(lags, before_h: int, after_h: int, gw_def: str, gw_act_q: float, q_act_q: float) -> dict[str, Column]:
+    text = {"wb": F.lit(before_h), "wa": F.lit(after_h), "lags": F.lit(",".join(map(str, lags))), "gwdef": F.lit(gw_def), "gwsig": F.lit("gw" if gw_def == "gw" else "gw_plus_sm"), "qmm_sig": F.lit("q*3.6/area_km2"), "gw_act_q": F.lit(float(gw_act_q)), "q_act_q": F.lit(float(q_act_q))}
+    return {k: x.alias(k) for k, x in text.items()}
+
+
+def episodes(anchors: DataFrame, series: DataFrame, params: DataFrame, *, lags: tuple[int, ...] = LAGS, before_h: int = 72, after_h: int = 72, tolerance_s: float = 1800, gw_act_q: float = 0.99, q_act_q: float = 0.99, gw_def: str = "gw", gw_sm_weight: float = 1.0, var_features: dict[str, dict[str, bool]] | None = None) -> DataFrame:
     """Wide rows for anchors (guid, t0, y) from the long series of VARIABLES.
 
     ``params`` has one row per catchment: guid, cap, area_km2, HI, MRT, meandailyT.  With ``gw_def``
-    "gw_plus_sm" the groundwater signal is gw plus weighted sm, where both are there.
+    "gw_plus_sm" the groundwater signal is gw plus weighted sm, where both are there.  Families that
+    ``var_features`` switches off have no columns, and what only they are made of is not computed;
+    derived features of what is missing are missing.
     """
-    if gw_def not in ("gw", "gw_plus_sm"):
-        raise ValueError(f"unknown groundwater signal {gw_def!r}")
-    if gw_def == "gw_plus_sm":
-        own = lambda v: series.filter(F.col("var") == v).select("guid", "ts", F.col("x").alias(f"_{v}"))
-        both = own("gw").join(own("sm"), ["guid", "ts"]).select("guid", F.lit("gw").alias("var"), "ts", (F.col("_gw") + F.lit(float(gw_sm_weight)) * F.col("_sm")).alias("x"))
-        series = series.filter("var != 'gw'").select("guid", "var", "ts", "x").unionByName(both)
     lags = tuple(sorted(set(lags)))
+    features = var_features or VAR_FEATURES
+    need = inputs_of(features, {"rates": ("swe",), "value": ("swe",)})
+    on = lambda f: [v for v in VARIABLES if features.get(v, {}).get(f)]
+    v, h = F.col("var"), F.col("H").cast("string")
     # Used by many features each: written once, so that the plans of the features stay small.
-    at, series = settled(anchors.select("guid", "t0").distinct(), "anchors"), settled(series, "series")
-    rate_rows = settled(rates(series.filter(F.col("var") != "tmp"), lags, tolerance_s), "rates")
+    at, series = settled(anchors.select("guid", "t0").distinct(), "anchors"), settled(_with_signal(series, gw_def, gw_sm_weight), "series")
+    rate_rows = settled(rates(series.filter(v.isin(*need["rates"])), lags, tolerance_s), "rates")
     sum_rows = settled(sums(series, lags, tolerance_s), "sums")
-    v, h = F.col("var"), F.col("H").cast("string")
 
-    a = anchor_features(at, series, tolerance_s)
-    parts = [_long(a, x=(_name(v, "0"), F.col("x0")), q=(_name(v, "q"), F.col("rank")), m=(_name(v, "pmx"), ratio("x0", "top") * 100))]
-    cap = params.select("guid", "cap")
-    g = a.filter("var = 'gw'").join(cap, "guid", "left")
-    of_cap = lambda x: F.when(F.col("cap") > 0, ratio(x, "cap") * 100)
-    parts.append(_long(g, p=(F.lit("gwp"), of_cap("x0")), m=(F.lit("gwmxcap"), of_cap("top"))))
-    p = peak_features(at, series, before_h, after_h)
-    parts.append(_long(p, t=(_name(v, "pk_t"), F.col("pk_t")), x=(_name(v, "pk_0"), F.col("pk_0")), q=(_name(v, "pk_q"), F.col("rank"))))
-    r = rate_features(at, series, rate_rows, lags, tolerance_s)
-    parts.append(_long(r, r=(_name(v, "r", h, "b"), F.col("r")), q=(_name(v, "rq", h, "b"), F.col("rank_all")), p=(_name(v, "rqp", h, "b"), F.col("rank_pos")), n=(_name(v, "rqn", h, "b"), F.col("rank_neg")), m=(_name(v, "rpmx", h, "b"), ratio("r", "abs_top") * 100)))
-    s = sum_features(at, sum_rows, lags, before_h, tolerance_s)
+    parts = []
+    valued = sorted({x for f in ("anchor", "quantile", "pctcap", "pctmax") for x in on(f)})
+    if valued:
+        ranked, topped = need.get("rank", []), need.get("top", [])
+        a = anchor_features(at, series, tolerance_s, valued, ranked, topped)
+        asked = lambda f, x: F.when(v.isin(*on(f)), x) if on(f) else None
+        columns = {"x": (_name(v, "0"), asked("anchor", F.col("x0")))}
+        if ranked:
+            columns["q"] = (_name(v, "q"), asked("quantile", F.col("rank")))
+        if topped:
+            columns["m"] = (_name(v, "pmx"), asked("pctmax", ratio("x0", "top") * 100))
+        parts.append(_long(a, **{k: x for k, x in columns.items() if x[1] is not None}))
+        if on("pctcap"):
+            g = a.filter(v.isin(*on("pctcap"))).join(params.select("guid", "cap"), "guid", "left")
+            parts.append(_long(g, p=(_name(v, "p"), _of_cap("x0")), m=(_name(v, "mxcap"), _of_cap("top"))))
+    if need.get("peak"):
+        p = peak_features(at, series, before_h, after_h, need["peak"])
+        parts.append(_long(p, t=(_name(v, "pk_t"), F.col("pk_t")), x=(_name(v, "pk_0"), F.col("pk_0")), q=(_name(v, "pk_q"), F.col("rank"))))
+    r = settled(rate_features(at, series, rate_rows, lags, tolerance_s, need["rates"]), "rate-features")
+    if on("rates_before"):
+        parts.append(_long(r.filter(v.isin(*on("rates_before"))), r=(_name(v, "r", h, "b"), F.col("r")), q=(_name(v, "rq", h, "b"), F.col("rank_all")), p=(_name(v, "rqp", h, "b"), F.col("rank_pos")), n=(_name(v, "rqn", h, "b"), F.col("rank_neg")), m=(_name(v, "rpmx", h, "b"), ratio("r", "abs_top") * 100)))
+    s = settled(sum_features(at, sum_rows, lags, before_h, tolerance_s), "sum-features")
     parts.append(_long(s, s=(_name(v, "S", h, "b"), F.col("S")), q=(_name(v, "Sq", h, "b"), F.col("rank")), m=(_name(v, "Spmx", h, "b"), ratio("S", "top") * 100)))
     parts.append(_long(s.filter("var = 'pr'"), x=(_name("prmr", h, "b"), F.col("max_sum")), m=(_name("prmrpmx", h, "b"), ratio("max_sum", "top") * 100)))
     nonneg = lambda x: F.when(x < 0, F.lit(0.0)).otherwise(x)
@@ -187,50 +279,105 @@ def episodes(anchors: DataFrame, series: DataFrame, params: DataFrame, *, lags:
     w = rank_in(losses, r.filter("var = 'swe'").select("guid", "t0", "var", "H", nonneg(F.col("xb") - F.col("x0")).alias("loss")), [*VAR, "H"], "loss", "loss").join(losses.groupBy("guid", "H").agg(F.max("loss").alias("top")), ["guid", "H"], "left")
     parts.append(_long(w, s=(_name("sweLossS", h, "b"), F.col("loss")), q=(_name("sweLossSq", h, "b"), F.col("rank")), m=(_name("sweLossSpmx", h, "b"), ratio("loss", "top") * 100)))
     q90 = series.filter(v.isin("gw", "pr", "qmm")).groupBy(*VAR).agg(F.percentile("x", F.lit(0.9)).alias("thr"))
-    over_at = at.join(q90, "guid")
-    for lag in lags:
-        o = hours_over(over_at, series, lag, VAR)
-        parts.append(_long(o, c=(_name("hours_", v, f"_high_q90_{lag}b"), F.col("hours_high")), e=(_name(v, f"_excess_q90_sum_{lag}b"), F.col("excess_sum"))))
-    limits = series.filter(v.isin("gw", "q")).groupBy("guid").agg(F.percentile(F.when(v == "gw", F.col("x")), F.lit(gw_act_q)).alias("_gwthr"), F.percentile(F.when(v == "q", F.col("x")), F.lit(q_act_q)).alias("_qthr")).filter("_gwthr is not null and _qthr is not null")
-    c = at.join(limits, "guid")
-    for x in ("gw", "q"):
-        hit = first_crossing(c.select("guid", "t0", F.col(f"_{x}thr").alias("thr")), series.filter(v == x), before_h, KEY, name=f"_{x}t").select("guid", "t0", f"_{x}t")
-        c = c.join(hit, ["guid", "t0"], "left")
-    gap = lambda x, y: (epoch(x) - epoch(y)) / 3600
-    parts.append(_long(c, a=(F.lit("hxl_pre"), gap("_gwt", "_qt")), b=(F.lit("hxl_pre_gwt"), gap("t0", "_gwt")), c=(F.lit("hxl_pre_qt"), gap("t0", "_qt")), d=(F.lit("hxl_pre_gwthr"), F.col("_gwthr")), e=(F.lit("hxl_pre_qthr"), F.col("_qthr"))))
+    over_at = at.join(q90, "guid").withColumn("H", F.explode(F.array(*map(F.lit, lags))))
+    o = hours_over(over_at, series, F.col("H"), VAR, more=("H",), most_hours=max(lags))
+    parts.append(_long(o, c=(_name("hours_", v, "_high_q90_", h, "b"), F.col("hours_high")), e=(_name(v, "_excess_q90_sum_", h, "b"), F.col("excess_sum"))))
+    parts.append(_crossings(at, series, before_h, gw_act_q, q_act_q))
     total = series.filter(v.isin("gw", "sm")).groupBy("guid", "ts").agg(F.sum("x").alias("x"), F.count("x").alias("n")).filter("n = 2").groupBy("guid").agg(F.max("x").alias("top"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd"), F.count("x").alias("n"))
     parts.append(_long(at.join(total, "guid"), a=(F.lit("_total_top"), F.col("top")), b=(F.lit("_total_mean"), F.col("mean")), c=(F.lit("_total_sd"), F.col("sd")), d=(F.lit("_total_n"), F.col("n"))))
 
-    names = [n for n, _ in feature_names(lags)]
+    names = [n for n, _ in feature_names(lags, features)]
     wide = reduce(DataFrame.unionByName, parts).groupBy("guid", "t0").pivot("name", names).agg(F.first("value", ignorenulls=True))
-    meta = params.select("guid", "cap", F.col("area_km2").alias("A_km2"), "HI", "MRT", "meandailyT")
-    rows = anchors.select("guid", "t0", "y").join(meta, "guid", "left").join(wide, ["guid", "t0"], "left")
-    labels = {"wb": F.lit(before_h), "wa": F.lit(after_h), "lags": F.lit(",".join(map(str, lags))), "gwdef": F.lit(gw_def), "gwsig": F.lit("gw" if gw_def == "gw" else "gw_plus_sm"), "qmm_sig": F.lit("q*3.6/area_km2"), "gw_act_q": F.lit(float(gw_act_q)), "q_act_q": F.lit(float(q_act_q))}
-    more = derived(lags, before_h)
+    rows = _meta(anchors, params).join(wide, ["guid", "t0"], "left")
+    labels = _labels(lags, before_h, after_h, gw_def, gw_act_q, q_act_q)
+    have = {*names, "cap"}
+    more = derived(lags, before_h, lambda n: F.col(n) if n in have else F.lit(None).cast("double"), on("rates_before"))
     plain = [F.col(n) for n in names if not n.startswith("_")]
-    return rows.select(F.col("guid").alias("GUID"), "t0", "y", *[labels[k].alias(k) for k in ("wb", "wa", "lags")], "cap", *[labels[k].alias(k) for k in ("gwdef", "gwsig", "qmm_sig")], "A_km2", "HI", "MRT", "meandailyT", *[labels[k].alias(k) for k in ("gw_act_q", "q_act_q")], *plain, *[e.alias(k) for k, e in more.items()])
-
-
-def legacy_features(anchors: DataFrame, series: DataFrame, *, lags: tuple[int, ...] = LAGS, before_h: int = 72, after_h: int = 72, tolerance_s: float = 5400) -> DataFrame:
-    """The older variant's own features in long form: rates after the anchor, and the steepest rises and falls on both sides with time, value and rank within the window."""
-    at = anchors.select("guid", "t0").distinct()
-    x0 = nearest(at.withColumn("var", F.explode(F.array(*map(F.lit, [v for v in VARIABLES if v != "qmm"])))), series, tolerance_s, VAR, "t0", "ts", "x", "x0")
-    spread = x0.withColumn("H", F.explode(F.array(*map(F.lit, lags)))).withColumn("_at", F.timestamp_micros(F.unix_micros("t0") + F.col("H").cast("long") * 3_600_000_000))
-    after = nearest(spread, series, tolerance_s, VAR, "_at", "ts", "x", "xa")
+    return rows.select(F.col("guid").alias("GUID"), "t0", "y", *[labels[k] for k in ("wb", "wa", "lags")], "cap", *[labels[k] for k in ("gwdef", "gwsig", "qmm_sig")], "A_km2", "HI", "MRT", "meandailyT", *[labels[k] for k in ("gw_act_q", "q_act_q")], *plain, *[e.alias(k) for k, e in more.items()])
+
+
+def legacy_names(lags: tuple[int, ...] = LAGS, before_h: int = 72, after_h: int = 72, features: dict[str, dict[str, bool]] | None = None) -> list[tuple[str, str]]:
+    """Names and descriptions of the older row's features, in order."""
+    rows, top_lag = [], max([h for h in lags if h <= before_h], default=None)
+    for v in LEGACY_VARIABLES:
+        on = (features or LEGACY_FEATURES).get(v, {})
+        if on.get("anchor"):
+            rows.append((f"{v}0", f"{v} at the anchor"))
+        if on.get("quantile"):
+            rows.append((f"{v}q", f"rank of {v}0 in its series"))
+        if on.get("pctcap"):
+            rows.append((f"{v}p", f"{v}0 in percent of the capacity"))
+        if on.get("rates"):
+            for h in lags:
+                rows += [(f"{v}r{h}b", f"change of {v} per hour over {h} hours before"), (f"{v}r{h}a", f"change of {v} per hour over {h} hours after")]
+            rows += [(f"{v}x{h}", f"{v}r{h}b less {v}r{top_lag}b") for h in lags] if top_lag is not None else []
+        for side, hours, where in (("b", before_h, "before"), ("a", after_h, "after")) if on.get("max") else ():
+            for h in [h for h in lags if h <= hours]:
+                for letter, what in (("m", "rise"), ("n", "fall")):
+                    n = f"{v}{letter}{h}{side}"
+                    rows += [(n, f"steepest {what} of {v} within {h} hours in the window {where}"), (f"{n}_t", f"hours between its end and the anchor"), (f"{n}_0", f"{v} at its end"), (f"{n}_q", f"rank of {n}_0 in the window")]
+    return rows + [("hxl_pre", "hours from the first crossing of q to that of gw"), ("hxl_pre_gwt", "hours from the first crossing of gw to the anchor"), ("hxl_pre_qt", "hours from the first crossing of q to the anchor"), ("hxl_pre_gwthr", "threshold of gw"), ("hxl_pre_qthr", "threshold of q")]
+
+
+def legacy_features(anchors: DataFrame, series: DataFrame, params: DataFrame | None = None, *, lags: tuple[int, ...] = LAGS, before_h: int = 72, after_h: int = 72, tolerance_s: float = 5400, gw_act_q: float = 0.90, q_act_q: float = 0.90, var_features: dict[str, dict[str, bool]] | None = None) -> DataFrame:
+    """(guid, t0, name, value): the older variant's features; rates on both sides of the anchor, and the steepest rises and falls of both windows.
+
+    All lags are read off one pass over a window, and values at all distances from the anchor are
+    found in one.  Times of slopes' ends are hours from the anchor on either side of it.  Shares of
+    the capacity need ``params``.
+    """
+    lags = tuple(sorted(set(lags)))
+    features = var_features or LEGACY_FEATURES
+    need = inputs_of(features)
+    on = lambda f: [v for v in LEGACY_VARIABLES if features.get(v, {}).get(f)]
+    at, series = settled(anchors.select("guid", "t0").distinct(), "anchors"), settled(series.filter(F.col("var") != "qmm"), "series")
     v, h = F.col("var"), F.col("H").cast("string")
-    parts = [_long(after, r=(_name(v, "r", h, "a"), (F.col("xa") - F.col("x0")) / F.col("H")))]
-    probes = x0.select("guid", "t0", "var")
-    for side, b, a in (("b", before_h, 0), ("a", 0, after_h)):
-        for lag in lags:
-            if lag > (b or a):
-                continue
-            for letter, fall in (("m", False), ("n", True)):
-                s = steepest(probes, series, b, a, lag, VAR, fall)
-                name = lambda suffix: _name(v, f"{letter}{lag}{side}{suffix}")  # noqa: B023, E731
-                parts.append(_long(s, a=(name(""), F.col("slope")), t=(name("_t"), F.col("end_h")), x=(name("_0"), F.col("end_value")), q=(name("_q"), F.col("end_rank"))))
+    parts = []
+    valued = sorted({x for f in ("anchor", "quantile", "pctcap") for x in on(f)})
+    if valued:
+        a = anchor_features(at, series, tolerance_s, valued, need.get("rank", []), ())
+        asked = lambda f, x: F.when(v.isin(*on(f)), x)
+        columns = {"x": (_name(v, "0"), asked("anchor", F.col("x0")))} if on("anchor") else {}
+        if on("quantile"):
+            columns["q"] = (_name(v, "q"), asked("quantile", F.col("rank")))
+        if columns:
+            parts.append(_long(a, **columns))
+        if on("pctcap") and params is not None:
+            parts.append(_long(a.filter(v.isin(*on("pctcap"))).join(params.select("guid", "cap"), "guid", "left"), p=(_name(v, "p"), _of_cap("x0"))))
+    if need.get("both_rates"):
+        x = _shifted_values(at, series, (*[-k for k in lags], *lags), tolerance_s, need["both_rates"]).withColumn("H", F.abs("shift"))
+        before = F.col("shift") < 0
+        rate = F.when(before, F.col("x0") - F.col("xs")).otherwise(F.col("xs") - F.col("x0")) / F.col("H")
+        parts.append(_long(x, r=(_name(v, "r", h, F.when(before, "b").otherwise("a")), rate)))
+    for side, b, a in (("b", before_h, 0), ("a", 0, after_h)) if need.get("slopes") else ():
+        spans = tuple(k for k in lags if k <= (b or a))
+        if spans:
+            s = steepest_by_span(_each(at, need["slopes"]), series, b, a, spans, VAR).withColumn("H", F.col("span_h"))
+            columns = {}
+            for letter, what in (("m", "rise"), ("n", "fall")):
+                named = lambda suffix, letter=letter: _name(v, letter, h, side + suffix)  # noqa: B023, E731
+                hours = F.col(f"{what}.end_h") * (-1 if side == "b" else 1)
+                columns |= {letter: (named(""), F.col(f"{what}.slope")), f"{letter}t": (named("_t"), hours), f"{letter}x": (named("_0"), F.col(f"{what}.end_value")), f"{letter}q": (named("_q"), F.col(f"{what}.end_rank"))}
+            parts.append(_long(s, **columns))
+    parts.append(_crossings(at, series, before_h, gw_act_q, q_act_q))
     return reduce(DataFrame.unionByName, parts)
 
 
+def legacy_episodes(anchors: DataFrame, series: DataFrame, params: DataFrame, *, lags: tuple[int, ...] = LAGS, before_h: int = 72, after_h: int = 72, tolerance_s: float = 5400, gw_act_q: float = 0.90, q_act_q: float = 0.90, gw_def: str = "gw", gw_sm_weight: float = 1.0, var_features: dict[str, dict[str, bool]] | None = None) -> DataFrame:
+    """The older variant's wide row."""
+    lags = tuple(sorted(set(lags)))
+    features = var_features or LEGACY_FEATURES
+    on = lambda f: [v for v in LEGACY_VARIABLES if features.get(v, {}).get(f)]
+    long = legacy_features(anchors, _with_signal(series, gw_def, gw_sm_weight), params, lags=lags, before_h=before_h, after_h=after_h, tolerance_s=tolerance_s, gw_act_q=gw_act_q, q_act_q=q_act_q, var_features=features)
+    names = [n for n, _ in legacy_names(lags, before_h, after_h, features)]
+    top_lag = max([k for k in lags if k <= before_h], default=None)
+    apart = {f"{x}x{k}": F.col(f"{x}r{k}b") - F.col(f"{x}r{top_lag}b") for x in on("rates") for k in lags} if top_lag is not None else {}
+    stored = [n for n in names if n not in apart]
+    wide = long.groupBy("guid", "t0").pivot("name", stored).agg(F.first("value", ignorenulls=True))
+    rows, labels = _meta(anchors, params).join(wide, ["guid", "t0"], "left"), _labels(lags, before_h, after_h, gw_def, gw_act_q, q_act_q)
+    return rows.select(F.col("guid").alias("GUID"), "t0", "y", *[labels[k] for k in ("wb", "wa", "lags")], "cap", *[labels[k] for k in ("gwdef", "gwsig", "gw_act_q", "q_act_q")], "A_km2", "HI", "MRT", "meandailyT", *[apart[n].alias(n) if n in apart else F.col(n) for n in names])
+
+
 def feature_dictionary(spark, lags: tuple[int, ...] = LAGS) -> DataFrame:
     """(feature, description) of the wide row."""
     rows = [(n, d) for n, d in feature_names(lags) if not n.startswith("_")]

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import at_least, excess, over, step_count
+from ..operators.asof import snapped
 from ..operators.stats import capacity, fraction_of_max, median_dt_hours, quantile, robust_minmax, threshold
-from ..operators.windows import exp_memory, lag_rate, positive_drop, rolling_memory, rolling_sum
+from ..operators.windows import ROW, exp_memory, lag_rate, numbered_rows, positive_drop, rolling_memory, rolling_sum
 
 
 @dataclass(frozen=True)
@@ -110,7 +111,7 @@ def rain(prec: Column, temp: Column, cfg: StressConfig) -> Column:
     return p
 
 
-def with_excesses(sim: DataFrame, dt: float, cfg: StressConfig, key: str = "guid", ts: str = "ts") -> DataFrame:
+def with_excesses(sim: DataFrame, dt: float | Column, cfg: StressConfig, key: str = "guid", ts: str = "ts") -> DataFrame:
     """Thresholds and raw excesses of all components."""
     zero, none = F.lit(0.0), F.lit(None).cast("double")
     gw, sm, of = F.col("gw"), F.col("sm"), F.col("of")
@@ -169,7 +170,7 @@ def with_norms(df: DataFrame, cfg: StressConfig, key: str = "guid") -> DataFrame
     return out.withColumns({"base_inst": base, "grad_inst": F.col("grad_norm"), "prec_inst": F.col("prec_norm"), "swe_inst": F.col("swe_norm"), "of_inst": F.lit(float(cfg.of_base_mult)) * F.col("of_norm")}).drop("_grad")
 
 
-def with_memory(df: DataFrame, dt: float, cfg: StressConfig, key: str = "guid", ts: str = "ts") -> DataFrame:
+def with_memory(df: DataFrame, dt: float | Column, cfg: StressConfig, key: str = "guid", ts: str = "ts") -> DataFrame:
     groups = {"base": (cfg.base_accum_mode, cfg.base_window_days, cfg.base_tau_days), "grad": (cfg.grad_accum_mode, cfg.grad_window_days, cfg.grad_tau_days)}
     groups |= {c: (cfg.forc_accum_mode, cfg.forc_window_days, cfg.forc_tau_days) for c in ("prec", "swe", "of")}
     exp = {}
@@ -210,28 +211,20 @@ def with_total(df: DataFrame, cfg: StressConfig, key: str = "guid") -> DataFrame
     return out.withColumn("stress_total", F.coalesce(robust_minmax("stress_raw", cfg.norm_q_low, cfg.norm_q_high, key), F.lit(0.0)))
 
 
-def _one_interval(sim: DataFrame, dt: float, cfg: StressConfig, key: str, ts: str) -> DataFrame:
-    return with_total(with_memory(with_norms(with_excesses(sim, dt, cfg, key, ts), cfg, key), dt, cfg, key, ts), cfg, key)
-
-
 def stress(sim: DataFrame, cfg: StressConfig = RUN, dt_hours: float | None = None, key: str = "guid", ts: str = "ts") -> DataFrame:
     """Stress of all catchments; once per catchment, whatever its number of events.
 
-    Steps are rows, so they depend on a catchment's median interval.  Without ``dt_hours`` the
-    catchments are split by it; the number of different intervals is that of model resolutions.
+    Steps are rows, so they depend on a catchment's median interval.  Without ``dt_hours`` that
+    interval is a column, and catchments of all resolutions go through one plan.
     """
-    rows = sim.filter(F.col(ts).isNotNull())
-    if dt_hours is not None:
-        return _one_interval(rows, dt_hours, cfg, key, ts)
-    dt = median_dt_hours(rows, key, ts)
-    out = None
-    for (h,) in dt.select("dt_hours").distinct().collect():
-        part = _one_interval(rows.join(dt.filter(F.col("dt_hours") == h).select(key), key, "left_semi"), h, cfg, key, ts)
-        out = part if out is None else out.unionByName(part)
-    return _one_interval(rows, 1.0, cfg, key, ts) if out is None else out
-
-
-#: Output names of the export, in order: core, intensities, thresholds.
+    rows, dt = sim.filter(F.col(ts).isNotNull()), dt_hours
+    if dt_hours is None:
+        rows = numbered_rows(rows.join(median_dt_hours(rows, key, ts).withColumnRenamed("dt_hours", "_dt"), key), key, ts)
+        dt = F.col("_dt")
+    return with_total(with_memory(with_norms(with_excesses(rows, dt, cfg, key, ts), cfg, key), dt, cfg, key, ts), cfg, key).drop("_dt", ROW)
+
+
+#: Output names of the export, in order: core, intensities, thresholds.
 CORE = {
     "Datetime": "ts", "is_event_time": "is_event_time", "event_time": "event_ts", "GUID": "guid", "No": "no", "SkredID": "skred_id",
     "GW_mm": "gw", "SM_mm": "sm", "OF_m3s": "of", "SWE_mm": "swe", "Prec_mm": "pr", "Temp_C": "tmp", "Q_m3s": "q", "GW_def_mm": "def",
@@ -257,8 +250,7 @@ def event_tables(stressed: DataFrame, events: DataFrame, cfg: StressConfig = RUN
     The snap takes the event's hour if the series has it, else the nearest row (of two the earlier).
     """
     e = events.filter("event_time is not null").select(key, "no", "skred_id", F.date_trunc("HOUR", "event_time").alias("_e"))
-    gap = F.abs(F.unix_micros(ts) - F.unix_micros("_e"))
-    snap = e.join(stressed.select(key, ts), key).groupBy(key, "no", "skred_id", "_e").agg(F.min_by(ts, F.struct(gap, F.col(ts))).alias("event_ts"))
+    snap = snapped(e.distinct(), stressed.select(key, ts), [key], "_e", ts, "event_ts", by_hour=False)
     out = stressed.join(snap, key).withColumn("is_event_time", F.col(ts) == F.col("event_ts"))
     names = CORE | (INTENSITIES if cfg.export_debug_intensities else {}) | (THRESHOLDS if cfg.export_debug_thresholds else {})
     return out.select(*[F.col(v).alias(k) for k, v in names.items()])

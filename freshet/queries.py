@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from . import oracles
 from .functions.exprs import at_least, epoch, excess
 from .operators import asof, matching, peaks, series, stats, windows
 from .plans import driver_tables as dt
@@ -203,11 +204,11 @@ def melt_component(spark, sf_dir):
     return _rounded(stress.with_excesses(dt.hourly(spark, sf_dir), 1.0, stress.RUN), "melt_window", "thr_swe", "swe_excess")
 
 
-@query()
+@query(oracles.stress_table_sql(_STRESS, _MM))
 def stress_event_table(spark, sf_dir):
     """The full export of 53 columns for the wettest hours as events."""
     events = dt.probes(dt.hourly(spark, sf_dir)).select("guid", F.date_format("t0", "MMddHH").alias("no"), F.lit(None).cast("string").alias("skred_id"), F.col("t0").alias("event_time"))
-    return stress.event_tables(_stress(spark, sf_dir), events)
+    return _rounded_row(stress.event_tables(_stress(spark, sf_dir), events))
 
 
 # --- as-of and ranks --------------------------------------------------------------------------
@@ -564,11 +565,14 @@ def _episode_inputs(spark, sf_dir):
     return dt.probes(h).withColumn("y", F.lit(1)), series.long_series(wide, ep.VARIABLES), area
 
 
-@query()
+@query(oracles.wide_sql())
 def episodes_wide(spark, sf_dir):
     """All 627 columns."""
-    a, s, p = _episode_inputs(spark, sf_dir)
-    return ep.episodes(a, s, p)
+    return _rounded_row(ep.episodes(*_episode_inputs(spark, sf_dir)))
+
+
+def _rounded_row(df):
+    return df.select(*[_r(F.col(c), c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 _AT = ("at_", f"SELECT p.guid, p.t0, h.gw, h.pr, h.q, h.sm, round(h.gw / h.mx * 100, 6) AS gwpmx, h.rk, h.cap FROM probes p JOIN (SELECT *, max(gw) {G} AS mx, cume_dist() OVER (PARTITION BY guid ORDER BY gw) AS rk, first_value(def) {W}) AS cap FROM hourly) h ON h.guid = p.guid AND h.ts = p.t0")
@@ -598,10 +602,10 @@ def episode_sums(spark, sf_dir):
     return x.select("guid", "t0", _r(F.col("S"), "prS6b"), _r(F.col("S") / F.col("top") * 100, "prSpmx6b"), _r(F.col("rank"), "prSq6b"))
 
 
-@query()
+@query(oracles.legacy_sql())
 def episode_legacy(spark, sf_dir):
-    a, s, _ = _episode_inputs(spark, sf_dir)
-    return ep.legacy_features(a, s).select("guid", "t0", "name", _r(F.col("value"), "value"))
+    """All 719 columns of the older row."""
+    return _rounded_row(ep.legacy_episodes(*_episode_inputs(spark, sf_dir)))
 
 
 @query()
@@ -685,3 +689,43 @@ def hysteresis_panel(spark, sf_dir):
 @query(dt.sql("SELECT guid, round(max(gw) * 1.1, 6) AS gw_limit, round(max(pr) * 1.1, 6) AS pr_limit FROM hourly GROUP BY guid"))
 def axis_limits(spark, sf_dir):
     return panels.axis_limits(dt.hourly(spark, sf_dir), ["gw", "pr"], ["guid"]).select("guid", _r(F.col("gw_limit"), "gw_limit"), _r(F.col("pr_limit"), "pr_limit"))
+
+
+_ON = "x.guid = c.guid AND x.n BETWEEN c.c - 48 AND c.c + 72"
+_W_EVENT = "OVER (PARTITION BY guid, event_ts)"
+_PANEL_VIEWS = (
+    *_STRESS,
+    ("tot", f"SELECT guid, ts, {_MM.format('raw')} AS total FROM (SELECT guid, ts, {_SUM} AS raw FROM s5)"),
+    ("num_", f"SELECT h.*, tot.total, s5.base, s5.grad, s5.prec AS prec_, s5.swe AS swe_, s5.of_ AS of2, row_number() OVER (PARTITION BY h.guid ORDER BY h.ts) AS n, first_value(h.def) OVER (PARTITION BY h.guid ORDER BY h.ts) AS cap FROM hourly h JOIN tot USING (guid, ts) JOIN s5 USING (guid, ts)"),
+    ("ctr", "SELECT p.guid, p.t0, x.n AS c FROM probes p JOIN num_ x ON x.guid = p.guid AND x.ts = p.t0"),
+    ("rows_", f"SELECT x.*, c.t0 AS event_ts, CAST(x.n - c.c AS INT) AS off_, x.n - c.c <= 12 AS inw FROM ctr c JOIN num_ x ON {_ON}"),
+)
+
+
+def _stressed_events(spark, sf_dir):
+    h = dt.hourly(spark, sf_dir)
+    return stress.stress(h, stress.RUN, 1.0), dt.probes(h).select("guid", F.date_format("t0", "MMddHH").alias("no"), F.col("t0").alias("event_ts"))
+
+
+def _limit_sql(column: str, share: float) -> str:
+    top = f"max({column}) FILTER (inw) {_W_EVENT}"
+    return f"CASE WHEN {top} > 0 THEN {top} * {share} ELSE 1 END"
+
+
+_PANEL_COLUMNS = {
+    "pr": "pr", "tmp": "tmp", "q": "q", "of": "of_", "gw": "gw", "sm": "sm", "swe": "swe", "stress_total": "total", "stress_base": "base", "stress_grad": "grad", "stress_prec": "prec_", "stress_swe": "swe_", "stress_of": "of2", "cap": "cap",
+    "pr_limit": f"max(pr) FILTER (inw) {_W_EVENT} * 1.1", "tmp_low": f"least(-5, min(tmp) FILTER (inw) {_W_EVENT})", "tmp_high": f"max(tmp) FILTER (inw) {_W_EVENT} * 1.1", "q_limit": _limit_sql("q", 1.05), "gw_limit": "cap * 1.2",
+    "sm_limit": _limit_sql("sm", 1.1), "swe_limit": _limit_sql("swe", 1.1), "of_limit": _limit_sql("of_", 1.1), "hyst_q_low": f"min(q) {_W_EVENT}", "hyst_q_high": f"max(q) {_W_EVENT}", "hyst_gw_limit": f"greatest(max(gw) {_W_EVENT}, cap * 1.2)",
+}
+
+
+@query(dt.sql("SELECT guid, strftime(event_ts, '%m%d%H') AS no, event_ts, ts, off_ AS \"offset\", off_ = 0 AS is_event, inw AS in_window, CASE WHEN off_ < 0 THEN 'before' WHEN off_ > 0 THEN 'after' ELSE 'event' END AS label, " + ", ".join(f'round(({x})::DOUBLE, 6) AS "{n}"' for n, x in _PANEL_COLUMNS.items()) + " FROM rows_", *_PANEL_VIEWS, recursive=True))
+def event_panels(spark, sf_dir):
+    """Rows of all panels of all events, in one plan."""
+    return _rounded_row(panels.event_panels(*_stressed_events(spark, sf_dir), 1.0))
+
+
+@query(dt.sql("SELECT x.guid, strftime(p.t0, '%m%d%H') AS no, p.t0 AS event_ts, x.ts, round(gw, 6) AS gw, round(total, 6) AS stress_total, round(cap, 6) AS cap, round(max(gw) OVER (PARTITION BY x.guid) * 1.1, 6) AS gw_limit, x.ts = p.t0 AS is_event FROM probes p JOIN num_ x ON x.guid = p.guid", *_PANEL_VIEWS[:-2], recursive=True))
+def series_panel(spark, sf_dir):
+    """Every event's whole series with its marker."""
+    return _rounded_row(panels.series_panel(*_stressed_events(spark, sf_dir)))

@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
-import io
-import re
-import zipfile
-from datetime import datetime, timedelta
-from xml.etree import ElementTree
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import num
 from ..operators.stats import info_score
+from .workbooks import register
 
 #: Header tokens of the catalogue's columns; an exact name goes before a substring.
 TOKENS = {"guid": ("guid",), "event_time": ("tidspunkt",), "no": ("no",), "skred_id": ("skredid",), "mean_annual_flood": ("middelflom", "mean annual flood")}
-_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
 def find_column(header: list[str], tokens: tuple[str, ...]) -> int | None:
@@ -32,61 +25,32 @@ def find_column(header: list[str], tokens: tuple[str, ...]) -> int | None:
     return None
 
 
-def workbook_rows(content: bytes) -> list[list[list[str | None]]]:
-    """All sheets of an xlsx file as rows of texts, by the standard library alone."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        names = z.namelist()
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(_SHEET + "si"):
-                shared.append("".join(t.text or "" for t in si.iter(_SHEET + "t")))
-        sheets = []
-        for name in sorted(n for n in names if re.match(r"xl/worksheets/[^/]+\.xml$", n)):
-            rows = []
-            for row in ElementTree.fromstring(z.read(name)).iter(_SHEET + "row"):
-                cells: dict[int, str | None] = {}
-                for c in row.iter(_SHEET + "c"):
-                    letters = re.match(r"[A-Z]+", c.get("r", "A"))[0]
-                    at = 0
-                    for ch in letters:
-                        at = at * 26 + ord(ch) - 64
-                    v, kind = c.find(_SHEET + "v"), c.get("t")
-                    text = "".join(t.text or "" for t in c.iter(_SHEET + "t")) if kind == "inlineStr" else None if v is None else v.text
-                    cells[at - 1] = shared[int(text)] if kind == "s" and text is not None else text
-                rows.append([cells.get(i) for i in range(max(cells, default=-1) + 1)])
-            sheets.append(rows)
-        return sheets
-
-
-def _as_time(text: str | None) -> str | None:
-    """A serial day number of a workbook as a day-first date."""
-    if text and re.fullmatch(r"\d+(\.\d+)?", text):
-        return (datetime(1899, 12, 30) + timedelta(days=float(text)) + timedelta(microseconds=500)).strftime("%d.%m.%Y %H:%M:%S")
-    return text
-
-
-def _parse(batches):
-    for batch in batches:
-        out = {k: [] for k in TOKENS}
-        for content in batch.column("content").to_pylist():
-            for rows in workbook_rows(content):
-                if not rows:
-                    continue
-                at = {k: find_column(rows[0], t) for k, t in TOKENS.items()}
-                if at["guid"] is None or at["event_time"] is None:
-                    continue
-                for r in rows[1:]:
-                    for k, i in at.items():
-                        v = r[i] if i is not None and i < len(r) else None
-                        out[k].append(_as_time(v) if k == "event_time" else v)
-        yield pa.RecordBatch.from_arrays([pa.array(v, pa.string()) for v in out.values()], list(out))
+def _as_time(text: Column) -> Column:
+    """A serial day number of a workbook as a day-first date; other texts as they are."""
+    return F.when(text.rlike(r"^\d+(\.\d+)?$"), F.date_format(F.timestamp_seconds(F.round(text.try_cast("double") * 86_400).cast("long") - 2_209_161_600), "dd.MM.yyyy HH:mm:ss")).otherwise(text)
 
 
 def read_workbooks(spark: SparkSession, root: str) -> DataFrame:
-    """Raw events of every ``*beskrivelser*.xlsx`` under a folder, whatever the case of its name."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    books = files.filter(F.lower(F.element_at(F.split("path", "/"), -1)).rlike(r"beskrivelser.*\.xlsx$")).select("content")
-    return books.mapInArrow(_parse, ", ".join(f"{k} string" for k in TOKENS))
+    """Raw events of every ``*beskrivelser*.xlsx`` under a folder, whatever the case of its name.
+
+    A sheet's first row has its columns' names; sheets without GUID and time have no events.
+    """
+    register(spark)
+    rows = spark.read.format("workbook").option("name", "beskrivelser").load(root)
+    sheet = ["path", "sheet"]
+    low = F.transform("cells", lambda x: F.lower(F.trim(F.coalesce(x, F.lit("")))))
+    head = rows.filter("row = 0").select(*sheet, low.alias("_names"))
+
+    def place(tokens: tuple[str, ...]) -> Column:
+        """An exact name goes before a substring, an earlier token before a later one."""
+        exact = [F.array_position("_names", t) for t in tokens]
+        inside = [F.array_position(F.transform("_names", lambda x: x.contains(t)), True) for t in tokens]  # noqa: B023
+        return F.coalesce(*[F.when(p > 0, p) for p in [*exact, *inside]])
+
+    at = head.select(*sheet, *[place(t).cast("int").alias(f"_{k}") for k, t in TOKENS.items()]).filter("_guid is not null and _event_time is not null")
+    cells = rows.filter("row > 0").join(at, sheet)
+    value = lambda k: F.try_element_at("cells", F.col(f"_{k}"))
+    return cells.select(*[(_as_time(value(k)) if k == "event_time" else value(k)).alias(k) for k in TOKENS])
 
 
 def clean(raw: DataFrame) -> DataFrame:

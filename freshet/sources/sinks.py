@@ -7,15 +7,31 @@ import tempfile
 import uuid
 from dataclasses import asdict, is_dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def write_by_event(tables: DataFrame, path: str, keys: dict[str, Column], fmt: str = "parquet", order: str | None = None) -> None:
+    """Folders named by ``keys`` (name: expression), one file in each.
+
+    Rows are range-partitioned by the keys, so each folder is written by one task, and a task has
+    the folders of neighbouring keys; without that every task would write a file into every folder.
+    """
+    named = tables.withColumns(keys)
+    placed = named.repartitionByRange(*keys).sortWithinPartitions(*keys, *([order] if order else []))
+    placed.write.mode("overwrite").partitionBy(*keys).option("header", "true").format(fmt).save(path)
+
+
 def write_stress(tables: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Event tables in one folder per catchment and event number; events without a number stay apart by their time."""
+    """Event tables in one folder and file per catchment and event number; events without a number stay apart by their time."""
     label = F.coalesce(F.col("No"), F.date_format("event_time", "yyyyMMddHH"))
-    writer = tables.withColumn("guid_dir", F.col("GUID")).withColumn("no_dir", label).write.mode("overwrite").partitionBy("guid_dir", "no_dir")
-    writer.option("header", "true").format(fmt).save(path)
+    write_by_event(tables, path, {"guid_dir": F.col("GUID"), "no_dir": label}, fmt, "Datetime")
+
+
+def write_panels(panels: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Panel datasets in one folder and file per catchment and event number."""
+    label = F.coalesce(F.col("no"), F.date_format("event_ts", "yyyyMMddHH"))
+    write_by_event(panels, path, {"guid_dir": F.col("guid"), "no_dir": label}, fmt, "ts")
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "csv") -> None:
