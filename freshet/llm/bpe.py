@@ -390,7 +390,7 @@ class Codec:
 
     def parts(self, text: str) -> list[tuple[list[str], int | None]]:
         """Runs of words, each followed by a special token's id or by none."""
-        if self.cut is None or "<|" not in text:
+        if self.cut is None or not self.cut.search(text):
             return [(words_of(text), None)]
         pieces = self.cut.split(text)
         return [(words_of(x), self.special.get(pieces[2 * i + 1]) if 2 * i + 1 < len(pieces) else None) for i, x in enumerate(pieces[::2])]
