@@ -175,3 +175,11 @@ def stress_table_sql(views: tuple[tuple[str, str], ...], minmax: str) -> str:
     first = ['h.ts AS "Datetime"', "h.ts = e.t0 AS is_event_time", "e.t0 AS event_time", 'h.guid AS "GUID"', 'e.no AS "No"', 'NULL::VARCHAR AS "SkredID"']
     body = f"SELECT {', '.join([*first, *[_r(x, n) for n, x in named.items()]])} FROM hourly h JOIN evt e USING (guid) JOIN lim l USING (guid, ts) JOIN s4 USING (guid, ts) JOIN memory m USING (guid, ts) JOIN s5 USING (guid, ts) JOIN tot USING (guid, ts)"
     return dt.sql(body, *views, *more, recursive=True)
+
+
+def dictionary_sql() -> str:
+    """The dictionary of both wide rows, with the values that there are of each variable."""
+    text = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+    rows = ", ".join("(" + ", ".join(map(text, r)) + ")" for r in ep.dictionary_rows())
+    count = "(SELECT var, count(x) AS n FROM ser GROUP BY var)"
+    return dt.sql(f'SELECT d."row", d.feature, d.description, d.variable, coalesce(c.n, 0) AS n_values FROM (VALUES {rows}) d("row", feature, description, variable) LEFT JOIN {count} c ON c.var = d.variable', *_series(ep.VARIABLES)[:2])

@@ -378,8 +378,16 @@ def legacy_episodes(anchors: DataFrame, series: DataFrame, params: DataFrame, *,
     return rows.select(F.col("guid").alias("GUID"), "t0", "y", *[labels[k] for k in ("wb", "wa", "lags")], "cap", *[labels[k] for k in ("gwdef", "gwsig", "gw_act_q", "q_act_q")], "A_km2", "HI", "MRT", "meandailyT", *[apart[n].alias(n) if n in apart else F.col(n) for n in names])
 
 
-def feature_dictionary(spark, lags: tuple[int, ...] = LAGS) -> DataFrame:
-    """(feature, description) of the wide row."""
-    rows = [(n, d) for n, d in feature_names(lags) if not n.startswith("_")]
-    rows += [(n, n.replace("_", " ").strip()) for n in derived(lags, 72, lambda n: F.lit(None).cast("double"))]
-    return spark.createDataFrame(rows, "feature string, description string")
+def dictionary_rows(lags: tuple[int, ...] = LAGS, before_h: int = 72, after_h: int = 72) -> list[tuple[str, str, str, str | None]]:
+    """(row, feature, description, variable) of both wide rows; derived features have no variable of their own."""
+    of = lambda n: next((v for v in sorted(VARIABLES, key=len, reverse=True) if n.startswith(v)), None)
+    found = [("current", n, d, of(n)) for n, d in feature_names(lags) if not n.startswith("_")]
+    found += [("current", n, n.replace("_", " ").strip(), None) for n in derived(lags, before_h, lambda n: F.lit(None).cast("double"))]
+    return found + [("legacy", n, d, of(n)) for n, d in legacy_names(lags, before_h, after_h)]
+
+
+def feature_dictionary(series: DataFrame, lags: tuple[int, ...] = LAGS) -> DataFrame:
+    """(row, feature, description, variable, n_values): the dictionary of both wide rows, with the number of values that the series have of a feature's variable (derived ones: 0)."""
+    rows = series.sparkSession.createDataFrame(dictionary_rows(lags), "row string, feature string, description string, variable string")
+    known = series.groupBy(F.col("var").alias("variable")).agg(F.count("x").alias("n"))
+    return rows.join(known, "variable", "left").select("row", "feature", "description", "variable", F.coalesce("n", F.lit(0)).alias("n_values"))

@@ -608,9 +608,9 @@ def episode_legacy(spark, sf_dir):
     return _rounded_row(ep.legacy_episodes(*_episode_inputs(spark, sf_dir)))
 
 
-@query()
+@query(oracles.dictionary_sql())
 def feature_dictionary(spark, sf_dir):
-    return ep.feature_dictionary(spark)
+    return ep.feature_dictionary(_episode_inputs(spark, sf_dir)[1])
 
 
 # --- catalogue, parameters, panels ------------------------------------------------------------
