@@ -50,8 +50,12 @@ def _meta(before_h: int, after_h: int, lags, quantile: float, legacy: bool) -> l
     return [*first, *quantiles, *params] if legacy else [*first, "'q*3.6/area_km2' AS qmm_sig", *params, *quantiles]
 
 
-def wide_sql(lags: tuple[int, ...] = ep.LAGS, before_h: int = 72, after_h: int = 72) -> str:
-    """The wide row of all catchments' probes, with all its families."""
+def wide_sql(lags: tuple[int, ...] = ep.LAGS, before_h: int = 72, after_h: int = 72, anchors: tuple[tuple[str, str], ...] = (), rows: str = "", more_columns: tuple[str, ...] = (), recursive: bool = False) -> str:
+    """The wide row of all catchments' probes, with all its families.
+
+    ``anchors`` are views before these that end in ``probes`` of their own; ``rows`` is joined to
+    the result by (guid, t0), with a label y and ``more_columns``.
+    """
     in_sql = ", ".join(f"({h})" for h in lags)
     frame = lambda h: f"OVER (PARTITION BY guid, var ORDER BY ts ROWS BETWEEN {h - 1} PRECEDING AND CURRENT ROW)"
     sums = " UNION ALL ".join(f"SELECT guid, var, {h} AS h, ts, CASE WHEN count(x) {frame(h)} = {h} THEN list_reduce(list(x) {frame(h)}, lambda a, b: a + b) END AS s FROM full_" for h in lags)
@@ -121,7 +125,10 @@ def wide_sql(lags: tuple[int, ...] = ep.LAGS, before_h: int = 72, after_h: int =
         if a in lags and b in lags:
             more |= {f"pr_ratio_{a}_{b}b": ratio(pr(a), pr(b)), f"netS_ratio_{a}_{b}b": ratio(net(a), net(b)), **{f"{v}_rate_ratio_{a}_{b}b": ratio(c(f"{v}r{a}b"), c(f"{v}r{b}b")) for v in ("gw", "sm", "qmm")}}
     columns = [*_meta(before_h, after_h, lags, 0.99, False), *[_r(c(n), n) for n in names], *[f'{x} AS "{n}"' if n in flags else _r(x, n) for n, x in more.items()]]
-    return dt.sql(f"SELECT {', '.join(columns)} FROM wide_ JOIN area USING (guid) JOIN tot USING (guid)", *views, *_pivot(parts, names), held=True)
+    if rows:
+        columns = [x if x != "1 AS y" else "y" for x in columns] + list(more_columns)
+    joined = f" JOIN ({rows}) USING (guid, t0)" if rows else ""
+    return dt.sql(f"SELECT {', '.join(columns)} FROM wide_ JOIN area USING (guid) JOIN tot USING (guid){joined}", *anchors, *views, *_pivot(parts, names), held=not recursive, recursive=recursive)
 
 
 def legacy_sql(lags: tuple[int, ...] = ep.LAGS, before_h: int = 72, after_h: int = 72) -> str:

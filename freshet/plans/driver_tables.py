@@ -70,7 +70,8 @@ def sql(body: str, *ctes: tuple[str, str], recursive: bool = False, held: bool =
     """A query with the named views before it; ``held``: each is computed once."""
     known = {"hourly": HOURLY, "daily": DAILY, "yearly": YEARLY_EVENTS, "probes": PROBES}
     text = " ".join([body, *[x for _, x in ctes]])
-    need = [n for n in known if n in text or (n == "daily" and "yearly" in text) or (n == "hourly" and "probes" in text)]
+    own = {n for n, _ in ctes}
+    need = [n for n in known if n not in own and (n in text or (n == "daily" and "yearly" in text) or (n == "hourly" and "probes" in text))]
     keep = "MATERIALIZED " if held else ""
     parts = [f"{n} AS {keep}({known[n]})" for n in need] + [f"{n} AS {keep}({x})" for n, x in ctes]
     return f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(parts)} {body}"

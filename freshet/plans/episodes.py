@@ -378,11 +378,23 @@ def legacy_episodes(anchors: DataFrame, series: DataFrame, params: DataFrame, *,
     return rows.select(F.col("guid").alias("GUID"), "t0", "y", *[labels[k] for k in ("wb", "wa", "lags")], "cap", *[labels[k] for k in ("gwdef", "gwsig", "gw_act_q", "q_act_q")], "A_km2", "HI", "MRT", "meandailyT", *[apart[n].alias(n) if n in apart else F.col(n) for n in names])
 
 
+def derived_names(lags: tuple[int, ...] = LAGS, before_h: int = 72) -> list[str]:
+    """Names of the derived features, in their order; needs no Spark."""
+    names = [f"{v}x{h}" for v in ACTIVE for h in lags] if any(h <= before_h for h in lags) else []
+    names += [f"netS{h}b" for h in lags] + ["total_storage", "storage_fraction", "relative_storage", "storage_anomaly"]
+    names += [f"{v}_{k}" for v in ("gw", "q", "qmm", "sm", "swe") for k in ("delay_vs_pr", "abs_delay_vs_pr")]
+    names += [f"{v}_{k}" for v in ACTIVE for k in ("peak_before_flag", "peak_after_flag", "distance_to_peak")]
+    for h in lags:
+        names += [f"{k}_{h}b" for k in ("runoff_ratio", "infiltration_proxy", "rain_plus_melt", "response_efficiency", "melt_fraction", "rain_fraction", "precip_x_gw", "precip_x_sm", "netS_x_gw", "gwr_norm", "smr_norm", "qmmr_norm", "qr_norm")]
+        names += [f"{v}r{h}b_x_peak_{k}" for v in ("gw", "q", "qmm", "sm") for k in ("before", "after")] + [f"{k}_{h}b" for k in ("netS_ratio", "netS_norm_storage", "netS_gradient")]
+    return names + [f"{k}_ratio_{a}_{b}b" for a, b in RATIO_PAIRS if a in lags and b in lags for k in ("pr", "netS", "gw_rate", "sm_rate", "qmm_rate")]
+
+
 def dictionary_rows(lags: tuple[int, ...] = LAGS, before_h: int = 72, after_h: int = 72) -> list[tuple[str, str, str, str | None]]:
     """(row, feature, description, variable) of both wide rows; derived features have no variable of their own."""
     of = lambda n: next((v for v in sorted(VARIABLES, key=len, reverse=True) if n.startswith(v)), None)
     found = [("current", n, d, of(n)) for n, d in feature_names(lags) if not n.startswith("_")]
-    found += [("current", n, n.replace("_", " ").strip(), None) for n in derived(lags, before_h, lambda n: F.lit(None).cast("double"))]
+    found += [("current", n, n.replace("_", " ").strip(), None) for n in derived_names(lags, before_h)]
     return found + [("legacy", n, d, of(n)) for n, d in legacy_names(lags, before_h, after_h)]
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import replace
 
 from pyspark.sql import Window
@@ -545,14 +546,35 @@ def matched_anchors(spark, sf_dir):
     return out.select(*[_r(F.col(c), c) if c == "match_distance" or c.endswith(("_anchor", "_event")) and c != "t_anchor" else F.col(c) for c in out.columns])
 
 
-@query(_anchors_sql("""SELECT guid AS "GUID", ts AS t0, 1 AS y, strftime(ts, '%Y%m%d%H') AS "SkredID", CAST(NULL AS DOUBLE) AS ne_rank, CAST(NULL AS DOUBLE) AS ne_match_distance, round(gw, 6) AS gw0, round(gwq, 6) AS gwq, round(s, 6) AS "prS6b" FROM ev
- UNION ALL SELECT c.guid, c.t_anchor, 0, NULL, CAST(c.rank AS DOUBLE), round(c.dist, 6), round(v.gw, 6), round(v.gwq, 6), round(v.s, 6) FROM chosen c JOIN vals v ON v.guid = c.guid AND v.ts = c.t_anchor WHERE c.rank <= 25"""))
+#: Columns of a control beside its episode, by name: the value in the SQL of the anchors; events have none of them.
+_CONTROL = {
+    "t_anchor": "c.t_anchor", "rank": "c.rank::DOUBLE", "group": "'matched'", "match_source": "CASE WHEN c.tolerance IS NULL THEN 'gw_best_extra' ELSE 'gw' END", "match_tolerance_used": "c.tolerance", "match_tier": "c.tier::DOUBLE", "match_distance": "round(c.dist, 6)",
+    "year": "c.year::DOUBLE", "doy": "dayofyear(c.t_anchor)::DOUBLE", **{f"{n}_anchor": f"round(a.{c}, 6)" for n, c in (("gw0", "gw"), ("gwq", "gwq"), ("prsum", "s"), ("prsum_q", "sq"), ("q0", "q"), ("qq", "qq"))}, "matched_event_time": "e.ts",
+    **{f"{n}_event": f"round(e.{c}, 6)" for n, c in (("gw0", "gw"), ("gwq", "gwq"), ("prsum", "s"), ("prsum_q", "sq"), ("q0", "q"), ("qq", "qq"))}, "season_days": "5::DOUBLE", "exclude_event_buffer_days": "2::DOUBLE", "n_controls": "25::DOUBLE",
+    "match_target": "'gw'", "match_mode": "'value_pct'", "value_tolerance_levels": f"'{_LADDER}'", "quantile_tolerance_levels": "''", "prsum_lag_h": "6::DOUBLE", "q_weight": "0.1::DOUBLE", "decluster_days": "1::DOUBLE",
+}
+_CONTROL_ROWS = (
+    "SELECT guid, ts AS t0, 1 AS y, strftime(ts, '%Y%m%d%H') AS \"SkredID\", NULL::VARCHAR AS \"No\", " + ", ".join(f"NULL AS ne_{n}" for n in _CONTROL) + " FROM ev UNION ALL SELECT c.guid, c.t_anchor, 0, NULL, NULL, " + ", ".join(_CONTROL.values())
+    + " FROM chosen c JOIN vals a ON a.guid = c.guid AND a.ts = c.t_anchor JOIN best b ON b.guid = c.guid AND b.t_anchor = c.t_anchor JOIN ev e ON e.guid = c.guid AND e.o = b.o WHERE c.rank <= 25"
+)
+
+
+def _apart(text: str) -> str:
+    """The anchors' views under names that the wide row's don't have."""
+    return re.sub(r"\b(ser|ranked|grid|full_)\b", r"\1a", text)
+
+
+_ANCHOR_PROBES = (*[(_apart(n), _apart(x)) for n, x in (*_ANCHOR_VIEWS, *_greedy_sql("SELECT guid, t_anchor, d AS dist FROM best", matching.TOLERANCES["value_pct"], apart=86_400))], ("probes", "SELECT guid, ts AS t0 FROM ev UNION SELECT guid, t_anchor FROM chosen WHERE rank <= 25"))
+
+
+@query(oracles.wide_sql(anchors=_ANCHOR_PROBES, rows=_CONTROL_ROWS, more_columns=('"SkredID"', '"No"', *[f"ne_{n}" for n in _CONTROL]), recursive=True))
 def episodes_matched(spark, sf_dir):
-    """Events and their controls in one table, all of them; a few of its columns, as the SQL has those."""
+    """Events and their controls in one table of 661 columns."""
     _, s, p = _episode_inputs(spark, sf_dir)
     h = dt.hourly(spark, sf_dir)
-    rows, _ = plan.build_episodes(weekly_events(h), h, s, p, lags=(6,), **_ANCHORS)
-    return rows.select("GUID", "t0", "y", "SkredID", F.col("ne_rank").cast("double").alias("ne_rank"), _r(F.col("ne_match_distance"), "ne_match_distance"), _r(F.col("gw0"), "gw0"), _r(F.col("gwq"), "gwq"), _r(F.col("prS6b"), "prS6b"))
+    rows, _ = plan.build_episodes(weekly_events(h), h, s, p, **_ANCHORS)
+    rows = rows.select(*[F.col(c).cast("double").alias(c) if c.startswith("ne_") and t in ("int", "bigint") else F.col(c) for c, t in rows.dtypes])
+    return _rounded_row(rows)
 
 
 # --- episodes ---------------------------------------------------------------------------------

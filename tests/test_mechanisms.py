@@ -203,6 +203,15 @@ def test_switched_off_families_are_in_neither_columns_nor_plan(spark):
         ep.inputs_of({"gw": {"other": True}})
 
 
+def test_names_need_no_session(spark):
+    for lags, before in (((3, 24, 72), 72), (ep.LAGS, 72), ((6,), 3)):
+        assert list(ep.derived(lags, before)) == ep.derived_names(lags, before)
+    import subprocess
+    import sys
+
+    assert subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert len(e.oracle_sql()) < len(e.queries())"], cwd=sys.path[0]).returncode == 0
+
+
 def test_legacy_row_has_719_columns_and_its_switches(spark):
     anchors, series, params = small(spark)
     assert len(ep.legacy_names()) + 15 == 719 and len(set(n for n, _ in ep.legacy_names())) == 704
