@@ -231,7 +231,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     held = F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     within = first.withColumn("held", held).filter(F.col("held") <= train_bytes).groupBy("id", "said").agg(F.count(F.lit(1)).alias("times"))
     # Equal rows stand for each other: as many are learnt from as lay within the bounds.
-    got = rows.join(F.broadcast(within), ["id", "said"]).groupBy("place", "id", "said", "text", "y").agg(F.first("times").alias("times")).select(F.explode(F.array_repeat(F.struct("text", "y"), F.col("times").cast("int"))).alias("r")).select("r.text", "r.y").toArrow()
+    got = rows.join(F.broadcast(within), ["id", "said"]).groupBy("place", "id", "said", "text", "y").agg(F.first("times").alias("times")).select("place", "id", "said", F.explode(F.array_repeat(F.struct("text", "y"), F.col("times").cast("int"))).alias("r")).select("place", "id", "said", "r.*").toArrow()
+    # Folds are dealt by place, so the order is that of the hash, whatever order the rows came in.
+    got = got.sort_by([("place", "ascending"), ("id", "ascending"), ("said", "ascending")])
     return fit(got.column("text").to_pylist(), got.column("y").to_numpy())
 
 
