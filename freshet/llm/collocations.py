@@ -31,14 +31,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, numbered, text_buffer
+from .common import arrow_batches, materialise, numbered, text_buffer
 
 #: Bytes of text in a block, and occurrences a task should grow.
-BLOCK_BYTES, TASK_WORDS = 12 << 20, 1 << 20
+BLOCK_BYTES, TASK_WORDS = 4 << 20, 1 << 20
 #: From this share of a task's occurrences on a prefix is cut by its next word.
 HOT = 0.125
 LEAST, LONGEST, TOP, COVER = 10, 3, 2000, 50
 NO_LANG = "und"
+#: Parts of a language that are ranked apart before they are ranked together.
+PARTS = 16
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[[0x20, 0x09]] = 1
 _CLASS[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
@@ -111,6 +113,7 @@ def _blocks(batches):
             a = b
     if held:
         yield block(held)
+    pa.default_memory_pool().release_unused()
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -175,7 +178,10 @@ def project(stream: np.ndarray, numbers: np.ndarray, hot: np.ndarray, longest: i
 def _projected(tasks: int, longest: int):
     def run(batches):
         for batch in batches:
-            for stream, size, place, number, hot in zip(*[batch.column(n).to_pylist() for n in ("stream", "size", "places", "numbers", "hots")]):
+            for i in range(batch.num_rows):
+                size = batch.column("size")[i].as_py()
+                place, number, hot = (batch.column(n)[i].values.to_numpy(zero_copy_only=False) for n in ("places", "numbers", "hots"))
+                stream = batch.column("stream")[i].as_buffer()
                 numbers, hots = np.zeros(size, np.int64), np.zeros(size, bool)
                 numbers[place], hots[place] = number, hot
                 columns, cut, weight = project(_unplanes(stream), numbers, hots, longest)
@@ -198,6 +204,7 @@ def _projected(tasks: int, longest: int):
                         ],
                         ["task", "rows", "cuts", "weights"],
                     )
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -245,7 +252,8 @@ def _grown(longest: int, least: int):
 def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Frequent phrases (phrase: numbers of its words, a), of one word too; the frequent words (number, lang, word, f); all words of each language (lang, n)."""
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"), F.col(text_col).cast("string").alias("text"))
-    blocks = materialise(rows.mapInArrow(_blocks, "block long, stream binary, langs array<string>, words array<string>, counts array<long>"), "blocks")
+    with arrow_batches(docs.sparkSession):
+        blocks = materialise(rows.mapInArrow(_blocks, "block long, stream binary, langs array<string>, words array<string>, counts array<long>"), "blocks")
     entries = blocks.select("block", F.posexplode(F.arrays_zip("langs", "words", "counts")).alias("place", "e")).select("block", "place", F.col("e.langs").alias("lang"), F.col("e.words").alias("word"), F.col("e.counts").alias("count"))
     counted = materialise(entries.groupBy("lang", "word").agg(F.sum("count").alias("f")), "words")
     totals = counted.groupBy("lang").agg(F.sum("f").alias("n"))
@@ -258,7 +266,8 @@ def phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", lea
     projected = met.mapInArrow(_projected(tasks, longest), "task int, rows binary, cuts binary, weights binary")
     grown = projected.groupBy("task").applyInArrow(_grown(longest, least), "phrase array<long>, a long")
     single = words.select(F.array("number").alias("phrase"), F.col("f").alias("a"))
-    return materialise(grown.unionByName(single), "phrases"), words, totals
+    with arrow_batches(docs.sparkSession):
+        return materialise(grown.unionByName(single), "phrases"), words, totals
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST, top: int = TOP, cover: int = COVER) -> DataFrame:
@@ -285,8 +294,11 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     named = left.select("phrase", "a", "cut", F.posexplode("phrase").alias("at", "number")).join(words.select("number", "lang", "word"), "number")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ")
     named = named.groupBy("phrase", "a", "cut").agg(F.first("lang").alias("lang"), text.alias("said"))
-    order = Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "said")
-    ranked = named.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top).join(totals, "lang")
+    # The best of parts of a language first, so that the last step gets a bounded number of each.
+    order = [F.desc("cut.score"), F.desc("a"), "said"]
+    best = named.withColumn("part", F.pmod(F.xxhash64("said"), F.lit(PARTS)))
+    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).filter(F.col("rank") <= top)
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top).join(totals, "lang")
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), F.col("said").alias("phrase"), "a", "cut.l", "cut.r", "n", F.col("cut.score").alias("score"))
 
 

@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +74,18 @@ def numbered(df: DataFrame, name: str, column: str) -> DataFrame:
     return held.withColumn("_part", part).join(starts, "_part").withColumn(column, F.col("_start") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_part", "_start", "_n", "_id")
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, size: str = "8m"):
+    """Inside, what is run hands rows to Python in batches of no more bytes than this."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def text_buffer(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column end to end, and the offsets of its rows (null: empty)."""
     arr = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
