@@ -297,7 +297,8 @@ def repair(rows: DataFrame, partitions: int) -> DataFrame:
     marked = keyed.join(again, F.col("c").eqNullSafe(F.col("c2")) & (F.col("said") == F.col("said2")), "left")
     marked = marked.select("c", "t", "role", "text", "copies", (F.col("place").isNull() | (F.col("place") == place)).alias("first"))
     order = ["c", "t", "role", "text"]
-    placed = marked.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    # Partitions are cut by a text's first characters, as a sample of what cuts them goes to the driver.
+    placed = marked.repartitionByRange(partitions, "c", "t", "role", F.substring("text", 1, 24)).sortWithinPartitions(*order)
     done = materialise(placed.mapInArrow(_repair_partition, _TABLE), "repairs")
 
     cut = done.filter("part is not null").withColumnRenamed("conv_id", "c")
