@@ -82,15 +82,15 @@ def max_before(anchors: DataFrame, sums: DataFrame, before_h: int, lag_h: Column
     return _kept(anchors, anchors.distinct().join(before(fits, rows, hours, key, {"max_sum": (F.col("_x"), "max")}, at, "_ts", most_hours=most_hours or before_h), [*key, at]))
 
 
-def steepest_by_span(anchors: DataFrame, series: DataFrame, before_h: int, after_h: int, spans_h: tuple[int, ...], key: list[str], at: str = "t0", ts: str = "ts", value: str = "x") -> DataFrame:
+def steepest_by_span(anchors: DataFrame, series: DataFrame, before_h: int, after_h: int, spans_h: tuple[int, ...], key: list[str], at: str = "t0", ts: str = "ts", value: str = "x", digits: int | None = None) -> DataFrame:
     """Anchors with the steepest rise and fall per hour between two rows of the window, for every span that the rows may be apart at most.
 
     Adds span_h and, for rise and fall, slope, end_h (hours from t0 to its end, negative before),
     end_value and end_rank (of the value within the window).  A slope between two rows is a mean of
     those between the rows from one to the other, so the steepest lies between neighbours: each row
     is compared with the one before it, once for the series, and all spans are read off one pass
-    over a window.  Of equal slopes that with the first start.  Windows of less than two rows have
-    no result; one side of the window must be empty, and is closed at t0 and open at its far end.
+    over a window.  Of equal slopes that with the first start; slopes that agree in ``digits``
+    decimals are equal, without it only equal doubles are.  Windows of less than two rows have no result; one side of the window must be empty, and is closed at t0 and open at its far end.
     """
     side = "before" if after_h == 0 else "after"
     points = series.filter(F.col(value).isNotNull() & F.col(ts).isNotNull()).select(*key, F.col(ts).alias("_ts"), F.col(value).alias("_x"))
@@ -102,12 +102,13 @@ def steepest_by_span(anchors: DataFrame, series: DataFrame, before_h: int, after
     hours = F.when(inside, (F.col("_t") - F.col("_b")) / F.lit(3_600_000_000.0))
     per_window = Window.partitionBy(*[F.col(f"`{c}`") for c in anchors.columns])
     rows = rows.withColumns({"_q": F.cume_dist().over(per_window.orderBy("_x")), "_h": hours, "_s": (F.col("_x") - F.col("_y")) / hours})
+    rows = rows.withColumn("_k", F.col("_s") if digits is None else F.round("_s", digits))
     end = F.struct(F.col("_s").alias("slope"), ((F.col("_t") - F.unix_micros(at)) / F.lit(3_600_000_000.0)).alias("end_h"), F.col("_x").alias("end_value"), F.col("_q").alias("end_rank"))
     picks = []
     for span in spans_h:
         fits = (F.col("_h") > 0) & (F.col("_h") <= span)
         for name, sign in (("rise", -1), ("fall", 1)):
-            picks.append(F.min_by(F.when(fits, end), F.when(fits, F.struct(F.col("_s") * sign, F.col("_b")))).alias(f"_{name}{span}"))
+            picks.append(F.min_by(F.when(fits, end), F.when(fits, F.struct(F.col("_k") * sign, F.col("_b")))).alias(f"_{name}{span}"))
     best = rows.groupBy(*anchors.columns).agg(*picks, F.count(F.lit(1)).alias("_n")).filter("_n > 1")
     each = F.explode(F.array(*[F.struct(F.lit(span).alias("span_h"), F.col(f"_rise{span}").alias("rise"), F.col(f"_fall{span}").alias("fall")) for span in spans_h]))
     return best.select(*anchors.columns, each.alias("_e")).select(*anchors.columns, "_e.*")

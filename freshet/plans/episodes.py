@@ -31,6 +31,8 @@ KEY, VAR = ["guid"], ["guid", "var"]
 #: Names of the families of features of a variable, and the families of the published runs.
 FAMILIES = ("anchor", "quantile", "pctcap", "pctmax", "rates_before", "peak_pre")
 VAR_FEATURES = {v: {f: (f != "pctcap" or v == "gw") and (f not in ("rates_before", "peak_pre") or v != "tmp") for f in FAMILIES} for v in VARIABLES}
+#: Decimals in which slopes of the older row that tie agree: differences of decimal values are equal up to the last bits of a double only.
+SLOPE_DIGITS = 9
 LEGACY_FAMILIES = ("anchor", "quantile", "pctcap", "rates", "max")
 LEGACY_VARIABLES = tuple(v for v in VARIABLES if v != "qmm")
 LEGACY_FEATURES = {v: {f: (f != "pctcap" or v == "gw") and (f not in ("rates", "max") or v != "tmp") for f in LEGACY_FAMILIES} for v in LEGACY_VARIABLES}
@@ -352,7 +354,7 @@ def legacy_features(anchors: DataFrame, series: DataFrame, params: DataFrame | N
     for side, b, a in (("b", before_h, 0), ("a", 0, after_h)) if need.get("slopes") else ():
         spans = tuple(k for k in lags if k <= (b or a))
         if spans:
-            s = steepest_by_span(_each(at, need["slopes"]), series, b, a, spans, VAR).withColumn("H", F.col("span_h"))
+            s = steepest_by_span(_each(at, need["slopes"]), series, b, a, spans, VAR, digits=SLOPE_DIGITS).withColumn("H", F.col("span_h"))
             columns = {}
             for letter, what in (("m", "rise"), ("n", "fall")):
                 named = lambda suffix, letter=letter: _name(v, letter, h, side + suffix)  # noqa: B023, E731

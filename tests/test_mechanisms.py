@@ -222,6 +222,16 @@ def test_legacy_row_has_719_columns_and_its_switches(spark):
     assert "tmpr3a" in names and "gw0" not in names and "hxl_pre" in names
 
 
+def test_legacy_slopes_equal_in_decimals_go_by_the_first_start(spark):
+    # Of doubles 0.5 - 0.3 exceeds 0.3 - 0.1, and 0.1 - 0.3 is above 0.3 - 0.5.
+    values = [0.1, 0.3, 0.5, 0.3, 0.1, 0.1]
+    assert values[2] - values[1] > values[1] - values[0]
+    series = spark.createDataFrame([("a", "swe", at(i), x) for i, x in enumerate(values)], "guid string, var string, ts timestamp, x double")
+    anchors = spark.createDataFrame([("a", at(5), 1)], "guid string, t0 timestamp, y int")
+    got = {r["name"]: r["value"] for r in ep.legacy_features(anchors, series, lags=(3,)).collect()}
+    assert (got["swem3b_t"], got["swem3b_0"]) == (4.0, 0.3) and (got["swen3b_t"], got["swen3b_0"]) == (2.0, 0.3)
+
+
 # --- stress and panels -------------------------------------------------------------------------
 
 
