@@ -10,7 +10,9 @@ each executor once; its workers map that one copy into memory.  Words that it la
 exactly by rank.
 
 What a worker holds is bounded: texts come in slices of SLICE_BYTES, and of strings met before the
-last ones are remembered, if they are short.
+last ones are remembered, if they are short.  Within a slice everything is a step over an Arrow
+column: texts are cut at white space, equal strings are coded once, and their ids are taken to
+their places; Python touches only strings that are not remembered.
 
 Defined cases: a null text is the empty text, which has no ids and decodes to ""; strings of
 special tokens in a text become their ids, as the library does; a text longer than a slice is a
@@ -30,26 +32,27 @@ import os
 import re
 import struct
 import unicodedata
-from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir, slices, tokenizer_path
+from .common import materialise, shared_dir, slices, text_buffer, tokenizer_path
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words that the automaton holds at most, and their longest form in bytes.
 LEXICON_WORDS, LEXICON_BYTES = 65_536, 64
-#: Texts without white space, and merged words, that a worker remembers as young ones; about 400 bytes each.
+#: Texts without white space, and words, that a worker goes on with when it forgets; of twice as many, some 50 bytes each.
 MEMORY_TEXTS, MEMORY_WORDS = 120_000, 70_000
 #: Bytes and rows of texts that are encoded together, so that their new words are found together.
 SLICE_BYTES, SLICE_ROWS = 3 << 20, 2500
-#: Distinct texts without white space that are counted before they are passed on.
-COUNT_WORDS = 100_000
+#: Bytes and rows of texts whose words are counted before they are passed on.
+COUNT_BYTES, COUNT_ROWS = 12 << 20, 10_000
 #: Symbols of a word from which on merges are found by a heap.
 LONG_WORD = 256
 END = "</w>"
@@ -58,6 +61,11 @@ END = "</w>"
 _PIECES = regex.compile(r"\x20|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: What the vocabulary's rules take for white space; str.split() also takes U+001C to U+001F.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+#: The same as bytes: single ones, and the longer ones by their first.
+_WIDE = [x.encode() for x in map(chr, range(0x80, 0x3001)) if _SPACE.match(x)]
+_IS_SPACE, _LEADS = np.zeros(256, bool), np.zeros(256, bool)
+_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LEADS[[x[0] for x in _WIDE]] = True
 _CONTROL = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
@@ -68,6 +76,26 @@ def _byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(extra)) for b in range(256)]
 
 
+def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """words_of() of a column of texts end to end, and each row's first (with their number at the end)."""
+    data, rows = text_buffer(texts)
+    space = _IS_SPACE[data]
+    lead = np.flatnonzero(_LEADS[data])
+    for x in _WIDE:
+        at = lead[lead <= len(data) - len(x)]
+        for k, b in enumerate(x):
+            at = at[data[at + k] == b]
+        for k in range(len(x)):
+            space[at + k] = True
+    there = ~space
+    opens = np.append(True, space[:-1]) if len(data) else space
+    opens[rows[:-1][rows[:-1] < len(data)]] = True
+    start = np.flatnonzero(opens & there)
+    ends = np.append(np.cumsum(there)[start] - 1, np.count_nonzero(there)).astype(np.int32)
+    words = pa.Array.from_buffers(pa.string(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(data[there])])
+    return words, np.searchsorted(start, rows)
+
+
 def words_of(text: str) -> list[str]:
     """The pieces between white space."""
     if any(c in text for c in _CONTROL):
@@ -200,39 +228,55 @@ class Lexicon:
         return self.outputs[self.offsets[number] : self.offsets[number + 1]].tolist()
 
 
+def held(lists: list[list[int]]) -> pa.Array:
+    """Lists of ids as strings of unsigned 32-bit numbers."""
+    return blobs(np.fromiter(chain.from_iterable(lists), np.uint32), np.fromiter(map(len, lists), np.int64, len(lists)))
+
+
+def blobs(ids: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Ids end to end, of which each row has so many, as strings of unsigned 32-bit numbers."""
+    ends = np.append(0, 4 * np.cumsum(size)).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(ids, np.uint32))])
+
+
+def ids_in(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids in a column of such strings end to end, and where each row's end."""
+    data, ends = text_buffer(column)
+    return data.view(np.uint32), ends >> 2
+
+
 class Memory:
-    """What is known of short strings, in two generations of ``size`` entries at most.
+    """The ids of short strings that were met, of 2 * ``size`` at most; then those met last stay, half of them.
 
-    A full young generation becomes the old one and replaces that before, so what is in use stays
-    and what is held is bounded: strings of more than SHORT characters aren't remembered.
+    Strings of more than SHORT bytes aren't remembered, so what is held is bounded.
     """
 
-    SHORT = 48
+    SHORT = 64
 
     def __init__(self, size: int):
-        self.young, self.old, self.size = {}, {}, size
-
-    def of(self, texts, make) -> dict:
-        """The entries of distinct texts; ``make`` gives the missing ones, all at once."""
-        out, missing = {}, []
-        young, old, short = self.young, self.old, self.SHORT
-        for t in texts:
-            v = young.get(t)
-            if v is None:
-                v = old.get(t)
-                if v is None:
-                    missing.append(t)
-                    continue
-                young[t] = v
-            out[t] = v
-        for t, v in zip(missing, make(missing)) if missing else ():
-            out[t] = v
-            if len(t) <= short:
-                young[t] = v
-                if len(young) >= self.size:
-                    self.old, self.young = young, {}
-                    young = self.young
-        return out
+        self.size, self.now = size, 0
+        self.texts, self.ids, self.met = pa.array([], pa.string()), pa.array([], pa.large_binary()), np.zeros(0, np.int64)
+
+    def of(self, texts: pa.Array, make) -> tuple[pa.Array, np.ndarray]:
+        """A column of ids, and the place in it of each of some distinct texts; ``make`` gives the ids of the unknown ones, all at once."""
+        self.now += 1
+        at = pc.index_in(texts, value_set=self.texts)
+        unknown = at.is_null().to_numpy(zero_copy_only=False)
+        place = at.fill_null(0).to_numpy().astype(np.int64)
+        self.met[place[~unknown]] = self.now
+        if not unknown.any():
+            return self.ids, place
+        place[unknown] = len(self.ids) + np.arange(int(unknown.sum()))
+        new = texts.filter(pa.array(unknown))
+        ids = make(new)
+        both = pa.concat_arrays([self.ids, ids])
+        short = pc.less_equal(pc.binary_length(new), self.SHORT)
+        new, ids = new.filter(short), ids.filter(short)
+        self.texts, self.ids, self.met = pa.concat_arrays([self.texts, new]), pa.concat_arrays([self.ids, ids]), np.append(self.met, np.full(len(new), self.now))
+        if len(self.texts) > 2 * self.size:
+            last = np.sort(np.argsort(-self.met, kind="stable")[: self.size])
+            self.texts, self.ids, self.met = self.texts.take(pa.array(last)), self.ids.take(pa.array(last)), self.met[last]
+        return both, place
 
 
 class Codec:
@@ -301,10 +345,10 @@ class Codec:
                     heapq.heappush(heap, (r, k, ids[k], ids[after[k]]))
         return [x for x in ids if x >= 0]
 
-    def merge_many(self, words: list[bytes]) -> list[list[int]]:
+    def merge_many(self, words: list[bytes]) -> pa.Array:
         """merged() of many words: in each round every word makes its next merge."""
         size = np.array([len(w) for w in words], np.int64)
-        out: list[list[int]] = [[]] * len(words)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
         flat = np.frombuffer(b"".join(words), np.uint8)
         ids = self.first_ids[flat]
         end = np.cumsum(size)
@@ -325,9 +369,8 @@ class Codec:
             low = np.minimum.reduceat(value, starts)
             over = low == self.NONE
             if over.any():
-                for a, n in zip(starts[over].tolist(), count[over].tolist()):
-                    out[word[a]] = ids[a : a + n].tolist()
                 stay = np.repeat(~over, count)
+                done.append((word[~stay], ids[~stay]))
                 ids, word, value = ids[stay], word[stay], value[stay]
                 low, count = low[~over], count[~over]
                 if not len(ids):
@@ -347,7 +390,8 @@ class Codec:
             left = at[at > 0] - 1
             left = left[~ends[left]]
             value[left] = values(left)
-        return out
+        word, ids = (np.concatenate(x) for x in zip(*done))
+        return blobs(ids[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(words)))
 
     def pieces(self, texts) -> list[str]:
         """The words of texts without white space, with a space after each text's."""
@@ -357,43 +401,59 @@ class Codec:
             joined = unicodedata.normalize("NFC", joined).replace("\u03a3", "\u03c3")
         return _PIECES.findall(joined.lower())
 
-    def new_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of words by merging."""
-        bodies = [w.encode("utf-8", "replace") for w in words]
-        short = [i for i, x in enumerate(bodies) if len(x) <= LONG_WORD]
-        out: list = [None] * len(words)
-        for i, ids in zip(short, self.merge_many([bodies[i] for i in short]) if short else ()):
-            out[i] = ids
-        return [self.merged(w) if x is None else x for w, x in zip(words, out)]
-
-    def word_ids(self, words: list[str]) -> dict[str, list[int]]:
+    def new_words(self, words: pa.Array) -> pa.Array:
         """Ids of distinct words: from the automaton, else merged."""
-        if self.lexicon is None:
-            return self.words.of(words, self.new_words)
-        known = dict(zip(words, self.lexicon.lookup_many([w.encode("utf-8", "replace") for w in words])))
-        return known | self.words.of([w for w, ids in known.items() if ids is None], self.new_words)
-
-    def text_ids(self, texts: list[str]) -> list[list[int]]:
+        bodies = [w.encode("utf-8", "replace") for w in words.to_pylist()]
+        out: list = [None] * len(bodies) if self.lexicon is None else self.lexicon.lookup_many(bodies)
+        short = [i for i, (x, ids) in enumerate(zip(bodies, out)) if ids is None and len(x) <= LONG_WORD]
+        long = [i for i, (x, ids) in enumerate(zip(bodies, out)) if ids is None and len(x) > LONG_WORD]
+        known = [i for i, ids in enumerate(out) if ids is not None]
+        parts = [held([out[i] for i in known]), held([self.merged(bodies[i].decode("utf-8")) for i in long])]
+        if short:
+            parts.append(self.merge_many([bodies[i] for i in short]))
+        return pa.concat_arrays(parts).take(pa.array(np.argsort(np.array(known + long + short, np.int64))))
+
+    def text_ids(self, texts: pa.Array) -> pa.Array:
         """Ids of texts without white space."""
-        pieces = self.pieces(texts)
-        distinct = set(pieces)
-        distinct.discard(" ")
-        known = self.word_ids(list(distinct))
-        out, now = [], []
-        for p in pieces:
-            if p == " ":
-                out.append(now)
-                now = []
-            else:
-                now += known[p]
-        return out
-
-    def parts(self, text: str) -> list[tuple[list[str], int | None]]:
-        """Runs of words, each followed by a special token's id or by none."""
-        if self.cut is None or not self.cut.search(text):
-            return [(words_of(text), None)]
-        pieces = self.cut.split(text)
-        return [(words_of(x), self.special.get(pieces[2 * i + 1]) if 2 * i + 1 < len(pieces) else None) for i, x in enumerate(pieces[::2])]
+        pieces = pa.array(self.pieces(texts.to_pylist()), pa.string()).dictionary_encode()
+        number, distinct = pieces.indices.to_numpy(), pieces.dictionary
+        # A space ends a text; the rest are its words.
+        words = pc.not_equal(distinct, " ")
+        ends = ~words.to_numpy(zero_copy_only=False)[number]
+        column, place = self.words.of(distinct.filter(words), self.new_words)
+        of = np.cumsum(words.to_numpy(zero_copy_only=False)) - 1
+        ids, at = ids_in(column.take(pa.array(place[of[number[~ends]]])))
+        return blobs(ids, np.diff(at[np.flatnonzero(ends) - np.arange(len(texts))], prepend=0))
+
+    def parts(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Texts cut at special tokens: the parts, the row of each, and the id of the token after it (-1: none)."""
+        rows, special = np.arange(len(texts)), np.full(len(texts), -1)
+        hit = np.zeros(len(texts), bool)
+        for s in self.special:
+            hit |= pc.match_substring(texts, s).fill_null(False).to_numpy(zero_copy_only=False)
+        if not hit.any():
+            return texts, rows, special
+        parts: list[str] = []
+        found_rows, found = [], []
+        for i, text in enumerate(texts.to_pylist()):
+            pieces = self.cut.split(text) if hit[i] else [text or ""]
+            parts += pieces[::2]
+            found_rows += [i] * len(pieces[::2])
+            found += [*map(self.special.__getitem__, pieces[1::2]), -1]
+        return pa.array(parts, pa.string()), np.array(found_rows), np.array(found)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a column of texts end to end, and where each row's end (with a 0 before)."""
+        parts, row, special = self.parts(texts)
+        words, first = words_in(parts)
+        coded = words.dictionary_encode()
+        column, place = self.texts.of(coded.dictionary, self.text_ids)
+        ids, at = ids_in(column.take(pa.array(place[coded.indices.to_numpy()])))
+        ends = at[first[1:]]
+        after = np.flatnonzero(special >= 0)
+        ids = np.insert(ids, ends[after], special[after]) if len(after) else ids
+        count = np.bincount(row, np.diff(ends, prepend=0) + (special >= 0), minlength=len(texts)).astype(np.int64)
+        return ids, np.append(0, np.cumsum(count))
 
     def decode(self, ids) -> str:
         """The vocabulary has no decoder: its tokens are joined by one space."""
@@ -418,28 +478,20 @@ def codec_of(path: str | None, lexicon: str | None = None) -> Codec:
 
 def _word_counts(path):
     def run(batches):
-        codec, count = codec_of(path), Counter()
-
-        def flush():
-            words: Counter = Counter()
-            numbers = iter(count.values())
-            n = next(numbers, 0)
-            for w in codec.pieces(count):
-                if w == " ":
-                    n = next(numbers, 0)
-                else:
-                    words[w] += n
-            count.clear()
-            rows = [(w, n) for w, n in words.items() if len(w) <= LEXICON_BYTES]
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["word", "n"])
-
+        codec = codec_of(path)
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                if text:
-                    count.update(words_of(text))
-                    if len(count) >= COUNT_WORDS:
-                        yield flush()
-        yield flush()
+            for part in slices(batch.column("text"), COUNT_ROWS, COUNT_BYTES):
+                coded = words_in(part)[0].dictionary_encode()
+                times = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
+                pieces = pa.array(codec.pieces(coded.dictionary.to_pylist()), pa.string()).dictionary_encode()
+                number, distinct = pieces.indices.to_numpy(), pieces.dictionary
+                # A space ends a text; texts before a piece give the number of times that it is there.
+                space = pc.equal(distinct, " ").to_numpy(zero_copy_only=False)
+                ends = space[number]
+                of = (np.cumsum(ends) - ends)[~ends]
+                n = np.bincount(number[~ends], times[of], minlength=len(distinct)).astype(np.int64)
+                short = ~space & (pc.binary_length(distinct).to_numpy() <= LEXICON_BYTES)
+                yield pa.RecordBatch.from_arrays([distinct.filter(pa.array(short)), pa.array(n[short])], ["word", "n"])
 
     return run
 
@@ -478,44 +530,42 @@ def shared_lexicon(spark: SparkSession, image: bytes) -> str:
     return name
 
 
-def encoded(codec: Codec, column, make):
-    """For each row of a column of texts, what ``make`` gives for the ids of its words; special tokens come as ids of their own."""
-    gc.disable()  # nothing here makes cycles, and looking for them in what is remembered takes long
+def encoded_slices(codec: Codec, column):
+    """For each slice of a column of texts its ids end to end, and where each row's end (with a 0 before)."""
+    gc.disable()  # nothing here makes cycles, and looking for them takes long
     try:
         for part in slices(column, SLICE_ROWS, SLICE_BYTES):
-            rows = [codec.parts(t or "") for t in part.to_pylist()]
-            distinct = set()
-            for parts in rows:
-                for words, _ in parts:
-                    distinct.update(words)
-            known = codec.texts.of(distinct, lambda texts: [make(x) for x in codec.text_ids(texts)]).__getitem__
-            for parts in rows:
-                found = []
-                for words, special in parts:
-                    found += map(known, words)
-                    if special is not None:
-                        found.append(make([special]))
-                yield found
+            yield codec.encode(part)
     finally:
         gc.enable()
 
 
+def encoded(codec: Codec, column, make):
+    """For each row of a column of texts a list of what ``make`` gives for its ids."""
+    for ids, ends in encoded_slices(codec, column):
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            yield [make(ids[a:b].tolist())]
+
+
+def _hashed(tokens: pa.Array, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+    """For each row the SHA-256 of its ids' texts, of which each has a space after it, without the last."""
+    data, at = text_buffer(tokens.take(pa.array(ids)))
+    at, data = at[ends].tolist(), memoryview(data)
+    return [hashlib.sha256(data[a : max(a, b - 1)]).hexdigest() for a, b in zip(at[:-1], at[1:])]
+
+
 def _digests(lexicon, path):
     def run(batches):
         codec = codec_of(path, lexicon)
-        numbers = list(map(str, range(max(codec.token_of) + 1)))
-
-        def both(ids):
-            return " ".join([numbers[i] for i in ids]), codec.decode(ids)
-
-        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        ids = range(max(codec.token_of) + 1)
+        numbers = pa.array([f"{i} " for i in ids], pa.large_string())
+        tokens = pa.array([codec.token_of.get(i, "") + " " for i in ids], pa.large_string())
         for batch in batches:
             n, a, b = [], [], []
-            for found in encoded(codec, batch.column("text"), both):
-                ids = " ".join([x for x, _ in found])
-                n.append(ids.count(" ") + 1 if ids else 0)
-                a.append(sha(ids))
-                b.append(sha(" ".join([y for _, y in found])))
+            for ids, ends in encoded_slices(codec, batch.column("text")):
+                n += np.diff(ends).tolist()
+                a += _hashed(numbers, ids, ends)
+                b += _hashed(tokens, ids, ends)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run

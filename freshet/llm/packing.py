@@ -20,9 +20,7 @@ and the text are left out, whatever they are called; an empty table gives an emp
 from __future__ import annotations
 
 import bisect
-import sys
 import zlib
-from array import array
 from collections import defaultdict
 from itertools import islice
 
@@ -31,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import codec_of, encoded
+from .bpe import codec_of, encoded_slices
 from .common import materialise, shard_count
 
 CAPACITY = 2048
@@ -250,30 +248,22 @@ class Plan:
         return row[:, 1] + local // row[:, 2], row[:, 3] + local % row[:, 2] * length
 
 
-def packed(ids: list[int]) -> bytes:
-    """Ids as little-endian unsigned 32-bit numbers."""
-    out = array("I", ids)
-    if sys.byteorder == "big":
-        out.byteswap()
-    return out.tobytes()
-
-
 def _pieces(lexicon, path, capacity: int):
     names = ["id", "piece", "start", "length", "ids_crc32"]
 
     def run(batches):
         codec = codec_of(path, lexicon)
-        end = np.array([SEPARATOR], "<u4").tobytes()
         for batch in batches:
-            out = {n: [] for n in names}
-            texts = encoded(codec, batch.column("text"), packed)
-            for i, parts in zip(batch.column("id").to_pylist(), texts):
-                parts.append(end)
-                body = b"".join(parts)
-                for k, at in enumerate(range(0, len(body), 4 * capacity)):
-                    part = body[at : at + 4 * capacity]
-                    for n, x in zip(names, (i, k, at // 4, len(part) // 4, zlib.crc32(part))):
-                        out[n].append(x)
+            out, rows = {n: [] for n in names}, iter(batch.column("id").to_pylist())
+            for ids, ends in encoded_slices(codec, batch.column("text")):
+                # Each text's ids and the separator, as little-endian numbers.
+                body = memoryview(np.insert(ids, ends[1:], SEPARATOR).astype("<u4"))
+                ends = (ends + np.arange(len(ends))).tolist()
+                for a, b, i in zip(ends[:-1], ends[1:], rows):
+                    for k, at in enumerate(range(a, b, capacity)):
+                        part = body[at : min(at + capacity, b)]
+                        for n, x in zip(names, (i, k, at - a, len(part), zlib.crc32(part))):
+                            out[n].append(x)
             yield pa.RecordBatch.from_arrays([pa.array(out[n], pa.int32() if n == "piece" else pa.int64()) for n in names], names)
 
     return run
