@@ -72,3 +72,13 @@ def test_slices_are_coded_as_whole_columns(monkeypatch, size):
     assert size == 1 or all(seen.count(w) == 1 for w in set(seen) if len(w.encode()) <= bpe.Memory.SHORT)
     ids, ends = codec.encode(pa.array([], pa.string()))
     assert len(ids) == 0 and np.array_equal(ends, [0])
+
+
+def test_words_are_counted_by_columns(monkeypatch):
+    """Equal texts are cut into words once a slice, and their words count for each."""
+    met, codec = [], bpe.codec_of(None)
+    monkeypatch.setattr(codec, "pieces", lambda texts, pieces=codec.pieces: pieces(met.append(list(texts)) or met[-1]))
+    texts = [None, "It's it's", "don't " * 3 + "x" * 70, "", "it's"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    rows = [(w, n) for out in bpe._word_counts(None)(iter([batch])) for w, n in zip(*(c.to_pylist() for c in out.columns))]
+    assert sorted(rows) == [("'s", 3), ("'t", 3), ("don", 3), ("it", 3)] and [sorted(x) for x in met] == [sorted({"It's", "it's", "don't", "x" * 70})]
