@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import struct
 from collections import Counter
+from functools import cached_property
 
 import numpy as np
 
@@ -293,21 +294,22 @@ def _sub_image(kind: int, value: int, tiles: int) -> str:
     return _sub_images[kind, value, tiles]
 
 
-def _literals(pixels: np.ndarray) -> str:
-    """An entropy-coded image of literals only."""
-    text, codes = ["0"], []  # no cache
+def _literals(images: list[np.ndarray]) -> list[str]:
+    """Entropy-coded images of literals only; their codes are described together."""
     sizes = np.array([LITERALS + LENGTHS, LITERALS, LITERALS, LITERALS, DISTANCES])
-    lengths = np.zeros((5, int(sizes.max())), np.int64)
-    for k, c in enumerate((1, 0, 2, 3)):
-        own = _huffman(Counter(pixels[:, c].tolist()), LITERALS)
-        lengths[k, :LITERALS] = own
-        codes.append(_texts(own))
-    lengths[4, 0] = 1
-    text += _descriptions(lengths, sizes)
-    green, red, blue, alpha = codes
-    for r, g, b, a in pixels.tolist():
-        text += (green[g], red[r], blue[b], alpha[a])
-    return "".join(text)
+    lengths = np.zeros((5 * len(images), int(sizes.max())), np.int64)
+    lengths[4::5, 0] = 1
+    for i, pixels in enumerate(images):
+        for k, c in enumerate((1, 0, 2, 3)):
+            lengths[5 * i + k, :LITERALS] = _huffman(Counter(pixels[:, c].tolist()), LITERALS)
+    described, out = _descriptions(lengths, np.tile(sizes, len(images))), []
+    for i, pixels in enumerate(images):
+        green, red, blue, alpha = (_texts(x[:LITERALS]) for x in lengths[5 * i : 5 * i + 4].tolist())
+        text = ["0", *described[5 * i : 5 * i + 5]]  # no cache
+        for r, g, b, a in pixels.tolist():
+            text += (green[g], red[r], blue[b], alpha[a])
+        out.append("".join(text))
+    return out
 
 
 def _near(width: int) -> np.ndarray:
@@ -440,14 +442,15 @@ def encode_many(blocks: list[bytes]) -> list[bytes]:
     code = [_canonical(x) for x in bits_of]
     ends_at = [np.where(caches, alphabets[0], LITERALS + LENGTHS), *[np.full(n_images, a) for a in alphabets[1:]]]
     described = [_descriptions(x, e) for x, e in zip(bits_of, ends_at)]
+    tables = [pixels[colour[first_colour[i] : first_colour[i] + colours[i]]] for i in np.flatnonzero(palette).tolist()]
+    tables = iter(_literals([np.diff(x, axis=0, prepend=np.zeros((1, 4), np.uint8)).astype(np.uint8) for x in tables]) if tables else ())
     heads = []
     for i in range(n_images):
         w = Writer()
         _header(w, WIDTH, len(blocks[i]) // 64)
         text = [_text(w.value, w.n)]
         if palette[i]:
-            table = pixels[colour[first_colour[i] : first_colour[i] + colours[i]]]
-            text += ["1", _text(PALETTE, 2), _text(len(table) - 1, 8), _literals(np.diff(table, axis=0, prepend=np.zeros((1, 4), np.uint8)).astype(np.uint8))]
+            text += ["1", _text(PALETTE, 2), _text(int(colours[i]) - 1, 8), next(tables)]
         else:
             tiles = -(-len(blocks[i]) // (4 * WIDTH) >> TILE)
             text += [_sub_image(PREDICTOR, int(modes[i]), tiles), _sub_image(CROSS_COLOUR, int(factors[i]), tiles)]
@@ -458,17 +461,18 @@ def encode_many(blocks: list[bytes]) -> list[bytes]:
     for x in bits_of:  # a single symbol has no bits
         x[(x > 0).sum(1) < 2] = 0
     # Every token's bits as one number: literals have four codes, references two with extra bits.
-    value, n_bits = code[0][of, green], bits_of[0][of, green]
-    for u, c, b in (
-        (literal, code[1][of, symbols[1]], bits_of[1][of, symbols[1]]),
-        (literal, code[2][of, symbols[2]], bits_of[2][of, symbols[2]]),
-        (literal, code[3][of, symbols[3]], bits_of[3][of, symbols[3]]),
-        (refers, length_extra, length_bits),
-        (refers, code[4][of, far_symbol], bits_of[4][of, far_symbol]),
-        (refers, far_extra, far_bits),
+    value, n_bits = code[0][of, green].astype(np.int64), bits_of[0][of, green]
+    lit, ref = np.flatnonzero(literal), np.flatnonzero(refers)
+    coded = lambda k, u: (x := of[u] * alphabets[k] + symbols[k][u], code[k].take(x).astype(np.int64), bits_of[k].take(x))[1:]
+    for u, parts in (
+        (lit, (coded(1, lit), coded(2, lit), coded(3, lit))),
+        (ref, ((length_extra[ref], length_bits[ref]), coded(4, ref), (far_extra[ref], far_bits[ref]))),
     ):
-        value = value | np.where(u, c, 0) << n_bits
-        n_bits = n_bits + np.where(u, b, 0)
+        v, n = value[u], n_bits[u]
+        for c, b in parts:
+            v |= c << n
+            n += b
+        value[u], n_bits[u] = v, n
     head_bits = np.array([len(h) for h in heads])
     ends = np.cumsum(n_bits)
     first = np.searchsorted(of, np.arange(n_images))
@@ -514,6 +518,11 @@ class _Bits:
         return got.astype(np.int64)
 
 
+#: Bits by which codes are looked up at once, and the length that stands for a code without bits.
+SHORT, NO_BITS = 8, 15
+_TIMES = np.array([1 << SHORT - x if 0 < x <= SHORT else 0 for x in range(16)], np.int32)
+
+
 class _Codes:
     """Canonical prefix codes of many streams: limits by length, and symbols in order of length."""
 
@@ -537,15 +546,33 @@ class _Codes:
         limit[self.only] = 0
         self.limit = np.ascontiguousarray(limit.T)
         self.shift = np.cumsum(count, 1) - count - first  # from a code to its symbol's place
+        self.lengths = lengths
+
+    @cached_property
+    def short(self) -> np.ndarray:
+        """For each code and its first SHORT bits the length and the symbol: 0 where it is longer, NO_BITS for a single symbol."""
+        symbols = self.symbols[:, : int((self.lengths > 0).sum(1).max(initial=1))].astype(np.uint16)
+        size = np.take_along_axis(self.lengths, symbols.astype(np.int64), 1)
+        times = _TIMES[size]
+        times[self.only] = 0
+        rest = (1 << SHORT) - times.sum(1, dtype=np.int64)
+        alone = np.where(self.only, symbols[:, 0] | np.uint16(NO_BITS << 12), np.uint16(0))
+        entry = np.append(size.astype(np.uint16) << 12 | symbols, alone[:, None], 1)
+        return np.repeat(entry.ravel(), np.append(times, rest[:, None], 1).ravel())
 
     def read(self, bits: _Bits, stream: np.ndarray, code: np.ndarray) -> np.ndarray:
         v = _REVERSED[(bits.peek(stream) & np.uint64(0x7FFF)).astype(np.int32)]
-        size = (v >= self.limit.take(code, 1)).view(np.int8).sum(0, dtype=np.int8).astype(np.int64) + 1
-        only = self.only[code]
-        size[only] = 0
-        at = np.where(only, 0, self.shift[code, np.minimum(size, 15)] + (v.astype(np.int64) >> np.maximum(15 - size, 0)))
+        found = self.short[(code << SHORT) + (v >> 15 - SHORT)].astype(np.int64)
+        size, symbol = found >> 12, found & 0xFFF
+        size[size == NO_BITS] = 0
+        long = np.flatnonzero(found == 0)
+        if len(long):
+            v, code = v[long], code[long]
+            more = (v >= self.limit.take(code, 1)).view(np.int8).sum(0, dtype=np.int8).astype(np.int64) + 1
+            size[long] = more
+            symbol[long] = self.symbols[code, self.shift[code, np.minimum(more, 15)] + (v.astype(np.int64) >> np.maximum(15 - more, 0))]
         bits.at[stream] += size
-        return self.symbols[code, at].astype(np.int64)
+        return symbol
 
 
 def _read_codes(bits: _Bits, i: np.ndarray, sizes: np.ndarray) -> _Codes:

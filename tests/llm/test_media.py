@@ -96,3 +96,18 @@ def test_query_on_odd_rows(spark):
         if r["doc_id"] is not None:
             p = media.padded((texts[r["doc_id"]] or "").encode())
             assert (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+
+
+def test_codes_are_looked_up_by_their_first_bits():
+    """Short codes, longer ones and codes without bits, each with the table and by its limits."""
+    lengths = np.zeros((3, 20), np.int64)
+    lengths[0, :12] = [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 11]
+    lengths[1, 7] = 1
+    lengths[2, [3, 9, 1]] = [1, 2, 2]
+    codes = webp_batch._Codes(lengths)
+    assert codes.short.size == 3 << webp_batch.SHORT
+    for k, symbols in ((0, range(12)), (1, [7]), (2, [3, 9, 1])):
+        texts = webp_batch._texts(lengths[k].tolist())
+        for s in symbols:
+            bits = webp_batch._Bits([int(texts[s][::-1] or "0", 2).to_bytes(2, "little") + bytes(8)])
+            assert codes.read(bits, np.array([0]), np.array([k])).tolist() == [s] and bits.at.tolist() == [len(texts[s])]
